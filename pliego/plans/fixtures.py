@@ -173,3 +173,117 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json(F.struct(meta.alias("metadata"), nested.alias("data")), JSON_WRITE_OPTIONS)
     )
     return grouped.select("msg_id", raw.alias("raw"))
+
+
+# ------------------------------------------------------------------ URIs ----
+
+
+def uri_variants(url: Column) -> Column:
+    """Template-URI spellings derived from a web URL (FIXTURES F12 ``uris``)."""
+    host = F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1)
+    path = F.regexp_extract(url, r"^[a-z]+://[^/?#]+/?([^?#]*)", 1)
+    return F.array(
+        url,
+        F.concat(F.lit("http@"), url),
+        F.concat(F.lit("s3@"), host, F.lit(":"), path),
+        F.concat(F.lit("fs@/srv/"), path),
+        path,
+        F.concat(F.lit("../"), path),
+        F.concat(F.lit("/"), path),
+        F.concat(F.lit("s3://"), host, F.lit("/"), path),
+        F.concat(F.lit("C:\\plantillas\\"), path),
+        F.concat(F.lit("ftp@"), host, F.lit("/"), path),
+    )
+
+
+def uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, variant, uri``: every page URL in ten template-URI forms."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    return pages.select(
+        "page_id", F.posexplode(uri_variants(F.col("url"))).alias("variant", "uri")
+    ).withColumn("variant", F.col("variant").cast("bigint"))
+
+
+# ------------------------------------------------------------- Kafka ----
+
+KAFKA_BATCH_SIZE = 10  # records per batch, as the reference's event-source mapping
+BAD_BASE64 = "not base64!!"
+BAD_JSON = "{bad json"
+
+
+def kafka_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a topic. Purchases carry a valid message, other events
+    the flat sample shape (E1), error events a corrupt value."""
+    ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    data = F.struct(
+        F.col("event_type").alias("evento"),
+        F.col("value").cast("decimal(12,2)").cast("string").alias("valor"),
+        F.col("user_id").alias("usuario"),
+    )
+    comp = F.struct(
+        F.lit("template").alias("type"),
+        F.struct(
+            F.struct(
+                F.lit("txt").alias("output_format"),
+                F.lit("orden.html").alias("location"),
+                data.alias("data"),
+            ).alias("resource")
+        ).alias("metadata"),
+    )
+    nested = F.struct(
+        F.struct(F.col("event_id").alias("id")).alias("metadata"),
+        F.struct(
+            F.struct(F.array(F.struct(F.lit("evento").alias("type"), F.array(comp).alias("composicion"))).alias("outputs")).alias(
+                "item_canonico"
+            )
+        ).alias("data"),
+    )
+    flat = F.struct(F.lit("orden.html").alias("templatePath"), data.alias("data"))
+    msg = F.when(F.col("event_type") == "purchase", F.to_json(nested)).otherwise(F.to_json(flat))
+    value = (
+        F.when((F.col("event_type") == "error") & (F.col("user_id") % 2 == 0), F.lit(BAD_BASE64))
+        .when(F.col("event_type") == "error", F.base64(F.encode(F.lit(BAD_JSON), "UTF-8")))
+        .otherwise(F.base64(F.encode(msg, "UTF-8")))
+    )
+    return ev.select(
+        (F.col("event_id") / KAFKA_BATCH_SIZE).cast("bigint").alias("batch_id"),
+        F.lit("document-requests").alias("topic_name"),
+        F.col("event_type").alias("topic"),
+        F.pmod(F.col("user_id"), F.lit(4)).cast("int").alias("partition"),
+        F.col("event_id").alias("offset"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+        F.lit("CREATE_TIME").alias("timestampType"),
+        F.concat(F.lit("request-"), F.col("event_id").cast("string")).alias("key"),
+        value.alias("value"),
+    )
+
+
+def kafka_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Kafka batch envelope per 10 records: ``batch_id`` plus the
+    ``records`` map (``topic-partition`` -> records in offset order)."""
+    recs = kafka_records(spark, sf_dir)
+    rec = F.struct(
+        F.col("topic"), F.col("partition"), F.col("offset"), F.col("timestamp"),
+        F.col("timestampType"), F.col("key"), F.col("value"), F.array().cast("array<string>").alias("headers"),
+    )
+    tp = recs.groupBy("batch_id", F.concat_ws("-", "topic", F.col("partition").cast("string")).alias("tp")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("offset").alias("o"), rec.alias("r")))).alias("l")
+    )
+    batch = tp.groupBy("batch_id").agg(
+        F.array_sort(F.collect_list(F.struct("tp", F.transform("l", lambda x: x["r"]).alias("recs")))).alias("e")
+    )
+    return batch.select(
+        "batch_id",
+        F.lit("aws:kafka").alias("eventSource"),
+        F.map_from_entries(F.transform("e", lambda x: F.struct(x["tp"], x["recs"]))).alias("records"),
+    )
+
+
+# ---------------------------------------------------- template requests ----
+
+
+def template_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``uri, ts, event_id``: template fetch requests over time (ST2, J5)."""
+    ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    uri = F.concat(F.lit("s3@plantillas.dev:v1/u"), F.pmod(F.col("user_id"), F.lit(7)).cast("string"), F.lit(".html"))
+    return ev.select(uri.alias("uri"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
