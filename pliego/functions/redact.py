@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._util import col, is_empty, last_index, substring_from
+from ._util import col, is_empty
 
 EMPTY = "[empty]"
 
@@ -29,16 +29,14 @@ def sanitize_path(path) -> Column:
 
 def file_name_of(path) -> Column:
     """FN24: strip a ``scheme://****/`` mask, then the text after the last '/'
-    unless that '/' is the last char (then the whole text)."""
+    unless that '/' is the last char (then the whole text).
+
+    Written as two regex rewrites so the input is referenced once per
+    branch: nesting sanitisers must not multiply the expression size.
+    """
     p = col(path)
-    clean = (
-        F.when(p.startswith("s3://****"), F.substr(p, F.lit(11)))
-        .when(p.startswith("http://****"), F.substr(p, F.lit(13)))
-        .when(p.startswith("https://****"), F.substr(p, F.lit(14)))
-        .otherwise(p)
-    )
-    s = last_index(clean, "/")
-    name = F.when((s >= 0) & (s < F.length(clean) - 1), substring_from(clean, s + 1)).otherwise(clean)
+    clean = F.regexp_replace(p, r"(?s)^(?:s3|https?)://\*{4}.", "")
+    name = F.regexp_replace(clean, r"(?s)^.*/(?=[^/]+$)", "")
     return F.when(is_empty(p), F.lit(EMPTY)).otherwise(name)
 
 

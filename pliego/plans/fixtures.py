@@ -168,8 +168,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cliente = F.struct(F.col("custkey").alias("id"))
     nested = F.struct(cliente.alias("cliente"), item.alias("item_canonico"))
     # E1: the flat request shape of the shipped sample events (no item_canonico)
-    flat = F.struct(F.lit("orden.html").alias("templatePath"), cliente.alias("cliente"))
-    raw = F.when((status == "P") & (prio == "1-URGENT"), F.to_json(F.struct(meta.alias("metadata"), flat.alias("data")), JSON_WRITE_OPTIONS)).otherwise(
+    flat = F.struct(
+        F.lit("orden.html").alias("templatePath"),
+        F.struct(F.col("msg_id").alias("codigo"), F.col("custkey").alias("cliente")).alias("data"),
+        F.lit(None).cast("map<string,string>").alias("images"),
+    )
+    raw = F.when((status == "P") & (prio == "1-URGENT"), F.to_json(flat, JSON_WRITE_OPTIONS)).otherwise(
         F.to_json(F.struct(meta.alias("metadata"), nested.alias("data")), JSON_WRITE_OPTIONS)
     )
     return grouped.select("msg_id", raw.alias("raw"))
@@ -211,6 +215,11 @@ BAD_BASE64 = "not base64!!"
 BAD_JSON = "{bad json"
 
 
+def _b64(text: Column) -> Column:
+    """Base64 without line breaks (``base64`` may chunk at 76 chars)."""
+    return F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"\s", "")
+
+
 def kafka_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a topic. Purchases carry a valid message, other events
     the flat sample shape (E1), error events a corrupt value."""
@@ -242,8 +251,8 @@ def kafka_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     msg = F.when(F.col("event_type") == "purchase", F.to_json(nested)).otherwise(F.to_json(flat))
     value = (
         F.when((F.col("event_type") == "error") & (F.col("user_id") % 2 == 0), F.lit(BAD_BASE64))
-        .when(F.col("event_type") == "error", F.base64(F.encode(F.lit(BAD_JSON), "UTF-8")))
-        .otherwise(F.base64(F.encode(msg, "UTF-8")))
+        .when(F.col("event_type") == "error", _b64(F.lit(BAD_JSON)))
+        .otherwise(_b64(msg))
     )
     return ev.select(
         (F.col("event_id") / KAFKA_BATCH_SIZE).cast("bigint").alias("batch_id"),

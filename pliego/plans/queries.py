@@ -41,6 +41,11 @@ DOCS_PREFIX = "documentos"
 _GEN: dict[tuple[str, str], Generation] = {}
 
 
+def ts_text(c):
+    """Timestamps leave queries as text so engines compare them exactly."""
+    return F.date_format(F.col(c) if isinstance(c, str) else c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
 def templates(spark: SparkSession) -> DataFrame:
     return template_table(spark, PACKAGED_ROOT, LANDED_ROOTS)
 
@@ -446,14 +451,15 @@ def q_so3(spark, sf):
 def q_st3(spark, sf):
     t = fixtures.template_requests(spark, sf).where(F.col("event_type") == "signup")
     c = t.select("uri", F.col("ts").alias("fetched_at"), "event_id")
-    return lookup.evict_expired(c, "2024-01-30 12:00:00").select("uri", "fetched_at", "event_id")
+    kept = lookup.evict_expired(c, "2024-01-30 12:00:00")
+    return kept.select("uri", ts_text("fetched_at").alias("fetched_at"), "event_id")
 
 
 def q_j5(spark, sf):
     t = fixtures.template_requests(spark, sf)
     cache = t.where(F.col("event_type") == "signup").select("uri", F.col("ts").alias("fetched_at"))
     r = lookup.fresh_cache_lookup(t.select("uri", "ts", "event_id"), cache)
-    return r.select("event_id", "uri", "entry_at")
+    return r.select("event_id", "uri", ts_text("entry_at").alias("entry_at"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
