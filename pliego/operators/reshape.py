@@ -44,7 +44,8 @@ def extract_images(data) -> Column:
     """RS4: ``data.images`` as map<string,string> when it is an object of
     scalars; anything else gives an empty map. ``images`` stays in data."""
     d = F.col(data) if isinstance(data, str) else data
-    text = F.try_element_at(as_map(d), F.lit("images"))
+    # a JSON path read stops at the key: no map of the whole data node
+    text = F.get_json_object(d, "$.images")
     m = as_map(text)
     scalar_only = F.forall(F.map_values(m), lambda v: v.isNull() | ~(F.ltrim(v).startswith("{") | F.ltrim(v).startswith("[")))
     empty = F.create_map().cast("map<string,string>")

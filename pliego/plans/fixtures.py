@@ -125,57 +125,60 @@ def message_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``msg_id STRING, raw STRING``: the message JSON text (SO1 input).
 
-    One shuffle (group by message); each group is at most 64 line numbers.
+    Each composition is serialised before the shuffle (narrow); one group-by
+    per message (at most 64 line numbers each) gathers them, a natural
+    ``array_sort`` orders them, and the message text is spliced together.
     """
-    lines = message_lines(spark, sf_dir)
+    lines = message_lines(spark, sf_dir).select(
+        "msg_id", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_custkey",
+        F.struct("l_linestatus", "ord", F.to_json("comp", JSON_WRITE_OPTIONS).alias("json")).alias("line"),
+    )
     grouped = lines.groupBy("msg_id").agg(
         F.first("o_orderkey").alias("o_orderkey"),
         F.first("o_orderstatus").alias("status"),
         F.first("o_orderpriority").alias("priority"),
         F.first("o_orderdate").alias("orderdate"),
         F.first("o_custkey").alias("custkey"),
-        F.collect_list(F.struct("l_linestatus", "ord", "comp")).alias("lines"),
+        F.array_sort(F.collect_list("line")).alias("lines"),
     )
+
     def output(status: str, kind: str) -> Column:
-        comps = F.array_sort(
-            F.filter("lines", lambda x: x["l_linestatus"] == status),
-            lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0),
+        comps = F.filter("lines", lambda x: x["l_linestatus"] == status)
+        body = F.concat(
+            F.lit('{"type":"' + kind + '","composicion":['),
+            F.array_join(F.transform(comps, lambda x: x["json"]), ","),
+            F.lit("]}"),
         )
-        return F.struct(F.lit(kind).alias("type"), F.transform(comps, lambda x: x["comp"]).alias("composicion"))
+        return F.when(F.size(comps) > 0, body)
 
-    outs = F.filter(F.array(output("F", "factura"), output("O", "orden")), lambda o: F.size(o["composicion"]) > 0)
-    # an output of the same type whose composition list is missing (E3)
-    broken = F.transform(
-        F.slice(outs, 1, 1),
-        lambda o: F.struct(F.lit("anexo").alias("type"), F.when(F.lit(False), o["composicion"]).alias("composicion")),
-    )
+    outs = F.array_join(F.array(output("F", "factura"), output("O", "orden")), ",")  # NULLs skipped
     status, prio = F.col("status"), F.col("priority")
     outputs = (
-        F.when((status == "P") & (prio == "3-MEDIUM"), F.filter(outs, lambda o: F.lit(False)))  # E2: []
-        .when((status == "P") & (prio == "2-HIGH"), F.concat(outs, broken))  # E3
-        .otherwise(outs)
+        F.when((status == "P") & (prio == "3-MEDIUM"), F.lit("[]"))  # E2
+        .when((status == "P") & (prio == "2-HIGH"), F.concat(F.lit("["), outs, F.lit(',{"type":"anexo","composicion":null}]')))  # E3
+        .otherwise(F.concat(F.lit("["), outs, F.lit("]")))
     )
-    item = F.struct(
-        F.lit("tpch").alias("output_producto"),
-        prio.alias("output_subproducto"),
-        F.struct(F.col("o_orderkey").alias("orden")).alias("output_metadata"),
-        outputs.alias("outputs"),
-        F.lit(None).cast("string").alias("callback"),
+    head = F.to_json(
+        F.struct(
+            F.lit("tpch").alias("output_producto"),
+            prio.alias("output_subproducto"),
+            F.struct(F.col("o_orderkey").alias("orden")).alias("output_metadata"),
+        )
     )
-    meta = F.struct(
+    item = F.concat(F.substr(head, F.lit(1), F.length(head) - 1),
+                    F.lit(',"outputs":'), outputs, F.lit(',"callback":null}'))
+    meta = F.to_json(F.struct(
         F.col("msg_id").alias("id"), F.lit("tpch").alias("origen"), F.date_format("orderdate", "yyyy-MM-dd").alias("fecha")
-    )
-    cliente = F.struct(F.col("custkey").alias("id"))
-    nested = F.struct(cliente.alias("cliente"), item.alias("item_canonico"))
+    ))
+    cliente = F.to_json(F.struct(F.col("custkey").alias("id")))
+    nested = F.concat(F.lit('{"metadata":'), meta, F.lit(',"data":{"cliente":'), cliente, F.lit(',"item_canonico":'), item, F.lit("}}"))
     # E1: the flat request shape of the shipped sample events (no item_canonico)
-    flat = F.struct(
+    flat = F.to_json(F.struct(
         F.lit("orden.html").alias("templatePath"),
         F.struct(F.col("msg_id").alias("codigo"), F.col("custkey").alias("cliente")).alias("data"),
         F.lit(None).cast("map<string,string>").alias("images"),
-    )
-    raw = F.when((status == "P") & (prio == "1-URGENT"), F.to_json(flat, JSON_WRITE_OPTIONS)).otherwise(
-        F.to_json(F.struct(meta.alias("metadata"), nested.alias("data")), JSON_WRITE_OPTIONS)
-    )
+    ), JSON_WRITE_OPTIONS)
+    raw = F.when((status == "P") & (prio == "1-URGENT"), flat).otherwise(nested)
     return grouped.select("msg_id", raw.alias("raw"))
 
 

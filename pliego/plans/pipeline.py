@@ -32,14 +32,16 @@ from ..operators.render import (
     render_text_column,
     route_format,
 )
-from ..operators.reshape import flatten_outputs, only_templates, project_request
-from ..operators.validate import validate_messages
+from ..operators.reshape import extract_images, flatten_outputs, only_templates, project_request
+from ..operators.validate import is_template, validate_messages
+from ..sources.templates import lookup_keys
 from ..schema import REQUEST_KEY
 from ..session import configure
 from ..sources.messages import parse_messages
 
 TEMP_DIR = "/temp"
 MAX_COMPILED_TEMPLATES = 256
+MAX_TEMPLATE_KEYS = 10_000
 MAX_COMPILED_BYTES = 16 * 1024 * 1024
 HTML_SUFFIXES = (".html", ".htm", ".mustache", ".txt")
 
@@ -90,13 +92,12 @@ def compiled_templates(templates: DataFrame) -> list[tuple[str, str]]:
     return sorted(out)
 
 
-def template_error(req: Column) -> Column:
+def template_error(path: Column, fmt: Column, found: Column, failure: Column) -> Column:
     """V6/V7: E6 with the reference's wording for each way a lookup fails."""
-    path = F.col("template_path")
-    needs = (F.col("format") != "txt") | has_protocol(path)
+    needs = (fmt != "txt") | has_protocol(path)
     stripped_fs = F.substr(path, F.lit(4))
     download = F.coalesce(
-        F.col("template_failure"),
+        failure,
         F.when(path.startswith("fs@"), F.concat(F.lit("Source file not found: "), sanitize_path(stripped_fs)))
         .when(path.startswith("s3@"), F.concat(F.lit("The specified key does not exist. "), path))
         .otherwise(F.concat(F.lit("HTTP error: 404 for URL: "), path)),
@@ -104,7 +105,40 @@ def template_error(req: Column) -> Column:
     msg = F.when(has_protocol(path), F.format_string(E.E6_NOT_FOUND, F.format_string(E.E6_DOWNLOAD_FAILED, download))).otherwise(
         F.format_string(E.E6_NOT_FOUND, path)
     )
-    return F.when(needs & ~F.col("template_found"), E.error("E6", msg))
+    return F.when(needs & ~found, E.error("E6", msg))
+
+
+def template_ids(path: Column) -> tuple[Column, Column, Column]:
+    """(primary id, fallback id, failure text) of a template path."""
+    primary, fallback, failure = lookup_keys(path)
+    return _template_id(primary["source"], primary["key"]), _template_id(fallback["source"], fallback["key"]), failure
+
+
+def known_template_ids(templates: DataFrame, limit: int = MAX_TEMPLATE_KEYS) -> list[str] | None:
+    """Ids of every template, collected when there are at most ``limit`` of
+    them (keys only, no content); None above that."""
+    ids = templates.select(_template_id(F.col("source"), F.col("key")).alias("tid"))
+    n = ids.count()
+    if n > limit:
+        return None
+    return sorted(r["tid"] for r in ids.collect())
+
+
+def render_check(comp: Column, known: list[str]) -> Column:
+    """Per-composition render-stage errors evaluated in the message row:
+    template resolution (E6) then, for PDF, the image payloads (E7/E8)."""
+    path = comp["location"]
+    fmt = route_format(comp["output_format"])
+    t1, t2, failure = template_ids(path)
+    found = F.coalesce(t1.isin(known), F.lit(False)) | F.coalesce(t2.isin(known), F.lit(False))
+    images = extract_images(comp["data"])
+    return F.coalesce(template_error(path, fmt, found, failure), F.when(fmt == "pdf", pdf_images_error(images)))
+
+
+def first_render_error(outputs: Column, known: list[str]) -> Column:
+    """V9 (render stage): first failing template composition by position."""
+    errs = F.flatten(F.transform(outputs, lambda o: F.transform(F.filter(o["composicion"], is_template), lambda c: render_check(c, known))))
+    return F.try_element_at(F.filter(errs, lambda e: e.isNotNull()), F.lit(1))
 
 
 def generate_documents(
@@ -115,70 +149,110 @@ def generate_documents(
     cache_dir: str = CACHE_DIR,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
 ) -> Generation:
-    """Run the pipeline over ``messages(msg_id, raw)`` and ``templates``."""
+    """Run the pipeline over ``messages(msg_id, raw)`` and ``templates``.
+
+    With a template table small enough to list (the usual case) every check
+    runs inside the message row and both outputs are single narrow passes
+    over the messages. Otherwise template resolution is a join
+    (``_generate_with_join``).
+    """
     spark = messages.sparkSession
     configure(spark)
+    known = known_template_ids(templates)
+    if known is None:
+        return _generate_with_join(messages, templates, as_of, temp_dir, cache_dir, broadcast_limit)
+    compiled = compiled_templates(templates)
+    known_html = [t for t, _ in compiled]
+
     validated = validate_messages(parse_messages(messages.select("msg_id", "raw")))
+    err = F.coalesce(F.col("map_error"), first_render_error(F.col("outputs"), known))
+    v = validated.withColumn("error", err)
 
-    rows = only_templates(flatten_outputs(validated.where(F.col("map_error").isNull())))
-    req = project_request(rows).withColumn("format", route_format("file_type"))
-    res = resolve_templates(req, templates.select(
-        "source", "key", "content", "fetched_at",
-    ), limit_bytes=broadcast_limit)
-    # which key matched: recompute from the lookup keys (primary first)
-    from ..sources.templates import lookup_keys
+    def location_of(i: Column, k: Column, comp: Column) -> Column:
+        ft = comp["metadata"]["resource"]["output_format"]
+        return local_location(local_path(temp_dir, document_id(as_of, F.col("msg_id"), i, k), ft))
 
-    primary, fallback, _ = lookup_keys(F.col("template_path"))
-    res = res.withColumn(
-        "render_error",
-        F.coalesce(template_error(F.col("template_path")), F.when(F.col("format") == "pdf", pdf_images_error("images"))),
+    out = v.select(
+        "msg_id",
+        F.col("error").isNull().alias("ok"),
+        F.col("error.code").alias("error_code"),
+        F.col("error.message").alias("error_message"),
+        F.when(F.col("error").isNull(), collated_response(F.col("raw"), location_of)).alias("response"),
     )
 
-    compiled = compiled_templates(templates)
-    c_raw, c_printed, c_escaped = context_columns(html_context("data", "images"))
-    is_html = (F.col("format") == "html") & F.col("render_error").isNull()
-    res = (
-        res.withColumn("_ctx", F.when(is_html, c_raw))
+    def requests_of(frame: DataFrame) -> DataFrame:
+        rows = only_templates(flatten_outputs(frame))
+        return project_request(rows).withColumn("format", route_format("file_type"))
+
+    reqs = requests_of(v.where(F.col("map_error").isNull()).select("msg_id", "outputs", "error"))
+    docs = requests_of(v.where(F.col("error").isNull()).select("msg_id", "outputs"))
+    rendered = _render(docs, compiled, known_html, as_of, temp_dir, cache_dir)
+    requests = _render(reqs.drop("error"), [], [], as_of, temp_dir, cache_dir)
+    return Generation(messages=out, documents=rendered, requests=requests)
+
+
+def _render(req: DataFrame, compiled, known_html, as_of, temp_dir: str, cache_dir: str) -> DataFrame:
+    """Bodies and names of requests that passed every check."""
+    t1, t2, _ = template_ids(F.col("template_path"))
+    tid = F.when(t1.isin(known_html), t1).otherwise(t2) if known_html else F.lit(None).cast("string")
+    c_raw, _, _ = context_columns(html_context("data", "images"))
+    is_html = F.col("format") == "html"
+    df = (
+        req.withColumn("_tid", tid)
+        .withColumn("_ctx", F.when(is_html, c_raw))
         .withColumn("_ctx_p", F.transform_values("_ctx", lambda k, v: printable(v)))
         .withColumn("_ctx_e", F.transform_values("_ctx_p", lambda k, v: html_escape(v)))
     )
-    tid_primary = _template_id(primary["source"], primary["key"])
-    tid_fallback = _template_id(fallback["source"], fallback["key"])
-    known = [t for t, _ in compiled]
-    tid = F.when(tid_primary.isin(known), tid_primary).otherwise(tid_fallback) if known else F.lit(None).cast("string")
-    res = res.withColumn("_tid", tid)
     html_body = compile_html_templates(compiled, "_ctx", "_ctx_p", "_ctx_e", "_tid")
     text_body = render_text_column(F.col("template_path"), F.col("data"), cache_dir)
-
     doc_id = document_id(as_of, F.col("msg_id"), F.col("output_pos"), F.col("comp_pos"))
     lp = local_path(temp_dir, doc_id, F.col("file_type"))
     fmt = F.col("format")
-    rendered = res.select(
+    out = df.select(
         *REQUEST_KEY,
         "template_path", "file_type", "format", "data", "images",
         doc_id.alias("doc_id"),
         lp.alias("local_path"),
         local_location(lp).alias("location"),
-        F.when(F.col("render_error").isNull(),
-               F.when(fmt == "txt", text_body).when(fmt == "html", html_body)).alias("body"),
-        F.when(F.col("render_error").isNotNull(), F.lit("failed"))
-        .when(fmt == "pdf", F.lit("needs_converter")).otherwise(F.lit("rendered")).alias("status"),
-        "render_error",
+        F.when(fmt == "txt", text_body).when(fmt == "html", html_body).alias("body"),
+        F.when(fmt == "pdf", F.lit("needs_converter")).otherwise(F.lit("rendered")).alias("status"),
     )
     for f, fn in RENDERERS.items():
-        part = rendered.where((F.col("format") == f) & F.col("render_error").isNull())
-        rest = rendered.where(~((F.col("format") == f) & F.col("render_error").isNull()))
-        rendered = rest.unionByName(fn(part))
+        part = out.where(F.col("format") == f)
+        out = out.where(F.col("format") != f).unionByName(fn(part), allowMissingColumns=True)
+    return out
+
 
-    # V9: a failing request fails its message; the first by position wins.
+def _generate_with_join(
+    messages: DataFrame,
+    templates: DataFrame,
+    as_of,
+    temp_dir: str = TEMP_DIR,
+    cache_dir: str = CACHE_DIR,
+    broadcast_limit: int = BROADCAST_LIMIT_BYTES,
+) -> Generation:
+    """Large template tables: resolution is a (measured-broadcast or shuffle)
+    join, failures are folded per message with a group-by of the failed
+    requests only, then joined back."""
+    validated = validate_messages(parse_messages(messages.select("msg_id", "raw")))
+    rows = only_templates(flatten_outputs(validated.where(F.col("map_error").isNull())))
+    req = project_request(rows).withColumn("format", route_format("file_type"))
+    res = resolve_templates(req, templates.select("source", "key", "content", "fetched_at"), limit_bytes=broadcast_limit)
+    path = F.col("template_path")
+    res = res.withColumn(
+        "render_error",
+        F.coalesce(
+            template_error(path, F.col("format"), F.col("template_found"), F.col("template_failure")),
+            F.when(F.col("format") == "pdf", pdf_images_error("images")),
+        ),
+    )
     failed = (
-        rendered.where(F.col("render_error").isNotNull())
+        res.where(F.col("render_error").isNotNull())
         .groupBy("msg_id")
         .agg(F.min_by("render_error", F.struct("output_pos", "comp_pos")).alias("render_error"))
     )
     status = validated.select("msg_id", "raw", "map_error").join(failed, "msg_id", "left")
-    err = F.coalesce(F.col("map_error"), F.col("render_error"))
-    status = status.select("msg_id", "raw", err.alias("error"))
+    status = status.select("msg_id", "raw", F.coalesce(F.col("map_error"), F.col("render_error")).alias("error"))
 
     def location_of(i: Column, k: Column, comp: Column) -> Column:
         ft = comp["metadata"]["resource"]["output_format"]
@@ -191,5 +265,7 @@ def generate_documents(
         F.col("error.message").alias("error_message"),
         F.when(F.col("error").isNull(), collated_response(F.col("raw"), location_of)).alias("response"),
     )
-    documents = rendered.join(failed.select("msg_id"), "msg_id", "left_anti")
-    return Generation(messages=out, documents=documents, requests=rendered)
+    ok_req = res.where(F.col("render_error").isNull()).join(failed.select("msg_id"), "msg_id", "left_anti")
+    # the partitioned interpreter is not built yet: HTML bodies need compiled templates
+    documents = _render(ok_req.select(*req.columns), [], [], as_of, temp_dir, cache_dir)
+    return Generation(messages=out, documents=documents, requests=_render(req, [], [], as_of, temp_dir, cache_dir))

@@ -49,6 +49,20 @@ def read_messages(spark: SparkSession, path: str, whole_file: bool = False) -> D
     ).where(F.length(F.trim("raw")) > 0)
 
 
+# One-shot binding schema: used when no array is written as a lone object.
+DIRECT_DDL = (
+    "metadata string, "
+    "data struct<cliente:string, clienteData:string, item_canonico:struct<"
+    "output_producto:string, output_subproducto:string, outputs:array<struct<type:string, composicion:"
+    + COMPOSITION_DDL + ">>>>, "
+    f"{CORRUPT} string"
+)
+# A lone object where the message has an array: the only case that needs the
+# layered parse. A false positive (the text inside a string value) only costs
+# the slower path, never a different result.
+NEEDS_WRAP = r'"(outputs|composicion)"\s*:\s*\{'
+
+
 def parse_messages(messages: DataFrame, raw: str = "raw") -> DataFrame:
     """SO1: typed binding view of each message, next to the raw text.
 
@@ -58,9 +72,6 @@ def parse_messages(messages: DataFrame, raw: str = "raw") -> DataFrame:
     """
     configure(messages.sparkSession)
     opts = dict(JSON_READ_OPTIONS, columnNameOfCorruptRecord=CORRUPT)
-    top = F.from_json(F.col(raw), TOP_DDL, opts)
-    df = messages.withColumn("_top", top)
-    outs = F.from_json(wrap_single(F.col("_top.data.item_canonico.outputs")), OUTPUT_DDL, JSON_READ_OPTIONS)
 
     def comp_view(c: Column) -> Column:
         res = c["metadata"]["resource"]
@@ -72,18 +83,36 @@ def parse_messages(messages: DataFrame, raw: str = "raw") -> DataFrame:
             (c["metadata"].isNotNull() & res.isNotNull()).alias("has_resource"),
         )
 
-    outputs = F.transform(
-        outs,
-        lambda o: F.struct(
-            o["type"].alias("type"),
-            F.transform(
-                F.from_json(wrap_single(o["composicion"]), COMPOSITION_DDL, JSON_READ_OPTIONS), comp_view
-            ).alias("composicion"),
+    def view(outs: Column, comps: callable) -> Column:
+        return F.transform(
+            outs, lambda o: F.struct(o["type"].alias("type"), F.transform(comps(o), comp_view).alias("composicion"))
+        )
+
+    # fast path: one typed parse
+    direct = F.from_json(F.col(raw), DIRECT_DDL, opts)
+    direct_outputs = view(direct["data"]["item_canonico"]["outputs"], lambda o: o["composicion"])
+    # layered path: arrays read as text, wrapped when a lone object, parsed
+    top = F.from_json(F.col(raw), TOP_DDL, opts)
+    outs = F.from_json(wrap_single(top["data"]["item_canonico"]["outputs"]), OUTPUT_DDL, JSON_READ_OPTIONS)
+    layered_outputs = view(
+        outs, lambda o: F.from_json(wrap_single(o["composicion"]), COMPOSITION_DDL, JSON_READ_OPTIONS)
+    )
+    wrap = F.coalesce(F.col(raw).rlike(NEEDS_WRAP), F.lit(False))
+    df = messages.withColumn("_wrap", wrap)
+    df = df.withColumn(
+        "_p",
+        F.when(
+            F.col("_wrap"),
+            F.struct(top[CORRUPT].alias("corrupt"), top["data"]["item_canonico"].isNotNull().alias("has_item"),
+                     layered_outputs.alias("outputs")),
+        ).otherwise(
+            F.struct(direct[CORRUPT].alias("corrupt"), direct["data"]["item_canonico"].isNotNull().alias("has_item"),
+                     direct_outputs.alias("outputs")),
         ),
     )
     return df.select(
         *[c for c in messages.columns],
-        (F.col(f"_top.{CORRUPT}").isNull() & F.col(raw).isNotNull()).alias("parsed_ok"),
-        F.col("_top.data.item_canonico").isNotNull().alias("has_item"),
-        outputs.alias("outputs"),
+        (F.col("_p.corrupt").isNull() & F.col(raw).isNotNull()).alias("parsed_ok"),
+        F.col("_p.has_item").alias("has_item"),
+        F.col("_p.outputs").alias("outputs"),
     )
