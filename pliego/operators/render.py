@@ -90,11 +90,15 @@ def compile_html_templates(templates: list[tuple[str, str]], raw: str, printed:
     column names."""
     if not templates:
         return F.lit(None).cast("string")
+    # The CASE is evaluated inside a one-element transform: whole-stage
+    # codegen then sees a single interpreted node instead of trying (and
+    # failing, past 64 KB) to compile every template into the stage.
     branches = " ".join(
-        f"WHEN {tid_col} = {_q(tid)} THEN {compile_template_spark_sql(parse(source), raw, printed, escaped)}"
+        f"WHEN s.tid = {_q(tid)} THEN {compile_template_spark_sql(parse(source), 's.raw', 's.printed', 's.escaped')}"
         for tid, source in templates
     )
-    return F.expr(f"CASE {branches} END")
+    packed = f"array(named_struct('tid', {tid_col}, 'raw', {raw}, 'printed', {printed}, 'escaped', {escaped}))"
+    return F.expr(f"try_element_at(transform({packed}, s -> CASE {branches} END), 1)")
 
 
 def pdf_images_error(images) -> Column:

@@ -364,7 +364,7 @@ def q_rn2(spark, sf):
 
 
 def q_rn10(spark, sf):
-    d = _docs(spark, sf).where(F.col("body").isNotNull())
+    d = _docs(spark, sf).where(F.col("format") != "pdf")
     return d.groupBy("template_path").agg(F.count(F.lit(1)).alias("documents"), F.sum(rendered_size("body")).alias("bytes"))
 
 
@@ -375,7 +375,7 @@ def q_a6(spark, sf):
 
 def q_a7(spark, sf):
     """A7 as cumulative ``le`` buckets over rendered document sizes."""
-    d = _docs(spark, sf).where(F.col("body").isNotNull()).select(rendered_size("body").alias("b"))
+    d = _docs(spark, sf).where(F.col("format") != "pdf").select(rendered_size("body").alias("b"))
     les = [512, 1024, 2048, 4096, 8192]
     row = d.agg(*[F.count_if(F.col("b") <= le).alias(f"le_{le}") for le in les], F.count(F.lit(1)).alias("le_inf"))
     return row.select(F.explode(F.array(*[
