@@ -469,7 +469,41 @@ def oracle_sql() -> dict[str, str]:
     ) + " UNION ALL SELECT '+Inf' AS le, count(*) AS documents FROM sized"
     sized = f"sized AS (SELECT {size} AS sz FROM {bodies_html} WHERE format <> 'pdf')"
 
+    def ctx_rows(null_text):
+        items = (
+            "'[{\"item\":\"base\",\"precio\":\"' || monto || '\"},{\"item\":\"impuesto\",\"precio\":\"' || impuesto || '\"}]'"
+        )
+        pairs = [
+            ("nombre", "cliente_nombre"), ("empresa", "c_mktsegment"), ("monto", "monto"), ("fecha", "fecha"),
+            ("codigo", "codigo"), ("cantidad", "cantidad"), ("items", items), ("nacion", "n_name"),
+        ]
+        sel = " UNION ALL ".join(f"SELECT {KEY}, {lit(k)} AS name, {v} AS value FROM d" for k, v in pairs)
+        img = (
+            f" UNION ALL SELECT {KEY}, 'logo' AS name, image AS value FROM d WHERE image IS NOT NULL"
+            f" UNION ALL SELECT {KEY}, 'images' AS name, {lit(null_text)} AS value FROM d WHERE image IS NULL"
+        )
+        return f"WITH {COMP}, d AS (SELECT * FROM docs WHERE format = 'pdf') {sel}{img}"
+
+    def b64len(v):
+        import base64 as b
+        try:
+            return len(b.b64decode(v + "=" * (-len(v) % 4), validate=True))
+        except Exception:
+            return 0
+
+    img_bytes = "CASE " + " ".join(
+        f"WHEN l_partkey % {len(FX.IMAGE_CYCLE)} = {i} THEN {0 if v is None else b64len(v)}" for i, v in enumerate(FX.IMAGE_CYCLE)
+    ) + " END"
+
     return {
+        "rs6_flatten_context": ctx_rows(""),
+        "rs8_flatten_context_json": ctx_rows("null"),
+        "rn7_pdf_context": docs_sql(
+            f"{KEY}, CAST(CASE WHEN image IS NULL THEN 9 ELSE 9 END AS BIGINT) AS fields, "
+            f"CASE WHEN image IS NULL THEN '' ELSE 'image_pr_logo' END AS images, "
+            f"CAST(coalesce({img_bytes}, 0) AS BIGINT) AS logo_bytes",
+            "WHERE format = 'pdf'",
+        ),
         "fn01_resolve_format": (
             f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, raw_format, {resolve_format('raw_format')} AS format, "
             f"CASE {resolve_format('raw_format')} WHEN 'pdf' THEN 'application/pdf' WHEN 'html' THEN 'text/html' ELSE 'text/plain' END AS mime, "

@@ -462,6 +462,26 @@ def q_j5(spark, sf):
     return r.select("event_id", "uri", ts_text("entry_at").alias("entry_at"))
 
 
+def q_rs6(spark, sf, null_text=""):
+    from ..operators.flatten import context_rows
+    r = generation(spark, sf).documents.where(F.col("format") == "pdf")
+    c = context_rows(r, ["msg_id", "output_pos", "comp_pos"], null_text=null_text)
+    return c.select(*_key(c), "name", "value")
+
+
+def q_rs8(spark, sf):
+    return q_rs6(spark, sf, null_text="null")
+
+
+def q_rn7(spark, sf):
+    from ..operators.flatten import pdf_context
+    d = generation(spark, sf).documents.where(F.col("format") == "pdf")
+    p = pdf_context("data", "images")
+    return d.select(*_key(d), F.size(p["context"]).cast("bigint").alias("fields"),
+                    F.array_join(F.array_sort(F.map_keys(p["images"])), ",").alias("images"),
+                    F.coalesce(F.octet_length(F.try_element_at(p["images"], F.lit("image_pr_logo"))), F.lit(0)).cast("bigint").alias("logo_bytes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fn01_resolve_format": q_fn01,
     "fn03_has_protocol": _uri_query({"has_protocol": fn.has_protocol}),
@@ -508,6 +528,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rs3_project_request": q_rs3,
     "rs4_extract_images": q_rs4,
     "rs5_request_profile": q_rs5,
+    "rs6_flatten_context": q_rs6,
+    "rs8_flatten_context_json": q_rs8,
+    "rn7_pdf_context": q_rn7,
     "rs10_collate_results": q_rs10,
     "rs13_request_from_flat": q_rs13,
     "j1_resolve_templates": q_j1,
