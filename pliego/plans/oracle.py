@@ -495,7 +495,27 @@ def oracle_sql() -> dict[str, str]:
         f"WHEN l_partkey % {len(FX.IMAGE_CYCLE)} = {i} THEN {0 if v is None else b64len(v)}" for i, v in enumerate(FX.IMAGE_CYCLE)
     ) + " END"
 
+    st2 = (
+        f"WITH RECURSIVE r AS (SELECT uri, ts, row_number() OVER (PARTITION BY uri ORDER BY ts, event_id) AS rn FROM ({treq})), "
+        "chain AS (SELECT uri, rn, ts, ts AS entry, true AS fetched FROM r WHERE rn = 1 "
+        "UNION ALL SELECT r.uri, r.rn, r.ts, "
+        "CASE WHEN epoch_us(r.ts) - epoch_us(c.entry) >= 7200000000 THEN r.ts ELSE c.entry END, "
+        "epoch_us(r.ts) - epoch_us(c.entry) >= 7200000000 FROM chain c JOIN r ON r.uri = c.uri AND r.rn = c.rn + 1) "
+        f"SELECT uri, {ts_text('ts')} AS ts, fetched, {ts_text('entry')} AS entry_at FROM chain"
+    )
+    obj_key = f"'{DOCS_PREFIX}/2024/02/01/' || doc_id || '-' || substr(md5(doc_id), 1, 8) || '.' || coalesce(output_format, 'null')"
+
     return {
+        "st1_run_stream": (
+            "SELECT event_type AS topic, CAST(user_id % 4 AS BIGINT) AS partition, event_id AS \"offset\", "
+            "event_type = 'purchase' AS ok, CASE WHEN event_type = 'purchase' THEN NULL WHEN event_type = 'error' THEN 'E11' "
+            "ELSE 'E1' END AS error_code FROM events"
+        ),
+        "st2_template_fetch_state": st2,
+        "sk1_write_documents": docs_sql(
+            f"{KEY}, {obj_key} AS object_key, 's3@:{DOCS_BUCKET}/' || {obj_key} AS repository_path", "WHERE format <> 'pdf'"
+        ),
+        "sk4_write_responses_keyed": status_sql("msg_id, true AS has_value", "WHERE error_code IS NULL"),
         "rs6_flatten_context": ctx_rows(""),
         "rs8_flatten_context_json": ctx_rows("null"),
         "rn7_pdf_context": docs_sql(

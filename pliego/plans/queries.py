@@ -482,6 +482,51 @@ def q_rn7(spark, sf):
                     F.coalesce(F.octet_length(F.try_element_at(p["images"], F.lit("image_pr_logo"))), F.lit(0)).cast("bigint").alias("logo_bytes"))
 
 
+def _scratch(spark, name):
+    """A fresh folder under the session's shared checkpoint folder."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return os.path.join(ensure_checkpoint_dir(spark), "pliego", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def q_st2(spark, sf):
+    from ..streaming.cache_state import fetch_state
+    t = fixtures.template_requests(spark, sf)
+    r = fetch_state(t.select("uri", "ts"))
+    return r.select("uri", ts_text("ts").alias("ts"), "fetched", ts_text("entry_at").alias("entry_at"))
+
+
+def q_st1(spark, sf):
+    from ..streaming.stream import land_records, results_table, run_stream
+    from ..sources.kafka import read_record_files
+    root = _scratch(spark, "st1")
+    recs = fixtures.kafka_records(spark, sf).select(
+        "topic", "partition", "offset", "timestamp", "timestampType", "key", "value",
+        F.pmod(F.col("batch_id"), F.lit(8)).alias("batch_id"),
+    )
+    land_records(recs, os.path.join(root, "in"))
+    stream = read_record_files(spark, os.path.join(root, "in"), max_files_per_trigger=4)
+    q = run_stream(stream, templates(spark), os.path.join(root, "out"), AS_OF, checkpoint=os.path.join(root, "ckpt"))
+    q.awaitTermination()
+    res = results_table(spark, os.path.join(root, "out"))
+    return res.select("topic", F.col("partition").cast("bigint").alias("partition"), "offset", "ok", "error_code")
+
+
+def q_sk1(spark, sf):
+    from ..sinks.store import write_documents
+    root = _scratch(spark, "sk1")
+    back = write_documents(_docs(spark, sf).where(F.col("format") != "pdf"), root, AS_OF, prefix=DOCS_PREFIX, bucket=DOCS_BUCKET)
+    return back.select(*_key(back), "object_key", "repository_path")
+
+
+def q_sk4(spark, sf):
+    from ..sinks.responses import write_responses
+    root = _scratch(spark, "sk4")
+    write_responses(_status(spark, sf), root, key="msg_id")
+    back = spark.read.json(root)
+    return back.select(F.col("key").alias("msg_id"), (F.length("value") > 0).alias("has_value"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fn01_resolve_format": q_fn01,
     "fn03_has_protocol": _uri_query({"has_protocol": fn.has_protocol}),
@@ -537,7 +582,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j2_missing_templates": q_j2,
     "j3_requested_templates": q_j3,
     "j5_fresh_cache_lookup": q_j5,
+    "st1_run_stream": q_st1,
+    "st2_template_fetch_state": q_st2,
     "st3_evict_expired": q_st3,
+    "sk1_write_documents": q_sk1,
+    "sk4_write_responses_keyed": q_sk4,
     "a1_batch_summary": q_a1,
     "a2_record_count": q_a2,
     "a3_outputs_per_message": q_a3,
