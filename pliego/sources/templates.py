@@ -10,6 +10,8 @@ of template files, never with the number of requests.
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +62,22 @@ def land_templates(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     return out
 
 
+# U2: extra template sources by protocol name; each is a callable
+# ``spark -> DataFrame(source, key, content, fetched_at)``.
+TEMPLATE_SOURCES: dict[str, Callable[[SparkSession], DataFrame]] = {}
+
+
+def register_template_source(protocol: str, fn: Callable[[SparkSession], DataFrame]) -> None:
+    """U2: plug a template source (e.g. a mirrored HTTP store) under a
+    protocol name; its rows join the template table."""
+    TEMPLATE_SOURCES[protocol] = fn
+
+
 def template_table(spark: SparkSession, packaged_root: str, landed_roots: dict[str, str]) -> DataFrame:
-    return read_templates(spark, packaged_root).unionByName(land_templates(spark, landed_roots))
+    out = read_templates(spark, packaged_root).unionByName(land_templates(spark, landed_roots))
+    for fn in TEMPLATE_SOURCES.values():
+        out = out.unionByName(fn(spark).select("source", "key", "content", "fetched_at"))
+    return out
 
 
 def lookup_keys(uri: Column) -> tuple[Column, Column, Column]:

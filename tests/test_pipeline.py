@@ -104,3 +104,41 @@ def test_rerun_names_the_same_files(run):
     a = run(raw).documents.select("location").first()[0]
     b = run(raw).documents.select("location").first()[0]
     assert a == b
+
+
+def test_join_path_agrees_with_in_row_path(spark, run, monkeypatch):
+    """Large template tables resolve by join; the outcome must not change."""
+    import pliego.plans.pipeline as P
+    from pliego.plans import fixtures
+
+    msgs = fixtures.messages(spark, "/root/testdata/sf0.001")
+    tpl = template_table(spark)
+    a = generate_documents(msgs, tpl, "2024-02-01 00:00:00")
+    monkeypatch.setattr(P, "MAX_TEMPLATE_KEYS", 0)
+    b = P.generate_documents(msgs, tpl, "2024-02-01 00:00:00")
+    cols = ["msg_id", "ok", "error_code", "error_message"]
+    assert sorted(a.messages.select(cols).collect()) == sorted(b.messages.select(cols).collect())
+    key = ["msg_id", "output_pos", "comp_pos", "location"]
+    assert sorted(a.documents.select(key).collect()) == sorted(b.documents.select(key).collect())
+
+
+def test_fetch_state_batch_matches_fold(spark):
+    import datetime
+    import random
+
+    from pliego.streaming.cache_state import fetch_state
+
+    base = datetime.datetime(2024, 1, 1)
+    rows = [("u", base + datetime.timedelta(minutes=m)) for m in (0, 60, 130, 200, 260)]
+    out = fetch_state(spark.createDataFrame(rows, "uri string, ts timestamp")).orderBy("ts").collect()
+    assert [r.fetched for r in out] == [True, False, True, False, True]  # FIXTURES F11
+    random.seed(7)
+    rows = [(u, base + datetime.timedelta(seconds=random.randint(0, 10 * 86400))) for u in ["a", "hot", "hot", "hot"] for _ in range(1500)]
+    got = sorted((r.uri, r.ts, r.fetched) for r in fetch_state(spark.createDataFrame(rows, "uri string, ts timestamp"), partitions=8).collect())
+    exp, entry = [], {}
+    for u, t in sorted(rows):
+        f = u not in entry or (t - entry[u]).total_seconds() >= 7200
+        if f:
+            entry[u] = t
+        exp.append((u, t, f))
+    assert got == sorted(exp)
