@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import errors as E
 from ..schema import JSON_READ_OPTIONS, JSON_WRITE_OPTIONS
-from ..sources.messages import wrap_single
+from ..sources.messages import NEEDS_WRAP, wrap_single
 
 ECHO_TOP = (
     "metadata variant, data struct<cliente:variant, clienteData:variant, item_canonico:struct<"
@@ -33,6 +33,7 @@ ECHO_COMPOSITIONS = (
     "array<struct<template:string, data:variant, resource:string, type:string, "
     f"metadata:struct<resource:{ECHO_RESOURCE}, result:struct<location:string>>>>"
 )
+ECHO_DIRECT = ECHO_TOP.replace("outputs:string", f"outputs:array<struct<type:string, composicion:{ECHO_COMPOSITIONS}>>")
 
 
 def _with_location(c: Column, location: Column) -> Column:
@@ -52,38 +53,53 @@ def collated_response(raw: Column, location_of: Callable[[Column, Column, Column
     ``location_of(output_pos, comp_pos, composition)`` gives the location of
     one template composition (``composition`` is the echo struct).
     """
-    echo = F.from_json(raw, ECHO_TOP, JSON_READ_OPTIONS)
-    outs = F.from_json(wrap_single(echo["data"]["item_canonico"]["outputs"]), ECHO_OUTPUTS, JSON_READ_OPTIONS)
-
-    def fill_output(o: Column, i: Column) -> Column:
-        comps = F.from_json(wrap_single(o["composicion"]), ECHO_COMPOSITIONS, JSON_READ_OPTIONS)
-        filled = F.transform(
+    def fill(comps: Column, i: Column) -> Column:
+        return F.transform(
             comps,
             lambda c, k: F.when(
                 F.coalesce(c["type"] == "template", F.lit(False)), _with_location(c, location_of(i, k, c))
             ).otherwise(c),
         )
-        return F.struct(o["type"].alias("type"), filled.alias("composicion"))
-
-    item = echo["data"]["item_canonico"]
-    new_item = F.struct(
-        item["output_producto"].alias("output_producto"),
-        item["output_subproducto"].alias("output_subproducto"),
-        item["output_metadata"].alias("output_metadata"),
-        F.transform(outs, fill_output).alias("outputs"),
-        item["callback"].alias("callback"),
-        item["metadata"].alias("metadata"),
-        item["_error"].alias("_error"),
+
+    def message(echo: Column, outputs: Column) -> Column:
+        item = echo["data"]["item_canonico"]
+        new_item = F.struct(
+            item["output_producto"].alias("output_producto"),
+            item["output_subproducto"].alias("output_subproducto"),
+            item["output_metadata"].alias("output_metadata"),
+            outputs.alias("outputs"),
+            item["callback"].alias("callback"),
+            item["metadata"].alias("metadata"),
+            item["_error"].alias("_error"),
+        )
+        return F.to_json(F.struct(
+            echo["metadata"].alias("metadata"),
+            F.struct(
+                echo["data"]["cliente"].alias("cliente"),
+                echo["data"]["clienteData"].alias("clienteData"),
+                new_item.alias("item_canonico"),
+            ).alias("data"),
+        ), JSON_WRITE_OPTIONS)
+
+    # fast path: one typed parse when no array is written as a lone object
+    direct = F.from_json(raw, ECHO_DIRECT, JSON_READ_OPTIONS)
+    direct_outs = F.transform(
+        direct["data"]["item_canonico"]["outputs"],
+        lambda o, i: F.struct(o["type"].alias("type"), fill(o["composicion"], i).alias("composicion")),
+    )
+    # layered path (RS9)
+    echo = F.from_json(raw, ECHO_TOP, JSON_READ_OPTIONS)
+    outs = F.from_json(wrap_single(echo["data"]["item_canonico"]["outputs"]), ECHO_OUTPUTS, JSON_READ_OPTIONS)
+    layered_outs = F.transform(
+        outs,
+        lambda o, i: F.struct(
+            o["type"].alias("type"),
+            fill(F.from_json(wrap_single(o["composicion"]), ECHO_COMPOSITIONS, JSON_READ_OPTIONS), i).alias("composicion"),
+        ),
     )
-    message = F.struct(
-        echo["metadata"].alias("metadata"),
-        F.struct(
-            echo["data"]["cliente"].alias("cliente"),
-            echo["data"]["clienteData"].alias("clienteData"),
-            new_item.alias("item_canonico"),
-        ).alias("data"),
+    return F.when(F.coalesce(raw.rlike(NEEDS_WRAP), F.lit(False)), message(echo, layered_outs)).otherwise(
+        message(direct, direct_outs)
     )
-    return F.to_json(message, JSON_WRITE_OPTIONS)
 
 
 def collate(messages: DataFrame, location_of: Callable[[Column, Column, Column], Column], raw: str = "raw") -> DataFrame:

@@ -92,6 +92,21 @@ def compiled_templates(templates: DataFrame) -> list[tuple[str, str]]:
     return sorted(out)
 
 
+def fence(df: DataFrame, *cols: str) -> DataFrame:
+    """Keep filters on ``cols`` above this point of the plan.
+
+    A filter on a computed column (``error IS NULL``) is otherwise pushed
+    down with the column's expression inlined, re-running the parse and the
+    checks once in the filter and again in the projection. Passing the
+    column through a nondeterministic no-op (``spark_partition_id() >= 0``;
+    the optimizer folds ``rand() >= 0`` away, it cannot fold this)
+    stops the pushdown here, so each expression runs once per row.
+    """
+    for c in cols:
+        df = df.withColumn(c, F.when(F.spark_partition_id() >= F.lit(0), F.col(c)))
+    return df
+
+
 def template_error(path: Column, fmt: Column, found: Column, failure: Column) -> Column:
     """V6/V7: E6 with the reference's wording for each way a lookup fails."""
     needs = (fmt != "txt") | has_protocol(path)
@@ -166,7 +181,7 @@ def generate_documents(
 
     validated = validate_messages(parse_messages(messages.select("msg_id", "raw")))
     err = F.coalesce(F.col("map_error"), first_render_error(F.col("outputs"), known))
-    v = validated.withColumn("error", err)
+    v = fence(validated.withColumn("error", err), "map_error", "error")
 
     def location_of(i: Column, k: Column, comp: Column) -> Column:
         ft = comp["metadata"]["resource"]["output_format"]
@@ -234,7 +249,7 @@ def _generate_with_join(
     """Large template tables: resolution is a (measured-broadcast or shuffle)
     join, failures are folded per message with a group-by of the failed
     requests only, then joined back."""
-    validated = validate_messages(parse_messages(messages.select("msg_id", "raw")))
+    validated = fence(validate_messages(parse_messages(messages.select("msg_id", "raw"))), "map_error")
     rows = only_templates(flatten_outputs(validated.where(F.col("map_error").isNull())))
     req = project_request(rows).withColumn("format", route_format("file_type"))
     res = resolve_templates(req, templates.select("source", "key", "content", "fetched_at"), limit_bytes=broadcast_limit)
