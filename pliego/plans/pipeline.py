@@ -48,7 +48,7 @@ HTML_SUFFIXES = (".html", ".htm", ".mustache", ".txt")
 
 @dataclass
 class Generation:
-    messages: DataFrame  # msg_id, ok, error_code, error_message, response
+    messages: DataFrame  # msg_id, ok, error_code, error_message, response, documents
     documents: DataFrame  # one row per generated document of a successful message
     requests: DataFrame  # every template request of messages that passed mapping
 
@@ -187,12 +187,17 @@ def generate_documents(
         ft = comp["metadata"]["resource"]["output_format"]
         return local_location(local_path(temp_dir, document_id(as_of, F.col("msg_id"), i, k), ft))
 
+    n_templates = F.aggregate(
+        F.transform("outputs", lambda o: F.size(F.filter(o["composicion"], is_template))), F.lit(0), lambda a, x: a + x
+    )
     out = v.select(
         "msg_id",
         F.col("error").isNull().alias("ok"),
         F.col("error.code").alias("error_code"),
         F.col("error.message").alias("error_message"),
         F.when(F.col("error").isNull(), collated_response(F.col("raw"), location_of)).alias("response"),
+        # documents written for the message: every template composition of a successful one
+        F.when(F.col("error").isNull(), n_templates).otherwise(F.lit(0)).cast("bigint").alias("documents"),
     )
 
     def requests_of(frame: DataFrame) -> DataFrame:
@@ -273,12 +278,14 @@ def _generate_with_join(
         ft = comp["metadata"]["resource"]["output_format"]
         return local_location(local_path(temp_dir, document_id(as_of, F.col("msg_id"), i, k), ft))
 
-    out = status.select(
+    counts = rows.groupBy("msg_id").agg(F.count(F.lit(1)).alias("_n"))
+    out = status.join(counts, "msg_id", "left").select(
         "msg_id",
         F.col("error").isNull().alias("ok"),
         F.col("error.code").alias("error_code"),
         F.col("error.message").alias("error_message"),
         F.when(F.col("error").isNull(), collated_response(F.col("raw"), location_of)).alias("response"),
+        F.when(F.col("error").isNull(), F.coalesce(F.col("_n"), F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("documents"),
     )
     ok_req = res.where(F.col("render_error").isNull()).join(failed.select("msg_id"), "msg_id", "left_anti")
     # the partitioned interpreter is not built yet: HTML bodies need compiled templates

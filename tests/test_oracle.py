@@ -43,5 +43,5 @@ def test_query_matches_oracle(spark, name):
 
 def test_entry_runs(spark):
     df = entry.entry(spark)
-    assert df.columns == ["msg_id", "ok", "error_code", "error_message", "response"]
+    assert df.columns == ["msg_id", "ok", "error_code", "error_message", "documents", "response"]
     assert df.count() > 0
