@@ -513,7 +513,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "st2_template_fetch_state": st2,
         "sk1_write_documents": docs_sql(
-            f"{KEY}, {obj_key} AS object_key, 's3@:{DOCS_BUCKET}/' || {obj_key} AS repository_path", "WHERE format <> 'pdf'"
+            f"{KEY}, {obj_key} AS object_key, 's3@:{DOCS_BUCKET}/' || {obj_key} AS repository_path, "
+            f"'s3@:{DOCS_BUCKET}/' || {obj_key} AS result_location", "WHERE format <> 'pdf'"
         ),
         "sk4_write_responses_keyed": status_sql("msg_id, true AS has_value", "WHERE error_code IS NULL"),
         "rs6_flatten_context": ctx_rows(""),

@@ -512,7 +512,8 @@ def q_sk1(spark, sf):
     from ..sinks.store import write_documents
     root = _scratch(spark, "sk1")
     back = write_documents(_docs(spark, sf).where(F.col("format") != "pdf"), root, AS_OF, prefix=DOCS_PREFIX, bucket=DOCS_BUCKET)
-    return back.select(*_key(back), "object_key", "repository_path")
+    return back.select(*_key(back), "object_key", "repository_path",
+                       reshape.pick_location("repository_path", "local_path").alias("result_location"))
 
 
 def q_sk4(spark, sf):
