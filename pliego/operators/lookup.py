@@ -89,15 +89,24 @@ def fresh_cache_lookup(requests: DataFrame, cache: DataFrame, key: str = "uri",
     """J5 (as-of join): for each request, the latest cache entry of its URI
     fetched at or before the request and less than ``ttl`` before it.
 
-    Equi-join on the URI plus a bounded range condition; ``max_by`` keeps
-    the latest entry. Adds ``entry_at`` (NULL = miss).
+    The range condition is bucketed by TTL window: an entry can only serve
+    requests in its own window or the next one, so the equi-join key is
+    (URI, window) and a hot URI is spread over its windows instead of
+    joining all its requests with all its entries. Adds ``entry_at``
+    (NULL = miss).
     """
-    r = requests.withColumn("_rid", F.monotonically_increasing_id())
-    c = cache.select(F.col(key).alias("_ck"), F.col("fetched_at").alias("_fa"))
+    ttl_us = ttl_seconds * 1_000_000
+    r = requests.withColumn("_rid", F.monotonically_increasing_id()).withColumn(
+        "_b", F.floor(F.unix_micros(F.col(ts)) / F.lit(ttl_us))
+    )
+    c = cache.select(F.col(key).alias("_ck"), F.col("fetched_at").alias("_fa")).withColumn(
+        "_eb", F.floor(F.unix_micros(F.col("_fa")) / F.lit(ttl_us))
+    )
+    c = c.select("_ck", "_fa", F.explode(F.array(F.col("_eb"), F.col("_eb") + 1)).alias("_cb"))
     cond = (
-        (r[key] == c["_ck"])
+        (r[key] == c["_ck"]) & (r["_b"] == c["_cb"])
         & (c["_fa"] <= r[ts])
-        & (F.unix_micros(r[ts]) - F.unix_micros(c["_fa"]) < F.lit(ttl_seconds * 1_000_000))
+        & (F.unix_micros(r[ts]) - F.unix_micros(c["_fa"]) < F.lit(ttl_us))
     )
     j = r.join(c, cond, "left")
     return j.groupBy("_rid", *requests.columns).agg(F.max("_fa").alias("entry_at")).drop("_rid")
