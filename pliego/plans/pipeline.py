@@ -69,27 +69,52 @@ def _template_id(source: Column, key: Column) -> Column:
     return F.concat(source, F.lit("|"), key)
 
 
-def compiled_templates(templates: DataFrame) -> list[tuple[str, str]]:
-    """Driver-side list of (template_id, source) to compile, after checking
-    that the template table is small enough to compile (count and bytes)."""
-    html = templates.where(
-        F.lower(F.col("key")).rlike("(" + "|".join(s.replace(".", r"\.") for s in HTML_SUFFIXES) + ")$")
-    )
-    stats = html.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("b")).first()
-    if stats["n"] > MAX_COMPILED_TEMPLATES or stats["b"] > MAX_COMPILED_BYTES:
+def _html_key(key: Column) -> Column:
+    return F.lower(key).rlike("(" + "|".join(x.replace(".", r"\.") for x in HTML_SUFFIXES) + ")$")
+
+
+def template_listing(templates: DataFrame, key_limit: int | None = None) -> tuple[list[str], list[tuple[str, str]]] | None:
+    """(all template ids, [(id, source)] of the HTML templates to compile).
+
+    One aggregate job measures the table (keys, HTML count and bytes); only
+    when it is within the limits does one more job bring ids and HTML
+    sources to the driver. None when there are too many keys to list (the
+    caller then resolves templates with a join).
+    """
+    key_limit = MAX_TEMPLATE_KEYS if key_limit is None else key_limit
+    is_html = _html_key(F.col("key"))
+    stats = templates.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(is_html).alias("h"),
+        F.coalesce(F.sum(F.when(is_html, F.octet_length("content"))), F.lit(0)).alias("b"),
+    ).first()
+    if stats["n"] > key_limit:
+        return None
+    if stats["h"] > MAX_COMPILED_TEMPLATES or stats["b"] > MAX_COMPILED_BYTES:
         raise ValueError(
-            f"{stats['n']} templates / {stats['b']} bytes exceed the compile limits; "
+            f"{stats['h']} templates / {stats['b']} bytes exceed the compile limits; "
             "render them with the partitioned interpreter instead"
         )
-    rows = html.select(_template_id(F.col("source"), F.col("key")).alias("tid"), "content").collect()
-    out = []
+    rows = templates.select(
+        _template_id(F.col("source"), F.col("key")).alias("tid"), F.when(is_html, F.col("content")).alias("content"), is_html.alias("html")
+    ).collect()
+    ids = sorted(r["tid"] for r in rows)
+    compiled = []
     for r in rows:
+        if not r["html"]:
+            continue
         try:
             parse(r["content"] or "")
-            out.append((r["tid"], r["content"] or ""))
+            compiled.append((r["tid"], r["content"] or ""))
         except TemplateError:
             continue
-    return sorted(out)
+    return ids, sorted(compiled)
+
+
+def compiled_templates(templates: DataFrame) -> list[tuple[str, str]]:
+    """HTML templates to compile (checked against the compile limits)."""
+    listing = template_listing(templates, key_limit=1 << 62)
+    return listing[1] if listing else []
 
 
 def fence(df: DataFrame, *cols: str) -> DataFrame:
@@ -129,16 +154,6 @@ def template_ids(path: Column) -> tuple[Column, Column, Column]:
     return _template_id(primary["source"], primary["key"]), _template_id(fallback["source"], fallback["key"]), failure
 
 
-def known_template_ids(templates: DataFrame, limit: int = MAX_TEMPLATE_KEYS) -> list[str] | None:
-    """Ids of every template, collected when there are at most ``limit`` of
-    them (keys only, no content); None above that."""
-    ids = templates.select(_template_id(F.col("source"), F.col("key")).alias("tid"))
-    n = ids.count()
-    if n > limit:
-        return None
-    return sorted(r["tid"] for r in ids.collect())
-
-
 def render_check(comp: Column, known: list[str]) -> Column:
     """Per-composition render-stage errors evaluated in the message row:
     template resolution (E6) then, for PDF, the image payloads (E7/E8)."""
@@ -173,10 +188,10 @@ def generate_documents(
     """
     spark = messages.sparkSession
     configure(spark)
-    known = known_template_ids(templates)
-    if known is None:
+    listing = template_listing(templates)
+    if listing is None:
         return _generate_with_join(messages, templates, as_of, temp_dir, cache_dir, broadcast_limit)
-    compiled = compiled_templates(templates)
+    known, compiled = listing
     known_html = [t for t, _ in compiled]
 
     validated = validate_messages(parse_messages(messages.select("msg_id", "raw")))
