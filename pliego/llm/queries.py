@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pliego.llm.common import table
+from pliego.llm.packing import pack
+from pliego.llm.sharding import kd_shards
 from pliego.llm.simhash import simhash_components
 
 
+def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kd_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+SHARDS = 24
+
 QUERIES = {
+    "op5_kd_tree_sharding": op5_kd_tree_sharding,
+    "op7_pattern_packing": op7_pattern_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
