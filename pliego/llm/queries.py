@@ -6,11 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pliego.llm.common import table
+from pliego.llm.linededup import line_dedup
 from pliego.llm.packing import pack
+from pliego.llm.quality import quality_verdicts
 from pliego.llm.sharding import kd_shards
 from pliego.llm.simhash import simhash_components
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text", "n_chars")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kd_shards(table(spark, sf_dir, "documents"), SHARDS)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -28,9 +38,80 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARDS = 24
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_quality_rules": op2_quality_rules,
     "op5_kd_tree_sharding": op5_kd_tree_sharding,
     "op7_pattern_packing": op7_pattern_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+# Lines as the operators compare them; the SQL compares the lines themselves
+# where Spark compares their hashes.
+_NORMAL = r"trim(translate(regexp_replace(lower({x}), '[ \t\x0B\x0C\r]+', ' ', 'g'), '123456789', '000000000'))"
+_WORDS = r"len(regexp_extract_all({x}, '[^\x20\x09-\x0D]+'))"
+
+_OP1 = rf"""
+WITH s AS (
+  SELECT doc_id, coalesce(source, '') AS site, text, string_split(text, chr(10)) AS l FROM documents
+), o AS (
+  SELECT doc_id, site, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM s
+), n AS (
+  SELECT doc_id, site, pos, line, {_NORMAL.format(x="line")} AS norm FROM o
+), b AS (
+  SELECT norm, min((doc_id, pos)) AS first FROM n WHERE {_WORDS.format(x="norm")} >= 3
+  GROUP BY norm HAVING count(DISTINCT site) >= 5
+), k AS (
+  SELECT n.*, b.norm IS NOT NULL AND (n.doc_id, n.pos) <> b.first AS gone FROM n LEFT JOIN b ON n.norm = b.norm
+), t AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+  FROM k GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
+  t.text AS text, length(t.text) AS n_chars
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+_OP2 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), win AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+), rep AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1
+), cov AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id
+), o AS (
+  SELECT doc_id, host, md5(t) AS t, unnest(l) AS line FROM d
+), n AS (
+  SELECT doc_id, host, ('0x' || substr(t, 1, 15))::BIGINT AS t, line, {_NORMAL.format(x="line")} AS norm FROM o
+), dup AS (
+  SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, count(*) AS c FROM n WHERE norm <> '' GROUP BY doc_id, line) GROUP BY doc_id
+), hosts AS (
+  SELECT host, count(DISTINCT t) AS n_all FROM n WHERE norm <> '' GROUP BY host
+), often AS (
+  SELECT host, norm, min(t) AS first FROM n JOIN hosts USING (host) WHERE norm <> ''
+  GROUP BY host, norm, n_all HAVING count(DISTINCT t) > 10 AND count(DISTINCT t) > n_all * 0.001
+), lost AS (
+  SELECT doc_id, sum({_WORDS.format(x="norm")}) AS n FROM n JOIN often USING (host, norm) WHERE t <> first GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
+    len(t) - len(translate(t, '#*$%&|<>', '')) AS n_symbols,
+    coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, len(w) - coalesce(lost.n, 0) AS words_left
+  FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN lost USING (doc_id)
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND words_left >= 0.2 * n_words AS kept, CAST(words_left AS BIGINT) AS words_left
+FROM f
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": _OP1,
+    "op2_quality_rules": _OP2,
+}
