@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # White space as the contracts define it: \x20 and \x09-\x0D.
 BLANKS = "\t\n\x0b\x0c\r "
@@ -50,6 +51,11 @@ def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` and the nullable fields of ``ddl``."""
+    return StructType([*df.schema, *StructType.fromDDL(ddl)])
+
+
 def row_key(*cols: str) -> list[Column]:
     """Two 64-bit hashes of the named columns: one key for rows equal in all of
     them, nulls included. Repeated rows share a key and so a decision."""

@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from pliego.llm.common import KEY, arrow_batches, cut, gapless, row_key
+from pliego.llm.common import KEY, arrow_batches, cut, gapless, row_key, with_fields
 
 CAPACITY = 2048
 END_ID = 0
@@ -62,7 +61,7 @@ def pieces(docs: DataFrame, text: str, keep: list[str], capacity: int = CAPACITY
     arrow_batches(docs.sparkSession)
     path = path or vocabulary()
     ddl = PIECE + (", ids array<int>" if ids else "")
-    schema = StructType([*docs.select(*keep).schema, *StructType.fromDDL(ddl)])
+    schema = with_fields(docs.select(*keep), ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,7 +211,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity:
         hist[v] = n
     runs = places(plan(hist, capacity))
     ranked = gapless(each, "length", [*KEY, "piece"], "rank")
-    schema = ranked.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
+    schema = with_fields(ranked, "sequence_id long, offset long")
     keys = (runs[:, 0] << 44) + runs[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

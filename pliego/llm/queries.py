@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pliego.llm.common import table
+from pliego.llm.htmltext import extract_text
 from pliego.llm.linededup import line_dedup
 from pliego.llm.packing import pack
 from pliego.llm.quality import quality_verdicts
 from pliego.llm.sharding import kd_shards
 from pliego.llm.simhash import simhash_components
+from pliego.llm.urlrules import PATTERN_RULES, judge_urls
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kd_shards(table(spark, sf_dir, "documents"), SHARDS)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -30,6 +36,10 @@ def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -40,8 +50,10 @@ SHARDS = 24
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_url_filters": op3_url_filters,
     "op5_kd_tree_sharding": op5_kd_tree_sharding,
     "op7_pattern_packing": op7_pattern_packing,
+    "op9_html_extraction": op9_html_extraction,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
@@ -111,7 +123,32 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f
 """
 
+_FIRST_PATTERN = " ".join(f"WHEN regexp_matches(low, '{r.regex}') THEN '{r.regex}'" for r in PATTERN_RULES)
+
+_OP3 = rf"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM u
+), p AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path,
+    translate(rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM h
+), r(action, rhost, rpath) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), m AS (
+  SELECT page_id, arg_max((action, rhost || rpath), length(rhost || rpath)) AS best FROM p JOIN r
+    ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
+), f AS (
+  SELECT p.*, m.best[2] AS rule, m.best[1] AS action, CASE {_FIRST_PATTERN} END AS found FROM p LEFT JOIN m USING (page_id)
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN action WHEN found IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN rule IS NULL THEN found END AS pattern
+FROM f
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": _OP1,
     "op2_quality_rules": _OP2,
+    "op3_url_filters": _OP3,
 }

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pliego.llm.common import KEY, arrow_batches, cut, row_key
+from pliego.llm.common import KEY, arrow_batches, cut, row_key, with_fields
 from pliego.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -51,7 +51,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", words: int = SHINGLE_W
     """All columns but the text, and ``fp`` (long, the fingerprint's bits)."""
     arrow_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text]
-    schema = docs.select(*keep, F.lit(0).cast("long").alias("fp")).schema
+    schema = with_fields(docs.select(*keep), "fp long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
