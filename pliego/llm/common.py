@@ -3,7 +3,6 @@ through the shared folder, row keys and gapless numbering."""
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -65,22 +64,24 @@ def row_key(*cols: str) -> list[Column]:
 KEY = ["_k1", "_k2"]
 
 
-def gapless(df: DataFrame, group: str, order: list[str], name: str, per_task: int = 65536) -> DataFrame:
+def gapless(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """Number the rows of each group 0, 1, 2 ... in column ``name``.
 
     A group is cut into salts by a hash of ``order`` and numbered salt by salt,
     so no group is sorted in one task; a prefix sum over the small table of
-    salt counts gives each salt its first number. ``df`` must be read from
-    files (it is scanned twice) and ``order`` should tell rows apart: rows
-    equal in it take any order among themselves.
+    salt counts gives each salt its first number. There may be few groups only,
+    as many as a parameter of the caller says: their sizes are broadcast. ``df``
+    must be read from files (it is scanned again) and ``order`` should tell rows
+    apart: rows equal in it take any order among themselves.
     """
-    total = df.count()
-    salts = max(64, math.ceil(total / per_task))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order, F.lit(7)), F.lit(salts)))
+    sizes = cut(df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")), "sizes")
+    total = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    per_salt = min(65536, max(256, total // 1000))
+    salt = F.pmod(F.xxhash64(*order, F.lit(7)), F.ceil(F.col("_size") / per_salt).cast("long"))
+    salted = df.join(F.broadcast(sizes), group).withColumn("_salt", salt).drop("_size")
     counts = salted.groupBy(group, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(group, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    first = cut(first, "salts")
+    first = cut(counts.select(group, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")), "salts")
     within = Window.partitionBy(group, "_salt").orderBy(*order)
     numbered = salted.withColumn("_i", F.row_number().over(within) - 1)
     return numbered.join(first, [group, "_salt"]).withColumn(name, (F.col("_first") + F.col("_i")).cast("long")).drop("_salt", "_first", "_i")

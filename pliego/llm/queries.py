@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from pliego.llm.common import table
 from pliego.llm.htmltext import extract_text
 from pliego.llm.linededup import line_dedup
+from pliego.llm.mixing import DOMAINS, mix
 from pliego.llm.packing import pack
 from pliego.llm.quality import quality_verdicts
 from pliego.llm.sharding import kd_shards
 from pliego.llm.simhash import simhash_components
+from pliego.llm.toxicity import toxicity
 from pliego.llm.urlrules import PATTERN_RULES, judge_urls
 
 
@@ -27,6 +29,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op4_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies")
+
+
 def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kd_shards(table(spark, sf_dir, "documents"), SHARDS)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -36,6 +43,10 @@ def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
@@ -51,8 +62,10 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filters": op3_url_filters,
+    "op4_mixing_weights": op4_mixing_weights,
     "op5_kd_tree_sharding": op5_kd_tree_sharding,
     "op7_pattern_packing": op7_pattern_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_html_extraction": op9_html_extraction,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
