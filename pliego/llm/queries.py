@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pliego.llm.common import table
+from pliego.llm.covertree import embedding_links
 from pliego.llm.htmltext import extract_text
 from pliego.llm.linededup import line_dedup
 from pliego.llm.mixing import DOMAINS, mix
@@ -39,6 +40,10 @@ def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_mixing_weights": op4_mixing_weights,
     "op5_kd_tree_sharding": op5_kd_tree_sharding,
+    "op6_cover_tree_links": op6_cover_tree_links,
     "op7_pattern_packing": op7_pattern_packing,
     "op8_toxicity": op8_toxicity,
     "op9_html_extraction": op9_html_extraction,
