@@ -82,7 +82,8 @@ def _judge(docs: DataFrame, text: str, host: str, doc_id: str, keep: list[str])
     above = lines.join(frequent_lines(lines), ["host", "h"]).filter(F.col("t") != F.col("first"))
     removed = cut(above.select(*KEY, "pos", "nw").distinct(), "removed")
     lost = cut(removed.groupBy(*KEY).agg(F.sum("nw").alias("_lost")), "lost")
-    out = measures(slim, "_text", [*keep, *KEY]).join(lost, KEY, "left")
+    # Written: a filter on the verdict pushed below would compute the measures' arrays again for each use.
+    out = cut(measures(slim, "_text", [*keep, *KEY]), "measures").join(lost, KEY, "left")
     out = out.withColumn("words_left", F.col("n_words") - F.coalesce("_lost", F.lit(0))).drop("_lost")
     kept = ~F.col("base_failed") & (F.col("words_left") >= MIN_LEFT * F.col("n_words"))
     return out.withColumn("kept", kept), removed
