@@ -64,6 +64,11 @@ def row_key(*cols: str) -> list[Column]:
 KEY = ["_k1", "_k2"]
 
 
+def whole_row() -> Column:
+    """All columns of a row as ``_row``, so that working columns beside it can't clash."""
+    return F.struct("*").alias("_row")
+
+
 def gapless(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """Number the rows of each group 0, 1, 2 ... in column ``name``.
 

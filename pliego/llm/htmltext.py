@@ -235,13 +235,13 @@ def extract_text(pages: DataFrame, html: str = "html", keep: list[str] | None =
     text; an empty table gives none. Pages stay whole, one in memory at a time."""
     keep = [c for c in (keep or pages.columns) if c not in (html, "text", "n_chars")]
     arrow_batches(pages.sparkSession)
-    src = pages.select(*keep, F.col(html).alias("_html"))
-    schema = with_fields(src.select(*keep), "text string, n_chars long")
+    src = pages.select(F.struct(*keep).alias("_row"), F.col(html).alias("_html"))
+    schema = with_fields(src.select("_row"), "text string, n_chars long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [main_text(x.as_py()) for x in b.column("_html")]
             cols = [pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("_row"), *cols], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).select("_row.*", "text", "n_chars")

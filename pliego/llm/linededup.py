@@ -13,8 +13,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pliego.llm.common import KEY, cut, row_key
-from pliego.llm.textlines import drop_lines, line_rows
+from pliego.llm.common import KEY, cut, row_key, whole_row
+from pliego.llm.textlines import drop_lines, line_rows, with_text
 
 MIN_SITES = 5  # a line on so many sites is boilerplate
 MIN_WORDS = 3  # shorter lines are left alone
@@ -45,12 +45,13 @@ def line_dedup(docs: DataFrame, text: str = "text", site: str = "source", doc_id
     empty, other columns are passed through.
     """
     keys = row_key(doc_id, site, text)
-    keyed = docs.drop("n_lines", "n_removed")
+    docs = docs.drop("n_lines", "n_removed")
     slim = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.col(text).alias("_text"), *keys)
     rows = cut(line_rows(slim, "_text", ["_id", "site", *KEY], min_words), "lines")
     boilerplate = spread_lines(rows, min_sites, lg_k)
     found = cut(rows.join(boilerplate, "h").select("h", F.struct(F.col("_id").isNull().alias("none"), "_id", *KEY, "pos").alias("at")), "found")
     first = cut(found.groupBy("h").agg(F.min("at").alias("first")), "first")
     gone = found.join(first, "h").filter(F.col("at") != F.col("first")).select("at._k1", "at._k2", "at.pos")
-    out = drop_lines(keyed.select("*", *keys), text, gone, n_chars)
-    return out.withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"}).drop(*KEY)
+    out = drop_lines(docs.select(whole_row(), F.col(text).alias("_text"), *keys), gone)
+    out = out.withColumn("_row", with_text(F.col("_row"), docs.columns, text, n_chars))
+    return out.select("_row.*", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))

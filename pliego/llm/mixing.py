@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pliego.llm.common import KEY, cut, row_key
+from pliego.llm.common import KEY, cut, row_key, whole_row
 from pliego.llm.features import FEATURES, labelled_sample, learn_lexicons, with_features
 
 DOMAINS = ("clean", "low", "toxic")
@@ -118,5 +118,5 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
     """The rows of ``docs``, each as often as its copies say."""
     found = mix(docs, labels, text, doc_id, targets, protect)
     copies = cut(found.groupBy(*KEY).agg(F.max("copies").alias("_copies")).filter("_copies > 0"), "copies")
-    rows = docs.select("*", *row_key(doc_id, text)).join(copies, KEY)
-    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop(*KEY, "_copies", "_i")
+    rows = docs.select(whole_row(), *row_key(doc_id, text)).join(copies, KEY)
+    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

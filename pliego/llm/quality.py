@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pliego.llm.common import BLANKS, KEY, cut, row_key
-from pliego.llm.textlines import drop_lines, line_rows
+from pliego.llm.common import BLANKS, KEY, cut, row_key, whole_row
+from pliego.llm.textlines import drop_lines, line_rows, with_text
 
 MIN_WORDS = 50
 MAX_REPEAT = 50  # per cent of the words that may lie in repeated 3-word windows
@@ -107,5 +107,6 @@ def quality_filter(docs: DataFrame, text: str = "text", host: str = "source", do
     limits; ``n_chars``, where there is such a column, follows."""
     out, removed = _judge(docs, text, host, doc_id, [])
     kept = cut(out.filter("kept").select(*KEY).distinct(), "kept")
-    rows = docs.select("*", *row_key(doc_id, host, text)).join(kept, KEY)
-    return drop_lines(rows, text, removed, n_chars).drop(*KEY, "_n_lines", "_n_removed")
+    rows = docs.select(whole_row(), F.col(text).alias("_text"), *row_key(doc_id, host, text)).join(kept, KEY)
+    out = drop_lines(rows, removed)
+    return out.select(with_text(F.col("_row"), docs.columns, text, n_chars).alias("_row")).select("_row.*")

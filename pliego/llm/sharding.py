@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pliego.llm.common import KEY, cut, gapless, row_key
+from pliego.llm.common import KEY, cut, gapless, row_key, whole_row
 
 BITS = 12  # of the sort key, seen by one pass over the rows
 COORDINATE, TIE = 31, 32  # bits of a coordinate, and of the hash that orders equal ones
@@ -116,4 +116,4 @@ def shard_documents(docs: DataFrame, shards: int, text: str = "text", doc_id: st
     """``docs`` with ``shard``; write it with partitionBy("shard")."""
     keys = row_key(doc_id, text)
     found = cut(kd_shards(docs, shards, text, doc_id).groupBy(*KEY).agg(F.min("shard").alias("shard")), "shards")
-    return docs.drop("shard").select("*", *keys).join(found, KEY).drop(*KEY)
+    return docs.drop("shard").select(whole_row(), *keys).join(found, KEY).select("_row.*", "shard")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pliego.llm.common import KEY, arrow_batches, cut, row_key, with_fields
+from pliego.llm.common import KEY, arrow_batches, cut, row_key, whole_row, with_fields
 from pliego.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -199,4 +199,4 @@ def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     found = simhash_components(docs, text, doc_id, words, max_bits)
     best = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), *KEY)).alias("best")
     keep = cut(found.groupBy("root").agg(best).select("best._k1", "best._k2"), "keep")
-    return docs.select("*", *row_key(doc_id, text)).join(keep, KEY).dropDuplicates(KEY).drop(*KEY)
+    return docs.select(whole_row(), *row_key(doc_id, text)).join(keep, KEY).dropDuplicates(KEY).select("_row.*")

@@ -25,19 +25,25 @@ def line_rows(docs: DataFrame, text: str, keep: list[str], min_words: int) -> Da
     return rows.filter(F.col("nw") >= min_words)
 
 
-def drop_lines(docs: DataFrame, text: str, removed: DataFrame, n_chars: str | None = None) -> DataFrame:
-    """``docs`` (with _k1, _k2) without the lines that ``removed`` (_k1, _k2, pos)
-    names; adds _n_lines and _n_removed. The text of an untouched document stays
-    as it is, a null one null; ``n_chars``, if given, is counted anew."""
+def drop_lines(rows: DataFrame, removed: DataFrame) -> DataFrame:
+    """``rows`` (_row, _text, _k1, _k2) without the lines that ``removed`` (_k1, _k2,
+    pos) names: _row, _text, _n_lines and _n_removed. An untouched text stays as
+    it is, a null one null."""
     gone = removed.groupBy(*KEY).agg(F.collect_set("pos").alias("_gone"))
-    rows = docs.join(gone, KEY, "left").withColumn("_lines", F.split(F.col(text), "\n", -1))
+    rows = rows.join(gone, KEY, "left").withColumn("_lines", F.split(F.col("_text"), "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     rows = rows.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
-    # _lines is used twice, so Spark keeps it as a column and doesn't split anew for each line.
+    # _lines is used more than once, so Spark keeps it as a column and doesn't split anew for each line.
     new = F.array_join(F.transform("_left", lambda i: F.coalesce(F.get("_lines", i), F.element_at("_lines", 1))), "\n")
-    rows = rows.withColumn(text, F.when(F.col("_left").isNotNull(), new).otherwise(F.col(text)))
-    rows = rows.withColumn("_n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines"))).withColumn("_n_removed", F.coalesce(F.size(F.col("_gone")), F.lit(0)))
-    rows = rows.withColumn("_n_removed", F.greatest("_n_removed", F.lit(0)))
-    if n_chars and n_chars in docs.columns:
-        rows = rows.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return rows.drop("_gone", "_left", "_lines")
+    return rows.select(
+        "_row",
+        F.when(F.col("_left").isNotNull(), new).otherwise(F.col("_text")).alias("_text"),
+        F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).alias("_n_lines"),
+        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("_n_removed"),
+    )
+
+
+def with_text(row: Column, columns: list[str], text: str, n_chars: str) -> Column:
+    """``row`` with ``_text`` as its text, and its length as ``n_chars`` where it has that column."""
+    row = row.withField(text, F.col("_text"))
+    return row.withField(n_chars, F.length("_text").cast("long")) if n_chars in columns else row

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pliego.llm.common import arrow_batches, with_fields
+from pliego.llm.common import arrow_batches, whole_row, with_fields
 
 TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -136,8 +136,8 @@ def judge_urls(pages: DataFrame, url: str = "url", keep: list[str] | None = None
     counts = token_counts(pages.select(url), url, rules)
     by, always = index(rules, counts)
     arrow_batches(pages.sparkSession, 4096)
-    src = pages.select(*keep, F.col(url).alias("_url"))
-    schema = with_fields(src.select(*keep), ", ".join(f"{c} string" for c in results))
+    src = pages.select(F.struct(*keep).alias("_row"), F.col(url).alias("_url"))
+    schema = with_fields(src.select("_row"), ", ".join(f"{c} string" for c in results))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,11 +159,11 @@ def judge_urls(pages: DataFrame, url: str = "url", keep: list[str] | None = None
                 else:
                     out.append((host, path, best[1] if best[3] else None, best[2], None if best[3] else best[1]))
             cols = [pa.array(list(c), pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * 5
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("_row"), *cols], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).select("_row.*", *results)
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = SITE_RULES + PATTERN_RULES) -> DataFrame:
     """The rows of ``pages`` whose url is allowed, all their columns."""
-    return judge_urls(pages.select(F.struct("*").alias("_row"), F.col(url).alias("_at")), "_at", rules=rules).filter("verdict = 'allow'").select("_row.*")
+    return judge_urls(pages.select(whole_row(), F.col(url).alias("_at")), "_at", ["_row"], rules).filter("verdict = 'allow'").select("_row.*")
