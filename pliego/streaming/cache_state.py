@@ -5,12 +5,15 @@ entry is at least the TTL old (the TTL runs from the fetch, it is not
 sliding); otherwise it is a *hit*. The only state is the time of the last
 fetch per URI.
 
-* stream: ``applyInPandasWithState`` keyed by URI; state times out (ST3)
-  once no request came for a TTL, so idle URIs leave the state store.
-* batch: range-partition the requests by (URI, time) so a hot URI is split
-  over many tasks, fold each sorted partition in pandas, and fix the first
-  URI segment of each partition with the state carried from the partitions
-  before it (a small per-partition summary composed on the driver).
+* stream: ``applyInPandasWithState`` keyed by URI in event time: requests wait
+  until the watermark passes them, so the decisions are those of the batch form;
+  a URI's state leaves (ST3) once its last fetch is a TTL behind the watermark.
+* batch: time is cut into blocks of ``FAN`` TTLs, and those into blocks of
+  ``FAN`` blocks, up to one. A block's effect on the state is a table over the
+  requests at which it can be entered, which lie in its first TTL. Tables are
+  combined upwards, the state is handed down, and every base block is folded on
+  its own: a hot URI is as many tasks as it has blocks, and the driver sees two
+  time stamps.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ensure_checkpoint_dir
 
+FAN = 16
+NONE = -(1 << 60)  # no fetch yet
 TTL_SECONDS = 2 * 3600
 OUT_DDL = "uri string, ts timestamp, fetched boolean, entry_at timestamp"
 
@@ -57,144 +62,121 @@ def _from_us(a: np.ndarray) -> pd.Series:
     return pd.Series(a.astype("datetime64[us]"))
 
 
-def fetch_state_stream(requests: DataFrame, key: str = "uri", ts: str = "ts", ttl_seconds: int = TTL_SECONDS) -> DataFrame:
-    """ST2 (stream): decisions per request; state = last fetch time."""
+def fetch_state_stream(requests: DataFrame, key: str = "uri", ts: str = "ts", ttl_seconds: int = TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """ST2 (stream): a decision per request, given once the watermark (``delay``
+    behind the latest request) has passed it; what comes later than that is
+    dropped. State: the last fetch, and the times that still wait."""
     ttl_us = ttl_seconds * 1_000_000
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        entry, waiting = (state.get if state.exists else (NONE, []))
+        times = [np.array(waiting, dtype=np.int64)]
+        if not state.hasTimedOut:
+            times += [_to_us(pdf[ts]) for pdf in pdfs]
+        mark = state.getCurrentWatermarkMs() * 1000
+        t = np.sort(np.concatenate(times))
+        due, rest = t[t <= mark], t[t > mark]
+        if len(due):
+            fetched, entry_at, last = _fold(due, ttl_us, None if entry == NONE else entry)
+            entry = last
+            yield pd.DataFrame({key: [k[0]] * len(due), ts: _from_us(due), "fetched": fetched, "entry_at": _from_us(entry_at)})
+        if not len(rest) and entry + ttl_us <= mark:
+            if state.exists:
+                state.remove()
             return
-        pdf = pd.concat(list(pdfs)).sort_values(ts, kind="stable")
-        entry = int(state.get[0]) if state.exists else None
-        t = _to_us(pdf[ts])
-        fetched, entry_at, entry = _fold(t, ttl_us, entry)
-        state.update((entry,))
-        state.setTimeoutDuration(ttl_seconds * 1000)
-        yield pd.DataFrame({key: pdf[key].to_numpy(), ts: _from_us(t), "fetched": fetched, "entry_at": _from_us(entry_at)})
-
-    return requests.select(key, ts).groupBy(key).applyInPandasWithState(
-        fn, OUT_DDL.replace("uri", key, 1).replace(" ts ", f" {ts} "), "entry long", "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        state.update((int(entry), [int(x) for x in rest]))
+        wake = int(rest[0]) if len(rest) else int(entry) + ttl_us
+        state.setTimeoutTimestamp(max(wake, mark) // 1000 + 1)
+
+    return requests.select(key, ts).withWatermark(ts, delay).groupBy(key).applyInPandasWithState(
+        fn, f"{key} string, {ts} timestamp, fetched boolean, entry_at timestamp", "entry long, waiting array<long>", "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
-def _chain_out(t: np.ndarray, ttl_us: int) -> np.ndarray:
-    """For every start index j: the last fetch of the chain that starts with
-    a fetch at t[j] (memoised backwards, one pass)."""
-    n = len(t)
-    nxt = np.searchsorted(t, t + ttl_us, side="left")
-    out = np.empty(n, dtype=np.int64)
-    for j in range(n - 1, -1, -1):
-        out[j] = t[j] if nxt[j] >= n else out[nxt[j]]
-    return out
-
-
-def _first_segment_table(seg: np.ndarray, ttl_us: int) -> tuple[list[int], list[int]]:
-    """Run-length table of the segment's outgoing state as a function of an
-    incoming entry e (e <= seg[0]): the first fetch is the first request at
-    or after x = e + ttl; runs are stored by the time of their last start,
-    so the run for x is the first one whose end time is >= x."""
-    m = int(np.searchsorted(seg, seg[0] + ttl_us, side="left"))
-    m = min(m, len(seg) - 1)
-    outs = _chain_out(seg, ttl_us)[: m + 1]
-    ends, vals = [], []
-    for j in range(m + 1):
-        if vals and vals[-1] == outs[j]:
-            ends[-1] = int(seg[j])
-        else:
-            ends.append(int(seg[j]))
-            vals.append(int(outs[j]))
-    return ends, vals
-
-
-def _apply_table(r, incoming: int | None, ttl_us: int) -> int:
-    """Outgoing state of a partition's first URI segment given ``incoming``."""
-    if incoming is None:
-        return r["vals"][0]
-    x = incoming + ttl_us
-    if x > r["seg_last"]:
-        return incoming
-    k = int(np.searchsorted(np.array(r["ends"], dtype=np.int64), x, side="left"))
-    return r["vals"][k]
-
-
-def fetch_state(requests: DataFrame, key: str = "uri", ts: str = "ts", ttl_seconds: int = TTL_SECONDS,
-                partitions: int | None = None) -> DataFrame:
-    """ST2 (batch): the exact fold, range-partitioned so no URI is one task.
-
-    Pass 1 summarises each sorted partition in one small row (its first and
-    last URI and a run-length table of how its first segment reacts to the
-    state carried in); the driver chains those rows in partition order; pass
-    2 folds every partition exactly, seeding its first segment.
-    """
-    spark = requests.sparkSession
-    ttl_us = ttl_seconds * 1_000_000
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ensure_checkpoint_dir(spark)
-    # Range bounds come from sampling and differ between jobs: the sorted
-    # partitions are checkpointed once (shared folder, lineage cut) so both
-    # passes see the same partitions.
-    sorted_df = (
-        requests.select(F.col(key).cast("string").alias("k"), F.col(ts).cast("timestamp").alias("t"))
-        .repartitionByRange(n, "k", "t")
-        .sortWithinPartitions("k", "t")
-        .checkpoint(eager=True)
-        .withColumn("p", F.spark_partition_id())
-    )
+def _through(entry: np.ndarray, out: np.ndarray, e: np.ndarray, ttl_us: int) -> np.ndarray:
+    """States after a block, for the states ``e`` before it."""
+    at = np.searchsorted(entry, e + ttl_us, side="left")
+    return np.where(at < len(entry), out[np.minimum(at, len(out) - 1)], e)
 
-    def summary(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [f for f in it if len(f)]
-        if not frames:
-            return
-        pdf = pd.concat(frames)
-        ks = pdf["k"].to_numpy()
-        t = _to_us(pdf["t"])
-        first_k, last_k = ks[0], ks[-1]
-        seg = t[ks == first_k]
-        ends, vals = _first_segment_table(seg, ttl_us)
-        _, _, last_scratch = _fold(t[ks == last_k], ttl_us, None)
-        yield pd.DataFrame({
-            "p": [int(pdf["p"].iloc[0])], "first_k": [first_k], "last_k": [last_k],
-            "seg_last": [int(seg[-1])], "only_one": [bool(first_k == last_k)],
-            "ends": [ends], "vals": [vals], "last_scratch": [int(last_scratch)],
-        })
-
-    rows = sorted(
-        sorted_df.mapInPandas(
-            summary,
-            "p int, first_k string, last_k string, seg_last long, only_one boolean, "
-            "ends array<long>, vals array<long>, last_scratch long",
-        ).collect(),
-        key=lambda r: r["p"],
-    )  # one small row per partition
-    carry: dict[int, int] = {}
-    prev_k, prev_state = None, None
-    for r in rows:
-        incoming = prev_state if prev_k is not None and r["first_k"] == prev_k else None
-        if incoming is not None:
-            carry[r["p"]] = incoming
-        first_out = _apply_table(r, incoming, ttl_us)
-        state = first_out if r["only_one"] else r["last_scratch"]
-        prev_k, prev_state = r["last_k"], state
-    carry_b = spark.sparkContext.broadcast(carry)
-
-    def decide(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [f for f in it if len(f)]
-        if not frames:
-            return
-        pdf = pd.concat(frames)
-        p = int(pdf["p"].iloc[0])
-        ks = pdf["k"].to_numpy()
-        t = _to_us(pdf["t"])
-        fetched = np.zeros(len(t), dtype=bool)
-        entry_at = np.empty(len(t), dtype=np.int64)
-        bounds = np.flatnonzero(np.r_[True, ks[1:] != ks[:-1], True])
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            seed = carry_b.value.get(p) if a == 0 else None
-            f, e, _ = _fold(t[a:b], ttl_us, seed)
-            fetched[a:b] = f
-            entry_at[a:b] = e
-        yield pd.DataFrame({key: ks, ts: _from_us(t), "fetched": fetched, "entry_at": _from_us(entry_at)})
-
-    return sorted_df.mapInPandas(decide, f"{key} string, {ts} timestamp, fetched boolean, entry_at timestamp")
+
+def _base_table(pdf: pd.DataFrame, start: int, ttl_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, out) of a base block: the requests of its first TTL and the next
+    one, and the last fetch of the chain that each of them starts."""
+    t = np.unique(pdf["t"].to_numpy())
+    after = np.searchsorted(t, t + ttl_us, side="left")
+    last = np.arange(len(t))
+    while True:  # pointer jumping: a block holds FAN fetches at most
+        further = after[last]
+        if (further == len(t)).all():
+            break
+        last = np.where(further < len(t), np.minimum(further, len(t) - 1), last)
+    n = min(len(t), int(np.searchsorted(t, start + ttl_us, side="left")) + 1)
+    return t[:n], t[last[:n]]
+
+
+def fetch_state(requests: DataFrame, key: str = "uri", ts: str = "ts", ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+    """ST2 (batch): the exact fold, in blocks of time. A group is the requests of
+    one URI in one base block, or FAN tables of one TTL's requests each."""
+    ttl_us = ttl_seconds * 1_000_000
+    size = FAN * ttl_us
+    ensure_checkpoint_dir(requests.sparkSession)
+    rows = requests.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    lo, hi = rows.agg(F.min("t"), F.max("t")).first()
+    lo, hi = lo or 0, hi or 0
+    rows = rows.withColumn("b", F.floor((F.col("t") - lo) / size).cast("long"))
+
+    def base(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = int(pdf["b"].iloc[0])
+        entry, out = _base_table(pdf, lo + b * size, ttl_us)
+        return pd.DataFrame({"k": pdf["k"].iloc[0], "b": b, "entry": entry, "out": out})
+
+    def children(pdf: pd.DataFrame):
+        for b, one in pdf.sort_values(["b", "entry"]).groupby("b"):
+            yield int(b), one["entry"].to_numpy(), one["out"].to_numpy()
+
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = list(children(pdf))
+        first, entry, state = parts[0]
+        if first % FAN:  # nothing in the block's first TTL: it is entered at the first request
+            entry, state = entry[:1], state[:1]
+        elif len(parts) > 1:  # or, past all of the first child, at the second's first
+            entry, state = np.append(entry, parts[1][1][:1]), np.append(state, parts[1][2][:1])
+        n = len(parts[0][1]) if not first % FAN else 1
+        for i, (_, more, out) in enumerate(parts[1:]):
+            had = state.copy()
+            state = _through(more, out, state, ttl_us)
+            if i == 0:
+                state[n:] = had[n:]  # entered there, already through
+        return pd.DataFrame({"k": pdf["k"].iloc[0], "b": first // FAN, "entry": entry, "out": state})
+
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = pdf["e"].to_numpy()[:1]
+        bs, es = [], []
+        for b, entry, out in children(pdf):
+            bs.append(b)
+            es.append(int(e[0]))
+            e = _through(entry, out, e, ttl_us)
+        return pd.DataFrame({"k": pdf["k"].iloc[0], "b": bs, "e": es})
+
+    table, state = "k string, b long, entry long, out long", "k string, b long, e long"
+    levels = [rows.groupBy("k", "b").applyInPandas(base, table).checkpoint()]
+    span = size
+    while (hi - lo) // span:
+        span *= FAN
+        below = levels[-1].withColumn("up", F.floor(F.col("b") / FAN))
+        levels.append(below.groupBy("k", "up").applyInPandas(lambda pdf: up(pdf.drop(columns="up")), table).checkpoint())
+    incoming = levels[-1].select("k", "b").distinct().withColumn("e", F.lit(NONE))
+    for below in reversed(levels[:-1]):
+        known = below.withColumn("up", F.floor(F.col("b") / FAN)).join(incoming.withColumnRenamed("b", "up"), ["k", "up"])
+        incoming = known.groupBy("k", "up").applyInPandas(lambda pdf: down(pdf.drop(columns="up")), state).checkpoint()
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["t"].to_numpy())
+        e = int(pdf["e"].iloc[0])
+        fetched, entry_at, _ = _fold(t, ttl_us, None if e == NONE else e)
+        # Of requests at the very time of a fetch only the first one fetches.
+        return pd.DataFrame({key: pdf["k"].iloc[0], ts: _from_us(t), "fetched": fetched, "entry_at": _from_us(entry_at)})
+
+    known = rows.join(incoming, ["k", "b"])
+    return known.groupBy("k", "b").applyInPandas(decide, f"{key} string, {ts} timestamp, fetched boolean, entry_at timestamp")
