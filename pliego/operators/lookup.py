@@ -7,7 +7,7 @@ limit the join is left to a shuffle join, where AQE splits a hot URI.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.uris import cache_key, is_local, template_protocol
@@ -27,39 +27,39 @@ def measured_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES,
     return F.broadcast(df) if size <= limit_bytes else df
 
 
-def resolve_templates(requests: DataFrame, templates: DataFrame, uri: str = "template_path",
+def resolve_templates(requests: DataFrame, templates: DataFrame, uri: str = "template_path", fmt: str = "format",
                       limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """J1: adds ``template_found`` (bool), ``template_content``,
     ``template_fetched_at`` and ``template_failure`` (download failure text).
 
-    A local path tries ``templates/<p>`` first, then ``<p>``.
+    A local path tries its places in order (``lookup_keys``).
     """
-    u = F.col(uri)
-    primary, fallback, failure = lookup_keys(u)
+    keys, failure = lookup_keys(F.col(uri), F.col(fmt))
     t = measured_broadcast(templates.select("source", "key", "content", "fetched_at"), limit_bytes, "content")
-    t1 = t.select(F.struct("source", "key").alias("_k1"), F.col("content").alias("_c1"), F.col("fetched_at").alias("_f1"))
-    t2 = t.select(F.struct("source", "key").alias("_k2"), F.col("content").alias("_c2"), F.col("fetched_at").alias("_f2"))
-    df = requests.withColumn("_k1", primary).withColumn("_k2", fallback).withColumn("template_failure", failure)
-    df = df.join(t1, "_k1", "left").join(t2, "_k2", "left")
-    found = F.coalesce(F.col("_c1"), F.col("_c2")).isNotNull()
+    df = requests.withColumn("template_failure", failure)
+    for i, k in enumerate(keys):
+        # Keys of sources without a template cannot match and stay NULL: a request joins one or two places.
+        df = df.withColumn(f"_k{i}", k)
+        place = t.select(F.struct("source", "key").alias(f"_k{i}"), F.struct("content", "fetched_at").alias(f"_t{i}"))
+        df = df.join(place, f"_k{i}", "left")
+    first = F.coalesce(*[F.col(f"_t{i}") for i in range(len(keys))])
     return df.select(
         *[c for c in requests.columns],
-        found.alias("template_found"),
-        F.coalesce(F.col("_c1"), F.col("_c2")).alias("template_content"),
-        F.coalesce(F.col("_f1"), F.col("_f2")).alias("template_fetched_at"),
+        first.isNotNull().alias("template_found"),
+        first["content"].alias("template_content"),
+        first["fetched_at"].alias("template_fetched_at"),
         "template_failure",
     )
 
 
-def missing_templates(requests: DataFrame, templates: DataFrame, uri: str = "template_path") -> DataFrame:
+def missing_templates(requests: DataFrame, templates: DataFrame, uri: str = "template_path", fmt: str = "format") -> DataFrame:
     """J2 / V6 report form: requests whose template resolves nowhere (anti join)."""
-    u = F.col(uri)
-    primary, fallback, _ = lookup_keys(u)
-    keys = templates.select(F.struct("source", "key").alias("_k"))
-    df = requests.withColumn("_k1", primary).withColumn("_k2", fallback)
-    df = df.join(keys.withColumnRenamed("_k", "_k1"), "_k1", "left_anti")
-    df = df.join(keys.withColumnRenamed("_k", "_k2"), "_k2", "left_anti")
-    return df.drop("_k1", "_k2")
+    keys, _ = lookup_keys(F.col(uri), F.col(fmt))
+    known = templates.select(F.struct("source", "key").alias("_k"))
+    df = requests
+    for i, k in enumerate(keys):
+        df = df.withColumn(f"_k{i}", k).join(known.withColumnRenamed("_k", f"_k{i}"), f"_k{i}", "left_anti")
+    return df.drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def requested_templates(requests: DataFrame, uri: str = "template_path") -> DataFrame:
@@ -73,11 +73,6 @@ def requested_templates(requests: DataFrame, uri: str = "template_path") -> Data
     )
 
 
-def dispatch_protocol(uri) -> Column:
-    """J6: source handler for a URI (first matching prefix), NULL if none."""
-    return template_protocol(uri)
-
-
 def evict_expired(cache: DataFrame, as_of, ts: str = "fetched_at", ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
     """ST3: keep cache entries younger than the TTL at ``as_of``."""
     as_of_c = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
@@ -86,27 +81,31 @@ def evict_expired(cache: DataFrame, as_of, ts: str = "fetched_at", ttl_seconds:
 
 def fresh_cache_lookup(requests: DataFrame, cache: DataFrame, key: str = "uri", ts: str = "ts",
                        ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
-    """J5 (as-of join): for each request, the latest cache entry of its URI
-    fetched at or before the request and less than ``ttl`` before it.
-
-    The range condition is bucketed by TTL window: an entry can only serve
-    requests in its own window or the next one, so the equi-join key is
-    (URI, window) and a hot URI is spread over its windows instead of
-    joining all its requests with all its entries. Adds ``entry_at``
-    (NULL = miss).
+    """J5 (as-of lookup): for each request, the latest cache entry of its URI
+    fetched at or before the request and less than ``ttl`` before it. Adds
+    ``entry_at`` (NULL = miss).
+
+    Requests and entries are one stream of rows, cut into slices of a TTL's
+    64th. Inside a slice the last entry at or before a request is a running
+    maximum; before it, only the last entries of the 64 slices before can
+    serve, of which the latest is a running maximum over one row a slice. Work
+    is linear in the rows, and a hot URI is as many groups as it has slices.
     """
-    ttl_us = ttl_seconds * 1_000_000
-    r = requests.withColumn("_rid", F.monotonically_increasing_id()).withColumn(
-        "_b", F.floor(F.unix_micros(F.col(ts)) / F.lit(ttl_us))
-    )
-    c = cache.select(F.col(key).alias("_ck"), F.col("fetched_at").alias("_fa")).withColumn(
-        "_eb", F.floor(F.unix_micros(F.col("_fa")) / F.lit(ttl_us))
-    )
-    c = c.select("_ck", "_fa", F.explode(F.array(F.col("_eb"), F.col("_eb") + 1)).alias("_cb"))
-    cond = (
-        (r[key] == c["_ck"]) & (r["_b"] == c["_cb"])
-        & (c["_fa"] <= r[ts])
-        & (F.unix_micros(r[ts]) - F.unix_micros(c["_fa"]) < F.lit(ttl_us))
-    )
-    j = r.join(c, cond, "left")
-    return j.groupBy("_rid", *requests.columns).agg(F.max("_fa").alias("entry_at")).drop("_rid")
+    slice_us = max(1, ttl_seconds * 1_000_000 // 64)
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    r = requests.select(F.col(key).alias("_k"), us(ts).alias("_t"), F.struct(*requests.columns).alias("_row"))
+    c = cache.select(F.col(key).alias("_k"), us("fetched_at").alias("_t"), F.lit(None).cast(r.schema["_row"].dataType).alias("_row"))
+    rows = c.unionByName(r).withColumn("_s", F.floor(F.col("_t") / slice_us))
+    entry = F.when(F.col("_row").isNull(), F.col("_t"))
+    # Range frame: entries of the same microsecond count for a request.
+    inside = Window.partitionBy("_k", "_s").orderBy("_t")
+    rows = rows.withColumn("_in", F.max(entry).over(inside)).where(F.col("_row").isNotNull())
+    last = c.withColumn("_s", F.floor(F.col("_t") / slice_us)).groupBy("_k", "_s").agg(F.max("_t").alias("_last"))
+    slices = rows.select("_k", "_s").distinct().withColumn("_last", F.lit(None).cast("long")).unionByName(last)
+    slices = slices.groupBy("_k", "_s").agg(F.max("_last").alias("_last"))
+    before = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(F.col("_k").alias("_sk"), F.col("_s").alias("_ss"), F.max("_last").over(before).alias("_before"))
+    joined = rows.join(slices, F.col("_k").eqNullSafe(F.col("_sk")) & (F.col("_s") == F.col("_ss")), "left")
+    found = F.coalesce("_in", "_before")
+    fresh = F.when(F.col("_t") - found < ttl_seconds * 1_000_000, F.timestamp_micros(found))
+    return joined.select("_row.*", fresh.alias("entry_at"))

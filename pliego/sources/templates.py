@@ -15,10 +15,12 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import errors as E
 from ..functions.uris import parse_s3_uri, strip_protocol, template_protocol
 
 PACKAGED = "packaged"
 PACKAGE_PREFIX = "templates/"
+FILESYSTEM = "file"
 
 
 def _scan(spark: SparkSession, root: str) -> DataFrame:
@@ -43,6 +45,12 @@ def read_templates(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def read_filesystem_templates(spark: SparkSession, root: str) -> DataFrame:
+    """SO5: templates that a local path may name outside the package; keys are
+    paths below ``root``, the working folder of the reference."""
+    return _scan(spark, root).select(F.lit(FILESYSTEM).alias("source"), F.col("rel").alias("key"), "content", "fetched_at")
+
+
 def land_templates(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     """SO6: landed copies of remote templates, one root per protocol:
     ``{"s3@": <templates bucket path>, "fs@": <mount>, "http": <mirror>}``.
@@ -73,20 +81,23 @@ def register_template_source(protocol: str, fn: Callable[[SparkSession], DataFra
     TEMPLATE_SOURCES[protocol] = fn
 
 
-def template_table(spark: SparkSession, packaged_root: str, landed_roots: dict[str, str]) -> DataFrame:
+def template_table(spark: SparkSession, packaged_root: str, landed_roots: dict[str, str], filesystem_root: str | None = None) -> DataFrame:
     out = read_templates(spark, packaged_root).unionByName(land_templates(spark, landed_roots))
+    if filesystem_root:
+        out = out.unionByName(read_filesystem_templates(spark, filesystem_root))
     for fn in TEMPLATE_SOURCES.values():
         out = out.unionByName(fn(spark).select("source", "key", "content", "fetched_at"))
     return out
 
 
-def lookup_keys(uri: Column) -> tuple[Column, Column, Column]:
-    """(primary key, fallback key, failure text) of a template URI.
+def lookup_keys(uri: Column, fmt: Column | None = None) -> tuple[list[Column], Column]:
+    """(keys in the order they are tried, failure text) of a template URI.
 
-    Keys are struct<source, key>. A local path tries the package folder and
-    then the package root. A protocol URI has a single key; an unknown
-    protocol or a malformed S3 URI has none and carries the failure text the
-    reference's download step produces.
+    Keys are struct<source, key>, NULL where there is none. A local path tries
+    the package folder, then the package root (not for PDF, ``fmt``), then the
+    filesystem. A protocol URI has a single key; an unknown protocol or a
+    malformed S3 URI has none and carries the failure text the reference's
+    download step produces.
     """
     proto = template_protocol(uri)
     s3 = parse_s3_uri(uri)
@@ -103,10 +114,11 @@ def lookup_keys(uri: Column) -> tuple[Column, Column, Column]:
         .when(proto == "fs@", key(F.lit("fs@"), stripped))
         .when(proto == "http", key(F.lit("http"), http_key))
     )
-    fallback = F.when(local, key(F.lit(PACKAGED), uri))
+    in_root = local if fmt is None else local & (fmt != "pdf")
+    keys = [primary, F.when(in_root, key(F.lit(PACKAGED), uri)), F.when(local, key(F.lit(FILESYSTEM), uri))]
     failure = (
         F.when(local, F.lit(None).cast("string"))
-        .when(proto.isNull(), F.format_string("No downloader found for URI: %s. Supported protocols: [s3@, fs@, http]", uri))
+        .when(proto.isNull(), F.format_string(E.E6_NO_DOWNLOADER, uri))
         .when((proto == "s3@") & ~s3["ok"], F.concat(F.lit("Invalid S3 URI format: "), uri))
     )
-    return primary, fallback, failure
+    return keys, failure
