@@ -29,7 +29,7 @@ E9_RESULTS_COUNT = "Número de resultados (%d) no coincide con número de templa
 E11_RECORD = "Record Topic %s, Key %s, Offset %d: %s"
 DATA_NOT_OBJECT = "Cannot convert template data: node is not a JSON object"
 
-# class -> (error code, HTTP status, generic message or None to keep the text)
+# Class -> (error code, HTTP status, generic message or None to keep the text)
 ERROR_CLASSES = {
     "TemplateNotFound": ("TEMPLATE_NOT_FOUND", 404, None),
     "InvalidTemplatePath": (
@@ -46,14 +46,15 @@ ERROR_CLASSES = {
     "DocumentGeneration": ("DOCUMENT_GENERATION_ERROR", 500, "An error occurred while generating the document."),
 }
 
-# error code used in this package -> exception class of the reference
+# Error code used in this package -> exception class of the reference.
+# E0 and E4b are plain runtime errors there, outside its own hierarchy.
 CODE_CLASS = {
     "E0": "Runtime",
     "E1": "InvalidTemplateData",
     "E2": "InvalidTemplateData",
     "E3": "InvalidTemplateData",
     "E4": "InvalidTemplateData",
-    "E4b": "InvalidTemplateData",
+    "E4b": "Runtime",
     "E5": "InvalidTemplatePath",
     "E6": "TemplateNotFound",
     "E7": "InvalidTemplateData",

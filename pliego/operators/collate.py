@@ -102,11 +102,6 @@ def collated_response(raw: Column, location_of: Callable[[Column, Column, Column
     )
 
 
-def collate(messages: DataFrame, location_of: Callable[[Column, Column, Column], Column], raw: str = "raw") -> DataFrame:
-    """RS10: adds ``response`` to each message row."""
-    return messages.withColumn("response", collated_response(F.col(raw), location_of))
-
-
 def check_result_counts(requests: DataFrame, documents: DataFrame) -> DataFrame:
     """V8: messages whose number of documents differs from their number of
     template compositions, with the reference's E9 text."""

@@ -7,76 +7,50 @@ a list of maps, each item flattened the same way (a scalar item becomes
 ``{list name: text}``, a nested list ``{list name: [...]}``). Null leaves
 print as ``''`` (RS6) or ``'null'`` (RS8, the JSON-node overload).
 
-A data node is one value of one row, so the walk is a per-row expression
-unrolled to ``max_depth`` levels: no shuffle. Nodes nested deeper are kept
-as their JSON text and flagged in ``too_deep``.
+A data node is one value of one row, so the walk is a per-row step, to any
+depth, in an Arrow-batched UDF: no shuffle.
 """
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import strict_base64
-from .jsontext import as_map, is_array, is_object
-
-MAX_DEPTH = 4
-LEAF = "struct<key:string, value:string, too_deep:boolean>"
-
-
-def _leaf_value(key: Column, v: Column, depth: int, null_text: str) -> Column:
-    null = F.lit(null_text)
-    if depth <= 0:
-        return F.coalesce(v, null)
-    items = F.from_json(v, "array<string>")
-    as_list = F.to_json(F.transform(items, lambda it: _item_map(key, it, depth - 1, null_text)))
-    return F.when(v.isNull(), null).when(is_array(v) & items.isNotNull(), as_list).otherwise(v)
-
-
-def _item_map(path: Column, it: Column, depth: int, null_text: str) -> Column:
-    leaves = _leaves(it, depth, null_text)
-    as_obj = F.map_from_entries(F.transform(leaves, lambda l: F.struct(l["key"], l["value"])))
-    single = F.create_map(path, _leaf_value(path, it, depth, null_text))
-    return F.when(is_object(it), as_obj).otherwise(single)
-
-
-def _leaves(text: Column, depth: int, null_text: str) -> Column:
-    es = F.map_entries(as_map(text))
-    if depth <= 0:
-        return F.transform(es, lambda e: F.struct(
-            e["key"].alias("key"), F.coalesce(e["value"], F.lit(null_text)).alias("value"),
-            (is_object(e["value"]) | is_array(e["value"])).alias("too_deep"),
-        ))
-    leaf = lambda e: F.array(F.struct(
-        e["key"].alias("key"), _leaf_value(e["key"], e["value"], depth, null_text).alias("value"),
-        F.lit(False).alias("too_deep"),
-    ))
-    return F.flatten(F.transform(
-        es, lambda e: F.when(is_object(e["value"]), _leaves(e["value"], depth - 1, null_text)).otherwise(leaf(e))
-    ))
+from .jsontext import flatten, load
 
 
-def flatten_leaves(data, max_depth: int = MAX_DEPTH, null_text: str = "") -> Column:
-    """array<struct<key, value, too_deep>>: every leaf in document order."""
-    d = F.col(data) if isinstance(data, str) else data
-    return _leaves(d, max_depth, null_text)
+def _flat(text: str | None, null_text: str) -> dict | None:
+    if text is None:
+        return None
+    # A list is given as its JSON text, the leaves inside it as strings.
+    return {k: json.dumps(v, ensure_ascii=False, separators=(",", ":")) if isinstance(v, list) else str(v) for k, v in flatten(load(text), null_text).items()}
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def _flat_objects(data: pd.Series) -> pd.Series:
+    return data.map(lambda t: _flat(t, ""))
 
 
-def flatten_context(data, max_depth: int = MAX_DEPTH, null_text: str = "") -> Column:
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def _flat_nodes(data: pd.Series) -> pd.Series:
+    return data.map(lambda t: _flat(t, "null"))
+
+
+def flatten_context(data, null_text: str = "") -> Column:
     """RS6 / RS7: map<string,string> leaf name -> text (lists as JSON lists of
     flattened maps); the last leaf of a name in document order wins."""
-    leaves = flatten_leaves(data, max_depth, null_text)
-    return F.map_from_entries(F.transform(leaves, lambda l: F.struct(l["key"], l["value"])))
+    d = F.col(data) if isinstance(data, str) else data
+    return _flat_nodes(d) if null_text == "null" else _flat_objects(d)
 
 
-def flatten_context_json(data, max_depth: int = MAX_DEPTH) -> Column:
+def flatten_context_json(data) -> Column:
     """RS8: the JsonNode overload -- a null leaf prints ``null``."""
-    return flatten_context(data, max_depth, null_text="null")
-
-
-def too_deep(data, max_depth: int = MAX_DEPTH) -> Column:
-    """True when some node lies deeper than ``max_depth`` (an error row)."""
-    return F.exists(flatten_leaves(data, max_depth), lambda l: l["too_deep"])
+    return flatten_context(data, null_text="null")
 
 
 def pdf_images(images) -> Column:
@@ -94,5 +68,5 @@ def pdf_context(data, images) -> Column:
 
 def context_rows(df: DataFrame, keys: list[str], data: str = "data", null_text: str = "") -> DataFrame:
     """One row per (request, leaf name) with the winning value."""
-    m = F.map_entries(flatten_context(F.col(data), null_text=null_text))
-    return df.select(*keys, F.explode(m).alias("e")).select(*keys, F.col("e.key").alias("name"), F.col("e.value").alias("value"))
+    rows = df.select(*keys, flatten_context(F.col(data), null_text).alias("m"))
+    return rows.select(*keys, F.explode("m").alias("name", "value"))

@@ -1,18 +1,21 @@
-"""JSON text helpers shared by binding and rendering.
+"""JSON nodes of a data object, as the binding and rendering steps see them.
 
-Values of a data node are carried as JSON text (scalars unquoted, objects and
-arrays as raw JSON) so that key order and repeated keys survive. These
-helpers read that text the way Java's linked maps would see it.
+A data node is carried as JSON text, so that key order and repeated keys
+survive. The steps that walk it parse that text into nodes of their own kind
+(object, list, text, number, boolean, null), at any depth, inside Arrow-batched
+UDFs; what only needs the top level stays a Spark expression.
 """
 
 from __future__ import annotations
 
+import json
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Nested values are rendered to Java form up to this depth; deeper nodes
-# print as their JSON text (each level is one more nested lambda).
-JAVA_TEXT_DEPTH = 2
+# Fixed value: nesting the reference's JSON reader accepts.
+MAX_NESTING = 2000
 
 
 def entries(text: Column) -> Column:
@@ -21,45 +24,82 @@ def entries(text: Column) -> Column:
     return F.map_entries(F.from_json(text, "map<string,string>"))
 
 
-def dedup_entries(es: Column) -> Column:
-    """Java LinkedHashMap view: each key once, at its first position, with
-    its last value (``map_from_entries`` under the LAST_WIN dedup policy
-    keeps the first position and overwrites the value)."""
-    return F.map_entries(F.map_from_entries(es))
-
-
 def as_map(text: Column) -> Column:
     """map<string,string> of a JSON object, last value wins."""
     return F.map_from_entries(entries(text))
 
 
-def is_object(text: Column) -> Column:
-    return F.coalesce(F.ltrim(text).startswith("{"), F.lit(False))
-
-
-def is_array(text: Column) -> Column:
-    return F.coalesce(F.ltrim(text).startswith("["), F.lit(False))
-
-
-def java_text(text: Column, depth: int = JAVA_TEXT_DEPTH) -> Column:
-    """``String.valueOf`` of a JSON node converted to Java collections:
-    ``{k=v, ...}`` for objects, ``[a, b]`` for arrays, ``null`` for null."""
-    if depth <= 0:
-        return F.coalesce(text, F.lit("null"))
-    m = as_map(text)
-    arr = F.from_json(text, "array<string>")
-    obj_s = F.concat(
-        F.lit("{"),
-        F.array_join(
-            F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), java_text(e["value"], depth - 1))),
-            ", ",
-        ),
-        F.lit("}"),
-    )
-    arr_s = F.concat(F.lit("["), F.array_join(F.transform(arr, lambda x: java_text(x, depth - 1)), ", "), F.lit("]"))
-    return (
-        F.when(text.isNull(), F.lit("null"))
-        .when(is_object(text) & m.isNotNull(), obj_s)
-        .when(is_array(text) & arr.isNotNull(), arr_s)
-        .otherwise(text)
-    )
+# ------------------------------------------------- nodes, inside tasks ----
+
+
+class Number(str):
+    """A JSON number, kept as the text Java prints for it."""
+
+    __slots__ = ()
+
+
+def _double(text: str) -> Number:
+    """``Double.toString`` of a JSON number with a fraction or an exponent."""
+    v = float(text)
+    if v != v or v in (float("inf"), float("-inf")):
+        return Number("Infinity" if v > 0 else "-Infinity")
+    if v == 0:
+        return Number("-0.0" if text.startswith("-") else "0.0")
+    digits, exp = f"{abs(v):.17e}".split("e")
+    digits, exp = repr(abs(v)), int(exp)
+    mantissa = digits.split("e")[0].replace(".", "").lstrip("0").rstrip("0") or "0"
+    sign = "-" if v < 0 else ""
+    if 1e-3 <= abs(v) < 1e7:
+        if exp >= 0:
+            whole, frac = mantissa[: exp + 1].ljust(exp + 1, "0"), mantissa[exp + 1 :]
+        else:
+            whole, frac = "0", "0" * (-exp - 1) + mantissa
+        return Number(f"{sign}{whole}.{frac or '0'}")
+    return Number(f"{sign}{mantissa[0]}.{mantissa[1:] or '0'}E{exp}")
+
+
+def load(text: str | None):
+    """The node of a JSON text: dict (each key at its first place with its last
+    value, as a linked map), list, str, Number, bool or None."""
+    if text is None:
+        return None
+    if sys.getrecursionlimit() < 4 * MAX_NESTING:
+        sys.setrecursionlimit(4 * MAX_NESTING)
+    return json.loads(text, parse_int=Number, parse_float=_double, parse_constant=Number, strict=False)
+
+
+def java_text(node) -> str:
+    """``String.valueOf`` of a node converted to Java collections:
+    ``{k=v, ...}`` for objects, ``[a, b]`` for lists, ``null`` for null."""
+    if isinstance(node, dict):
+        return "{" + ", ".join(f"{k}={java_text(v)}" for k, v in node.items()) + "}"
+    if isinstance(node, list):
+        return "[" + ", ".join(map(java_text, node)) + "]"
+    if node is None:
+        return "null"
+    return str(node).lower() if isinstance(node, bool) else str(node)
+
+
+def flatten(node, null_text: str = "") -> dict:
+    """RS6-RS8: every leaf under its own name, the last one of a name winning;
+    a list is a list of maps, each item flattened under the list's name."""
+    out: dict = {}
+    if isinstance(node, dict):
+        for k, v in node.items():
+            _put(k, v, out, null_text)
+    return out
+
+
+def _put(name: str, node, out: dict, null_text: str) -> None:
+    if isinstance(node, dict):
+        for k, v in node.items():
+            _put(k, v, out, null_text)
+    elif isinstance(node, list):
+        items = []
+        for item in node:
+            one: dict = {}
+            _put(name, item, one, null_text)
+            items.append(one)
+        out[name] = items
+    else:
+        out[name] = null_text if node is None else java_text(node)

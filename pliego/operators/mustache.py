@@ -1,46 +1,38 @@
-"""RN3-RN6: Mustache templates compiled once, on the driver, into a Catalyst
-expression evaluated by the executors (no per-row template engine).
-
-Supported tags: ``{{name}}`` (HTML-escaped), ``{{{name}}}`` and ``{{&name}}``
-(raw), ``{{#name}}..{{/name}}`` (section), ``{{^name}}..{{/name}}``
-(inverted), ``{{! comment}}``, dotted names and ``{{.}}``. Text is emitted as
-written (no standalone-line trimming); partials render empty.
-
-Context: the request's data object (JSON text, last value of a repeated key)
-plus ``imagen_<name>`` image data URIs (RN1). Values are JSON text: a value
-starting with ``{`` is an object, ``[`` a list, anything else a scalar.
-
-Section semantics (Mustache lookup rules): missing, null, ``false``, empty
-string and empty list are falsy; a list repeats its body per element with the
-element on top of the scope stack; any other truthy value renders the body
-once with the value on top. Names resolve from the top of the stack down, so
-an inner name that an item lacks is found in the parent (which makes a
-section nested in itself repeat N x N times).
+"""RN3-RN6: Mustache templates. A template is parsed once per task and bound to
+a data node at a time, inside an Arrow-batched UDF (``operators/render.py``).
+
+Tags: ``{{name}}`` (HTML-escaped), ``{{{name}}}`` and ``{{&name}}`` (raw),
+``{{#name}}..{{/name}}`` (section), ``{{^name}}..{{/name}}`` (inverted),
+``{{! comment}}``, ``{{=<% %>=}}`` (other delimiters), dotted names and
+``{{.}}``. Text is emitted as written (no standalone-line trimming). A partial
+names a template file that a request does not carry, so a template with one is
+in error, like an unbalanced section; the error is data, nothing raises.
+
+Sections: missing, null, false, empty text and empty lists are falsy; a list
+repeats its body per element with the element on top of the scope stack; any
+other value renders the body once with the value on top. Names resolve from the
+top of the stack down, so an inner name that an item lacks is found in the
+parent (which makes a section nested in itself repeat N x N times).
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .jsontext import java_text
 
-from .jsontext import as_map, is_array, is_object, java_text
-
-# The HTML escape table (ampersand first), then control chars
-# 0..13 as numeric references.
+# The HTML escape table, and control chars 0..13 as numeric references.
 HTML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"), ("`", "&#96;"), ("=", "&#61;")]
 CONTROL_MAX = 13
 
-TAG = re.compile(r"\{\{\{(.*?)\}\}\}|\{\{(.*?)\}\}", re.S)
+_ESCAPE = str.maketrans({**dict(HTML_ESCAPES), **{chr(i): f"&#{i};" for i in range(CONTROL_MAX + 1)}})
 
 
 @dataclass
 class Node:
     kind: str  # text | var | raw | section | inverted
     value: str = ""
-    children: list["Node"] = field(default_factory=list)
+    children: list[Node] = field(default_factory=list)
 
 
 class TemplateError(ValueError):
@@ -48,366 +40,105 @@ class TemplateError(ValueError):
 
 
 def parse(source: str) -> list[Node]:
-    """Template text -> AST. Raises TemplateError on unbalanced sections."""
+    """Template text -> AST. Raises TemplateError where a tag or section is not
+    closed, a section closes another's name, or a partial is used."""
     root: list[Node] = []
     stack: list[tuple[str, list[Node]]] = [("", root)]
+    left, right = "{{", "}}"
     pos = 0
-    for m in TAG.finditer(source):
-        if m.start() > pos:
-            stack[-1][1].append(Node("text", source[pos : m.start()]))
-        pos = m.end()
-        if m.group(1) is not None:  # {{{name}}}
-            stack[-1][1].append(Node("raw", m.group(1).strip()))
-            continue
-        inner = m.group(2)
-        inner = inner.strip()
-        if not inner or inner[0] == "!":
+    while True:
+        at = source.find(left, pos)
+        if at < 0:
+            break
+        if at > pos:
+            stack[-1][1].append(Node("text", source[pos:at]))
+        begin = at + len(left)
+        sigil = source[begin : begin + 1]
+        end = {"{": "}" + right, "=": "=" + right}.get(sigil, right)
+        close = source.find(end, begin + 1 if sigil in "{=" else begin)
+        if close < 0:
+            raise TemplateError(f"Improperly closed variable at offset {at}")
+        inner = source[begin:close]
+        pos = close + len(end)
+        name = inner[1:].strip()
+        if sigil == "{":
+            stack[-1][1].append(Node("raw", name))
+        elif sigil == "&":
+            stack[-1][1].append(Node("raw", name))
+        elif sigil == "=":
+            marks = name.split()
+            if len(marks) != 2:
+                raise TemplateError(f"Invalid delimiters: {name}")
+            left, right = marks
+        elif sigil == "!" or not inner.strip():
             continue
-        sigil, name = inner[0], inner[1:].strip()
-        if sigil in "#^":
+        elif sigil in "#^":
             node = Node("section" if sigil == "#" else "inverted", name)
             stack[-1][1].append(node)
             stack.append((name, node.children))
         elif sigil == "/":
             if len(stack) == 1 or stack[-1][0] != name:
-                raise TemplateError(f"unexpected closing tag {name!r}")
+                raise TemplateError(f"Mismatched start/end tags: {stack[-1][0] or 'none'} != {name}")
             stack.pop()
-        elif sigil == "&":
-            stack[-1][1].append(Node("raw", name))
-        elif sigil in ">=":
-            continue  # partials / delimiter changes: not supported, render empty
+        elif sigil == ">":
+            raise TemplateError(f"Template {name} not found")
         else:
-            stack[-1][1].append(Node("var", inner))
+            stack[-1][1].append(Node("var", inner.strip()))
     if len(stack) != 1:
-        raise TemplateError(f"unclosed section {stack[-1][0]!r}")
+        raise TemplateError(f"Failed to close '{stack[-1][0]}' tag")
     if pos < len(source):
         root.append(Node("text", source[pos:]))
     return root
 
 
-def variables(nodes: list[Node]) -> set[str]:
-    out: set[str] = set()
-    for n in nodes:
-        if n.kind != "text":
-            out.add(n.value)
-        out |= variables(n.children)
-    return out
-
-
-# ---------------------------------------------------------------- Spark ----
-
-
-@dataclass
-class Scope:
-    map: Column | None  # map<string,string> of raw JSON text, None for a scalar scope
-    printed: Column | None  # the same keys, values as they print (Java form)
-    escaped: Column | None  # printed values, HTML-escaped
-    self_text: Column  # the value itself as JSON text
-
-
-def html_escape(c: Column) -> Column:
-    for ch, rep in HTML_ESCAPES:
-        c = F.replace(c, F.lit(ch), F.lit(rep))
-    controls = c
-    for code in range(CONTROL_MAX + 1):
-        controls = F.replace(controls, F.lit(chr(code)), F.lit(f"&#{code};"))
-    return F.when(c.rlike(r"[\x00-\x0d]"), controls).otherwise(c)
-
-
-def printable(v: Column) -> Column:
-    """What a variable prints: scalars as is, objects/lists in Java form."""
-    return F.when(is_object(v) | is_array(v), java_text(v)).otherwise(v)
-
-
-def context_columns(context: Column) -> tuple[Column, Column, Column]:
-    """(raw, printed, escaped) maps of a context map; materialise them as
-    columns once per row and pass them to ``compile_template``."""
-    printed = F.transform_values(context, lambda k, v: printable(v))
-    return context, printed, F.transform_values(printed, lambda k, v: html_escape(v))
-
+def template_error(source: str) -> str | None:
+    """Why a template cannot be parsed, or None."""
+    try:
+        parse(source)
+    except TemplateError as e:
+        return str(e)
+    return None
 
-def make_scope(text: Column) -> Scope:
-    m = F.when(is_object(text), as_map(text))
-    printed = F.transform_values(m, lambda k, v: printable(v))
-    return Scope(m, printed, F.transform_values(printed, lambda k, v: html_escape(v)), text)
 
-
-def _find(stack: list[Scope], head: str, view: str) -> Column:
-    found = [F.try_element_at(getattr(s, view), F.lit(head)) for s in reversed(stack) if s.map is not None]
-    if not found:
-        return F.lit(None).cast("string")
-    return F.coalesce(*found) if len(found) > 1 else found[0]
-
-
-def _lookup(stack: list[Scope], name: str, view: str = "map") -> Column:
-    """view: 'map' (raw JSON text), 'printed' or 'escaped'."""
-    if name == ".":
-        v = stack[-1].self_text
-    else:
-        head, *rest = name.split(".")
-        if not rest:
-            return _find(stack, head, view)
-        v = _find(stack, head, "map")
-        for part in rest:
-            v = F.try_element_at(as_map(v), F.lit(part))
-    if view == "map":
-        return v
-    return html_escape(printable(v)) if view == "escaped" else printable(v)
-
-
-def _truthy(v: Column) -> Column:
-    empty_list = is_array(v) & (F.coalesce(F.size(F.from_json(v, "array<string>")), F.lit(0)) == 0)
-    return v.isNotNull() & (v != "") & (v != "false") & ~empty_list
-
-
-def _compile(nodes: list[Node], stack: list[Scope]) -> Column:
-    parts: list[Column] = []
-    for n in nodes:
-        if n.kind == "text":
-            parts.append(F.lit(n.value))
-        elif n.kind == "var":
-            parts.append(F.coalesce(_lookup(stack, n.value, "escaped"), F.lit("")))
-        elif n.kind == "raw":
-            parts.append(F.coalesce(_lookup(stack, n.value, "printed"), F.lit("")))
-        elif n.kind == "inverted":
-            v = _lookup(stack, n.value)
-            parts.append(F.when(~_truthy(v), _compile(n.children, stack)).otherwise(F.lit("")))
-        else:  # section
-            v = _lookup(stack, n.value)
-            items = F.from_json(v, "array<string>")
-            per_item = F.transform(items, lambda it: _compile(n.children, stack + [make_scope(it)]))
-            once = _compile(n.children, stack + [make_scope(v)])
-            parts.append(
-                F.when(~_truthy(v), F.lit(""))
-                .when(is_array(v), F.coalesce(F.array_join(per_item, ""), F.lit("")))
-                .otherwise(once)
-            )
-    if not parts:
-        return F.lit("")
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-
-def compile_template(source: str | list[Node], raw: Column, printed: Column, escaped: Column) -> Column:
-    """Template -> Column producing the rendered text, given the three
-    context maps of ``context_columns`` (pass them as column references)."""
-    nodes = parse(source) if isinstance(source, str) else source
-    return _compile(nodes, [Scope(raw, printed, escaped, F.to_json(raw))])
-
-
-# ------------------------------------------------------------ Spark SQL ----
-# The same compilation written as one Spark SQL expression string: building a
-# large template through the Column API costs one driver round trip per node,
-# a SQL string is parsed in one call. Semantics match ``compile_template``.
-
-
-def _q(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def sql_is_object(t: str) -> str:
-    return f"coalesce(startswith(ltrim({t}), '{{'), false)"
-
-
-def sql_is_array(t: str) -> str:
-    return f"coalesce(startswith(ltrim({t}), '['), false)"
-
-
-def sql_as_map(t: str) -> str:
-    return f"map_from_entries(map_entries(from_json({t}, 'map<string,string>')))"
-
-
-class _Names:
-    def __init__(self):
-        self.n = 0
-
-    def __call__(self, base: str) -> str:
-        self.n += 1
-        return f"{base}{self.n}"
-
-
-def sql_java_text(t: str, names: _Names, depth: int = 2) -> str:
-    if depth <= 0:
-        return f"coalesce({t}, 'null')"
-    e, x = names("e"), names("x")
-    obj = (
-        f"concat('{{', array_join(transform(map_entries({sql_as_map(t)}), {e} -> "
-        f"concat({e}.key, '=', {sql_java_text(e + '.value', names, depth - 1)})), ', '), '}}')"
-    )
-    arr = (
-        f"concat('[', array_join(transform(from_json({t}, 'array<string>'), {x} -> "
-        f"{sql_java_text(x, names, depth - 1)}), ', '), ']')"
-    )
-    return (
-        f"(CASE WHEN {t} IS NULL THEN 'null' "
-        f"WHEN {sql_is_object(t)} AND from_json({t}, 'map<string,string>') IS NOT NULL THEN {obj} "
-        f"WHEN {sql_is_array(t)} AND from_json({t}, 'array<string>') IS NOT NULL THEN {arr} "
-        f"ELSE {t} END)"
-    )
-
-
-def sql_printable(v: str, names: _Names) -> str:
-    return f"(CASE WHEN {sql_is_object(v)} OR {sql_is_array(v)} THEN {sql_java_text(v, names)} ELSE {v} END)"
-
-
-def sql_html_escape(c: str) -> str:
-    e = c
-    for ch, rep in HTML_ESCAPES:
-        e = f"replace({e}, {_q(ch)}, {_q(rep)})"
-    ctl = e
-    for code in range(CONTROL_MAX + 1):
-        ctl = f"replace({ctl}, char({code}), {_q(f'&#{code};')})"
-    return f"(CASE WHEN {e} RLIKE '[\\\\x00-\\\\x0d]' THEN {ctl} ELSE {e} END)"
-
-
-@dataclass
-class SqlScope:
-    map: str | None
-    printed: str | None
-    escaped: str | None
-    self_text: str
-
-
-def _sql_scope(text: str, names: _Names) -> SqlScope:
-    m = f"(CASE WHEN {sql_is_object(text)} THEN {sql_as_map(text)} END)"
-    k, v = names("k"), names("v")
-    printed = f"transform_values({m}, ({k}, {v}) -> {sql_printable(v, names)})"
-    k2, v2 = names("k"), names("v")
-    escaped = f"transform_values({printed}, ({k2}, {v2}) -> {sql_html_escape(v2)})"
-    return SqlScope(m, printed, escaped, text)
-
-
-def _spark_find(stack: list[SqlScope], head: str, view: str) -> str:
-    found = [f"try_element_at({getattr(s, view)}, {_q(head)})" for s in reversed(stack) if s.map is not None]
-    if not found:
-        return "CAST(NULL AS STRING)"
-    return f"coalesce({', '.join(found)})" if len(found) > 1 else found[0]
-
-
-def _spark_lookup(stack: list[SqlScope], name: str, names: _Names, view: str = "map") -> str:
-    if name == ".":
-        v = stack[-1].self_text
-    else:
-        head, *rest = name.split(".")
-        if not rest:
-            return _spark_find(stack, head, view)
-        v = _spark_find(stack, head, "map")
-        for part in rest:
-            v = f"try_element_at({sql_as_map(v)}, {_q(part)})"
-    if view == "map":
-        return v
-    p = sql_printable(v, names)
-    return sql_html_escape(p) if view == "escaped" else p
-
-
-def _spark_truthy(v: str) -> str:
-    return (
-        f"({v} IS NOT NULL AND {v} <> '' AND {v} <> 'false' AND NOT ({sql_is_array(v)} "
-        f"AND coalesce(size(from_json({v}, 'array<string>')), 0) = 0))"
-    )
-
-
-def _spark_compile(nodes: list[Node], stack: list[SqlScope], names: _Names) -> str:
-    parts: list[str] = []
-    for n in nodes:
-        if n.kind == "text":
-            parts.append(_q(n.value))
-        elif n.kind == "var":
-            parts.append(f"coalesce({_spark_lookup(stack, n.value, names, 'escaped')}, '')")
-        elif n.kind == "raw":
-            parts.append(f"coalesce({_spark_lookup(stack, n.value, names, 'printed')}, '')")
-        elif n.kind == "inverted":
-            v = _spark_lookup(stack, n.value, names)
-            parts.append(f"(CASE WHEN NOT {_spark_truthy(v)} THEN {_spark_compile(n.children, stack, names)} ELSE '' END)")
-        else:
-            v = _spark_lookup(stack, n.value, names)
-            it = names("it")
-            per_item = _spark_compile(n.children, stack + [_sql_scope(it, names)], names)
-            once = _spark_compile(n.children, stack + [_sql_scope(v, names)], names)
-            parts.append(
-                f"(CASE WHEN NOT {_spark_truthy(v)} THEN '' "
-                f"WHEN {sql_is_array(v)} THEN coalesce(array_join(transform(from_json({v}, 'array<string>'), "
-                f"{it} -> {per_item}), ''), '') ELSE {once} END)"
-            )
-    if not parts:
-        return "''"
-    return "concat(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0]
-
-
-def compile_template_spark_sql(source: str | list[Node], raw: str, printed: str, escaped: str) -> str:
-    """Template -> Spark SQL expression text over three context-map columns
-    (names of the raw / printed / escaped maps of ``context_columns``)."""
-    nodes = parse(source) if isinstance(source, str) else source
-    return _spark_compile(nodes, [SqlScope(raw, printed, escaped, f"to_json({raw})")], _Names())
-
-
-# --------------------------------------------------------------- DuckDB ----
-# The same AST written as DuckDB SQL, used by the SQL oracle. The context is
-# a JSON object text expression; lists are read with json_extract.
-
-
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _sql_escape(e: str) -> str:
-    for ch, rep in HTML_ESCAPES:
-        e = f"replace({e}, {_sql_str(ch)}, {_sql_str(rep)})"
-    for code in range(CONTROL_MAX + 1):
-        e = f"replace({e}, chr({code}), {_sql_str(f'&#{code};')})"
-    return e
-
-
-def _sql_get(scope: str, key: str) -> str:
-    path = _sql_str('$."' + key + '"')
-    return f"(CASE WHEN ltrim({scope}) LIKE '{{%' THEN json_extract_string({scope}, {path}) END)"
-
-
-def _sql_lookup(stack: list[str], name: str) -> str:
+def _find(stack: list, name: str):
     if name == ".":
         return stack[-1]
     head, *rest = name.split(".")
-    found = [_sql_get(scope, head) for scope in reversed(stack)]
-    value = f"coalesce({', '.join(found)})" if len(found) > 1 else found[0]
-    for part in rest:
-        value = _sql_get(value, part)
-    return value
+    for scope in reversed(stack):
+        if isinstance(scope, dict) and scope.get(head) is not None:
+            found = scope[head]
+            for part in rest:
+                found = found.get(part) if isinstance(found, dict) else None
+            return found
+    return None
 
 
-def _sql_truthy(v: str) -> str:
-    return (
-        f"({v} IS NOT NULL AND {v} <> '' AND {v} <> 'false' "
-        f"AND NOT (ltrim({v}) LIKE '[%' AND json_array_length({v}) = 0))"
-    )
+def _truthy(v) -> bool:
+    return not (v is None or v is False or (isinstance(v, (str, list)) and not len(v)))
 
 
-def _sql_compile(nodes: list[Node], stack: list[str], depth: int = 0) -> str:
-    parts: list[str] = []
+def _write(nodes: list[Node], stack: list, out: list[str]) -> None:
     for n in nodes:
         if n.kind == "text":
-            parts.append(_sql_str(n.value))
-        elif n.kind in ("var", "raw"):
-            v = f"coalesce({_sql_lookup(stack, n.value)}, '')"
-            parts.append(_sql_escape(v) if n.kind == "var" else v)
+            out.append(n.value)
+            continue
+        v = _find(stack, n.value)
+        if n.kind == "section":
+            if isinstance(v, list):
+                for item in v:
+                    _write(n.children, [*stack, item], out)
+            elif _truthy(v):
+                _write(n.children, [*stack, v], out)
         elif n.kind == "inverted":
-            v = _sql_lookup(stack, n.value)
-            parts.append(f"(CASE WHEN NOT {_sql_truthy(v)} THEN {_sql_compile(n.children, stack, depth)} ELSE '' END)")
-        else:
-            v = _sql_lookup(stack, n.value)
-            it = f"it{depth}"
-            per_item = _sql_compile(n.children, stack + [it], depth + 1)
-            once = _sql_compile(n.children, stack + [v], depth + 1)
-            parts.append(
-                f"(CASE WHEN NOT {_sql_truthy(v)} THEN '' "
-                f"WHEN ltrim({v}) LIKE '[%' THEN coalesce(array_to_string(list_transform("
-                f"CAST(json_extract_string({v}, '$[*]') AS VARCHAR[]), lambda {it}: {per_item}), ''), '') "
-                f"ELSE {once} END)"
-            )
-    if not parts:
-        return "''"
-    return "(" + " || ".join(parts) + ")"
-
-
-def compile_template_sql(source: str | list[Node], context_json: str) -> str:
-    """Template -> DuckDB SQL expression over a JSON-object text expression."""
-    nodes = parse(source) if isinstance(source, str) else source
-    return _sql_compile(nodes, [context_json])
+            if not _truthy(v):
+                _write(n.children, stack, out)
+        elif v is not None:
+            text = java_text(v)
+            out.append(text.translate(_ESCAPE) if n.kind == "var" else text)
+
+
+def bind(nodes: list[Node], context: dict) -> str:
+    """A parsed template with a context's values."""
+    out: list[str] = []
+    _write(nodes, [context], out)
+    return "".join(out)

@@ -1,23 +1,27 @@
 """Binding and rendering: RN1, RN6-RN10 and the renderer
 registry (U1).
 
-Renderers are DataFrame -> DataFrame functions adding ``body`` (STRING),
-``status`` and ``render_error``. HTML and TXT are Column expressions; PDF
-produces the fully bound context and, unless a converter is registered,
-``status = 'needs_converter'``.
+HTML and TXT bodies come from one Arrow-batched UDF over the request rows: it
+binds the data node, parsed to any depth, to the row's own template content, so
+neither the number, the size nor the name of templates is limited. PDF needs a
+converter; without a registered one a request stays ``status =
+'needs_converter'`` with a fully bound context (RN7) and no location.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import errors as E
 from ..functions import bad_image_payload, cache_key, has_protocol, image_data_uri, resolve_format
-from .jsontext import as_map, dedup_entries, entries, java_text
-from .mustache import _q, compile_template_spark_sql, parse
+from . import mustache
+from .jsontext import as_map, java_text, load
 
 # The plain-text document layout.
 RULE_WIDTH = 60
@@ -29,11 +33,17 @@ RENDERERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 def register_renderer(fmt: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     """U1: plug a renderer for a format (e.g. an ODT/DOCX -> PDF converter
-    written with ``mapInPandas``). ``fn`` receives the bound requests and
-    returns them with ``body`` / ``status`` / ``render_error`` set."""
+    written with ``mapInPandas``). ``fn`` receives the bound requests of its
+    format, ``body`` and ``status`` among their columns, and returns them with
+    ``body`` filled and ``status = 'rendered'``."""
     RENDERERS[fmt] = fn
 
 
+def pending_formats() -> list[str]:
+    """Formats whose documents wait for a converter."""
+    return [f for f in ("pdf",) if f not in RENDERERS]
+
+
 def route_format(file_type) -> Column:
     """RN9: null/blank/unknown -> pdf; trims, ignores case."""
     return resolve_format(file_type)
@@ -44,12 +54,7 @@ def html_context(data, images) -> Column:
     (overwriting a clash, like Map.put)."""
     d = F.col(data) if isinstance(data, str) else data
     i = F.col(images) if isinstance(images, str) else images
-    imgs = F.map_from_entries(
-        F.transform(
-            F.map_entries(i),
-            lambda e: F.struct(F.concat(F.lit("imagen_"), e["key"]).alias("key"), image_data_uri(e["value"]).alias("value")),
-        )
-    )
+    imgs = image_uris(i)
     base = F.coalesce(as_map(d), F.create_map().cast("map<string,string>"))
     return F.map_concat(base, F.coalesce(imgs, F.create_map().cast("map<string,string>")))
 
@@ -61,44 +66,63 @@ def text_template_path(path, cache_dir: str = CACHE_DIR) -> Column:
     return F.when(has_protocol(p), F.concat(F.lit(cache_dir + "/"), cache_key(p))).otherwise(p)
 
 
-def render_text_column(path, data, cache_dir: str = CACHE_DIR) -> Column:
-    """RN8: the plain-text document (template content is never read)."""
-    d = F.col(data) if isinstance(data, str) else data
-    lines = F.array_join(
-        F.transform(
-            dedup_entries(entries(d)),
-            lambda e: F.format_string("%-20s : %s\n", e["key"], java_text(e["value"])),
-        ),
-        "",
+def _text_body(shown: str | None, data) -> str:
+    lines = ["=" * RULE_WIDTH, TEXT_TITLE, "=" * RULE_WIDTH, "", f"Template: {'null' if shown is None else shown}", ""]
+    if data is not None:
+        rule = "-" * RULE_WIDTH
+        lines += ["Data:", rule, *(f"{k:<20} : {java_text(v)}" for k, v in (data.items() if isinstance(data, dict) else ())), rule]
+    return "\n".join(lines) + "\n"
+
+
+@lru_cache(maxsize=256)
+def _parsed(source: str) -> list | str:
+    """A template's AST, or why it has none; a task remembers the last ones."""
+    try:
+        return mustache.parse(source)
+    except mustache.TemplateError as e:
+        return str(e)
+
+
+@F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("error", T.StringType())]))
+def _render_udf(fmt: pd.Series, shown: pd.Series, content: pd.Series, data: pd.Series, images: pd.Series) -> pd.DataFrame:
+    bodies, errors = [], []
+    for f, path, source, text, uris in zip(fmt, shown, content, data, images):
+        body = error = None
+        if f == "txt":
+            body = _text_body(path, load(text))
+        elif f == "html" and source is not None:
+            nodes = _parsed(source)
+            if isinstance(nodes, str):
+                error = nodes
+            else:
+                node = load(text)
+                context = dict(node) if isinstance(node, dict) else {}
+                context.update(load(uris) or {})
+                body = mustache.bind(nodes, context)
+        bodies.append(body)
+        errors.append(error)
+    return pd.DataFrame({"body": bodies, "error": errors})
+
+
+@F.pandas_udf(T.StringType())
+def template_error(content: pd.Series) -> pd.Series:
+    """Why a template's content cannot be parsed (E8), NULL if it can."""
+    return content.map(lambda s: mustache.template_error(s or ""))
+
+
+def image_uris(images: Column) -> Column:
+    """``imagen_<name>`` -> data URI of each image (RN2)."""
+    return F.map_from_entries(
+        F.transform(F.map_entries(images), lambda e: F.struct(F.concat(F.lit("imagen_"), e["key"]), image_data_uri(e["value"])))
     )
-    head = F.concat(
-        F.lit("=" * RULE_WIDTH + "\n" + TEXT_TITLE + "\n" + "=" * RULE_WIDTH + "\n\n"),
-        F.lit("Template: "),
-        F.coalesce(text_template_path(path, cache_dir), F.lit("null")),
-        F.lit("\n\n"),
-    )
-    rule = F.lit("-" * RULE_WIDTH + "\n")
-    data_block = F.concat(F.lit("Data:\n"), rule, F.coalesce(lines, F.lit("")), rule)
-    return F.concat(head, F.when(d.isNotNull(), data_block).otherwise(F.lit("")))
-
-
-def compile_html_templates(templates: list[tuple[str, str]], raw: str, printed: str, escaped: str,
-                           tid_col: str) -> Column:
-    """RN6: one ``CASE template_id WHEN .. THEN <compiled template>`` over the
-    templates in use. Each template is parsed once on the driver and handed
-    to Spark as one SQL expression; the context maps and the template id are
-    column names."""
-    if not templates:
-        return F.lit(None).cast("string")
-    # The CASE is evaluated inside a one-element transform: whole-stage
-    # codegen then sees a single interpreted node instead of trying (and
-    # failing, past 64 KB) to compile every template into the stage.
-    branches = " ".join(
-        f"WHEN s.tid = {_q(tid)} THEN {compile_template_spark_sql(parse(source), 's.raw', 's.printed', 's.escaped')}"
-        for tid, source in templates
-    )
-    packed = f"array(named_struct('tid', {tid_col}, 'raw', {raw}, 'printed', {printed}, 'escaped', {escaped}))"
-    return F.expr(f"try_element_at(transform({packed}, s -> CASE {branches} END), 1)")
+
+
+def rendered(fmt, path, content, data, images, cache_dir: str = CACHE_DIR) -> Column:
+    """RN6 / RN8: struct<body, error> of a request. HTML binds ``content``, the
+    plain-text document prints the data and never reads a template; any other
+    format, and HTML without content, has neither body nor error."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return _render_udf(c(fmt), text_template_path(path, cache_dir), c(content), c(data), F.to_json(image_uris(c(images))))
 
 
 def pdf_images_error(images) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import is_local, sanitize_template_path
 from ..schema import REQUEST_KEY
-from .jsontext import as_map, is_object
+from .jsontext import as_map
 from .validate import is_template
 
 
@@ -32,6 +32,7 @@ def flatten_outputs(validated: DataFrame, keep: list[str] | None = None) -> Data
         F.col("comp.location").alias("location"),
         F.col("comp.data").alias("data"),
         F.col("comp.has_resource").alias("has_resource"),
+        F.col("comp.data_is_object").alias("data_is_object"),
     )
 
 
@@ -42,14 +43,14 @@ def only_templates(rows: DataFrame) -> DataFrame:
 
 def extract_images(data) -> Column:
     """RS4: ``data.images`` as map<string,string> when it is an object of
-    scalars; anything else gives an empty map. ``images`` stays in data."""
+    scalars; anything else gives an empty map. ``images`` stays in data. Of
+    repeated ``images`` keys the last one counts."""
     d = F.col(data) if isinstance(data, str) else data
-    # a JSON path read stops at the key: no map of the whole data node
-    text = F.get_json_object(d, "$.images")
-    m = as_map(text)
+    # Typed read: a JSON string is not a map, however it starts.
+    m = F.map_from_entries(F.map_entries(F.from_json(d, "images map<string,string>")["images"]))
     scalar_only = F.forall(F.map_values(m), lambda v: v.isNull() | ~(F.ltrim(v).startswith("{") | F.ltrim(v).startswith("[")))
     empty = F.create_map().cast("map<string,string>")
-    return F.when(is_object(text) & F.coalesce(scalar_only, F.lit(False)), m).otherwise(empty)
+    return F.when(F.coalesce(scalar_only, F.lit(False)), m).otherwise(empty)
 
 
 def project_request(rows: DataFrame) -> DataFrame:

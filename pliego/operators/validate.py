@@ -23,11 +23,6 @@ def is_template(comp: Column) -> Column:
     return F.coalesce(comp["type"] == F.lit(TEMPLATE), F.lit(False))
 
 
-def data_kind_ok(data: Column) -> Column:
-    """V3: the data node is a JSON object (raw text starts with '{')."""
-    return F.ltrim(data).startswith("{")
-
-
 def composition_error(comp: Column) -> Column:
     """V3/V4 for one template composition, in the reference's order."""
     data = comp["data"]
@@ -35,7 +30,7 @@ def composition_error(comp: Column) -> Column:
     return E.first_error(
         (~comp["has_resource"], "E0", F.lit(E.E0_MISSING_RESOURCE)),
         (data.isNull(), "E4", F.lit(E.E4_EMPTY_DATA)),
-        (~F.coalesce(data_kind_ok(data), F.lit(False)), "E4b", F.lit(E.DATA_NOT_OBJECT)),
+        (~comp["data_is_object"], "E4b", F.lit(E.DATA_NOT_OBJECT)),
         (path_is_unsafe(loc), "E5", F.format_string(E.E5_INVALID_PATH, path_error_subject(loc))),
     )
 

@@ -1,41 +1,14 @@
 """Data model: message, Kafka batch, request, document, catalog.
 
-A message is parsed twice with two schemas that line up by position:
-
-* the *echo* schema keeps every opaque node as VARIANT so that ``to_json``
-  returns it as nested JSON when the message is written back;
-* the *binding* schema reads ``resource.data`` as STRING (raw JSON text) so
-  that key order and repeated keys survive for binding and flattening.
-
-Unknown properties are dropped by both (the explicit schema does it).
+The typed views of a message stand where it is parsed: the binding view in
+``sources/messages.py`` (``resource.data`` as raw JSON text, so that key order
+and repeated keys survive), the echo view in ``operators/collate.py`` (opaque
+nodes as VARIANT, so that ``to_json`` writes them back as nested JSON). Both
+drop unknown properties.
 """
 
 from __future__ import annotations
 
-
-def _message_ddl(data_type: str, opaque: str) -> str:
-    resource = (
-        f"struct<input_format:string, output_format:string, location:string, "
-        f"data:{data_type}, error:{opaque}, _error:{opaque}>"
-    )
-    composition = (
-        f"struct<template:string, data:{opaque}, resource:string, type:string, "
-        f"metadata:struct<resource:{resource}, result:struct<location:string>>>"
-    )
-    output = f"struct<type:string, composicion:array<{composition}>>"
-    item = (
-        f"struct<output_producto:string, output_subproducto:string, output_metadata:{opaque}, "
-        f"outputs:array<{output}>, callback:{opaque}, metadata:{opaque}, _error:{opaque}>"
-    )
-    return (
-        f"metadata {opaque}, "
-        f"data struct<cliente:{opaque}, clienteData:{opaque}, item_canonico:{item}>"
-    )
-
-
-ECHO_SCHEMA = _message_ddl("variant", "variant")
-BINDING_SCHEMA = _message_ddl("string", "string")
-
 # Options shared by every message parse: Jackson limits of the reference
 # (strings up to 100 MB, nesting up to 2000) and permissive error handling so
 # a bad record becomes a NULL (an error row), never a failed job.
@@ -57,7 +30,4 @@ KAFKA_BATCH_DDL = (
     f"records map<string, array<{KAFKA_RECORD_DDL}>>"
 )
 
-# Flat request shape of the sample events (RS13).
-FLAT_REQUEST_DDL = "templatePath string, data string, images map<string,string>"
-
 REQUEST_KEY = ["msg_id", "output_pos", "comp_pos"]

@@ -8,7 +8,7 @@ then parsed. Everything is a per-row expression: no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import JSON_READ_OPTIONS
@@ -39,14 +39,16 @@ def wrap_single(text) -> Column:
 def read_messages(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
     """SO1 source: one message per line (or per file with ``whole_file``).
 
-    Returns ``msg_id, raw``; ``msg_id`` is the file and line position so it
-    is stable across retries.
+    Returns ``msg_id, raw``. ``msg_id`` is the file and a hash of the text, so it
+    depends neither on split sizes nor on retries; a line that a file repeats
+    gets its number among its equals as well.
     """
-    df = spark.read.text(path, wholetext=whole_file)
-    return df.select(
-        F.concat_ws(":", F.input_file_name(), F.monotonically_increasing_id().cast("string")).alias("msg_id"),
-        F.col("value").alias("raw"),
-    ).where(F.length(F.trim("raw")) > 0)
+    df = spark.read.text(path, wholetext=whole_file).select(F.input_file_name().alias("_f"), F.col("value").alias("raw"))
+    df = df.where(F.length(F.trim("raw")) > 0).withColumn("_h", F.md5("raw"))
+    again = F.row_number().over(Window.partitionBy("_f", "_h").orderBy("raw"))
+    df = df.withColumn("_n", again)
+    msg_id = F.concat_ws(":", "_f", "_h", F.when(F.col("_n") > 1, F.col("_n").cast("string")))
+    return df.select(msg_id.alias("msg_id"), "raw")
 
 
 # One-shot binding schema: used when no array is written as a lone object.
@@ -57,10 +59,14 @@ DIRECT_DDL = (
     + COMPOSITION_DDL + ">>>>, "
     f"{CORRUPT} string"
 )
-# A lone object where the message has an array: the only case that needs the
-# layered parse. A false positive (the text inside a string value) only costs
-# the slower path, never a different result.
+# The same positions, but ``data`` read as a map: NULL unless it is an object.
+KIND_DDL = "array<struct<metadata:struct<resource:struct<data:map<string,string>>>>>"
+# A lone object where the message has an array, data that is a JSON string (its
+# text could start like an object), or an escaped character that could hide
+# either key: the cases that need the layered parse. A false positive (the text
+# inside a string value) only costs the slower path, never a different result.
 NEEDS_WRAP = r'"(outputs|composicion)"\s*:\s*\{'
+NEEDS_LAYERS = NEEDS_WRAP + r'|"data"\s*:\s*"|\\u00'
 
 
 def parse_messages(messages: DataFrame, raw: str = "raw") -> DataFrame:
@@ -68,12 +74,13 @@ def parse_messages(messages: DataFrame, raw: str = "raw") -> DataFrame:
 
     Adds ``parsed_ok`` (the text is a JSON object), ``has_item``,
     ``outputs`` = array<struct<type, composicion: array<struct<type,
-    output_format, location, data, has_resource>>>> (NULL when absent).
+    output_format, location, data, has_resource, data_is_object>>>> (NULL when
+    absent).
     """
     configure(messages.sparkSession)
     opts = dict(JSON_READ_OPTIONS, columnNameOfCorruptRecord=CORRUPT)
 
-    def comp_view(c: Column) -> Column:
+    def comp_view(c: Column, is_object: Column) -> Column:
         res = c["metadata"]["resource"]
         return F.struct(
             c["type"].alias("type"),
@@ -81,23 +88,32 @@ def parse_messages(messages: DataFrame, raw: str = "raw") -> DataFrame:
             res["location"].alias("location"),
             res["data"].alias("data"),
             (c["metadata"].isNotNull() & res.isNotNull()).alias("has_resource"),
+            F.coalesce(is_object, F.lit(False)).alias("data_is_object"),
         )
 
     def view(outs: Column, comps: callable) -> Column:
-        return F.transform(
-            outs, lambda o: F.struct(o["type"].alias("type"), F.transform(comps(o), comp_view).alias("composicion"))
+        return F.transform(outs, lambda o: F.struct(o["type"].alias("type"), comps(o).alias("composicion")))
+
+    def direct_comps(o: Column) -> Column:
+        # no data node is a string here, so its text tells an object
+        return F.transform(o["composicion"], lambda c: comp_view(c, F.ltrim(c["metadata"]["resource"]["data"]).startswith("{")))
+
+    def layered_comps(o: Column) -> Column:
+        text = wrap_single(o["composicion"])
+        kinds = F.from_json(text, KIND_DDL, JSON_READ_OPTIONS)
+        return F.zip_with(
+            F.from_json(text, COMPOSITION_DDL, JSON_READ_OPTIONS), kinds,
+            lambda c, k: comp_view(c, k["metadata"]["resource"]["data"].isNotNull()),
         )
 
     # fast path: one typed parse
     direct = F.from_json(F.col(raw), DIRECT_DDL, opts)
-    direct_outputs = view(direct["data"]["item_canonico"]["outputs"], lambda o: o["composicion"])
+    direct_outputs = view(direct["data"]["item_canonico"]["outputs"], direct_comps)
     # layered path: arrays read as text, wrapped when a lone object, parsed
     top = F.from_json(F.col(raw), TOP_DDL, opts)
     outs = F.from_json(wrap_single(top["data"]["item_canonico"]["outputs"]), OUTPUT_DDL, JSON_READ_OPTIONS)
-    layered_outputs = view(
-        outs, lambda o: F.from_json(wrap_single(o["composicion"]), COMPOSITION_DDL, JSON_READ_OPTIONS)
-    )
-    wrap = F.coalesce(F.col(raw).rlike(NEEDS_WRAP), F.lit(False))
+    layered_outputs = view(outs, layered_comps)
+    wrap = F.coalesce(F.col(raw).rlike(NEEDS_LAYERS), F.lit(False))
     df = messages.withColumn("_wrap", wrap)
     df = df.withColumn(
         "_p",
