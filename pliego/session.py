@@ -50,12 +50,14 @@ def local_session(app: str = "pliego", cores: str = "8", shuffle_partitions: int
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting names a shared folder and is only read here.
-    Only when it is unset (tests, a laptop) is a scratch folder created.
+    On a cluster that setting names a shared folder and is only read here; it
+    must be set. Only a local master (tests, a laptop) gets a scratch folder.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="pliego-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:

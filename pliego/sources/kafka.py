@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .. import errors as E
 from ..schema import KAFKA_RECORD_DDL
@@ -40,8 +41,10 @@ def decode_value(value) -> Column:
 
 def decode_record(records: DataFrame) -> DataFrame:
     """SO3: adds ``raw`` (the message JSON), ``decode_ok`` and
-    ``decode_error`` (E11 text) to exploded records."""
-    text = decode_value("value")
+    ``decode_error`` (E11 text) to exploded records. A text ``value`` is
+    base64, as in a batch envelope; a binary one is the record's bytes."""
+    binary = isinstance(records.schema["value"].dataType, BinaryType)
+    text = F.decode(F.col("value"), "UTF-8") if binary else decode_value("value")
     parsed = F.from_json(text, "metadata string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
     looks_like_object = F.coalesce(F.ltrim(text).startswith("{"), F.lit(False))
     cause = (
@@ -57,22 +60,31 @@ def decode_record(records: DataFrame) -> DataFrame:
     )
 
 
-def read_kafka_stream(spark: SparkSession, options: dict[str, str]) -> DataFrame:
-    """SO4: the request topic as a stream (latest offsets, at most 10 records
-    per trigger). Needs the Kafka connector on the classpath; without it use
-    ``read_record_files`` over landed record files."""
-    opts = {"startingOffsets": "latest", "maxOffsetsPerTrigger": "10", "failOnDataLoss": "false"}
-    opts.update(options)
-    raw = spark.readStream.format("kafka").options(**opts).load()
+def kafka_rows(raw: DataFrame) -> DataFrame:
+    """Rows of the Kafka source as records: the value stays binary, time stamps
+    keep their type, headers are kept."""
+    kind = F.when(F.col("timestampType") == 0, F.lit("CREATE_TIME")).when(F.col("timestampType") == 1, F.lit("LOG_APPEND_TIME"))
     return raw.select(
         "topic", "partition", "offset",
         F.unix_millis("timestamp").alias("timestamp"),
-        F.lit("CREATE_TIME").alias("timestampType"),
+        kind.alias("timestampType"),
         F.col("key").cast("string").alias("key"),
-        F.base64("value").alias("value"),
+        "value",
+        *(["headers"] if "headers" in raw.columns else []),
     )
 
 
+def read_kafka_stream(spark: SparkSession, options: dict[str, str]) -> DataFrame:
+    """SO4: the request topic as a stream from the latest offsets; lost offsets
+    fail the query, headers come along. ``options`` add to or replace these; set
+    ``maxOffsetsPerTrigger`` to bound a batch (the reference takes 10 records).
+    Needs the Kafka connector on the classpath; without it use
+    ``read_record_files`` over landed record files."""
+    opts = {"startingOffsets": "latest", "failOnDataLoss": "true", "includeHeaders": "true"}
+    opts.update(options)
+    return kafka_rows(spark.readStream.format("kafka").options(**opts).load())
+
+
 def read_record_files(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
     """SO4 offline: a file stream of landed records with the Kafka record
     schema (JSON lines)."""

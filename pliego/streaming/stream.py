@@ -11,65 +11,78 @@ kept as columns: order is data, not an accident of execution.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pipeline import generate_documents
 from ..session import configure, ensure_checkpoint_dir
+from ..sinks.responses import failures, responses
+from ..sinks.store import with_object_keys
 from ..sources.kafka import decode_record
 
 
 @dataclass
 class StreamOutputs:
     root: str
+    prefix: str = "documentos"
+    bucket: str = "documentos"
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
 
 
-def process_batch(batch: DataFrame, batch_id: int, templates: DataFrame, out: StreamOutputs, as_of) -> None:
-    """ST1 body: one micro-batch end to end (failures isolated per record)."""
+def process_batch(batch: DataFrame, batch_id: int, templates: Callable[[], DataFrame], out: StreamOutputs) -> None:
+    """ST1 body: one micro-batch end to end (failures isolated per record).
+
+    The batch's clock is its latest record time, so a replay names the same
+    files; templates are listed anew for each batch. Results are written once;
+    responses (SK4), failures (SK5) and the summary (A1) come from the written
+    rows, documents (SK1) from a second pass over the decoded records.
+    """
     spark = batch.sparkSession
     configure(spark)
     rec = decode_record(batch).withColumn("msg_id", F.concat_ws(":", "topic", F.col("partition").cast("string"), F.col("offset").cast("string")))
     rec = rec.persist()
     try:
-        ok = rec.where("decode_ok").select("msg_id", "raw")
-        g = generate_documents(ok, templates, as_of)
-        status = g.messages.select("msg_id", "ok", "error_code", "error_message", "response")
+        clock = rec.agg(F.max("timestamp")).first()[0]
+        if clock is None:  # no records
+            return
+        as_of = F.timestamp_millis(F.lit(clock))
+        g = generate_documents(rec.where("decode_ok").select("msg_id", "raw"), templates(), as_of)
+
+        def write(df: DataFrame, name: str) -> DataFrame:
+            path = out.path(name)
+            df = df.withColumn("batch_id", F.lit(batch_id))
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+            return spark.read.schema(df.schema).parquet(path).where(F.col("batch_id") == batch_id)
+
+        status = g.messages.select("msg_id", "ok", "error_code", "error_message", "documents", "pending", "response")
         bad = rec.where(~F.col("decode_ok")).select(
-            "msg_id", F.lit(False).alias("ok"), F.lit("E11").alias("error_code"),
-            F.col("decode_error").alias("error_message"), F.lit(None).cast("string").alias("response"),
+            "msg_id", F.lit(False).alias("ok"), F.lit("E11").alias("error_code"), F.col("decode_error").alias("error_message"),
+            F.lit(0).cast("bigint").alias("documents"), F.lit(0).cast("bigint").alias("pending"), F.lit(None).cast("string").alias("response"),
         )
         keys = rec.select("msg_id", "topic", "partition", "offset")
-        results = status.unionByName(bad).join(keys, "msg_id").withColumn("batch_id", F.lit(batch_id))
-        write = lambda df, name: (
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out.path(name))
-        )
-        write(results, "results")
-        write(g.documents.select("msg_id", "output_pos", "comp_pos", "format", "location", "body").withColumn("batch_id", F.lit(batch_id)), "documents")
-        summary = results.agg(
-            F.count(F.lit(1)).alias("processed"),
-            F.count_if("ok").alias("success"),
-            F.count_if(~F.col("ok")).alias("failure"),
-        ).withColumn("batch_id", F.lit(batch_id))
-        write(summary, "summary")
+        done = write(status.unionByName(bad).join(keys, "msg_id"), "results")
+        docs = with_object_keys(g.documents.where(F.col("status") == "rendered"), as_of, out.prefix, out.bucket)
+        write(docs.select("msg_id", "output_pos", "comp_pos", "format", "location", "object_key", "repository_path", "body"), "documents")
+        write(responses(done, key="msg_id"), "responses")
+        write(failures(done), "failures")
+        write(done.agg(F.count(F.lit(1)).alias("processed"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("failure")).withColumn("as_of", as_of), "summary")
     finally:
         rec.unpersist()
 
 
-def run_stream(records: DataFrame, templates: DataFrame, out_root: str, as_of, checkpoint: str | None = None,
+def run_stream(records: DataFrame, templates: Callable[[], DataFrame], out_root: str, checkpoint: str | None = None,
                available_now: bool = True, interval: str = "5 seconds"):
     """ST1: start the streaming query; ``records`` is a streaming DataFrame
-    with the Kafka record columns (SO4)."""
+    with the Kafka record columns (SO4), ``templates`` lists the template table."""
     spark = records.sparkSession
     ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "stream-" + os.path.basename(out_root.rstrip("/")))
     out = StreamOutputs(out_root)
-    w = records.writeStream.option("checkpointLocation", ckpt).foreachBatch(
-        lambda df, bid: process_batch(df, bid, templates, out, as_of)
-    )
+    w = records.writeStream.option("checkpointLocation", ckpt).foreachBatch(lambda df, bid: process_batch(df, bid, templates, out))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
@@ -78,7 +91,3 @@ def land_records(records: DataFrame, path: str, batch_col: str = "batch_id") ->
     """Write records as JSON-lines files, one folder per Kafka batch, for the
     offline file stream source (SO4 without the Kafka connector)."""
     records.write.mode("overwrite").partitionBy(batch_col).json(path)
-
-
-def results_table(spark: SparkSession, out_root: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(out_root, "results"))
