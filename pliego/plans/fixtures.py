@@ -291,6 +291,111 @@ def kafka_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kafka_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` in the row shape of Spark's Kafka source: the same messages as
+    bytes, padded beyond a base64 line; error events are not JSON."""
+    ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    text = F.concat(F.lit('{"metadata":{"id":'), F.col("event_id").cast("string"), F.lit(',"nota":"'), F.repeat(F.lit("ñandú "), 20), F.lit('"}}'))
+    text = F.when(F.col("event_type") == "error", F.lit(BAD_JSON)).otherwise(text)
+    header = F.struct(F.lit("origen").alias("key"), F.encode(F.lit("eventos"), "UTF-8").alias("value"))
+    return ev.select(
+        F.encode(F.concat(F.lit("request-"), F.col("event_id").cast("string")), "UTF-8").alias("key"),
+        F.encode(text, "UTF-8").alias("value"),
+        F.col("event_type").alias("topic"),
+        F.pmod(F.col("user_id"), F.lit(4)).cast("int").alias("partition"),
+        F.col("event_id").alias("offset"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.pmod(F.col("event_id"), F.lit(2)).cast("int").alias("timestampType"),
+        F.array(header).alias("headers"),
+    )
+
+
+# ------------------------------------- conversations as nested data ----
+
+
+def _json(c: Column) -> Column:
+    """A text as a JSON string."""
+    return F.substr(F.to_json(F.struct(c.alias("x"))), F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return t.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def nested_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, turn, data``: an object eight levels deep, lists in lists, a leaf
+    name that comes again, a null and a fraction."""
+    t = _turns(spark, sf_dir)
+    turn, role = F.col("turn").cast("string"), _json(F.col("role"))
+    data = F.concat(
+        F.lit('{"hoja":"primera","a":{"b":{"c":{"d":{"e":{"f":{"g":{"hoja":'), _json(F.col("text")), F.lit(',"n":'), turn,
+        F.lit('.50}}}}}}},"lista":[['), turn, F.lit(",["), role, F.lit(']],{"x":{"y":'), role, F.lit('}},null],"nada":null,"ok":true}'),
+    )
+    return t.select("conv_id", "turn", data.alias("data"))
+
+
+KIND_TEMPLATE = "{{#lista}}L:{{lista}};{{/lista}}{{#falso}}F:{{{falso}}};{{/falso}}{{^no}}N{{/no}}{{#objeto}}{{objeto}}{{/objeto}}{{=<% %>=}}<%& lista %>|<% vacio %>"
+
+
+def text_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _turns(spark, sf_dir)
+    data = F.concat(
+        F.lit('{"lista":'), _json(F.concat(F.lit("[urgente] "), F.col("role"))), F.lit(',"falso":"false","no":false,"objeto":'),
+        _json(F.concat(F.lit("{"), F.col("turn").cast("string"), F.lit("}"))), F.lit(',"vacio":[]}'),
+    )
+    return t.select("conv_id", "turn", data.alias("data"))
+
+
+def data_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``msg_id, raw``: a plain-text document whose data node is, by turn, an
+    object, a text that looks like one, a list, or null."""
+    t = _turns(spark, sf_dir)
+    data = _pick(['{"a":"b"}', '"{\\"a\\":\\"b\\"}"', '[{"a":"b"}]', "null"], F.pmod(F.col("turn"), F.lit(4)))
+    raw = F.concat(
+        F.lit('{"data":{"item_canonico":{"outputs":[{"type":"o","composicion":[{"type":"template","metadata":{"resource":{"output_format":"txt","location":"orden.html","data":'),
+        data, F.lit("}}}]}]}}}"),
+    )
+    return t.select(F.concat_ws("-", "conv_id", "turn").alias("msg_id"), raw.alias("raw"))
+
+
+def image_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images twice (the last counts), as a text that looks like an object, nested, or null."""
+    t = _turns(spark, sf_dir)
+    data = _pick(
+        ['{"images":{"logo":"x"},"images":{"logo":"y"}}', '{"images":"{\\"logo\\":\\"x\\"}"}', '{"images":{"logo":{"a":"b"}}}', '{"images":{"logo":"z","otro":null}}', '{"images":null}'],
+        F.pmod(F.col("turn"), F.lit(5)),
+    )
+    return t.select("conv_id", "turn", data.alias("data"))
+
+
+# ------------------------------------------------ a template for each page ----
+
+
+def page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template table with one row per page, under a name without a known suffix;
+    every tenth is malformed."""
+    p = table(spark, sf_dir, "pages", "page_id")
+    number = F.col("page_id").cast("string")
+    good = F.concat(F.lit("<h1>{{titulo}}</h1>{{#lista}}<li>{{x}}</li>{{/lista}}<p>P"), number, F.lit(" {{{titulo}}}</p>"))
+    bad = F.concat(F.lit("<p>P"), number, F.lit("{{#lista}}{{x}}</p>"))
+    return p.select(
+        F.lit("packaged").alias("source"), F.concat(F.lit("templates/paginas/"), number, F.lit(".tpl")).alias("key"),
+        F.when(F.pmod(F.col("page_id"), F.lit(10)) == 3, bad).otherwise(good).alias("content"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("fetched_at"),
+    )
+
+
+def page_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages", "page_id", "url")
+    number = F.col("page_id").cast("string")
+    raw = F.concat(
+        F.lit('{"data":{"item_canonico":{"outputs":[{"type":"o","composicion":[{"type":"template","metadata":{"resource":{"output_format":"html","location":"paginas/'), number,
+        F.lit('.tpl","data":{"titulo":'), _json(F.coalesce("url", F.lit(""))), F.lit(',"lista":[{"x":'), number, F.lit('},{"x":"a&b"}]}}}}]}]}}}'),
+    )
+    return p.select(F.concat(F.lit("p"), number).alias("msg_id"), raw.alias("raw"))
+
+
 # ---------------------------------------------------- template requests ----
 
 

@@ -10,13 +10,29 @@ restated here as SQL.
 from __future__ import annotations
 
 import base64
+import re
 
 from .. import errors as E
-from ..operators.mustache import HTML_ESCAPES, parse
 from . import fixtures as FX
 from .queries import AS_OF, DOCS_BUCKET, DOCS_PREFIX, LANDED_ROOTS, PACKAGED_ROOT
 
 
+# Fixed values, restated here so that a wrong entry in the package shows.
+HTML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"), ("`", "&#96;"), ("=", "&#61;")]
+CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+BASE32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+CONTENT_TYPES_BY_EXTENSION = {
+    "pdf": "application/pdf",
+    "html": "text/html",
+    "htm": "text/html",
+    "txt": "text/plain",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "odt": "application/vnd.oasis.opendocument.text",
+    "doc": "application/msword",
+}
+OCTET_STREAM = "application/octet-stream"
+
+
 def lit(s) -> str:
     if s is None:
         return "NULL"
@@ -115,10 +131,8 @@ def file_ext(u: str) -> str:
 
 
 def content_type(u: str) -> str:
-    from ..functions.formats import CONTENT_TYPES, OCTET_STREAM
-
     e = f"lower({file_ext(u)})"
-    return "(CASE " + " ".join(f"WHEN {e} = {lit(k)} THEN {lit(v)}" for k, v in CONTENT_TYPES) + f" ELSE {lit(OCTET_STREAM)} END)"
+    return "(CASE " + " ".join(f"WHEN {e} = {lit(k)} THEN {lit(v)}" for k, v in CONTENT_TYPES_BY_EXTENSION.items()) + f" ELSE {lit(OCTET_STREAM)} END)"
 
 
 def path_unsafe(u: str) -> str:
@@ -139,8 +153,6 @@ def resolve_format(f: str) -> str:
 
 
 def b32(n: str, width: int) -> str:
-    from ..functions.keys import BASE32_DIGITS, CROCKFORD
-
     return f"translate(lpad(to_base({n}, 32), {width}, '0'), {lit(BASE32_DIGITS)}, {lit(CROCKFORD)})"
 
 
@@ -242,9 +254,11 @@ comp2 AS (
   SELECT *,
     CASE WHEN comp_type <> 'template' THEN NULL WHEN location = {lit(NO_DOWNLOADER)} THEN 'E6'
          WHEN location = 'templates/desconocido.html' AND format <> 'txt' THEN 'E6'
+         WHEN location = 'templates/orden.html' AND format = 'pdf' THEN 'E6'
          WHEN format = 'pdf' AND image = '!!notbase64' THEN 'E7' END AS render_code,
     CASE WHEN comp_type <> 'template' THEN NULL WHEN location = {lit(NO_DOWNLOADER)} THEN {lit(E6_FTP)}
          WHEN location = 'templates/desconocido.html' AND format <> 'txt' THEN 'Template not found: templates/desconocido.html'
+         WHEN location = 'templates/orden.html' AND format = 'pdf' THEN 'Template not found: templates/orden.html'
          WHEN format = 'pdf' AND image = '!!notbase64' THEN {lit(E.E7_BAD_IMAGE)} END AS render_msg
   FROM comp),
 msgs AS (
@@ -300,6 +314,36 @@ ROOT_SCOPE = {
 }
 
 
+def read_template(source: str) -> list[tuple]:
+    """(kind, text or name, children) of a template with plain tags only."""
+    tokens = re.split(r"(\{\{\{.*?\}\}\}|\{\{.*?\}\})", source, flags=re.S)
+
+    def block(until: str | None) -> list[tuple]:
+        out = []
+        while tokens:
+            t = tokens.pop(0)
+            if not t.startswith("{{"):
+                if t:
+                    out.append(("text", t, []))
+                continue
+            inner = t.strip("{}").strip()
+            name = inner.lstrip("#^/&!").strip()
+            if t.startswith("{{{") or inner.startswith("&"):
+                out.append(("raw", name, []))
+            elif inner.startswith("!"):
+                continue
+            elif inner.startswith("/"):
+                assert name == until
+                return out
+            elif inner[0] in "#^":
+                out.append(("section" if inner[0] == "#" else "inverted", name, block(name)))
+            else:
+                out.append(("var", name, []))
+        return out
+
+    return block(None)
+
+
 def _esc(e: str) -> str:
     for ch, rep in HTML_ESCAPES:
         e = f"replace({e}, {lit(ch)}, {lit(rep)})"
@@ -315,28 +359,28 @@ def _find(stack: list[dict], name: str):
 
 def _render(nodes, stack: list[dict], depth: int = 0) -> str:
     parts = []
-    for n in nodes:
-        if n.kind == "text":
-            parts.append(lit(n.value))
+    for kind, value, children in nodes:
+        if kind == "text":
+            parts.append(lit(value))
             continue
-        v = _find(stack, n.value)
-        if n.kind in ("var", "raw"):
+        v = _find(stack, value)
+        if kind in ("var", "raw"):
             if v is None or isinstance(v, tuple):
                 parts.append("''")
             else:
-                parts.append(f"coalesce({_esc(v) if n.kind == 'var' else v}, '')")
+                parts.append(f"coalesce({_esc(v) if kind == 'var' else v}, '')")
         elif isinstance(v, tuple):  # list section / inverted
             lst, fields = v
-            if n.kind == "inverted":
-                parts.append(f"(CASE WHEN len({lst}) = 0 THEN {_render(n.children, stack, depth)} ELSE '' END)")
+            if kind == "inverted":
+                parts.append(f"(CASE WHEN len({lst}) = 0 THEN {_render(children, stack, depth)} ELSE '' END)")
             else:
                 it = f"it{depth}"
-                inner = _render(n.children, stack + [{f: f"{it}.{f}" for f in fields}], depth + 1)
+                inner = _render(children, stack + [{f: f"{it}.{f}" for f in fields}], depth + 1)
                 parts.append(f"coalesce(array_to_string(list_transform({lst}, lambda {it}: {inner}), ''), '')")
         else:
-            truthy = "false" if v is None else f"({v} IS NOT NULL AND {v} <> '' AND {v} <> 'false')"
-            body = _render(n.children, stack + [{".": v}] if v is not None else stack, depth)
-            if n.kind == "inverted":
+            truthy = "false" if v is None else f"({v} IS NOT NULL AND {v} <> '')"
+            body = _render(children, stack + [{".": v}] if v is not None else stack, depth)
+            if kind == "inverted":
                 parts.append(f"(CASE WHEN NOT {truthy} THEN {body} ELSE '' END)")
             else:
                 parts.append(f"(CASE WHEN {truthy} THEN {body} ELSE '' END)")
@@ -368,14 +412,16 @@ def html_body() -> str:
         "http@https://cdn.example.com/t/aviso.html": src[("http", "cdn.example.com/t/aviso.html")],
     }
     branches = " ".join(
-        f"WHEN location = {lit(loc)} THEN {_render(parse(s), [ROOT_SCOPE])}" for loc, s in by_location.items()
+        f"WHEN location = {lit(loc)} THEN {_render(read_template(s), [ROOT_SCOPE])}" for loc, s in by_location.items()
     )
     return f"(CASE {branches} END)"
 
 
-FOUND = "location IN ('orden.html', 'reporte.html', 'templates/orden.html', " + ", ".join(
-    lit(x) for x in FX.GOOD_LOCATIONS[2:5]
-) + ")"
+# A path in the package folder; one in the package root only for formats other than PDF; a landed URI.
+FOUND = (
+    f"(location IN ('orden.html', 'reporte.html', {', '.join(lit(x) for x in FX.GOOD_LOCATIONS[2:5])}) "
+    f"OR location = 'templates/orden.html' AND {resolve_format('output_format')} <> 'pdf')"
+)
 
 KEY = "msg_id, output_pos, comp_pos"
 
@@ -403,7 +449,8 @@ def uri_sql(*exprs: tuple[str, str], where: str = "") -> str:
 
 KAFKA = """krec AS (
   SELECT event_id // 10 AS batch_id, event_type AS topic, CAST(user_id % 4 AS BIGINT) AS partition,
-    event_id AS "offset", 'request-' || event_id AS key, event_type, user_id
+    event_id AS "offset", 'request-' || event_id AS key, event_type, user_id,
+    '{"evento":"' || event_type || '","valor":"' || CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) || '","usuario":' || user_id || '}' AS data
   FROM events),
 kpos AS (
   SELECT *, CAST(dense_rank() OVER (PARTITION BY batch_id ORDER BY topic || '-' || partition) - 1 AS BIGINT) AS tp_pos,
@@ -453,7 +500,8 @@ def oracle_sql() -> dict[str, str]:
     classify_status = "CAST(CASE WHEN error_code = 'E6' THEN 404 ELSE 400 END AS BIGINT)"
     location = f"'fs@/temp/' || doc_id || '.' || coalesce(output_format, 'null')"
     catalog_name = "doc_id || '.' || coalesce(output_format, 'null')"
-    size = "CAST(CASE WHEN format = 'pdf' THEN 0 ELSE strlen(CASE WHEN format = 'txt' THEN tbody ELSE hbody END) END AS BIGINT)"
+    body = "CASE WHEN format = 'txt' THEN tbody WHEN format = 'html' THEN hbody END"
+    size = f"CAST(strlen({body}) AS BIGINT)"
     bodies = f"(SELECT *, {text_body()} AS tbody FROM docs) b"
     bodies_html = f"(SELECT *, {html_body()} AS hbody FROM {bodies}) bb"
     data_keys = "nombre, empresa, monto, fecha, codigo, cantidad, items, cliente, images"
@@ -466,8 +514,34 @@ def oracle_sql() -> dict[str, str]:
     les = [512, 1024, 2048, 4096, 8192]
     hist = " UNION ALL ".join(
         f"SELECT '{le}' AS le, count(*) FILTER (WHERE sz <= {le}) AS documents FROM sized" for le in les
-    ) + " UNION ALL SELECT '+Inf' AS le, count(*) AS documents FROM sized"
-    sized = f"sized AS (SELECT {size} AS sz FROM {bodies_html} WHERE format <> 'pdf')"
+    ) + " UNION ALL SELECT '+Inf' AS le, count(sz) AS documents FROM sized"
+    sized = f"sized AS (SELECT {size} AS sz FROM {bodies_html})"
+
+    local = f"CASE WHEN format <> 'pdf' THEN {location} END"
+    event_body = (
+        f"md5(repeat('=', 60) || {NL} || 'PLAIN TEXT DOCUMENT GENERATOR' || {NL} || repeat('=', 60) || {NL} || {NL} || 'Template: orden.html' || {NL} || {NL} || "
+        f"'Data:' || {NL} || repeat('-', 60) || {NL} || " + " || ".join(f"printf('%-20s : %s', {lit(k)}, {v}) || {NL}" for k, v in (
+            ("evento", "event_type"), ("valor", "CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR)"), ("usuario", "CAST(user_id AS VARCHAR)"))
+        ) + f" || repeat('-', 60) || {NL})"
+    )
+    # echoed message: every composition of a successful one, static ones too
+    echo = (
+        f"WITH {COMP} SELECT c.msg_id, c.output_pos, c.comp_pos, c.msg_id AS meta_id, strftime(o.o_orderdate, '%Y-%m-%d') AS meta_fecha, "
+        "o.o_custkey AS cliente_id, 'tpch' AS producto, c.priority AS subproducto, c.l_orderkey AS orden, CAST(NULL AS VARCHAR) AS callback, "
+        "c.output_type, 'plantilla' AS template, c.comp_type, c.output_format, c.location AS template_path, "
+        + ", ".join(f"CASE WHEN c.l_quantity <> 50 THEN {v} END AS {k}" for k, v in (
+            ("nombre", "c.c_name"), ("monto", "c.monto"), ("cantidad", "CAST(c.cantidad AS BIGINT)"), ("impuesto", "c.impuesto"), ("nacion", "c.n_name"), ("logo", "c.image")))
+        + ", CASE WHEN c.comp_type = 'template' AND c.format <> 'pdf' THEN 'fs@/temp/' || d.doc_id || '.' || coalesce(c.output_format, 'null') END AS result_location "
+        "FROM comp2 c JOIN status s ON c.msg_id = s.msg_id JOIN orders o ON o.o_orderkey = c.l_orderkey "
+        "LEFT JOIN docs d ON d.msg_id = c.msg_id AND d.output_pos = c.output_pos AND d.comp_pos = c.comp_pos WHERE s.error_code IS NULL"
+    )
+    turns = "(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations) t"
+    js = lambda x: f"to_json({x})"
+
+    def deep(null_text):
+        lista = f"'[{{\"lista\":[{{\"lista\":\"' || turn || '\"}},{{\"lista\":[{{\"lista\":' || {js('role')} || '}}]}}]}},{{\"y\":' || {js('role')} || '}},{{\"lista\":\"{null_text}\"}}]'"
+        pairs = (("hoja", "text"), ("n", "turn || '.5'"), ("lista", lista), ("nada", lit(null_text)), ("ok", "'true'"))
+        return " UNION ALL ".join(f"SELECT conv_id, turn, {lit(k)} AS name, {v} AS value FROM {turns}" for k, v in pairs)
 
     def ctx_rows(null_text):
         items = (
@@ -484,16 +558,14 @@ def oracle_sql() -> dict[str, str]:
         )
         return f"WITH {COMP}, d AS (SELECT * FROM docs WHERE format = 'pdf') {sel}{img}"
 
-    def b64len(v):
-        import base64 as b
+    def b64_bytes(v):
+        """The payload's bytes in canonical base64."""
         try:
-            return len(b.b64decode(v + "=" * (-len(v) % 4), validate=True))
+            return base64.b64encode(base64.b64decode(v + "=" * (-len(v) % 4), validate=True)).decode()
         except Exception:
-            return 0
+            return None
 
-    img_bytes = "CASE " + " ".join(
-        f"WHEN l_partkey % {len(FX.IMAGE_CYCLE)} = {i} THEN {0 if v is None else b64len(v)}" for i, v in enumerate(FX.IMAGE_CYCLE)
-    ) + " END"
+    logo = case_pick([None if v is None else b64_bytes(v) for v in FX.IMAGE_CYCLE], f"(l_partkey % {len(FX.IMAGE_CYCLE)})")
 
     st2 = (
         f"WITH RECURSIVE r AS (SELECT uri, ts, row_number() OVER (PARTITION BY uri ORDER BY ts, event_id) AS rn FROM ({treq})), "
@@ -509,21 +581,51 @@ def oracle_sql() -> dict[str, str]:
         "st1_run_stream": (
             "SELECT event_type AS topic, CAST(user_id % 4 AS BIGINT) AS partition, event_id AS \"offset\", "
             "event_type = 'purchase' AS ok, CASE WHEN event_type = 'purchase' THEN NULL WHEN event_type = 'error' THEN 'E11' "
-            "ELSE 'E1' END AS error_code FROM events"
+            f"ELSE 'E1' END AS error_code, CASE WHEN event_type = 'purchase' THEN {event_body} END AS body, "
+            "CASE WHEN event_type = 'purchase' THEN true END AS responded, CASE WHEN event_type <> 'purchase' THEN true END AS failed, "
+            "count(*) OVER () AS processed, CAST(count(*) FILTER (event_type = 'purchase') OVER () AS BIGINT) AS success, "
+            "CAST(count(*) FILTER (event_type <> 'purchase') OVER () AS BIGINT) AS failure FROM events"
         ),
         "st2_template_fetch_state": st2,
-        "sk1_write_documents": docs_sql(
-            f"{KEY}, {obj_key} AS object_key, 's3@:{DOCS_BUCKET}/' || {obj_key} AS repository_path, "
-            f"'s3@:{DOCS_BUCKET}/' || {obj_key} AS result_location", "WHERE format <> 'pdf'"
+        "sk1_write_documents": (
+            f"WITH {COMP}, b AS (SELECT *, {body} AS body, format <> 'pdf' AND comp_pos % 2 = 0 AS stored FROM {bodies_html}) "
+            f"SELECT {KEY}, CASE WHEN stored THEN {obj_key} END AS object_key, CASE WHEN stored THEN 's3@:{DOCS_BUCKET}/' || {obj_key} END AS repository_path, "
+            f"CASE WHEN stored THEN md5(body) END AS body, CASE WHEN stored THEN 's3@:{DOCS_BUCKET}/' || {obj_key} ELSE {local} END AS result_location FROM b"
+        ),
+        "sk2_write_local_copy": f"WITH {COMP} SELECT {KEY}, {location} AS result_location, md5({body}) AS body FROM {bodies_html} WHERE format <> 'pdf'",
+        "sk3_write_responses": status_sql("CAST(NULL AS VARCHAR) AS key, msg_id", "WHERE error_code IS NULL"),
+        "sk4_write_responses_keyed": f"SELECT msg_id, output_pos, comp_pos, meta_id, nombre, result_location FROM ({echo})",
+        "rs6_flatten_deep": deep(""),
+        "rs8_flatten_deep": deep("null"),
+        "rn8_text_deep": (
+            f"SELECT conv_id, turn, repeat('=', 60) || {NL} || 'PLAIN TEXT DOCUMENT GENERATOR' || {NL} || repeat('=', 60) || {NL} || {NL} || 'Template: orden.html' || {NL} || {NL} || "
+            f"'Data:' || {NL} || repeat('-', 60) || {NL} || " + " || ".join(f"rpad({lit(k)}, 20, ' ') || ' : ' || {v} || {NL}" for k, v in (
+                ("hoja", "'primera'"), ("a", "'{b={c={d={e={f={g={hoja=' || text || ', n=' || turn || '.5}}}}}}}'"),
+                ("lista", "'[[' || turn || ', [' || role || ']], {x={y=' || role || '}}, null]'"), ("nada", "'null'"), ("ok", "'true'"))
+            ) + f" || repeat('-', 60) || {NL} AS body FROM {turns}"
+        ),
+        "rn4_text_kinds": (
+            "SELECT conv_id, turn, 'L:' || " + _esc("('[urgente] ' || role)") + " || ';F:false;N{' || turn || '}[urgente] ' || role || '|[]' AS body " f"FROM {turns}"
+        ),
+        "v3_data_kinds": (
+            f"SELECT conv_id || '-' || turn AS msg_id, turn % 4 = 0 AS ok, CASE turn % 4 WHEN 1 THEN 'E4b' WHEN 2 THEN 'E4b' WHEN 3 THEN 'E4' END AS error_code, "
+            f"CASE turn % 4 WHEN 1 THEN {lit(E.DATA_NOT_OBJECT)} WHEN 2 THEN {lit(E.DATA_NOT_OBJECT)} WHEN 3 THEN {lit(E.E4_EMPTY_DATA)} END AS error_message FROM {turns}"
+        ),
+        "rs4_image_kinds": (
+            f"SELECT conv_id, turn, CAST(CASE turn % 5 WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS n_images, CASE turn % 5 WHEN 0 THEN 'y' WHEN 3 THEN 'z' END AS logo FROM {turns}"
+        ),
+        "rn6_many_templates": (
+            "SELECT 'p' || page_id AS msg_id, page_id % 10 <> 3 AS ok, CASE WHEN page_id % 10 = 3 THEN 'E8' END AS error_code, "
+            "CASE WHEN page_id % 10 = 3 THEN 'Failed to generate HTML document: Failed to close ''lista'' tag' END AS error_message, "
+            "CASE WHEN page_id % 10 <> 3 THEN '<h1>' || " + _esc("coalesce(url, '')") + " || '</h1><li>' || page_id || '</li><li>a&amp;b</li><p>P' || page_id || ' ' || coalesce(url, '') || '</p>' END AS body FROM pages"
         ),
-        "sk4_write_responses_keyed": status_sql("msg_id, true AS has_value", "WHERE error_code IS NULL"),
         "rs6_flatten_context": ctx_rows(""),
         "rs8_flatten_context_json": ctx_rows("null"),
-        "rn7_pdf_context": docs_sql(
-            f"{KEY}, CAST(CASE WHEN image IS NULL THEN 9 ELSE 9 END AS BIGINT) AS fields, "
-            f"CASE WHEN image IS NULL THEN '' ELSE 'image_pr_logo' END AS images, "
-            f"CAST(coalesce({img_bytes}, 0) AS BIGINT) AS logo_bytes",
-            "WHERE format = 'pdf'",
+        "rn7_pdf_context": (
+            f"SELECT c.msg_id, c.output_pos, c.comp_pos, c.context, CASE WHEN d.image IS NULL THEN '' ELSE 'image_pr_logo' END AS images, "
+            f"{logo} AS logo FROM "
+            f"(SELECT {KEY}, string_agg(name || '=' || value, ';' ORDER BY name) AS context FROM ({ctx_rows('')}) GROUP BY {KEY}) c "
+            f"JOIN ({docs_sql('*')}) d ON d.msg_id = c.msg_id AND d.output_pos = c.output_pos AND d.comp_pos = c.comp_pos"
         ),
         "fn01_resolve_format": (
             f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, raw_format, {resolve_format('raw_format')} AS format, "
@@ -535,10 +637,9 @@ def oracle_sql() -> dict[str, str]:
         "fn04_is_local": uri_sql(("is_local", f"(NOT {is_blank(u)} AND NOT {has_protocol(u)})")),
         "fn05_template_protocol": uri_sql(("protocol", protocol(u))),
         "fn06_parse_s3_uri": uri_sql(
-            ("host", f"CASE WHEN {i} > 0 THEN substr({s3_rest}, 1, {i} - 1) END"),
-            ("key", f"CASE WHEN {i} > 0 THEN substr({s3_rest}, {i} + 1) END"),
-            ("ok", f"{i} > 0"),
-            where="WHERE starts_with(uri, 's3@')",
+            ("host", f"CASE WHEN starts_with(uri, 's3@') AND {i} > 0 THEN substr({s3_rest}, 1, {i} - 1) END"),
+            ("key", f"CASE WHEN starts_with(uri, 's3@') AND {i} > 0 THEN substr({s3_rest}, {i} + 1) END"),
+            ("ok", f"coalesce(starts_with(uri, 's3@') AND {i} > 0, false)"),
         ),
         "fn07_strip_protocol": uri_sql(("stripped",
             "CASE WHEN starts_with(uri, 'fs@') THEN substr(uri, 4) WHEN starts_with(uri, 'http@') THEN substr(uri, 6) "
@@ -594,7 +695,18 @@ def oracle_sql() -> dict[str, str]:
         "so2_explode_kafka_batch": f"WITH {KAFKA} SELECT batch_id, tp_pos, rec_pos, topic, partition, \"offset\", key FROM kpos",
         "so3_decode_record": (
             f"WITH {KAFKA} SELECT batch_id, \"offset\", event_type <> 'error' AS decode_ok, "
-            f"CASE WHEN event_type = 'error' THEN {e11} END AS decode_error FROM kpos"
+            f"CASE WHEN event_type = 'error' THEN {e11} END AS decode_error, "
+            "CASE WHEN event_type = 'error' AND user_id % 2 = 0 THEN NULL WHEN event_type = 'error' THEN '{bad json' "
+            "WHEN event_type = 'purchase' THEN '{\"metadata\":{\"id\":' || \"offset\" || '},\"data\":{\"item_canonico\":{\"outputs\":[{\"type\":\"evento\",\"composicion\":"
+            "[{\"type\":\"template\",\"metadata\":{\"resource\":{\"output_format\":\"txt\",\"location\":\"orden.html\",\"data\":' || data || '}}}]}]}}}' "
+            "ELSE '{\"templatePath\":\"orden.html\",\"data\":' || data || '}' END AS raw FROM kpos"
+        ),
+        "so4_decode_binary": (
+            "SELECT event_type AS topic, CAST(user_id % 4 AS BIGINT) AS partition, event_id AS \"offset\", "
+            "CASE event_id % 2 WHEN 0 THEN 'CREATE_TIME' ELSE 'LOG_APPEND_TIME' END AS \"timestampType\", 'request-' || event_id AS key, CAST(1 AS BIGINT) AS headers, "
+            "event_type <> 'error' AS decode_ok, CASE WHEN event_type = 'error' THEN printf('Record Topic %s, Key %s, Offset %d: %s', event_type, "
+            f"'request-' || event_id, event_id, {lit(CAUSE_JSON)}) END AS decode_error, "
+            "CASE WHEN event_type = 'error' THEN '{bad json' ELSE '{\"metadata\":{\"id\":' || event_id || ',\"nota\":\"' || repeat('ñandú ', 20) || '\"}}' END AS raw FROM events"
         ),
         "v1_check_structure": (
             f"WITH {LINES} SELECT DISTINCT msg_id, CASE kind WHEN 'E1' THEN 'E1' WHEN 'E2' THEN 'E2' END AS error_code, "
@@ -614,7 +726,11 @@ def oracle_sql() -> dict[str, str]:
             f"CASE WHEN {has_protocol(u)} AND {protocol(u)} IS NULL THEN "
             f"'Template not found: Failed to download template: No downloader found for URI: ' || uri || "
             f"'. Supported protocols: [s3@, fs@, http]' END")),
-        "v8_check_result_counts": "SELECT 'none' AS msg_id, CAST(0 AS BIGINT) AS templates, CAST(0 AS BIGINT) AS results WHERE false",
+        "v8_check_result_counts": (
+            f"WITH {COMP}, n AS (SELECT msg_id, count(*) AS templates, count(*) FILTER (NOT (l_orderkey % 7 = 0 AND comp_pos = 1)) "
+            "+ count(*) FILTER (l_orderkey % 11 = 0 AND comp_pos = 0) AS results FROM docs GROUP BY msg_id) "
+            f"SELECT msg_id, templates, CAST(results AS BIGINT) AS results, 'E9' AS error_code, printf({lit(E.E9_RESULTS_COUNT)}, results, templates) AS error_message FROM n WHERE templates <> results"
+        ),
         "v9_message_status": status_sql("msg_id, error_code IS NULL AS ok, error_code, error_message"),
         "v10_classify_error": status_sql(
             f"msg_id, {classify} AS error, {classify_msg} AS message, {classify_status} AS status", "WHERE error_code IS NOT NULL"
@@ -639,7 +755,7 @@ def oracle_sql() -> dict[str, str]:
             f"CAST(CASE WHEN l_quantity = 50 THEN 0 ELSE 9 END AS BIGINT) AS data_fields, "
             f"(l_quantity <> 50 AND image IS NOT NULL) AS has_images, false AS persist FROM l5"
         ),
-        "rs10_collate_results": docs_sql(f"{KEY}, location AS template_path, {location} AS result_location"),
+        "rs10_collate_results": echo,
         "rs13_request_from_flat": f"WITH {LINES} SELECT DISTINCT msg_id, 'orden.html' AS template_path, true AS is_local FROM pos WHERE kind = 'E1'",
         "j1_resolve_templates": templ_sql(f"{KEY}, location AS template_path, {resolve_format('output_format')} AS format, coalesce({FOUND}, false) AS template_found"),
         "j2_missing_templates": templ_sql(f"{KEY}, location AS template_path", f"NOT coalesce({FOUND}, false)"),
@@ -658,8 +774,7 @@ def oracle_sql() -> dict[str, str]:
             f"AND c.fetched_at <= r.ts AND epoch_us(r.ts) - epoch_us(c.fetched_at) < 7200000000 GROUP BY r.event_id, r.uri"
         ),
         "st3_evict_expired": (
-            f"SELECT uri, {ts_text('ts')} AS fetched_at, event_id FROM ({treq}) WHERE event_type = 'signup' "
-            f"AND epoch_us(ts) > epoch_us(TIMESTAMP '2024-01-30 12:00:00') - 7200000000"
+            f"SELECT uri, {ts_text('ts')} AS fetched_at, event_id FROM ({treq}) WHERE epoch_us(ts) > (SELECT max(epoch_us(ts)) FROM events) - 7200000000"
         ),
         "a2_record_count": "SELECT event_id // 10 AS batch_id, count(*) AS records FROM events GROUP BY 1",
         "a3_outputs_per_message": (
@@ -682,19 +797,16 @@ def oracle_sql() -> dict[str, str]:
         ),
         "rn6_render_html": f"WITH {COMP} SELECT {KEY}, location AS template_path, hbody AS body FROM {bodies_html} WHERE format = 'html'",
         "rn8_render_text": docs_sql(f"{KEY}, location AS template_path, {text_body()} AS body", "WHERE format = 'txt'"),
-        "rn10_render_report": (
-            f"WITH {COMP} SELECT location AS template_path, count(*) AS documents, "
-            f"sum(CAST(strlen(CASE WHEN format = 'txt' THEN tbody ELSE hbody END) AS BIGINT)) AS bytes "
-            f"FROM {bodies_html} WHERE format <> 'pdf' GROUP BY 1"
-        ),
+        "rn10_render_report": f"WITH {COMP} SELECT location AS template_path, count(*) AS documents, CAST(sum({size}) AS BIGINT) AS bytes FROM {bodies_html} GROUP BY 1",
         "rn11_generate_documents": (
-            f"WITH {COMP}, n AS (SELECT msg_id, count(*) AS documents FROM docs GROUP BY 1) "
-            f"SELECT s.msg_id, s.error_code IS NULL AS ok, s.error_code, CAST(coalesce(n.documents, 0) AS BIGINT) AS documents "
-            f"FROM status s LEFT JOIN n ON s.msg_id = n.msg_id"
+            f"WITH {COMP}, n AS (SELECT msg_id, count(*) FILTER (format <> 'pdf') AS documents, count(*) FILTER (format = 'pdf') AS pending, "
+            f"md5(string_agg(CASE WHEN format = 'pdf' THEN '' ELSE {location} || ' ' || md5({body}) END, '|' ORDER BY output_pos, comp_pos)) AS bodies FROM {bodies_html} GROUP BY 1) "
+            "SELECT s.msg_id, s.error_code IS NULL AS ok, s.error_code, CAST(coalesce(n.documents, 0) AS BIGINT) AS documents, CAST(coalesce(n.pending, 0) AS BIGINT) AS pending, "
+            "CASE WHEN s.error_code IS NULL THEN CAST(coalesce(n.documents, 0) AS BIGINT) END AS locations, n.bodies FROM status s LEFT JOIN n ON s.msg_id = n.msg_id"
         ),
         "sk6_document_catalog": (
             f"WITH {COMP} SELECT {KEY}, {catalog_name} AS original_filename, {size} AS file_size, '2024-02-01' AS generated_date, "
             f"CASE WHEN {file_ext(catalog_name)} <> '' THEN {file_ext(catalog_name)} END AS file_type, "
-            f"{content_type(catalog_name)} AS content_type FROM {bodies_html}"
+            f"{content_type(catalog_name)} AS content_type FROM {bodies_html} WHERE format <> 'pdf'"
         ),
     }

@@ -4,16 +4,22 @@
     -> resolve templates (J1, measured broadcast) -> render (RN1-RN9)
     -> per-message status (V9) -> collate in-row (RS10)
 
-Shuffles: the template join only when the template table is too big to
-broadcast, and the group-by of *failed* requests by message (small) with its
-join back to messages and documents (AQE turns it into a broadcast when the
-failures are few). Document locations are derived from ``as_of`` and the
-request key, so a rerun of the same batch names the same files.
+A template table whose keys the driver may list (ids and parse errors, never
+contents) lets every check run inside the message row; a larger one is joined.
+Both give the same rows. Shuffles: the template join only when the template
+table is too big to broadcast, and beyond the listing limit the group-by of
+*failed* requests by message (small) with its join back. Document locations are
+derived from ``as_of`` and the request key, so a rerun of the same batch names
+the same files.
+
+A message is ok when every document has a body or is explicitly pending (PDF
+without a registered converter); only documents with a body get a location.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,16 +28,7 @@ from .. import errors as E
 from ..functions import document_filename, has_protocol, local_location, sanitize_path, sortable_id
 from ..operators.collate import collated_response
 from ..operators.lookup import BROADCAST_LIMIT_BYTES, resolve_templates
-from ..operators.mustache import TemplateError, context_columns, html_escape, parse, printable
-from ..operators.render import (
-    CACHE_DIR,
-    RENDERERS,
-    compile_html_templates,
-    html_context,
-    pdf_images_error,
-    render_text_column,
-    route_format,
-)
+from ..operators.render import CACHE_DIR, RENDERERS, pdf_images_error, pending_formats, rendered, route_format, template_error
 from ..operators.reshape import extract_images, flatten_outputs, only_templates, project_request
 from ..operators.validate import is_template, validate_messages
 from ..sources.templates import lookup_keys
@@ -40,16 +37,14 @@ from ..session import configure
 from ..sources.messages import parse_messages
 
 TEMP_DIR = "/temp"
-MAX_COMPILED_TEMPLATES = 256
+# Template keys that the driver lists at most; beyond, resolution is a join.
 MAX_TEMPLATE_KEYS = 10_000
-MAX_COMPILED_BYTES = 16 * 1024 * 1024
-HTML_SUFFIXES = (".html", ".htm", ".mustache", ".txt")
 
 
 @dataclass
 class Generation:
-    messages: DataFrame  # msg_id, ok, error_code, error_message, response, documents
-    documents: DataFrame  # one row per generated document of a successful message
+    messages: DataFrame  # msg_id, ok, error_code, error_message, response, documents, pending
+    documents: DataFrame  # one row per document of a successful message, pending ones too
     requests: DataFrame  # every template request of messages that passed mapping
 
 
@@ -69,52 +64,17 @@ def _template_id(source: Column, key: Column) -> Column:
     return F.concat(source, F.lit("|"), key)
 
 
-def _html_key(key: Column) -> Column:
-    return F.lower(key).rlike("(" + "|".join(x.replace(".", r"\.") for x in HTML_SUFFIXES) + ")$")
+def template_listing(templates: DataFrame, key_limit: int = MAX_TEMPLATE_KEYS) -> tuple[list[str], dict[str, str]] | None:
+    """(all template ids, {id: why its content cannot be parsed}).
 
-
-def template_listing(templates: DataFrame, key_limit: int | None = None) -> tuple[list[str], list[tuple[str, str]]] | None:
-    """(all template ids, [(id, source)] of the HTML templates to compile).
-
-    One aggregate job measures the table (keys, HTML count and bytes); only
-    when it is within the limits does one more job bring ids and HTML
-    sources to the driver. None when there are too many keys to list (the
-    caller then resolves templates with a join).
+    One aggregate job counts the keys; only within the limit does one more job
+    bring the ids to the driver, after executors parsed each content. None when
+    there are too many keys to list (the caller then resolves with a join).
     """
-    key_limit = MAX_TEMPLATE_KEYS if key_limit is None else key_limit
-    is_html = _html_key(F.col("key"))
-    stats = templates.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(is_html).alias("h"),
-        F.coalesce(F.sum(F.when(is_html, F.octet_length("content"))), F.lit(0)).alias("b"),
-    ).first()
-    if stats["n"] > key_limit:
+    if templates.count() > key_limit:
         return None
-    if stats["h"] > MAX_COMPILED_TEMPLATES or stats["b"] > MAX_COMPILED_BYTES:
-        raise ValueError(
-            f"{stats['h']} templates / {stats['b']} bytes exceed the compile limits; "
-            "render them with the partitioned interpreter instead"
-        )
-    rows = templates.select(
-        _template_id(F.col("source"), F.col("key")).alias("tid"), F.when(is_html, F.col("content")).alias("content"), is_html.alias("html")
-    ).collect()
-    ids = sorted(r["tid"] for r in rows)
-    compiled = []
-    for r in rows:
-        if not r["html"]:
-            continue
-        try:
-            parse(r["content"] or "")
-            compiled.append((r["tid"], r["content"] or ""))
-        except TemplateError:
-            continue
-    return ids, sorted(compiled)
-
-
-def compiled_templates(templates: DataFrame) -> list[tuple[str, str]]:
-    """HTML templates to compile (checked against the compile limits)."""
-    listing = template_listing(templates, key_limit=1 << 62)
-    return listing[1] if listing else []
+    rows = templates.select(_template_id(F.col("source"), F.col("key")).alias("tid"), template_error("content").alias("error")).collect()
+    return sorted(r["tid"] for r in rows), {r["tid"]: r["error"] for r in rows if r["error"] is not None}
 
 
 def fence(df: DataFrame, *cols: str) -> DataFrame:
@@ -132,7 +92,7 @@ def fence(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-def template_error(path: Column, fmt: Column, found: Column, failure: Column) -> Column:
+def not_found_error(path: Column, fmt: Column, found: Column, failure: Column) -> Column:
     """V6/V7: E6 with the reference's wording for each way a lookup fails."""
     needs = (fmt != "txt") | has_protocol(path)
     stripped_fs = F.substr(path, F.lit(4))
@@ -148,26 +108,33 @@ def template_error(path: Column, fmt: Column, found: Column, failure: Column) ->
     return F.when(needs & ~found, E.error("E6", msg))
 
 
-def template_ids(path: Column) -> tuple[Column, Column, Column]:
-    """(primary id, fallback id, failure text) of a template path."""
-    primary, fallback, failure = lookup_keys(path)
-    return _template_id(primary["source"], primary["key"]), _template_id(fallback["source"], fallback["key"]), failure
+def malformed_error(fmt: Column, why: Column) -> Column:
+    """E8: an HTML request whose template cannot be parsed."""
+    return F.when((fmt == "html") & why.isNotNull(), E.error("E8", F.format_string(E.E8_HTML, why)))
 
 
-def render_check(comp: Column, known: list[str]) -> Column:
+def render_check(comp: Column, known: list[str], malformed: dict[str, str]) -> Column:
     """Per-composition render-stage errors evaluated in the message row:
-    template resolution (E6) then, for PDF, the image payloads (E7/E8)."""
+    template resolution (E6), for HTML its parse (E8), for PDF the image
+    payloads (E7/E8)."""
     path = comp["location"]
     fmt = route_format(comp["output_format"])
-    t1, t2, failure = template_ids(path)
-    found = F.coalesce(t1.isin(known), F.lit(False)) | F.coalesce(t2.isin(known), F.lit(False))
+    keys, failure = lookup_keys(path, fmt)
+    tids = [_template_id(k["source"], k["key"]) for k in keys]
+    there = [F.coalesce(t.isin(known), F.lit(False)) for t in tids]
+    found = there[0] | there[1] | there[2]
+    errors = [not_found_error(path, fmt, found, failure)]
+    if malformed:
+        tid = F.when(there[0], tids[0]).when(there[1], tids[1]).when(there[2], tids[2])
+        why = F.try_element_at(F.create_map(*map(F.lit, chain.from_iterable(sorted(malformed.items())))), tid)
+        errors.append(malformed_error(fmt, why))
     images = extract_images(comp["data"])
-    return F.coalesce(template_error(path, fmt, found, failure), F.when(fmt == "pdf", pdf_images_error(images)))
+    return F.coalesce(*errors, F.when(fmt == "pdf", pdf_images_error(images)))
 
 
-def first_render_error(outputs: Column, known: list[str]) -> Column:
+def first_render_error(outputs: Column, known: list[str], malformed: dict[str, str]) -> Column:
     """V9 (render stage): first failing template composition by position."""
-    errs = F.flatten(F.transform(outputs, lambda o: F.transform(F.filter(o["composicion"], is_template), lambda c: render_check(c, known))))
+    errs = F.flatten(F.transform(outputs, lambda o: F.transform(F.filter(o["composicion"], is_template), lambda c: render_check(c, known, malformed))))
     return F.try_element_at(F.filter(errs, lambda e: e.isNotNull()), F.lit(1))
 
 
@@ -178,131 +145,96 @@ def generate_documents(
     temp_dir: str = TEMP_DIR,
     cache_dir: str = CACHE_DIR,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
+    key_limit: int | None = None,
 ) -> Generation:
     """Run the pipeline over ``messages(msg_id, raw)`` and ``templates``.
 
     With a template table small enough to list (the usual case) every check
-    runs inside the message row and both outputs are single narrow passes
-    over the messages. Otherwise template resolution is a join
-    (``_generate_with_join``).
+    runs inside the message row: the status of the messages is one narrow pass.
+    Otherwise template resolution is a join and the failures are folded per
+    message. Bodies are rendered by the same step either way.
     """
-    spark = messages.sparkSession
-    configure(spark)
-    listing = template_listing(templates)
+    configure(messages.sparkSession)
+    templates = templates.select("source", "key", "content", "fetched_at")
+    listing = template_listing(templates, MAX_TEMPLATE_KEYS if key_limit is None else key_limit)
+    validated = fence(validate_messages(parse_messages(messages.select("msg_id", "raw"))), "map_error")
     if listing is None:
-        return _generate_with_join(messages, templates, as_of, temp_dir, cache_dir, broadcast_limit)
-    known, compiled = listing
-    known_html = [t for t, _ in compiled]
-
-    validated = validate_messages(parse_messages(messages.select("msg_id", "raw")))
-    err = F.coalesce(F.col("map_error"), first_render_error(F.col("outputs"), known))
-    v = fence(validated.withColumn("error", err), "map_error", "error")
+        status = _status_by_join(validated, templates, broadcast_limit)
+    else:
+        known, malformed = listing
+        checked = F.coalesce(F.col("map_error"), first_render_error(F.col("outputs"), known, malformed))
+        status = fence(validated.withColumn("error", checked), "error")
 
     def location_of(i: Column, k: Column, comp: Column) -> Column:
         ft = comp["metadata"]["resource"]["output_format"]
-        return local_location(local_path(temp_dir, document_id(as_of, F.col("msg_id"), i, k), ft))
+        where = local_location(local_path(temp_dir, document_id(as_of, F.col("msg_id"), i, k), ft))
+        return F.when(~route_format(ft).isin(pending_formats()), where) if pending_formats() else where
 
-    n_templates = F.aggregate(
-        F.transform("outputs", lambda o: F.size(F.filter(o["composicion"], is_template))), F.lit(0), lambda a, x: a + x
-    )
-    out = v.select(
+    def count(test) -> Column:
+        each = F.transform("outputs", lambda o: F.size(F.filter(o["composicion"], lambda c: is_template(c) & test(c))))
+        return F.coalesce(F.aggregate(each, F.lit(0), lambda a, x: a + x), F.lit(0))
+
+    ok = F.col("error").isNull()
+    waits = lambda c: route_format(c["output_format"]).isin(pending_formats())
+    out = status.select(
         "msg_id",
-        F.col("error").isNull().alias("ok"),
+        ok.alias("ok"),
         F.col("error.code").alias("error_code"),
         F.col("error.message").alias("error_message"),
-        F.when(F.col("error").isNull(), collated_response(F.col("raw"), location_of)).alias("response"),
-        # documents written for the message: every template composition of a successful one
-        F.when(F.col("error").isNull(), n_templates).otherwise(F.lit(0)).cast("bigint").alias("documents"),
+        F.when(ok, collated_response(F.col("raw"), location_of)).alias("response"),
+        # documents of a successful message: those with a body, and those that wait for a converter
+        F.when(ok, count(lambda c: ~waits(c))).otherwise(F.lit(0)).cast("bigint").alias("documents"),
+        F.when(ok, count(waits)).otherwise(F.lit(0)).cast("bigint").alias("pending"),
     )
 
     def requests_of(frame: DataFrame) -> DataFrame:
-        rows = only_templates(flatten_outputs(frame))
-        return project_request(rows).withColumn("format", route_format("file_type"))
-
-    reqs = requests_of(v.where(F.col("map_error").isNull()).select("msg_id", "outputs", "error"))
-    docs = requests_of(v.where(F.col("error").isNull()).select("msg_id", "outputs"))
-    rendered = _render(docs, compiled, known_html, as_of, temp_dir, cache_dir)
-    requests = _render(reqs.drop("error"), [], [], as_of, temp_dir, cache_dir)
-    return Generation(messages=out, documents=rendered, requests=requests)
-
-
-def _render(req: DataFrame, compiled, known_html, as_of, temp_dir: str, cache_dir: str) -> DataFrame:
-    """Bodies and names of requests that passed every check."""
-    t1, t2, _ = template_ids(F.col("template_path"))
-    tid = F.when(t1.isin(known_html), t1).otherwise(t2) if known_html else F.lit(None).cast("string")
-    c_raw, _, _ = context_columns(html_context("data", "images"))
-    is_html = F.col("format") == "html"
-    df = (
-        req.withColumn("_tid", tid)
-        .withColumn("_ctx", F.when(is_html, c_raw))
-        .withColumn("_ctx_p", F.transform_values("_ctx", lambda k, v: printable(v)))
-        .withColumn("_ctx_e", F.transform_values("_ctx_p", lambda k, v: html_escape(v)))
-    )
-    html_body = compile_html_templates(compiled, "_ctx", "_ctx_p", "_ctx_e", "_tid")
-    text_body = render_text_column(F.col("template_path"), F.col("data"), cache_dir)
-    doc_id = document_id(as_of, F.col("msg_id"), F.col("output_pos"), F.col("comp_pos"))
-    lp = local_path(temp_dir, doc_id, F.col("file_type"))
+        return project_request(only_templates(flatten_outputs(frame))).withColumn("format", route_format("file_type"))
+
+    requests = requests_of(validated.where(F.col("map_error").isNull()).select("msg_id", "outputs"))
+    documents = requests_of(status.where(F.col("error").isNull()).select("msg_id", "outputs"))
+    documents = _render(resolve_templates(documents, templates, limit_bytes=broadcast_limit), as_of, temp_dir, cache_dir)
+    return Generation(messages=out, documents=documents, requests=requests)
+
+
+def _status_by_join(validated: DataFrame, templates: DataFrame, broadcast_limit: int) -> DataFrame:
+    """``validated`` with ``error``: resolution is a (measured-broadcast or shuffle)
+    join with the template keys, failures are folded per message with a group-by
+    of the failed requests only, then joined back."""
+    # Contents are parsed where they lie; what is joined is the key and why it failed.
+    keys = templates.select("source", "key", F.coalesce(template_error("content"), F.lit("")).alias("content"), "fetched_at")
+    req = project_request(only_templates(flatten_outputs(validated.where(F.col("map_error").isNull())))).withColumn("format", route_format("file_type"))
+    res = resolve_templates(req, keys, limit_bytes=broadcast_limit)
     fmt = F.col("format")
-    out = df.select(
-        *REQUEST_KEY,
-        "template_path", "file_type", "format", "data", "images",
-        doc_id.alias("doc_id"),
-        lp.alias("local_path"),
-        local_location(lp).alias("location"),
-        F.when(fmt == "txt", text_body).when(fmt == "html", html_body).alias("body"),
-        F.when(fmt == "pdf", F.lit("needs_converter")).otherwise(F.lit("rendered")).alias("status"),
-    )
-    for f, fn in RENDERERS.items():
-        part = out.where(F.col("format") == f)
-        out = out.where(F.col("format") != f).unionByName(fn(part), allowMissingColumns=True)
-    return out
-
-
-def _generate_with_join(
-    messages: DataFrame,
-    templates: DataFrame,
-    as_of,
-    temp_dir: str = TEMP_DIR,
-    cache_dir: str = CACHE_DIR,
-    broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-) -> Generation:
-    """Large template tables: resolution is a (measured-broadcast or shuffle)
-    join, failures are folded per message with a group-by of the failed
-    requests only, then joined back."""
-    validated = fence(validate_messages(parse_messages(messages.select("msg_id", "raw"))), "map_error")
-    rows = only_templates(flatten_outputs(validated.where(F.col("map_error").isNull())))
-    req = project_request(rows).withColumn("format", route_format("file_type"))
-    res = resolve_templates(req, templates.select("source", "key", "content", "fetched_at"), limit_bytes=broadcast_limit)
-    path = F.col("template_path")
-    res = res.withColumn(
-        "render_error",
-        F.coalesce(
-            template_error(path, F.col("format"), F.col("template_found"), F.col("template_failure")),
-            F.when(F.col("format") == "pdf", pdf_images_error("images")),
-        ),
+    error = F.coalesce(
+        not_found_error(F.col("template_path"), fmt, F.col("template_found"), F.col("template_failure")),
+        malformed_error(fmt, F.nullif(F.col("template_content"), F.lit(""))),
+        F.when(fmt == "pdf", pdf_images_error("images")),
     )
     failed = (
-        res.where(F.col("render_error").isNotNull())
+        res.withColumn("render_error", error)
+        .where(F.col("render_error").isNotNull())
         .groupBy("msg_id")
         .agg(F.min_by("render_error", F.struct("output_pos", "comp_pos")).alias("render_error"))
     )
-    status = validated.select("msg_id", "raw", "map_error").join(failed, "msg_id", "left")
-    status = status.select("msg_id", "raw", F.coalesce(F.col("map_error"), F.col("render_error")).alias("error"))
+    return validated.join(failed, "msg_id", "left").withColumn("error", F.coalesce("map_error", "render_error")).drop("render_error")
 
-    def location_of(i: Column, k: Column, comp: Column) -> Column:
-        ft = comp["metadata"]["resource"]["output_format"]
-        return local_location(local_path(temp_dir, document_id(as_of, F.col("msg_id"), i, k), ft))
 
-    counts = rows.groupBy("msg_id").agg(F.count(F.lit(1)).alias("_n"))
-    out = status.join(counts, "msg_id", "left").select(
-        "msg_id",
-        F.col("error").isNull().alias("ok"),
-        F.col("error.code").alias("error_code"),
-        F.col("error.message").alias("error_message"),
-        F.when(F.col("error").isNull(), collated_response(F.col("raw"), location_of)).alias("response"),
-        F.when(F.col("error").isNull(), F.coalesce(F.col("_n"), F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("documents"),
+def _render(req: DataFrame, as_of, temp_dir: str, cache_dir: str) -> DataFrame:
+    """Bodies and names of requests that passed every check. A document that
+    waits for a converter has no body and no location yet."""
+    doc_id = document_id(as_of, F.col("msg_id"), F.col("output_pos"), F.col("comp_pos"))
+    lp = local_path(temp_dir, doc_id, F.col("file_type"))
+    out = req.withColumn("_r", rendered("format", F.col("template_path"), "template_content", "data", "images", cache_dir)).select(
+        *REQUEST_KEY,
+        "template_path", "file_type", "format", "data", "images", "template_content",
+        doc_id.alias("doc_id"),
+        lp.alias("local_path"),
+        F.col("_r.body").alias("body"),
+        F.when(F.col("format").isin("txt", "html"), F.lit("rendered")).otherwise(F.lit("needs_converter")).alias("status"),
     )
-    ok_req = res.where(F.col("render_error").isNull()).join(failed.select("msg_id"), "msg_id", "left_anti")
-    # the partitioned interpreter is not built yet: HTML bodies need compiled templates
-    documents = _render(ok_req.select(*req.columns), [], [], as_of, temp_dir, cache_dir)
-    return Generation(messages=out, documents=documents, requests=_render(req, [], [], as_of, temp_dir, cache_dir))
+    if RENDERERS:  # split once by format: each renderer sees its own rows
+        plain = out.where(~F.col("format").isin(list(RENDERERS)))
+        for f, fn in RENDERERS.items():
+            plain = plain.unionByName(fn(out.where(F.col("format") == f)), allowMissingColumns=True)
+        out = plain
+    return out.drop("template_content").withColumn("location", F.when(F.col("status") == "rendered", local_location("local_path")))

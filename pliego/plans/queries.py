@@ -17,10 +17,11 @@ from .. import functions as fn
 from ..operators import lookup, reshape
 from ..operators.collate import check_result_counts
 from ..operators.jsontext import as_map
-from ..operators.render import html_context, rendered_size, route_format
+from ..operators.render import html_context, render_report, rendered, rendered_size, route_format
 from ..schema import REQUEST_KEY
 from ..session import configure
-from ..sources.kafka import decode_record, explode_kafka_batch, record_count
+from ..sinks.responses import failures
+from ..sources.kafka import decode_record, explode_kafka_batch, kafka_rows, record_count
 from ..sources.messages import parse_messages
 from ..sources.tables import table
 from ..sources.templates import template_table
@@ -80,7 +81,7 @@ def _uri_query(col_fns: dict[str, Callable]) -> Callable[[SparkSession, str], Da
 def q_fn06(spark, sf):
     u = fixtures.uris(spark, sf)
     p = fn.parse_s3_uri(F.col("uri"))
-    return u.where(F.col("uri").startswith("s3@")).select("page_id", "variant", "uri", p["host"].alias("host"), p["key"].alias("key"), p["ok"].alias("ok"))
+    return u.select("page_id", "variant", "uri", p["host"].alias("host"), p["key"].alias("key"), p["ok"].alias("ok"))
 
 
 def q_v4(spark, sf):
@@ -263,7 +264,7 @@ def q_v3(spark, sf):
     from ..operators.validate import composition_error
     r = all_requests(spark, sf)
     e = composition_error(F.struct(
-        F.col("comp_type").alias("type"), F.col("output_format"), F.col("location"), F.col("data"), F.col("has_resource"),
+        F.col("comp_type").alias("type"), F.col("output_format"), F.col("location"), F.col("data"), F.col("has_resource"), F.col("data_is_object"),
     ))
     return r.select(*_key(r), e["code"].alias("error_code"), e["message"].alias("error_message"))
 
@@ -290,7 +291,7 @@ def q_v10(spark, sf):
 
 
 def q_sk5(spark, sf):
-    return _status(spark, sf).where(~F.col("ok")).select("msg_id", "error_code", "error_message")
+    return failures(_status(spark, sf))
 
 
 def q_a1(spark, sf):
@@ -322,7 +323,7 @@ def q_j1(spark, sf):
 
 
 def q_j2(spark, sf):
-    r = reshape.project_request(all_requests(spark, sf))
+    r = reshape.project_request(all_requests(spark, sf)).withColumn("format", route_format("file_type"))
     m = lookup.missing_templates(r, templates(spark))
     return m.select(*_key(m), "template_path")
 
@@ -364,8 +365,7 @@ def q_rn2(spark, sf):
 
 
 def q_rn10(spark, sf):
-    d = _docs(spark, sf).where(F.col("format") != "pdf")
-    return d.groupBy("template_path").agg(F.count(F.lit(1)).alias("documents"), F.sum(rendered_size("body")).alias("bytes"))
+    return render_report(_docs(spark, sf))
 
 
 def q_a6(spark, sf):
@@ -374,19 +374,47 @@ def q_a6(spark, sf):
 
 
 def q_a7(spark, sf):
-    """A7 as cumulative ``le`` buckets over rendered document sizes."""
-    d = _docs(spark, sf).where(F.col("format") != "pdf").select(rendered_size("body").alias("b"))
+    """A7 as cumulative ``le`` buckets over the sizes of rendered documents."""
+    d = _docs(spark, sf).select(rendered_size("body").alias("b"))
     les = [512, 1024, 2048, 4096, 8192]
-    row = d.agg(*[F.count_if(F.col("b") <= le).alias(f"le_{le}") for le in les], F.count(F.lit(1)).alias("le_inf"))
+    row = d.agg(*[F.count_if(F.col("b") <= le).alias(f"le_{le}") for le in les], F.count("b").alias("le_inf"))
     return row.select(F.explode(F.array(*[
         F.struct(F.lit(str(le)).alias("le"), F.col(f"le_{le}").alias("documents")) for le in les
     ], F.struct(F.lit("+Inf").alias("le"), F.col("le_inf").alias("documents")))).alias("h")).select("h.*")
 
 
+ECHO_VIEW = (
+    "metadata struct<id:string, fecha:string>, data struct<cliente:struct<id:bigint>, item_canonico:struct<output_producto:string, "
+    "output_subproducto:string, output_metadata:struct<orden:bigint>, callback:string, outputs:array<struct<type:string, composicion:array<struct<"
+    "template:string, type:string, metadata:struct<resource:struct<output_format:string, location:string, data:struct<nombre:string, monto:string, "
+    "cantidad:int, items:array<struct<item:string, precio:string>>, cliente:struct<nacion:string>, images:struct<logo:string>>>, "
+    "result:struct<location:string>>>>>>>>"
+)
+
+
+def echo_rows(messages: DataFrame, column: str) -> DataFrame:
+    """A response's echoed fields, one row per composition of any type."""
+    m = messages.select("msg_id", F.from_json(column, ECHO_VIEW).alias("m"))
+    head = [
+        F.col("m.metadata.id").alias("meta_id"), F.col("m.metadata.fecha").alias("meta_fecha"), F.col("m.data.cliente.id").alias("cliente_id"),
+        F.col("m.data.item_canonico.output_producto").alias("producto"), F.col("m.data.item_canonico.output_subproducto").alias("subproducto"),
+        F.col("m.data.item_canonico.output_metadata.orden").alias("orden"), F.col("m.data.item_canonico.callback").alias("callback"),
+    ]
+    o = m.select("msg_id", *head, F.posexplode("m.data.item_canonico.outputs").alias("output_pos", "o"))
+    names = ["meta_id", "meta_fecha", "cliente_id", "producto", "subproducto", "orden", "callback"]
+    c = o.select("msg_id", *names, "output_pos", F.col("o.type").alias("output_type"), F.posexplode("o.composicion").alias("comp_pos", "c"))
+    r = F.col("c.metadata.resource")
+    return c.select(
+        *_key(c), *names, "output_type", F.col("c.template").alias("template"), F.col("c.type").alias("comp_type"),
+        r["output_format"].alias("output_format"), r["location"].alias("template_path"),
+        r["data"]["nombre"].alias("nombre"), r["data"]["monto"].alias("monto"), r["data"]["cantidad"].cast("bigint").alias("cantidad"),
+        F.get(r["data"]["items"], F.lit(1))["precio"].alias("impuesto"), r["data"]["cliente"]["nacion"].alias("nacion"),
+        r["data"]["images"]["logo"].alias("logo"), F.col("c.metadata.result.location").alias("result_location"),
+    )
+
+
 def q_rs10(spark, sf):
-    s = _status(spark, sf).where(F.col("ok"))
-    loc = reshape.locations_of(s)
-    return loc.select(*_key(loc), "template_path", "result_location")
+    return echo_rows(_status(spark, sf).where(F.col("ok")), "response")
 
 
 def q_rs13(spark, sf):
@@ -396,18 +424,30 @@ def q_rs13(spark, sf):
 
 
 def q_v8(spark, sf):
-    g = generation(spark, sf)
-    reqs = g.requests.join(g.documents.select("msg_id").distinct(), "msg_id", "left_semi")
-    return check_result_counts(reqs, g.documents).select("msg_id", "templates", "results")
+    """The requests of successful messages against a batch of results with some
+    missing and some twice."""
+    d = _docs(spark, sf).select(*REQUEST_KEY, "doc_id")
+    order = F.regexp_extract("msg_id", "^m([0-9]+)-", 1).cast("bigint")
+    some = d.where(~((order % 7 == 0) & (F.col("comp_pos") == 1)))
+    twice = some.where((order % 11 == 0) & (F.col("comp_pos") == 0))
+    out = check_result_counts(d, some.unionByName(twice))
+    return out.select("msg_id", "templates", "results", F.col("error.code").alias("error_code"), F.col("error.message").alias("error_message"))
 
 
 def q_rn11(spark, sf):
-    return generation(spark, sf).messages.select("msg_id", "ok", "error_code", "documents")
+    """Status of every message with a digest of its documents' names and bodies
+    and of its response: the whole pipeline is computed."""
+    g = generation(spark, sf)
+    one = F.struct("output_pos", "comp_pos", F.concat_ws(" ", "location", F.md5("body")).alias("d"))
+    docs = g.documents.groupBy("msg_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["d"]), "|")).alias("bodies"))
+    locations = F.size(F.regexp_extract_all("response", F.lit('"result":\\{"location":"fs@'), F.lit(0))).cast("bigint")
+    m = g.messages.select("msg_id", "ok", "error_code", "documents", "pending", F.when(F.col("ok"), locations).alias("locations"))
+    return m.join(docs, "msg_id", "left")
 
 
 def catalog(spark, sf):
     from ..sinks.store import document_catalog
-    return document_catalog(_docs(spark, sf), AS_OF)
+    return document_catalog(_docs(spark, sf).where(F.col("status") == "rendered"), AS_OF)
 
 
 def q_sk6(spark, sf):
@@ -439,15 +479,22 @@ def q_a2(spark, sf):
 
 def q_so3(spark, sf):
     r = decode_record(explode_kafka_batch(fixtures.kafka_batches(spark, sf)))
-    return r.select("batch_id", "offset", "decode_ok", "decode_error")
+    return r.select("batch_id", "offset", "decode_ok", "decode_error", "raw")
+
+
+def q_so4(spark, sf):
+    """The Kafka source's own row shape, values binary and longer than a base64 line."""
+    r = decode_record(kafka_rows(fixtures.kafka_source_rows(spark, sf)))
+    return r.select("topic", F.col("partition").cast("bigint").alias("partition"), "offset", "timestampType", "key", F.size("headers").cast("bigint").alias("headers"), "decode_ok", "decode_error", "raw")
 
 
 # ----------------------------------------------------- template cache ----
 
 def q_st3(spark, sf):
-    t = fixtures.template_requests(spark, sf).where(F.col("event_type") == "signup")
-    c = t.select("uri", F.col("ts").alias("fetched_at"), "event_id")
-    kept = lookup.evict_expired(c, "2024-01-30 12:00:00")
+    """Every request as a cache entry, evicted as of the last one."""
+    t = fixtures.template_requests(spark, sf)
+    last = t.agg(F.max("ts")).first()[0]
+    kept = lookup.evict_expired(t.select("uri", F.col("ts").alias("fetched_at"), "event_id"), last)
     return kept.select("uri", ts_text("fetched_at").alias("fetched_at"), "event_id")
 
 
@@ -469,13 +516,61 @@ def q_rs8(spark, sf):
     return q_rs6(spark, sf, null_text="null")
 
 
+def _sorted_pairs(m):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+
+
 def q_rn7(spark, sf):
     from ..operators.flatten import pdf_context
     d = generation(spark, sf).documents.where(F.col("format") == "pdf")
-    p = pdf_context("data", "images")
-    return d.select(*_key(d), F.size(p["context"]).cast("bigint").alias("fields"),
-                    F.array_join(F.array_sort(F.map_keys(p["images"])), ",").alias("images"),
-                    F.coalesce(F.octet_length(F.try_element_at(p["images"], F.lit("image_pr_logo"))), F.lit(0)).cast("bigint").alias("logo_bytes"))
+    d = d.withColumn("p", pdf_context("data", "images"))
+    return d.select(*_key(d), _sorted_pairs(F.col("p.context")).alias("context"),
+                    F.array_join(F.array_sort(F.map_keys("p.images")), ",").alias("images"),
+                    F.base64(F.try_element_at("p.images", F.lit("image_pr_logo"))).alias("logo"))
+
+
+# ------------------------------------- conversations as nested data ----
+
+def q_rs6_deep(spark, sf):
+    from ..operators.flatten import context_rows
+    return context_rows(fixtures.nested_data(spark, sf), ["conv_id", "turn"])
+
+
+def q_rs8_deep(spark, sf):
+    from ..operators.flatten import context_rows
+    return context_rows(fixtures.nested_data(spark, sf), ["conv_id", "turn"], null_text="null")
+
+
+def q_rn8_deep(spark, sf):
+    d = fixtures.nested_data(spark, sf)
+    none = F.create_map().cast("map<string,string>")
+    return d.select("conv_id", "turn", rendered(F.lit("txt"), F.lit("orden.html"), F.lit(None).cast("string"), "data", none)["body"].alias("body"))
+
+
+def q_rn4_kinds(spark, sf):
+    """Texts that look like lists, objects or false, bound to sections and variables."""
+    d = fixtures.text_kinds(spark, sf)
+    none = F.create_map().cast("map<string,string>")
+    return d.select("conv_id", "turn", rendered(F.lit("html"), F.lit("x.html"), F.lit(fixtures.KIND_TEMPLATE), "data", none)["body"].alias("body"))
+
+
+def q_v3_kinds(spark, sf):
+    """Data given as an object, as a text that looks like one, as a list or not at all."""
+    g = generate_documents(fixtures.data_kinds(spark, sf), templates(spark), AS_OF)
+    return g.messages.select("msg_id", "ok", "error_code", "error_message")
+
+
+def q_rs4_kinds(spark, sf):
+    d = fixtures.image_kinds(spark, sf)
+    images = reshape.extract_images("data")
+    return d.select("conv_id", "turn", F.size(images).cast("bigint").alias("n_images"), F.try_element_at(images, F.lit("logo")).alias("logo"))
+
+
+def q_rn6_many(spark, sf):
+    """One template a page, some malformed, all by the join path."""
+    g = generate_documents(fixtures.page_messages(spark, sf), fixtures.page_templates(spark, sf), AS_OF, key_limit=100)
+    d = g.documents.select("msg_id", "body")
+    return g.messages.select("msg_id", "ok", "error_code", "error_message").join(d, "msg_id", "left")
 
 
 def _scratch(spark, name):
@@ -493,7 +588,7 @@ def q_st2(spark, sf):
 
 
 def q_st1(spark, sf):
-    from ..streaming.stream import land_records, results_table, run_stream
+    from ..streaming.stream import StreamOutputs, land_records, run_stream
     from ..sources.kafka import read_record_files
     root = _scratch(spark, "st1")
     recs = fixtures.kafka_records(spark, sf).select(
@@ -502,26 +597,56 @@ def q_st1(spark, sf):
     )
     land_records(recs, os.path.join(root, "in"))
     stream = read_record_files(spark, os.path.join(root, "in"), max_files_per_trigger=4)
-    q = run_stream(stream, templates(spark), os.path.join(root, "out"), AS_OF, checkpoint=os.path.join(root, "ckpt"))
+    q = run_stream(stream, lambda: templates(spark), os.path.join(root, "out"), checkpoint=os.path.join(root, "ckpt"))
     q.awaitTermination()
-    res = results_table(spark, os.path.join(root, "out"))
-    return res.select("topic", F.col("partition").cast("bigint").alias("partition"), "offset", "ok", "error_code")
+    out = StreamOutputs(os.path.join(root, "out"))
+    read = lambda name: spark.read.parquet(out.path(name))
+    docs = read("documents").select("msg_id", F.md5("body").alias("body"))
+    sent = read("responses").select(F.col("key").alias("msg_id"), F.lit(True).alias("responded"))
+    dead = read("failures").select("msg_id", F.lit(True).alias("failed"))
+    total = read("summary").agg(F.sum("processed").alias("processed"), F.sum("success").alias("success"), F.sum("failure").alias("failure")).first()
+    res = read("results").join(docs, "msg_id", "left").join(sent, "msg_id", "left").join(dead, "msg_id", "left")
+    return res.select("topic", F.col("partition").cast("bigint").alias("partition"), "offset", "ok", "error_code", "body", "responded", "failed",
+                      *[F.lit(total[c]).cast("bigint").alias(c) for c in ("processed", "success", "failure")])
 
 
 def q_sk1(spark, sf):
+    """Every second document of a message goes to the store, so RS11 takes either arm."""
     from ..sinks.store import write_documents
     root = _scratch(spark, "sk1")
-    back = write_documents(_docs(spark, sf).where(F.col("format") != "pdf"), root, AS_OF, prefix=DOCS_PREFIX, bucket=DOCS_BUCKET)
-    return back.select(*_key(back), "object_key", "repository_path",
-                       reshape.pick_location("repository_path", "local_path").alias("result_location"))
+    docs = _docs(spark, sf)
+    stored = docs.where((F.col("status") == "rendered") & (F.col("comp_pos") % 2 == 0))
+    back = write_documents(stored, root, AS_OF, prefix=DOCS_PREFIX, bucket=DOCS_BUCKET)
+    back = back.select(*REQUEST_KEY, "object_key", "repository_path", F.md5("body").alias("body"))
+    out = docs.select(*REQUEST_KEY, "location").join(back, REQUEST_KEY, "left")
+    return out.select(*_key(out), "object_key", "repository_path", "body", reshape.pick_location("repository_path", "location").alias("result_location"))
 
 
-def q_sk4(spark, sf):
+def q_sk2(spark, sf):
+    """Every location of a document names a written copy."""
+    from ..sinks.store import write_local_copy
+    g = generation(spark, sf)
+    back = write_local_copy(g.documents.where(F.col("status") == "rendered"), _scratch(spark, "sk2"))
+    given = reshape.locations_of(g.messages.where(F.col("ok"))).where(F.col("result_location").isNotNull())
+    out = given.join(back.select(F.col("location").alias("result_location"), F.md5("body").alias("body")), "result_location", "left")
+    return out.select(*_key(out), "result_location", "body")
+
+
+def _sent(spark, sf, name, key):
     from ..sinks.responses import write_responses
-    root = _scratch(spark, "sk4")
-    write_responses(_status(spark, sf), root, key="msg_id")
-    back = spark.read.json(root)
-    return back.select(F.col("key").alias("msg_id"), (F.length("value") > 0).alias("has_value"))
+    root = _scratch(spark, name)
+    write_responses(_status(spark, sf), root, key=key)
+    return spark.read.schema("key string, value string").json(root)
+
+
+def q_sk3(spark, sf):
+    back = _sent(spark, sf, "sk3", None)
+    return back.select(F.col("key"), F.get_json_object("value", "$.metadata.id").alias("msg_id"))
+
+
+def q_sk4(spark, sf):
+    back = _sent(spark, sf, "sk4", "msg_id")
+    return echo_rows(back.select(F.col("key").alias("msg_id"), "value"), "value").select("msg_id", "output_pos", "comp_pos", "meta_id", "nombre", "result_location")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -556,6 +681,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "so1_read_messages": q_so1,
     "so2_explode_kafka_batch": q_so2,
     "so3_decode_record": q_so3,
+    "so4_decode_binary": q_so4,
     "v1_check_structure": q_v1,
     "v2_check_composition": q_v2,
     "v3_check_data_node": q_v3,
@@ -573,6 +699,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rs6_flatten_context": q_rs6,
     "rs8_flatten_context_json": q_rs8,
     "rn7_pdf_context": q_rn7,
+    "rs6_flatten_deep": q_rs6_deep,
+    "rs8_flatten_deep": q_rs8_deep,
+    "rn8_text_deep": q_rn8_deep,
+    "rn4_text_kinds": q_rn4_kinds,
+    "v3_data_kinds": q_v3_kinds,
+    "rs4_image_kinds": q_rs4_kinds,
+    "rn6_many_templates": q_rn6_many,
     "rs10_collate_results": q_rs10,
     "rs13_request_from_flat": q_rs13,
     "j1_resolve_templates": q_j1,
@@ -583,6 +716,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "st2_template_fetch_state": q_st2,
     "st3_evict_expired": q_st3,
     "sk1_write_documents": q_sk1,
+    "sk2_write_local_copy": q_sk2,
+    "sk3_write_responses": q_sk3,
     "sk4_write_responses_keyed": q_sk4,
     "a1_batch_summary": q_a1,
     "a2_record_count": q_a2,

@@ -16,7 +16,7 @@ def apply(spark, f, values):
 
 def test_path_after_colon_f5(spark):
     ins = [
-        "s3@pe.nexux.talos.dev:2.0/capacniam/bn_ripley/template_producto/10_112.odt",
+        "s3@almacen.ejemplo.dev:2.0/equipo/cliente_uno/plantillas/10_112.odt",
         "s3@bucket:templates/plantilla.docx",
         "s3@bucket:plantilla.docx",
         "s3@storage.example.com:v1/company/project/docs/report.pdf",
@@ -25,7 +25,7 @@ def test_path_after_colon_f5(spark):
         None,
     ]
     assert apply(spark, fn.path_after_colon, ins) == [
-        "2.0/capacniam/bn_ripley/template_producto/10_112.odt",
+        "2.0/equipo/cliente_uno/plantillas/10_112.odt",
         "templates/plantilla.docx",
         "plantilla.docx",
         "v1/company/project/docs/report.pdf",

@@ -1,22 +1,17 @@
-"""Template compiler: the Column path and the SQL-text path agree with the
-Mustache rules the reference relies on."""
+"""Templates bound by the rendering UDF: Mustache rules, node kinds, errors."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from pliego.operators.mustache import TemplateError, context_columns, parse
-from pliego.operators.render import compile_html_templates
+from pliego.operators.mustache import TemplateError, parse
+from pliego.operators.render import rendered
 
 DATA = '{"nombre":"Ana & <Co>","items":[{"item":"a","precio":"1"},{"item":"b","precio":"2"}],"vacio":"","cero":0,"f":false}'
 
 
-def render(spark, source, data=DATA):
-    df = spark.createDataFrame([(data,)], "d string")
-    from pliego.operators.jsontext import as_map
-
-    raw, printed, escaped = context_columns(as_map(F.col("d")))
-    df = df.select(raw.alias("r"), printed.alias("p"), escaped.alias("e"), F.lit("t").alias("tid"))
-    return df.select(compile_html_templates([("t", source)], "r", "p", "e", "tid")).first()[0]
+def render(spark, source, data=DATA, images=None):
+    df = spark.createDataFrame([(source, data, images or {})], "c string, d string, i map<string,string>")
+    return df.select(rendered(F.lit("html"), F.lit("x.html"), "c", "d", "i")["body"]).first()[0]
 
 
 def test_variable_escape(spark):
@@ -48,3 +43,24 @@ def test_parse_errors():
         parse("{{#a}}x")
     with pytest.raises(TemplateError):
         parse("{{/a}}")
+    with pytest.raises(TemplateError):
+        parse("{{> parcial}}")
+    with pytest.raises(TemplateError):
+        parse("{{abierto")
+
+
+def test_text_is_text(spark):
+    data = '{"l":"[urgente] x","o":"{a}","f":"false","vacia":[],"n":null,"d":{"a":{"b":"c"}}}'
+    assert render(spark, "{{#l}}1{{/l}}{{#o}}2{{/o}}{{#f}}3{{/f}}{{^vacia}}4{{/vacia}}{{^n}}5{{/n}}{{d.a.b}}", data) == "12345c"
+    assert render(spark, "{{&l}} {{&o}} {{&d}}", data) == "[urgente] x {a} {a={b=c}}"
+
+
+def test_delimiters_and_images(spark):
+    assert render(spark, "{{=<% %>=}}<% nombre %> {{nombre}}<%={{ }}=%>{{cero}}") == "Ana &amp; &lt;Co&gt; {{nombre}}0"
+    assert render(spark, "{{{imagen_logo}}}", images={"logo": "iVBORw0KGgo="}) == "data:image/png;base64,iVBORw0KGgo="
+
+
+def test_deep_data_and_numbers(spark):
+    deep = '{"a":' * 60 + "1.50" + "}" * 60
+    assert render(spark, "{{" + ".".join(["a"] * 60) + "}}", deep) == "1.5"
+    assert render(spark, "{{x}} {{y}} {{z}}", '{"x":1e7,"y":12,"z":0.0001}') == "1.0E7 12 1.0E-4"

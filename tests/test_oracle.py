@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "fn18_sanitize_template_path", "fn25_sanitize_error_message", "fn10_sortable_id", "v9_message_status",
     "rs1_flatten_outputs", "rn8_render_text", "rn6_render_html", "rs10_collate_results", "so3_decode_record",
-    "j5_fresh_cache_lookup",
+    "j5_fresh_cache_lookup", "rn11_generate_documents", "rn6_many_templates", "rs6_flatten_deep", "rn4_text_kinds", "v3_data_kinds",
+    "v8_check_result_counts", "so4_decode_binary", "sk2_write_local_copy", "st1_run_stream",
 ]
 
 

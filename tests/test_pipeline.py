@@ -118,8 +118,113 @@ def test_join_path_agrees_with_in_row_path(spark, run, monkeypatch):
     b = P.generate_documents(msgs, tpl, "2024-02-01 00:00:00")
     cols = ["msg_id", "ok", "error_code", "error_message"]
     assert sorted(a.messages.select(cols).collect()) == sorted(b.messages.select(cols).collect())
-    key = ["msg_id", "output_pos", "comp_pos", "location"]
-    assert sorted(a.documents.select(key).collect()) == sorted(b.documents.select(key).collect())
+    key = ["msg_id", "output_pos", "comp_pos", "status", F.coalesce("location", F.lit("-")).alias("location"), F.coalesce("body", F.lit("-")).alias("body")]
+    one, two = sorted(a.documents.select(key).collect()), sorted(b.documents.select(key).collect())
+    assert one == two
+    assert all((r.body == "-") == (r.status == "needs_converter") == (r.location == "-") for r in one)
+
+
+TEMPLATES = "source string, key string, content string, fetched_at timestamp"
+
+
+def test_any_template_name_and_malformed_templates(spark):
+    tpl = spark.createDataFrame(
+        [("packaged", "templates/x.tpl", "Hola {{nombre}}", None), ("packaged", "templates/mal.html", "{{#a}}x", None), ("file", "local/y", "{{monto}}", None)], TEMPLATES
+    )
+    raws = [message([{"type": "o", "composicion": [comp(loc, "html", DATA)]}]) for loc in ("x.tpl", "mal.html", "local/y")]
+    df = spark.createDataFrame([(f"m{i}", r) for i, r in enumerate(raws)], "msg_id string, raw string")
+    for limit in (100, 0):
+        g = generate_documents(df, tpl, "2024-02-01 00:00:00", key_limit=limit)
+        s = status(g)
+        assert s["m0"][0] and s["m2"][0]
+        assert s["m1"][1:] == ("E8", "Failed to generate HTML document: Failed to close 'a' tag")
+        assert {r.msg_id: r.body for r in g.documents.collect()} == {"m0": "Hola Ana", "m2": "1500.5"}
+
+
+def test_pdf_looks_in_the_package_folder_only(run):
+    raws = [message([{"type": "o", "composicion": [comp("templates/orden.html", f, DATA)]}]) for f in ("pdf", "html")]
+    s = status(run(*raws))
+    assert s["m0"][1:] == ("E6", "Template not found: templates/orden.html") and s["m1"][0]
+
+
+def test_pending_documents_have_no_location(run):
+    raw = message([{"type": "o", "composicion": [comp("reporte.html", "pdf", DATA), comp("orden.html", "txt", DATA)]}])
+    g = run(raw)
+    m = g.messages.first()
+    assert (m.ok, m.documents, m.pending) == (True, 1, 1)
+    assert [r.result_location is None for r in locations_of(g.messages).orderBy("comp_pos").collect()] == [True, False]
+
+
+def test_registered_renderer(spark, run):
+    """U1: a converter turns pending documents into written ones."""
+    from pliego.operators import render
+
+    def convert(df):
+        return df.withColumn("body", F.concat(F.lit("%PDF "), "template_path")).withColumn("status", F.lit("rendered"))
+
+    render.register_renderer("pdf", convert)
+    try:
+        g = run(message([{"type": "o", "composicion": [comp("reporte.html", "pdf", DATA)]}]))
+        d, m = g.documents.first(), g.messages.first()
+        assert (d.body, d.status) == ("%PDF reporte.html", "rendered") and d.location.endswith(".pdf")
+        assert (m.documents, m.pending) == (1, 0) and locations_of(g.messages).first().result_location == d.location
+    finally:
+        render.RENDERERS.clear()
+
+
+def test_registered_template_source(spark):
+    """U2: rows of a registered source join the template table."""
+    from pliego.sources import templates as T
+
+    T.register_template_source("http", lambda s: s.createDataFrame([("http", "espejo.example.com/z.html", "Z {{nombre}}", None)], TEMPLATES))
+    try:
+        raw = message([{"type": "o", "composicion": [comp("http@https://espejo.example.com/z.html", "html", DATA)]}])
+        df = spark.createDataFrame([("m", raw)], "msg_id string, raw string")
+        assert generate_documents(df, template_table(spark), "2024-02-01 00:00:00").documents.first().body == "Z Ana"
+    finally:
+        T.TEMPLATE_SOURCES.clear()
+
+
+def test_data_given_as_text_is_no_object(run):
+    s = status(run(message([{"type": "o", "composicion": [comp("orden.html", "txt", json.dumps(DATA))]}])))
+    assert s["m0"][1] == "E4b"
+
+
+def test_message_ids_do_not_follow_the_splits(spark, tmp_path):
+    from pliego.sources.messages import read_messages
+
+    (tmp_path / "m.jsonl").write_text("\n".join(['{"a":%d}' % (i % 7) for i in range(40)]))
+    ids = []
+    for size in ("64", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        ids.append(sorted(r.msg_id for r in read_messages(spark, str(tmp_path)).collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ids[0] == ids[1] and len(set(ids[0])) == 40
+
+
+def test_asof_lookup_against_brute_force(spark):
+    import datetime
+    import random
+
+    from pliego.operators.lookup import fresh_cache_lookup
+
+    random.seed(5)
+    at = lambda: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=random.randint(0, 20_000))
+    cache = [(random.choice("ab"), at()) for _ in range(30)]
+    reqs = [(i, random.choice("abc"), at()) for i in range(600)] + [(i, u, t) for i, (u, t) in enumerate(cache, 1000)]
+    got = fresh_cache_lookup(spark.createDataFrame(reqs, "i int, uri string, ts timestamp"), spark.createDataFrame(cache, "uri string, fetched_at timestamp"))
+    exp = {i: max((f for k, f in cache if k == u and f <= t and (t - f).total_seconds() < 7200), default=None) for i, u, t in reqs}
+    assert {r.i: r.entry_at for r in got.collect()} == exp and got.count() == len(reqs)
+
+
+def fold(rows):
+    exp, entry = [], {}
+    for u, t in sorted(rows):
+        f = u not in entry or (t - entry[u]).total_seconds() >= 7200
+        if f:
+            entry[u] = t
+        exp.append((u, t, f, entry[u]))
+    return sorted(exp)
 
 
 def test_fetch_state_batch_matches_fold(spark):
@@ -133,12 +238,43 @@ def test_fetch_state_batch_matches_fold(spark):
     out = fetch_state(spark.createDataFrame(rows, "uri string, ts timestamp")).orderBy("ts").collect()
     assert [r.fetched for r in out] == [True, False, True, False, True]  # FIXTURES F11
     random.seed(7)
-    rows = [(u, base + datetime.timedelta(seconds=random.randint(0, 10 * 86400))) for u in ["a", "hot", "hot", "hot"] for _ in range(1500)]
-    got = sorted((r.uri, r.ts, r.fetched) for r in fetch_state(spark.createDataFrame(rows, "uri string, ts timestamp"), partitions=8).collect())
-    exp, entry = [], {}
-    for u, t in sorted(rows):
-        f = u not in entry or (t - entry[u]).total_seconds() >= 7200
-        if f:
-            entry[u] = t
-        exp.append((u, t, f))
-    assert got == sorted(exp)
+    for days in (10, 900):
+        rows = [(u, base + datetime.timedelta(seconds=random.randint(0, days * 86400))) for u in ["a", "hot", "hot", "hot"] for _ in range(800)]
+        got = sorted(tuple(r) for r in fetch_state(spark.createDataFrame(rows, "uri string, ts timestamp")).collect())
+        assert got == fold(rows)
+
+
+def test_fetch_state_stream_matches_batch(spark, tmp_path):
+    """Requests in several files, out of order within the delay."""
+    import datetime
+    import random
+
+    from pliego.streaming.cache_state import fetch_state_stream
+
+    base = datetime.datetime(2024, 1, 1)
+    random.seed(9)
+    rows = [(random.choice("ab"), base + datetime.timedelta(seconds=60 * i + random.randint(0, 500))) for i in range(600)]
+    end = [(u, base + datetime.timedelta(days=30)) for u in "ab"]
+    for i in range(4):
+        part = rows[150 * i : 150 * (i + 1)] + (end if i == 3 else [])
+        spark.createDataFrame(part, "uri string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+    src = spark.readStream.schema("uri string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = fetch_state_stream(src).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert [r for r in got if r[1] < end[0][1]] == fold(rows)
+
+
+def test_stream_replay_rewrites_the_same_rows(spark, tmp_path):
+    """ST4: a batch that is processed again, as after a restart, adds nothing."""
+    from pliego.plans import fixtures
+    from pliego.streaming.stream import StreamOutputs, process_batch
+
+    recs = fixtures.kafka_records(spark, "/root/testdata/sf0.001").where("offset < 200").drop("batch_id", "topic_name")
+    out = StreamOutputs(str(tmp_path))
+    rows = []
+    for _ in range(2):
+        process_batch(recs, 7, lambda: template_table(spark), out)
+        rows.append({n: sorted(map(str, spark.read.parquet(out.path(n)).collect())) for n in ("results", "documents", "responses", "failures", "summary")})
+    assert rows[0] == rows[1] and len(rows[0]["results"]) == 200
+    assert len(rows[0]["responses"]) + len(rows[0]["failures"]) == 200
