@@ -16,18 +16,16 @@ from pyspark.sql import functions as F
 from pliego.llm.common import KEY, cut, gapless, row_key, whole_row
 
 BITS = 12  # of the sort key, seen by one pass over the rows
-COORDINATE, TIE = 31, 32  # bits of a coordinate, and of the hash that orders equal ones
+COORDINATE, TIE = 31, 32  # bits of a coordinate, and of the hashes that order equal ones
 
 
-def metadata(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> dict[str, Column]:
-    """The dimensions of a document: id, log of its size, language, source; names
-    are placed by their hash, and a null or missing column counts as 0."""
-    there = set(docs.columns)
+def metadata(docs: DataFrame, text: str = "text", names: tuple[str, ...] = ("lang",)) -> dict[str, Column]:
+    """The dimensions of a document: the log of its size, and the columns ``names``
+    where they are there, each value placed by its hash, null as 0. Columns in
+    which copies of a text differ (id, source) are left out by default, so that
+    copies lie side by side and share a shard unless a cut falls on them."""
     out = {"size": F.log2(F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(8.0))}
-    if doc_id in there:
-        out["id"] = F.col(doc_id).cast("double")
-    out |= {c: F.pmod(F.xxhash64(c), F.lit(1 << 20)).cast("double") for c in ("lang", "source") if c in there}
-    return out
+    return out | {c: F.when(F.col(c).isNotNull(), F.pmod(F.xxhash64(c), F.lit(1 << 20)) + 1).cast("double") for c in names if c in docs.columns}
 
 
 def _split(parts: DataFrame, shards: int, dims: int, slack: float) -> DataFrame:
@@ -93,21 +91,24 @@ def kd_shards(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "d
 
     Sizes are the text's UTF-8 bytes (null: none) plus 8. Shards differ by the
     documents at the cuts and by ``slack`` of a shard at most. Equal coordinates
-    are ordered by a hash of the row, so ties and hot values are split too; only
-    rows equal in doc_id and text stay together. Null ids and names count as a
-    value of their own; an empty table gives an empty one; with fewer documents
-    than shards some shards are empty.
+    are ordered by a hash of the text, then of the row, so ties and hot values
+    are split too, and a group of copies only where a cut falls on it; rows equal
+    in doc_id and text always stay together. Null names count as a value of
+    their own; an empty table gives an empty one; with fewer documents than
+    shards some shards are empty.
     """
-    dims = dims or metadata(docs, text, doc_id)
+    dims = dims or metadata(docs, text)
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(8)
     crc = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
     values = [F.coalesce(c, F.lit(0.0)).cast("double") for c in dims.values()]
-    raw = cut(docs.select(F.col(doc_id).alias("_id"), size.alias("size"), crc.alias("text_crc32"), F.array(*values).alias("_v"), *row_key(doc_id, text)), "metadata")
+    raw = cut(docs.select(F.col(doc_id).alias("_id"), size.alias("size"), crc.alias("text_crc32"), F.array(*values).alias("_v"), F.xxhash64(text).alias("_same"), *row_key(doc_id, text)), "metadata")
     n = len(dims)
     ends = raw.agg(*[f(F.col("_v")[d]) for d in range(n) for f in (F.min, F.max)]).first()
     top = float((1 << COORDINATE) - 1)
     scaled = [F.lit(0).cast("long") if ends[2 * d] is None or ends[2 * d] == ends[2 * d + 1] else ((F.col("_v")[d] - F.lit(ends[2 * d])) / F.lit(ends[2 * d + 1] - ends[2 * d]) * F.lit(top)).cast("long") for d in range(n)]
-    parts = raw.select("_id", "size", "text_crc32", F.array(*scaled).alias("_q"), F.col("_k1").bitwiseAND(F.lit((1 << TIE) - 1)).alias("_tie"), *KEY)
+    half = (1 << TIE // 2) - 1
+    tie = F.shiftleft(F.col("_same").bitwiseAND(F.lit(half).cast("long")), TIE // 2).bitwiseOR(F.col("_k1").bitwiseAND(F.lit(half).cast("long")))
+    parts = raw.select("_id", "size", "text_crc32", F.array(*scaled).alias("_q"), tie.alias("_tie"), *KEY)
     done = cut(_split(parts, shards, n, slack).select("_id", "size", "text_crc32", "shard", *KEY), "sharded")
     return gapless(done, "shard", KEY, "slot").withColumnRenamed("_id", doc_id)
 

@@ -287,3 +287,12 @@ def test_rules_are_fetched_by_their_rarest_token(spark):
     assert set(by) == {"pills", "ads", ""} and [e[1] for e in always] == ["x{3}"]
     pages = spark.createDataFrame([(1, "http://a/cheap-pills"), (2, "http://ads.b"), (3, "http://pills.c"), (4, "http://axxxb")], "page_id long, url string")
     assert {r.page_id: r.pattern for r in judge_urls(pages, rules=rules).collect()} == {1: "cheap-pills", 2: r"^ads\.", 3: None, 4: "x{3}"}
+
+
+def test_copies_share_a_shard(spark):
+    """Groups of equal texts are split by a cut only."""
+    rows = entry.queries()["op5_kd_tree_sharding"](spark, "/root/testdata/sf0.1").collect()
+    shards = defaultdict(set)
+    for r in rows:
+        shards[r.text_crc32, r.size].add(r.shard)
+    assert sum(len(s) > 1 for s in shards.values()) <= 23
