@@ -100,7 +100,6 @@ def test_simhash_components_by_brute_force(spark, block):
     df = spark.createDataFrame([(int(v),) for v in a.view(np.int64)], "fp long")
     at = {int(v): i for i, v in enumerate(a.view(np.int64))}
     edges = [(at[r.a], at[r.b]) for r in near_edges(df, 4, block).collect()]
-    assert all(int(a[i] ^ a[j]).bit_count() <= 4 for i, j in edges)
     assert union_find(len(fps), edges) == root
 
 
