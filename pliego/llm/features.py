@@ -26,6 +26,7 @@ INSULTS = set("idiot idiots moron morons stupid dumb loser losers pathetic worth
 SECOND = set("you your yours yourself youre u ur du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes tus vosotros eres".split())
 # Look-alikes that stand for letters inside a word.
 LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "*": "", ".": "", "-": "", "_": "", "'": ""})
+COMMON = ".,;:!?\"'()[]{}<>|%&$#*«»¿¡-"  # most of what stands around a word; EDGE finds the rest
 EDGE = re.compile(r"^\W+|\W+$")
 RUN = re.compile(r"(.)\1{2,}")
 LETTERS = re.compile(r"[^\W\d_]")
@@ -37,6 +38,9 @@ SURE = 3.0  # z-score from which a learned word counts as a hit
 
 def normal_word(token: str) -> tuple[str, bool]:
     """A white-space token as a plain lower-case word, and whether it was disguised."""
+    low = token.strip(COMMON).lower()
+    if low.isalpha() and not RUN.search(low):
+        return low, False
     bare = EDGE.sub("", token)
     low = bare.lower()
     if low.isalpha() and not RUN.search(low):
@@ -57,13 +61,28 @@ def vocabulary(text: str | None) -> set[str]:
     return out
 
 
+class Seen(dict):
+    """Token -> its flags, None for a plain word; filled on first sight."""
+
+    def __init__(self, word):
+        super().__init__()
+        self.word = word
+
+    def __missing__(self, token: str) -> tuple | None:
+        if len(self) > CACHE:
+            self.clear()
+        flags = self.word(token)
+        self[token] = flags = flags if any(flags) else None
+        return flags
+
+
 class Analyser:
     """Features of texts under one lexicon (word or stem -> z-score of its log-odds);
     remembers the words it has seen."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.seen: dict[str, tuple] = {}
+        self.seen = Seen(self.word)
 
     def word(self, token: str) -> tuple:
         """(z of the word, z of its best stem, insult, second person, all capitals, disguised)"""
@@ -71,10 +90,7 @@ class Analyser:
         get = self.lexicon.get
         stem = max((get(w[:k] + "-", 0.0) for k in STEMS if len(w) > k), default=0.0)
         caps = len(token) > 1 and token.isupper()
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        out = self.seen[token] = (get(w, 0.0), stem, w in INSULTS, w in SECOND, caps, hidden)
-        return out
+        return get(w, 0.0), stem, w in INSULTS, w in SECOND, caps, hidden
 
     def features(self, text: str | None) -> list[float]:
         text = text or ""
@@ -84,23 +100,21 @@ class Analyser:
         hits: set[str] = set()
         top = total = 0.0
         counts = Counter(tokens)
-        seen, word = self.seen, self.word
-        for token, k in counts.items():
-            flags = seen.get(token) or word(token)
-            if flags != _PLAIN:
-                z = max(flags[0], flags[1])
-                top, total = max(top, z), total + z
-                sums[0] += k * (flags[0] >= SURE)
-                sums[1] += k * (flags[1] >= SURE)
-                for i in range(2, 6):
-                    if flags[i]:
-                        sums[i] += k
-                if z >= SURE or flags[2]:
-                    hits.add(token)
+        seen = self.seen
+        for token, k, flags in [(t, k, f) for t, k in counts.items() if (f := seen[t])]:
+            z = max(flags[0], flags[1])
+            top, total = max(top, z), total + z
+            sums[0] += k * (flags[0] >= SURE)
+            sums[1] += k * (flags[1] >= SURE)
+            for i in range(2, 6):
+                if flags[i]:
+                    sums[i] += k
+            if z >= SURE or flags[2]:
+                hits.add(token)
         near = 0.0
         if hits and sums[3]:
             at = np.array([i for i, t in enumerate(tokens) if t in hits])
-            you = np.array([i for i, t in enumerate(tokens) if (seen.get(t) or word(t))[3]])
+            you = np.array([i for i, t in enumerate(tokens) if (f := seen[t]) and f[3]])
             j = np.searchsorted(you, at)
             gap = np.minimum(np.abs(at - you[np.minimum(j, len(you) - 1)]), np.abs(at - you[np.maximum(j - 1, 0)]))
             near = float(np.mean(1 / (1 + gap)))
@@ -119,9 +133,6 @@ class Analyser:
         ]
 
 
-_PLAIN = (0.0, 0.0, False, False, False, False)
-
-
 def with_features(docs: DataFrame, text: str, keep: list[str], lexicon: dict[str, float]) -> DataFrame:
     """``keep`` and a double column for each of FEATURES, and n_words; whole texts,
     one narrow pass. A null text has the features of an empty one."""
