@@ -133,17 +133,60 @@ class Analyser:
         ]
 
 
-def with_features(docs: DataFrame, text: str, keep: list[str], lexicon: dict[str, float]) -> DataFrame:
-    """``keep`` and a double column for each of FEATURES, and n_words; whole texts,
-    one narrow pass. A null text has the features of an empty one."""
+# What the domain classifier reads: no word is analysed one by one.
+BRIEF = ("hits", "hit_share", "top", "capitals", "exclaims", "punctuation", "symbols", "digits", "word_length", "distinct_words", "log_words")
+
+
+class Scanner:
+    """BRIEF features of texts: learned words and stems are found by an automaton
+    over the whole lower-cased text, the rest are counts of characters and words."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        import ahocorasick
+
+        self.found = ahocorasick.Automaton()
+        for w, z in lexicon.items():
+            if z >= SURE:  # a stem stands at the start of a word, a word ends there too
+                self.found.add_word(" " + w.rstrip("-"), (z, not w.endswith("-")))
+        self.any = len(self.found) > 0
+        if self.any:
+            self.found.make_automaton()
+
+    def features(self, text: str | None) -> list[float]:
+        text = text or ""
+        tokens = text.split()
+        words, chars = max(1, len(tokens)), max(1, len(text))
+        hits, top = set(), 0.0
+        if self.any:
+            flat = " " + text.lower().replace("\n", " ") + " "
+            for at, (z, whole) in self.found.iter(flat):
+                if not whole or not flat[at + 1].isalpha():
+                    hits.add(at)
+                    top = max(top, z)
+        code = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
+        n = np.bincount(np.minimum(code, 256), minlength=257)
+        upper = int(n[65:91].sum() + n[0xC0:0xDF].sum())
+        letters = max(1, upper + int(n[97:123].sum() + n[0xDF:].sum()))
+        punct = n[33:48].sum() + n[58:65].sum() + n[91:97].sum() + n[123:127].sum()
+        symbols = n[[35, 36, 37, 38, 42, 60, 62, 124]].sum()  # #$%&*<>|
+        return [
+            min(len(hits), 20), len(hits) / words, top, upper / letters, n[33] / words, punct / chars, symbols / chars, n[48:58].sum() / chars,
+            letters / words, len(set(tokens)) / words, float(np.log1p(len(tokens))),
+        ]
+
+
+def with_features(docs: DataFrame, text: str, keep: list[str], lexicon: dict[str, float], brief: bool = False) -> DataFrame:
+    """``keep`` and a double column for each of FEATURES (or BRIEF), and n_words; whole
+    texts, one narrow pass. A null text has the features of an empty one."""
+    names, kind = (BRIEF, Scanner) if brief else (FEATURES, Analyser)
     arrow_batches(docs.sparkSession)
     src = docs.select(*keep, F.col(text).alias("_text"))
-    schema = with_fields(src.select(*keep), ", ".join(f"{c} double" for c in FEATURES) + ", n_words long")
+    schema = with_fields(src.select(*keep), ", ".join(f"{c} double" for c in names) + ", n_words long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        analyser = Analyser(lexicon)
+        analyser = kind(lexicon)
         for b in batches:
-            rows = np.array([analyser.features(t.as_py()) for t in b.column("_text")], dtype=float).reshape(-1, len(FEATURES))
+            rows = np.array([analyser.features(t.as_py()) for t in b.column("_text")], dtype=float).reshape(-1, len(names))
             n = np.rint(np.expm1(rows[:, -1])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c) for c in rows.T), pa.array(n)], names=schema.names)
 

@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pliego.llm.common import KEY, cut, row_key, whole_row
-from pliego.llm.features import FEATURES, labelled_sample, learn_lexicons, with_features
+from pliego.llm.features import BRIEF, labelled_sample, learn_lexicons, with_features
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
-TRAIN_ROWS = 24_000  # labelled rows that the classifier is fitted on, about, at most
+TRAIN_ROWS = 8_000  # labelled rows that the classifier is fitted on, about, at most
 ROUNDS = 60
 TOLERANCE = 1e-4  # of the total, that a domain's tokens may be off
 
@@ -38,16 +38,16 @@ def posteriors(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, keep:
     seen = {r["d"]: r["count"] for r in sample.groupBy("d").count().collect()}
     if len(seen) < 2:
         sure = F.array(*[F.lit(float(k == next(iter(seen), 0))) for k in range(len(DOMAINS))])
-        return with_features(docs, text, keep, {}).select(*keep, F.col("n_words").alias("tokens"), sure.alias("p"))
+        return with_features(docs, text, keep, {}, brief=True).select(*keep, F.col("n_words").alias("tokens"), sure.alias("p"))
     # Each half of the sample is seen under the other's lexicon, the corpus under that of both.
     sample = sample.withColumn("half", F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(2)).cast("int")).withColumn("y", (F.col("d") == 2).cast("int"))
     lexicons = learn_lexicons(sample, "y", "half")
     lexicon = lexicons[None]
-    assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
-    halves = [with_features(sample.filter(F.col("half") == k), "_text", ["d"], lexicons.get(1 - k, lexicon)) for k in (0, 1)]
+    assemble = VectorAssembler(inputCols=list(BRIEF), outputCol="features", handleInvalid="keep")
+    halves = [with_features(sample.filter(F.col("half") == k), "_text", ["d"], lexicons.get(1 - k, lexicon), brief=True) for k in (0, 1)]
     known = assemble.transform(cut(halves[0].unionByName(halves[1]), "features").repartition(6))
     forest = RandomForestClassifier(featuresCol="features", labelCol="d", numTrees=24, maxDepth=7, minInstancesPerNode=3, seed=1).fit(known)
-    scored = forest.transform(assemble.transform(with_features(docs, text, keep, lexicon)))
+    scored = forest.transform(assemble.transform(with_features(docs, text, keep, lexicon, brief=True)))
     p = vector_to_array("probability")
     p = F.array(*[p[k] if k < forest.numClasses else F.lit(0.0) for k in range(len(DOMAINS))])
     return scored.select(*keep, F.col("n_words").alias("tokens"), p.alias("p"))
