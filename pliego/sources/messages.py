@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lookup import measured_broadcast
 from ..schema import JSON_READ_OPTIONS
 from ..session import configure
 
@@ -40,15 +41,17 @@ def read_messages(spark: SparkSession, path: str, whole_file: bool = False) -> D
     """SO1 source: one message per line (or per file with ``whole_file``).
 
     Returns ``msg_id, raw``. ``msg_id`` is the file and a hash of the text, so it
-    depends neither on split sizes nor on retries; a line that a file repeats
-    gets its number among its equals as well.
+    depends neither on split sizes nor on retries; lines that a file repeats
+    get their number among their equals as well.
     """
     df = spark.read.text(path, wholetext=whole_file).select(F.input_file_name().alias("_f"), F.col("value").alias("raw"))
     df = df.where(F.length(F.trim("raw")) > 0).withColumn("_h", F.md5("raw"))
-    again = F.row_number().over(Window.partitionBy("_f", "_h").orderBy("raw"))
-    df = df.withColumn("_n", again)
-    msg_id = F.concat_ws(":", "_f", "_h", F.when(F.col("_n") > 1, F.col("_n").cast("string")))
-    return df.select(msg_id.alias("msg_id"), "raw")
+    # Only lines that come again are shuffled; their keys are broadcast when measured small.
+    again = measured_broadcast(df.groupBy("_f", "_h").count().where("count > 1").select("_f", "_h"))
+    once = df.join(again, ["_f", "_h"], "left_anti").select(F.concat_ws(":", "_f", "_h").alias("msg_id"), "raw")
+    number = F.row_number().over(Window.partitionBy("_f", "_h").orderBy("raw"))
+    more = df.join(again, ["_f", "_h"], "left_semi").withColumn("_n", number.cast("string"))
+    return once.unionByName(more.select(F.concat_ws(":", "_f", "_h", "_n").alias("msg_id"), "raw"))
 
 
 # One-shot binding schema: used when no array is written as a lone object.
