@@ -1,7 +1,7 @@
 """Inputs derived from the provided tables.
 
-* ``messages``: one JSON business message per order (split every 64 line
-  numbers so one huge order cannot make one huge row). Outputs group the
+* ``messages``: one JSON business message per order (an order has a handful of
+  lines; line numbers from 64 on would go to further messages). Outputs group the
   order's lines by line status, compositions are the lines. Order status and
   priority pick a few structurally broken messages (E1/E2/E3); line and
   supplier keys pick formats, template locations, images and empty data.
