@@ -3,9 +3,11 @@
 The standard library's parser streams a page's events into lines (blocks of
 text with the tags spent on them). The text-to-tag ratio of the lines is
 smoothed by a Gaussian and a two-means threshold separates content lines from
-the rest. The content region is the deepest element that holds most of the
-content; all its lines count, but for those inside elements that by their name
-or class are no article text.
+the rest. Lines inside elements that by their name or class are no article text
+are left out, and so are lines of links below the threshold: menus without a
+name. All else is main text, unless article or main elements hold nearly all
+of it: then these go as a whole, and of what stands outside them the content
+lines and their neighbours.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from pliego.llm.common import arrow_batches, with_fields
 
 SIGMA = 1.0  # of the Gaussian, in lines
-SHARE = 0.9  # of the content characters that the region holds
+SHARE = 0.9  # of a page's characters without menus: what article elements hold where they decide
+LINKED = 0.6  # of a line's characters inside links: more is a menu
 
 # Elements whose text is never shown as text, or is a control.
 SILENT = set("script style template noscript svg math head title iframe object canvas audio video select option textarea button datalist".split())
@@ -48,17 +51,20 @@ NOISE |= set("header commentlist adsbygoogle advertising cookiebar topbar subnav
 UNLESS = {"has", "with", "no", "without", "not"}  # class="content has-sidebar"
 TITLED = {"article", "post", "entry", "story", "content", "main"}  # class="entry-header" holds the title
 IN_HEAD = set("title meta link style script base noscript template".split())
-GENERIC = {"div", "section", "article", "main", "body", "td", "html", ""}
+GENERIC = {"div", "section", "article", "main", "body", "html", ""}
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 NARTICLE = {"article", "main"}
 
 
 class _Node:
-    __slots__ = ("name", "parent", "depth", "out")
+    """An element: whether it is left out, is in an article, and the nearest container."""
+
+    __slots__ = ("name", "parent", "out", "article", "box")
 
     def __init__(self, name: str, parent: _Node | None, out: bool):
         self.name, self.parent, self.out = name, parent, out
-        self.depth = parent.depth + 1 if parent else 0
+        self.article: bool = name in NARTICLE or bool(parent and parent.article)
+        self.box: _Node = self if name in GENERIC or not parent else parent.box
 
 
 class _Lines(HTMLParser):
@@ -193,40 +199,13 @@ def main_text(html: str | None) -> str:
         return ""
     ratio = smooth([len(text) / (tags + 1) for text, tags, _, _ in lines])
     least = threshold(ratio)
-    weight: dict[_Node, int] = {}
-    total = 0
-    for (text, _, node, _), r in zip(lines, ratio, strict=True):
-        if r >= least:
-            total += len(text)
-            n: _Node | None = node
-            while n:
-                weight[n] = weight.get(n, 0) + len(text)
-                n = n.parent
-    region = max((n for n, w in weight.items() if w >= SHARE * total), key=lambda n: n.depth)
-    whole = None  # an article goes as a whole: its title and short paragraphs too
-    n = region
-    while n:
-        if n.name in NARTICLE:
-            whole = n
-        n = n.parent
-    region = whole or region
-    while region.name not in GENERIC and region.parent:
-        region = region.parent  # one paragraph holds most of it; its neighbours belong to it
-
-    def inside(n: _Node | None) -> bool:
-        while n and n is not region:
-            n = n.parent
-        return n is region
-
-    known: dict[_Node, bool] = {}
-    out = []
-    for (text, _, node, linked), r in zip(lines, ratio, strict=True):
-        if node not in known:
-            known[node] = inside(node)
-        # Outside an article element, lines of links below the threshold are menus without a name.
-        if known[node] and (whole or r >= least or linked <= 0.6 * len(text)):
-            out.append(text)
-    return " ".join(out)
+    content = [r >= least for r in ratio]
+    menu = [not c and not node.article and linked > LINKED * len(text) for (text, _, node, linked), c in zip(lines, content, strict=True)]
+    total = sum(len(x[0]) for x, m in zip(lines, menu, strict=True) if not m)
+    if sum(len(x[0]) for x in lines if x[2].article) >= SHARE * total:
+        near = {x[2].box for x, c in zip(lines, content, strict=True) if c}
+        return " ".join(x[0] for x, m in zip(lines, menu, strict=True) if x[2].article or x[2].box in near and not m)
+    return " ".join(x[0] for x, m in zip(lines, menu, strict=True) if not m)
 
 
 def extract_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

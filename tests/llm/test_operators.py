@@ -273,6 +273,23 @@ def test_main_text_of_other_layouts(html, text):
     assert main_text(html) == text
 
 
+LEAD, STORY = "A lead of some words.", "A story of words that goes on. " * 60
+STEPS = [f"Step {i} of the list, in a few words" for i in range(100)]
+BESIDE = [
+    (f"<body><div class=lead><p>{LEAD}</p></div><div class=story><p>{STORY}</p></div>", [LEAD, STORY]),
+    (f"<body><div class=intro><p>{STORY}</p></div><div class=steps><ul>{''.join(f'<li>{x}</li>' for x in STEPS)}</ul></div>", [STORY, *STEPS]),
+    (f"<table><tr><td><p>{STORY}</p></td><td>{LEAD}</td></tr><tr><td>x1</td><td>x2</td></tr></table>", [STORY, LEAD, "x1 x2"]),
+    (f"<article><p>{STORY}</p></article><article><p>{LEAD}</p></article>", [STORY, LEAD]),
+    (f"<article><p>{STORY}</p></article><div class=steps>{''.join(f'<p>{x}</p>' for x in STEPS)}</div>", [STORY, *STEPS]),
+    (f"<body><div><a href=a>Home</a></div><div><a href=b>News</a></div><div><p>{STORY}</p><p>{STORY}</p><p>{STORY}</p></div>", [STORY] * 3),
+]
+
+
+@pytest.mark.parametrize("html, blocks", BESIDE)
+def test_main_text_of_blocks_beside_each_other(html, blocks):
+    assert main_text(html) == " ".join(" ".join(blocks).split())
+
+
 def test_line_spread_is_exact_near_the_threshold(spark):
     rows = [(h, f"s{k}") for h in range(40) for k in range(h) for _ in range(2)]
     df = spark.createDataFrame(rows, "h long, site string")
