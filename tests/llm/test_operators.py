@@ -19,7 +19,7 @@ from pliego.llm.covertree import build_tree, cover, descend, embedding_links, le
 from pliego.llm.features import normal_word
 from pliego.llm.htmltext import main_text
 from pliego.llm.linededup import spread_lines
-from pliego.llm.mixing import fit_rates
+from pliego.llm.mixing import DOMAINS, fit_rates, posteriors
 from pliego.llm.packing import plan, places, token_ids, vocabulary
 from pliego.llm.simhash import fingerprint, near_edges, segments, simhash_components
 from pliego.llm.urlrules import Rule, index, judge_urls
@@ -253,6 +253,43 @@ def test_held_out_toxicity(spark):
     assert normal_word("m0r0n!!") == ("moron", True) and normal_word("Moron.") == ("moron", False)
 
 
+def test_held_out_domains_with_quoted_and_disguised_words(spark):
+    rng = np.random.default_rng(3)
+    plain = [f"{a}{b}" for a in ("ta", "re", "mi", "so", "lu") for b in ("nder", "lit", "vop", "kans", "ger", "mel")]
+    toxic = ["bronkel", "zorgulon", "vikkarim"]
+    shapes = {"plain": " {} ", "quoted": '"{}"', "bracket": "({})", "tab": "\t{}\t", "capitals": "{}!"}
+
+    def doc(words):
+        out = [str(w) for w in rng.choice(plain, 40)]
+        for w in words:
+            out.insert(int(rng.integers(1, 40)), w)
+        return " ".join(out)
+
+    def shaped(kind):
+        words = [str(w) for w in rng.choice(toxic, 3)]
+        if kind == "disguised":
+            return [w.replace("o", "0").replace("i", "!") for w in words]
+        if kind == "drawn out":
+            return [w.replace("o", "ooo").replace("i", "iii") for w in words]
+        return [shapes[kind].format(w) for w in words]
+
+    rows, marks = [], []
+    for i in range(240):
+        rows.append((i, doc(shaped("plain") if i % 3 == 2 else []), "labelled", i % 3))
+        marks.append((i, int(i % 3 != 1), int(i % 3 == 2)))
+    kinds = [*shapes, "disguised", "drawn out"]
+    rows += [(1000 + i, doc(shaped(kinds[i % len(kinds)])), kinds[i % len(kinds)], 2) for i in range(20 * len(kinds))]
+    rows += [(5000 + i, doc([]), "none", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string, d int")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    found = Counter()
+    for r in posteriors(docs, labels, "text", "doc_id", ["doc_id", "kind"]).collect():
+        found[r.kind, DOMAINS[int(np.argmax(r.p))] == "toxic"] += 1
+    assert found["none", True] == 0
+    for kind in kinds:
+        assert found[kind, True] >= 18, (kind, found)
+
+
 def test_main_text_of_the_pages(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         inner = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
