@@ -16,6 +16,7 @@ from ..schema import JSON_READ_OPTIONS
 from ..session import configure
 
 CORRUPT = "_corrupt"
+RUN = 4096  # equal lines of a file that a row stands for while they are numbered
 
 TOP_DDL = (
     "metadata string, "
@@ -49,9 +50,17 @@ def read_messages(spark: SparkSession, path: str, whole_file: bool = False) -> D
     # Only lines that come again are shuffled; their keys are broadcast when measured small.
     again = measured_broadcast(df.groupBy("_f", "_h").count().where("count > 1").select("_f", "_h"))
     once = df.join(again, ["_f", "_h"], "left_anti").select(F.concat_ws(":", "_f", "_h").alias("msg_id"), "raw")
-    number = F.row_number().over(Window.partitionBy("_f", "_h").orderBy("raw"))
-    more = df.join(again, ["_f", "_h"], "left_semi").withColumn("_n", number.cast("string"))
-    return once.unionByName(more.select(F.concat_ws(":", "_f", "_h", "_n").alias("msg_id"), "raw"))
+    # Equal lines are alike, so they are counted (combined where they are read) and dealt
+    # out again in runs of RUN: no task holds or numbers all lines of a hot text.
+    texts = df.join(again, ["_f", "_h"], "left_semi").groupBy("_f", "_h", "raw").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_f", "_h").orderBy("raw").rowsBetween(Window.unboundedPreceding, -1))
+    texts = texts.withColumn("_b", F.coalesce(before, F.lit(0)))  # other texts of the same hash
+    runs = texts.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(RUN).cast("long"))))
+    # A number given to repartition() keeps the small rows of the runs apart.
+    runs = runs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_f", "_h", "_b", "_s")
+    more = runs.withColumn("_i", F.explode(F.sequence(F.col("_s") + 1, F.least(F.col("_s") + RUN, "_n"))))
+    number = (F.col("_b") + F.col("_i")).cast("string")
+    return once.unionByName(more.select(F.concat_ws(":", "_f", "_h", number).alias("msg_id"), "raw"))
 
 
 # One-shot binding schema: used when no array is written as a lone object.

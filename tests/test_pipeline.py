@@ -202,6 +202,20 @@ def test_message_ids_do_not_follow_the_splits(spark, tmp_path):
     assert ids[0] == ids[1] and len(set(ids[0])) == 40
 
 
+def test_a_hot_message_is_numbered_in_many_tasks(spark, tmp_path):
+    from pliego.sources.messages import read_messages
+
+    n = 40_000
+    (tmp_path / "m.jsonl").write_text("\n".join(['{"a":1}'] * n + ['{"a":2}', '{"a":3}', '{"a":2}']))
+    rows = read_messages(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    numbers = {}
+    for r in rows:
+        numbers.setdefault(r.raw, []).append(r.msg_id.rsplit(":", 1)[1])
+    assert sorted(map(int, numbers['{"a":1}'])) == list(range(1, n + 1))
+    assert sorted(numbers['{"a":2}']) == ["1", "2"] and len(numbers['{"a":3}']) == 1
+    assert len({r.task for r in rows if r.raw == '{"a":1}'}) > 1
+
+
 def test_asof_lookup_against_brute_force(spark):
     import datetime
     import random
