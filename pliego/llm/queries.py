@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pliego.llm.bytebpe import bpe_digests
 from pliego.llm.common import table
 from pliego.llm.covertree import embedding_links
 from pliego.llm.htmltext import extract_text
@@ -12,6 +13,7 @@ from pliego.llm.linededup import line_dedup
 from pliego.llm.mixing import DOMAINS, mix
 from pliego.llm.packing import pack
 from pliego.llm.quality import quality_verdicts
+from pliego.llm.resample import importance_ranks
 from pliego.llm.sharding import kd_shards
 from pliego.llm.simhash import simhash_components
 from pliego.llm.toxicity import toxicity
@@ -61,6 +63,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
 SHARDS = 24
 
 QUERIES = {
@@ -74,6 +84,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_html_extraction": op9_html_extraction,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 # Lines as the operators compare them; the SQL compares the lines themselves
@@ -166,8 +178,43 @@ SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN action WHEN fo
 FROM f
 """
 
+# CRC-32 of a string's bytes: the table of 256 entries from the polynomial, then a fold.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen({x})), lambda i: ('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"""
+
+_OP11 = rf"""
+WITH tab AS (
+  SELECT {_CRC_TABLE} AS tab
+), w AS (
+  SELECT 0 AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), f AS (
+  SELECT kind, id, unnest(w) AS word FROM w
+), b AS (
+  SELECT word, {_CRC.format(x="word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM f), tab
+), h AS (
+  SELECT bucket, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM f JOIN b USING (word) GROUP BY bucket
+), g AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM h
+), d AS (
+  SELECT f.id, count(*) AS n, sum(gain) AS weight FROM f JOIN b USING (word) JOIN g USING (bucket) WHERE kind = 0 GROUP BY f.id
+), s AS (
+  SELECT doc_id, len(w.w) AS n_features, coalesce(weight, 0)
+    + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score, coalesce(weight, 0) AS weight
+  FROM documents JOIN w ON w.id = doc_id AND w.kind = 0 LEFT JOIN d ON d.id = doc_id
+), r AS (
+  SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM s
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN place <= floor(10 * (SELECT count(*) FROM s WHERE n_features >= 20) / 100) THEN place END AS rank
+FROM r
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": _OP1,
     "op2_quality_rules": _OP2,
     "op3_url_filters": _OP3,
+    "op11_importance_resampling": _OP11,
 }
