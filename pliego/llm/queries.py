@@ -17,6 +17,7 @@ from pliego.llm.resample import importance_ranks
 from pliego.llm.sharding import kd_shards
 from pliego.llm.simhash import simhash_components
 from pliego.llm.toxicity import toxicity
+from pliego.llm.trie import conversation_trie
 from pliego.llm.urlrules import PATTERN_RULES, judge_urls
 
 
@@ -71,6 +72,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 SHARDS = 24
 
 QUERIES = {
@@ -86,6 +91,7 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 # Lines as the operators compare them; the SQL compares the lines themselves
@@ -212,9 +218,46 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT)
 FROM r
 """
 
+# A node is a list of turns here, found by equality of the whole lists.
+_OP13 = rf"""
+WITH tab AS (
+  SELECT {_CRC_TABLE} AS tab
+), own AS (
+  SELECT conv_id AS c, list([coalesce(role, ''), coalesce(text, '')] ORDER BY turn NULLS FIRST) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT c, l, {_CRC.format(x="CAST(c AS VARCHAR)")} % 4 AS h, c - c % 20 AS b FROM own, tab
+), r AS (
+  SELECT h.c, list_concat(coalesce(o.l, [])[1:h.h], h.l[h.h + 1:]) AS l FROM h LEFT JOIN own o ON o.c = h.b
+), p AS (
+  SELECT c, l, unnest(range(0, len(l) + 1)) AS depth FROM r
+), m AS (
+  SELECT c, depth, l[1:depth] AS k, l[1:depth - 1] AS up, len(l) AS n FROM p
+), n AS (
+  SELECT depth, k, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = depth), '')) AS ends_sha256,
+    CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(any_value(k)[depth][2], '[^\x20\x09-\x0D]+')) END AS w
+  FROM m GROUP BY depth, k
+), e AS (
+  SELECT m.c, m.depth, n.conv_id, n.n_convs, n.w, n.ends_sha256 FROM m JOIN n ON m.depth = n.depth AND m.k = n.k
+), ch AS (
+  SELECT up.conv_id, up.depth, count(DISTINCT lo.conv_id) AS n_children FROM e up JOIN e lo ON lo.c = up.c AND lo.depth = up.depth + 1 GROUP BY up.conv_id, up.depth
+), v AS (
+  SELECT e.*, CASE WHEN e.c = e.conv_id THEN (n_convs - 1) * w ELSE 0 END AS saved,
+    CASE WHEN e.c = e.conv_id AND ch.conv_id IS NULL THEN 1 ELSE 0 END AS leaf
+  FROM e LEFT JOIN ch ON ch.conv_id = e.conv_id AND ch.depth = e.depth
+), s AS (
+  SELECT conv_id, depth, c, n_convs, ends_sha256, lag(conv_id) OVER up AS parent_conv_id, sum(saved) OVER down AS saved, sum(leaf) OVER down AS leaves
+  FROM v WINDOW up AS (PARTITION BY c ORDER BY depth), down AS (PARTITION BY c ORDER BY depth DESC)
+)
+SELECT s.conv_id, s.depth, any_value(parent_conv_id) AS parent_conv_id, any_value(n_convs) AS n_convs, coalesce(any_value(n_children), 0) AS n_children,
+  CAST(sum(leaves) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens, any_value(ends_sha256) AS ends_sha256
+FROM s LEFT JOIN ch ON ch.conv_id = s.conv_id AND ch.depth = s.depth GROUP BY s.conv_id, s.depth
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": _OP1,
     "op2_quality_rules": _OP2,
     "op3_url_filters": _OP3,
     "op11_importance_resampling": _OP11,
+    "op13_conversation_trie": _OP13,
 }
