@@ -310,6 +310,21 @@ def kafka_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kafka_byte_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as records of which three in four hold bytes that are no UTF-8:
+    a lone byte, a lead byte before an ASCII sign, a character cut short."""
+    ev = table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
+    odd = [F.encode(F.lit("ñ"), "UTF-8"), *[F.lit(bytearray(b)) for b in (b"\xff", b"\xc3(", b"\xf0\x9f\x98")]]
+    n = F.pmod("event_id", F.lit(len(odd)))
+    odd = F.coalesce(*[F.when(n == i, v) for i, v in enumerate(odd)])
+    head = F.concat(F.lit('{"metadata":{"id":'), F.col("event_id").cast("string"), F.lit('},"nota":"'))
+    return ev.select(
+        F.col("event_type").alias("topic"), F.pmod(F.col("user_id"), F.lit(4)).cast("int").alias("partition"), F.col("event_id").alias("offset"),
+        F.concat(F.lit("request-"), F.col("event_id").cast("string")).alias("key"),
+        F.concat(F.encode(head, "UTF-8"), odd, F.encode(F.lit('"}'), "UTF-8")).alias("value"),
+    )
+
+
 # ------------------------------------- conversations as nested data ----
 
 

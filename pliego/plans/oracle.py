@@ -588,7 +588,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "st2_template_fetch_state": st2,
         "sk1_write_documents": (
-            f"WITH {COMP}, b AS (SELECT *, {body} AS body, format <> 'pdf' AND comp_pos % 2 = 0 AS stored FROM {bodies_html}) "
+            f"WITH {COMP}, b AS (SELECT *, {body} AS body, format <> 'pdf' AS stored FROM {bodies_html}) "
             f"SELECT {KEY}, CASE WHEN stored THEN {obj_key} END AS object_key, CASE WHEN stored THEN 's3@:{DOCS_BUCKET}/' || {obj_key} END AS repository_path, "
             f"CASE WHEN stored THEN md5(body) END AS body, CASE WHEN stored THEN 's3@:{DOCS_BUCKET}/' || {obj_key} ELSE {local} END AS result_location FROM b"
         ),
@@ -701,6 +701,10 @@ def oracle_sql() -> dict[str, str]:
             "[{\"type\":\"template\",\"metadata\":{\"resource\":{\"output_format\":\"txt\",\"location\":\"orden.html\",\"data\":' || data || '}}}]}]}}}' "
             "ELSE '{\"templatePath\":\"orden.html\",\"data\":' || data || '}' END AS raw FROM kpos"
         ),
+        "so3_decode_bytes": (
+            "SELECT event_type AS topic, CAST(user_id % 4 AS BIGINT) AS partition, event_id AS \"offset\", true AS base64_ok, raw AS from_base64, true AS decode_ok, raw FROM ("
+            "SELECT *, '{\"metadata\":{\"id\":' || event_id || '},\"nota\":\"' || CASE event_id % 4 WHEN 0 THEN 'ñ' WHEN 2 THEN chr(65533) || '(' ELSE chr(65533) END || '\"}' AS raw FROM events)"
+        ),
         "so4_decode_binary": (
             "SELECT event_type AS topic, CAST(user_id % 4 AS BIGINT) AS partition, event_id AS \"offset\", "
             "CASE event_id % 2 WHEN 0 THEN 'CREATE_TIME' ELSE 'LOG_APPEND_TIME' END AS \"timestampType\", 'request-' || event_id AS key, CAST(1 AS BIGINT) AS headers, "
@@ -708,6 +712,11 @@ def oracle_sql() -> dict[str, str]:
             f"'request-' || event_id, event_id, {lit(CAUSE_JSON)}) END AS decode_error, "
             "CASE WHEN event_type = 'error' THEN '{bad json' ELSE '{\"metadata\":{\"id\":' || event_id || ',\"nota\":\"' || repeat('ñandú ', 20) || '\"}}' END AS raw FROM events"
         ),
+        "so4_read_offsets": (
+            "SELECT event_type AS topic, CAST(user_id % 4 AS BIGINT) AS partition, event_id AS \"offset\", 'request-' || event_id  AS key, epoch_us(ts) // 1000 AS timestamp, "
+            "CASE event_id % 2 WHEN 0 THEN 'CREATE_TIME' ELSE 'LOG_APPEND_TIME' END AS \"timestampType\", event_type <> 'error' AS decode_ok, "
+            "md5(CASE WHEN event_type = 'error' THEN '{bad json' ELSE '{\"metadata\":{\"id\":' || event_id || ',\"nota\":\"' || repeat('ñandú ', 20) || '\"}}' END) AS value FROM events"
+        ),
         "v1_check_structure": (
             f"WITH {LINES} SELECT DISTINCT msg_id, CASE kind WHEN 'E1' THEN 'E1' WHEN 'E2' THEN 'E2' END AS error_code, "
             f"CASE kind WHEN 'E1' THEN {lit(E.E1_NO_ITEM)} WHEN 'E2' THEN {lit(E.E2_NO_OUTPUTS)} END AS error_message FROM pos"

@@ -482,12 +482,37 @@ def q_so3(spark, sf):
     return r.select("batch_id", "offset", "decode_ok", "decode_error", "raw")
 
 
+def q_so3_bytes(spark, sf):
+    """Values with bytes that are no UTF-8, once as base64 and once as bytes."""
+    rows = fixtures.kafka_byte_rows(spark, sf)
+    text = decode_record(rows.withColumn("value", F.base64("value"))).select("topic", "partition", "offset", F.col("raw").alias("from_base64"), F.col("decode_ok").alias("base64_ok"))
+    r = decode_record(rows).join(text, ["topic", "partition", "offset"])
+    return r.select("topic", F.col("partition").cast("bigint").alias("partition"), "offset", "base64_ok", "from_base64", "decode_ok", "raw")
+
+
 def q_so4(spark, sf):
     """The Kafka source's own row shape, values binary and longer than a base64 line."""
     r = decode_record(kafka_rows(fixtures.kafka_source_rows(spark, sf)))
     return r.select("topic", F.col("partition").cast("bigint").alias("partition"), "offset", "timestampType", "key", F.size("headers").cast("bigint").alias("headers"), "decode_ok", "decode_error", "raw")
 
 
+def q_so4_offsets(spark, sf):
+    """The topic landed as segments and read as a stream from its earliest
+    offsets, a third of them a batch, by a query that is stopped and started again."""
+    from ..sources.topic import land_segments, read_topic, segments
+    root = _scratch(spark, "so4")
+    topic, ckpt, out = (os.path.join(root, n) for n in ("topic", "ckpt", "out"))
+    land_segments(fixtures.kafka_source_rows(spark, sf), topic)
+    backlog = sum(end - start for found in segments(topic).values() for start, end, _ in found)
+    for _ in range(2):
+        records = read_topic(spark, topic, ckpt, {"startingOffsets": "earliest", "maxOffsetsPerTrigger": str(backlog // 3 + 1)})
+        rows = decode_record(records).select("topic", F.col("partition").cast("bigint").alias("partition"), "offset", "key", "timestamp", "timestampType", "decode_ok", F.md5("value").alias("value"))
+        q = rows.writeStream.format("parquet").option("checkpointLocation", ckpt).start(out)
+        q.processAllAvailable()
+        q.stop()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
 # ----------------------------------------------------- template cache ----
 
 def q_st3(spark, sf):
@@ -611,11 +636,11 @@ def q_st1(spark, sf):
 
 
 def q_sk1(spark, sf):
-    """Every second document of a message goes to the store, so RS11 takes either arm."""
+    """Every rendered document goes to the store; what waits for a converter has only its local place."""
     from ..sinks.store import write_documents
     root = _scratch(spark, "sk1")
     docs = _docs(spark, sf)
-    stored = docs.where((F.col("status") == "rendered") & (F.col("comp_pos") % 2 == 0))
+    stored = docs.where(F.col("status") == "rendered")
     back = write_documents(stored, root, AS_OF, prefix=DOCS_PREFIX, bucket=DOCS_BUCKET)
     back = back.select(*REQUEST_KEY, "object_key", "repository_path", F.md5("body").alias("body"))
     out = docs.select(*REQUEST_KEY, "location").join(back, REQUEST_KEY, "left")
@@ -681,7 +706,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "so1_read_messages": q_so1,
     "so2_explode_kafka_batch": q_so2,
     "so3_decode_record": q_so3,
+    "so3_decode_bytes": q_so3_bytes,
     "so4_decode_binary": q_so4,
+    "so4_read_offsets": q_so4_offsets,
     "v1_check_structure": q_v1,
     "v2_check_composition": q_v2,
     "v3_check_data_node": q_v3,

@@ -34,9 +34,14 @@ def record_count(records) -> Column:
 
 
 def decode_value(value) -> Column:
-    """Base64 -> UTF-8 text; NULL where java.util.Base64's basic decoder fails."""
+    """Base64 -> text; NULL where java.util.Base64's basic decoder fails."""
     v = F.col(value) if isinstance(value, str) else value
-    return F.when(~v.rlike(r"\s"), F.decode(F.try_to_binary(v, F.lit("base64")), "UTF-8"))
+    return F.when(~v.rlike(r"\s"), utf8_text(F.try_to_binary(v, F.lit("base64"))))
+
+
+def utf8_text(value: Column) -> Column:
+    """Bytes as UTF-8 text, U+FFFD in place of what is none: odd bytes never raise."""
+    return F.make_valid_utf8(value.cast("string"))
 
 
 def decode_record(records: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def decode_record(records: DataFrame) -> DataFrame:
     ``decode_error`` (E11 text) to exploded records. A text ``value`` is
     base64, as in a batch envelope; a binary one is the record's bytes."""
     binary = isinstance(records.schema["value"].dataType, BinaryType)
-    text = F.decode(F.col("value"), "UTF-8") if binary else decode_value("value")
+    text = utf8_text(F.col("value")) if binary else decode_value("value")
     parsed = F.from_json(text, "metadata string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
     looks_like_object = F.coalesce(F.ltrim(text).startswith("{"), F.lit(False))
     cause = (
@@ -68,7 +73,7 @@ def kafka_rows(raw: DataFrame) -> DataFrame:
         "topic", "partition", "offset",
         F.unix_millis("timestamp").alias("timestamp"),
         kind.alias("timestampType"),
-        F.col("key").cast("string").alias("key"),
+        utf8_text(F.col("key")).alias("key"),
         "value",
         *(["headers"] if "headers" in raw.columns else []),
     )
@@ -78,8 +83,8 @@ def read_kafka_stream(spark: SparkSession, options: dict[str, str]) -> DataFrame
     """SO4: the request topic as a stream from the latest offsets; lost offsets
     fail the query, headers come along. ``options`` add to or replace these; set
     ``maxOffsetsPerTrigger`` to bound a batch (the reference takes 10 records).
-    Needs the Kafka connector on the classpath; without it use
-    ``read_record_files`` over landed record files."""
+    Needs the Kafka connector on the classpath; without it ``topic.read_topic``
+    reads landed segments with the same rows, offsets and options."""
     opts = {"startingOffsets": "latest", "failOnDataLoss": "true", "includeHeaders": "true"}
     opts.update(options)
     return kafka_rows(spark.readStream.format("kafka").options(**opts).load())

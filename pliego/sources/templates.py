@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import errors as E
 from ..functions.uris import parse_s3_uri, strip_protocol, template_protocol
+from .kafka import utf8_text
 
 PACKAGED = "packaged"
 PACKAGE_PREFIX = "templates/"
@@ -29,7 +30,7 @@ def _scan(spark: SparkSession, root: str) -> DataFrame:
     rel = F.substr(F.col("path"), F.locate(root_norm, F.col("path")) + F.lit(len(root_norm)))
     return df.select(
         rel.alias("rel"),
-        F.decode(F.col("content"), "UTF-8").alias("content"),
+        utf8_text(F.col("content")).alias("content"),  # one broken file must not end the scan of all
         F.col("modificationTime").alias("fetched_at"),
     )
 
