@@ -414,6 +414,30 @@ def page_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------- template requests ----
 
 
+def page_uri(page_id: Column) -> Column:
+    """A page's template as a URI of the mount, in folders of 100."""
+    return F.concat(F.lit("fs@/paginas/"), F.floor(page_id / 100).cast("string"), F.lit("/"), page_id.cast("string"), F.lit(".html"))
+
+
+def mount_pages(spark: SparkSession, sf_dir: str, root: str, mark: str, there: Column) -> None:
+    """Write a template file for each page for which ``there`` holds: ``mark`` and its URL."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url").where(there)
+    rows = pages.select(F.substr(page_uri(F.col("page_id")), F.lit(4)).alias("path"), F.concat(F.lit(mark), F.coalesce("url", F.lit(""))).alias("text"))
+
+    def write(batches):
+        from ..sources.topic import open_store
+
+        store, base = open_store(root)
+        for b in batches:
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                store.create_dir(base + path.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(base + path) as f:
+                    f.write(text.encode())
+            yield b
+
+    rows.mapInArrow(write, "path string, text string").write.format("noop").mode("overwrite").save()
+
+
 def template_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``uri, ts, event_id``: template fetch requests over time (ST2, J5)."""
     ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")

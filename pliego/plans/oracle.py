@@ -717,6 +717,15 @@ def oracle_sql() -> dict[str, str]:
             "CASE event_id % 2 WHEN 0 THEN 'CREATE_TIME' ELSE 'LOG_APPEND_TIME' END AS \"timestampType\", event_type <> 'error' AS decode_ok, "
             "md5(CASE WHEN event_type = 'error' THEN '{bad json' ELSE '{\"metadata\":{\"id\":' || event_id || ',\"nota\":\"' || repeat('ñandú ', 20) || '\"}}' END) AS value FROM events"
         ),
+        "so6_land_templates": (
+            "WITH r(round, n) AS (VALUES ('2024-02-01 08:00:00', 1), ('2024-02-01 09:00:00', 2), ('2024-02-01 10:30:00', 3)), "
+            "a AS (SELECT page_id, url, round, n, page_id % 3 <> 0 AND page_id % 5 <> 0 AS first, page_id % 10 <> 0 AS b FROM pages, r WHERE n > 1 OR page_id % 3 <> 0), "
+            # Round 1 reads mount A, the others B; a copy of round 1 is fresh in round 2 and gone in round 3, one of round 2 is fresh in round 3.
+            "f AS (SELECT *, CASE n WHEN 1 THEN true WHEN 2 THEN NOT first ELSE first OR NOT b END AS fetched, CASE WHEN n = 1 THEN page_id % 5 <> 0 ELSE b END AS there FROM a) "
+            "SELECT page_id, round, fetched, CASE WHEN fetched AND NOT there THEN "
+            f"{lit(E.E6_NOT_FOUND % (E.E6_DOWNLOAD_FAILED % 'Source file not found: '))} || page_id || '.html' END AS error, "
+            "md5(CASE WHEN n = 1 AND there OR n = 2 AND first THEN 'A:' || coalesce(url, '') WHEN there THEN 'B:' || coalesce(url, '') END) AS content FROM f"
+        ),
         "v1_check_structure": (
             f"WITH {LINES} SELECT DISTINCT msg_id, CASE kind WHEN 'E1' THEN 'E1' WHEN 'E2' THEN 'E2' END AS error_code, "
             f"CASE kind WHEN 'E1' THEN {lit(E.E1_NO_ITEM)} WHEN 'E2' THEN {lit(E.E2_NO_OUTPUTS)} END AS error_message FROM pos"

@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import errors as E
-from ..functions import document_filename, has_protocol, local_location, sanitize_path, sortable_id
+from ..functions import document_filename, has_protocol, local_location, sortable_id
 from ..operators.collate import collated_response
 from ..operators.lookup import BROADCAST_LIMIT_BYTES, resolve_templates
 from ..operators.render import CACHE_DIR, RENDERERS, pdf_images_error, pending_formats, rendered, route_format, template_error
 from ..operators.reshape import extract_images, flatten_outputs, only_templates, project_request
 from ..operators.validate import is_template, validate_messages
-from ..sources.templates import lookup_keys
+from ..sources.templates import lookup_keys, missing_cause
 from ..schema import REQUEST_KEY
 from ..session import configure
 from ..sources.messages import parse_messages
@@ -95,13 +95,7 @@ def fence(df: DataFrame, *cols: str) -> DataFrame:
 def not_found_error(path: Column, fmt: Column, found: Column, failure: Column) -> Column:
     """V6/V7: E6 with the reference's wording for each way a lookup fails."""
     needs = (fmt != "txt") | has_protocol(path)
-    stripped_fs = F.substr(path, F.lit(4))
-    download = F.coalesce(
-        failure,
-        F.when(path.startswith("fs@"), F.concat(F.lit("Source file not found: "), sanitize_path(stripped_fs)))
-        .when(path.startswith("s3@"), F.concat(F.lit("The specified key does not exist. "), path))
-        .otherwise(F.concat(F.lit("HTTP error: 404 for URL: "), path)),
-    )
+    download = F.coalesce(failure, missing_cause(path))
     msg = F.when(has_protocol(path), F.format_string(E.E6_NOT_FOUND, F.format_string(E.E6_DOWNLOAD_FAILED, download))).otherwise(
         F.format_string(E.E6_NOT_FOUND, path)
     )

@@ -605,6 +605,27 @@ def _scratch(spark, name):
     return os.path.join(ensure_checkpoint_dir(spark), "pliego", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def q_so6(spark, sf):
+    """Three rounds over a template per page: some of them, then all an hour
+    later on another mount, then all after the first copies have expired."""
+    from ..sources.landing import fresh_templates, land_requested, landed
+    root = _scratch(spark, "so6")
+    mounts = {m: os.path.join(root, m) for m in ("A", "B")}
+    fixtures.mount_pages(spark, sf, mounts["A"], "A:", F.col("page_id") % 5 != 0)
+    fixtures.mount_pages(spark, sf, mounts["B"], "B:", F.col("page_id") % 10 != 0)
+    pages = table(spark, sf, "pages", "page_id").withColumn("template_path", fixtures.page_uri(F.col("page_id")))
+    rounds = [("2024-02-01 08:00:00", "A", pages.where(F.col("page_id") % 3 != 0)), ("2024-02-01 09:00:00", "B", pages), ("2024-02-01 10:30:00", "B", pages)]
+    store, out = os.path.join(root, "landed"), None
+    for at, mount, asked in rounds:
+        land_requested(asked, store, {"fs@": mounts[mount]}, at)
+        now = landed(spark, store).where(F.col("fetched_at") == F.lit(at).cast("timestamp"))
+        got = fresh_templates(spark, store, at).select("uri", "content")
+        one = asked.select("page_id", F.col("template_path").alias("uri")).join(got, "uri", "left").join(now.select("uri", "error", F.lit(True).alias("fetched")), "uri", "left")
+        one = one.select("page_id", F.lit(at).alias("round"), F.col("fetched").isNotNull().alias("fetched"), "error", F.md5("content").alias("content"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def q_st2(spark, sf):
     from ..streaming.cache_state import fetch_state
     t = fixtures.template_requests(spark, sf)
@@ -709,6 +730,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "so3_decode_bytes": q_so3_bytes,
     "so4_decode_binary": q_so4,
     "so4_read_offsets": q_so4_offsets,
+    "so6_land_templates": q_so6,
     "v1_check_structure": q_v1,
     "v2_check_composition": q_v2,
     "v3_check_data_node": q_v3,

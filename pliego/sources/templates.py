@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import errors as E
+from ..functions.redact import sanitize_path
 from ..functions.uris import parse_s3_uri, strip_protocol, template_protocol
 from .kafka import utf8_text
 
@@ -91,6 +92,15 @@ def template_table(spark: SparkSession, packaged_root: str, landed_roots: dict[s
     return out
 
 
+def missing_cause(uri: Column) -> Column:
+    """Why a protocol URI could not be downloaded where nothing is there, in the reference's wording."""
+    return (
+        F.when(uri.startswith("fs@"), F.concat(F.lit("Source file not found: "), sanitize_path(F.substr(uri, F.lit(4)))))
+        .when(uri.startswith("s3@"), F.concat(F.lit("The specified key does not exist. "), uri))
+        .otherwise(F.concat(F.lit("HTTP error: 404 for URL: "), uri))
+    )
+
+
 def lookup_keys(uri: Column, fmt: Column | None = None) -> tuple[list[Column], Column]:
     """(keys in the order they are tried, failure text) of a template URI.
 
