@@ -587,6 +587,7 @@ def oracle_sql() -> dict[str, str]:
             "CAST(count(*) FILTER (event_type <> 'purchase') OVER () AS BIGINT) AS failure FROM events"
         ),
         "st2_template_fetch_state": st2,
+        "st2_fetch_state_stream": st2,
         "sk1_write_documents": (
             f"WITH {COMP}, b AS (SELECT *, {body} AS body, format <> 'pdf' AS stored FROM {bodies_html}) "
             f"SELECT {KEY}, CASE WHEN stored THEN {obj_key} END AS object_key, CASE WHEN stored THEN 's3@:{DOCS_BUCKET}/' || {obj_key} END AS repository_path, "

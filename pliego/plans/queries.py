@@ -633,6 +633,27 @@ def q_st2(spark, sf):
     return r.select("uri", ts_text("ts").alias("ts"), "fetched", ts_text("entry_at").alias("entry_at"))
 
 
+def q_st2_stream(spark, sf):
+    """The requests as a stream of files in order of time, one a batch; what the
+    watermark hasn't passed at the end is decided from the last state."""
+    from ..streaming.cache_state import DECISIONS, LATE, MARKS, STATE, WAITING, fetch_state, run_fetch_state, state_table
+    root = _scratch(spark, "st2")
+    land, out = os.path.join(root, "in"), os.path.join(root, "out")
+    rows = fixtures.template_requests(spark, sf).select("uri", "ts")
+    lo, hi = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    for part in range(3):  # files of rising age, so that the file source takes them in order
+        place = F.expr(f"(unix_micros(ts) - {lo}) * 3 div {hi - lo + 1}")
+        rows.where(place == part).coalesce(1).write.mode("append").parquet(land)
+    requests = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(land)
+    run_fetch_state(requests, out, os.path.join(root, "ckpt")).awaitTermination()
+    read = lambda name: state_table(spark, out, name)
+    last = F.col("batch") == read(MARKS).agg(F.max("batch")).first()[0]
+    rest = fetch_state(read(WAITING).where(last).select("uri", "ts"), state=read(STATE).where(last))
+    late = read(LATE).select("uri", "ts", F.lit(None).cast("boolean").alias("fetched"), F.lit(None).cast("timestamp").alias("entry_at"))
+    r = read(DECISIONS).drop("batch").unionByName(rest).unionByName(late)
+    return r.select("uri", ts_text("ts").alias("ts"), "fetched", ts_text("entry_at").alias("entry_at"))
+
+
 def q_st1(spark, sf):
     from ..streaming.stream import StreamOutputs, land_records, run_stream
     from ..sources.kafka import read_record_files
@@ -763,6 +784,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j5_fresh_cache_lookup": q_j5,
     "st1_run_stream": q_st1,
     "st2_template_fetch_state": q_st2,
+    "st2_fetch_state_stream": q_st2_stream,
     "st3_evict_expired": q_st3,
     "sk1_write_documents": q_sk1,
     "sk2_write_local_copy": q_sk2,
