@@ -586,6 +586,17 @@ def oracle_sql() -> dict[str, str]:
             "count(*) OVER () AS processed, CAST(count(*) FILTER (event_type = 'purchase') OVER () AS BIGINT) AS success, "
             "CAST(count(*) FILTER (event_type <> 'purchase') OVER () AS BIGINT) AS failure FROM events"
         ),
+        "st4_delivery": (
+            "WITH e AS (SELECT CAST(event_id % 4 AS BIGINT) AS batch_id, event_type || ':' || (user_id % 4) || ':' || event_id AS msg_id, event_type = 'purchase' AS ok FROM events) "
+            "SELECT batch_id, msg_id, kind, CAST(1 AS BIGINT) AS times FROM e, (VALUES ('result', NULL), ('document', true), ('catalog', true), ('response', true), ('failure', false)) AS v(kind, want) "
+            "WHERE want IS NULL OR want = ok"
+        ),
+        "a1_batch_errors": (
+            f"WITH {KAFKA}, r AS (SELECT CAST(batch_id % 3 AS BIGINT) AS batch_id, topic, partition, \"offset\", CASE WHEN event_type = 'error' THEN {e11} "
+            f"WHEN event_type <> 'purchase' THEN {lit(E.E1_NO_ITEM)} END AS error FROM kpos), "
+            "s AS (SELECT batch_id, count(*) AS processed, count(*) FILTER (error IS NULL) AS success, count(*) FILTER (error IS NOT NULL) AS failure FROM r GROUP BY batch_id) "
+            "SELECT s.*, topic, partition, \"offset\", error FROM s LEFT JOIN (SELECT * FROM r WHERE error IS NOT NULL) USING (batch_id)"
+        ),
         "st2_template_fetch_state": st2,
         "st2_fetch_state_stream": st2,
         "sk1_write_documents": (

@@ -445,19 +445,30 @@ def q_rn11(spark, sf):
     return m.join(docs, "msg_id", "left")
 
 
-def catalog(spark, sf):
-    from ..sinks.store import document_catalog
-    return document_catalog(_docs(spark, sf).where(F.col("status") == "rendered"), AS_OF)
+def _stored(spark, sf, name):
+    """The catalog of all rendered documents, stored as two batches and compacted."""
+    from ..sinks.ledger import Attempt
+    from ..sinks.store import compact_catalog, document_catalog, stage_catalog
+    root = _scratch(spark, name)
+    rows = document_catalog(_docs(spark, sf).where(F.col("status") == "rendered"), AS_OF)
+    half = F.pmod(F.xxhash64("msg_id"), F.lit(2))
+    for batch_id in range(2):
+        attempt = Attempt(spark, root, batch_id)
+        stage_catalog(attempt, rows.where(half == batch_id))
+        attempt.commit()
+    compact_catalog(spark, root, 2, [0, 1])
+    return root
 
 
 def q_sk6(spark, sf):
-    c = catalog(spark, sf)
+    from ..sinks.store import stored_catalog
+    c = stored_catalog(spark, _stored(spark, sf, "sk6"))
     return c.select(*_key(c), "original_filename", "file_size", "generated_date", "file_type", "content_type")
 
 
 def q_a8(spark, sf):
-    from ..sinks.store import catalog_search
-    c = catalog_search(catalog(spark, sf), file_type="txt", generated_date="2024-02-01")
+    from ..sinks.store import catalog_search, stored_catalog
+    c = catalog_search(stored_catalog(spark, _stored(spark, sf, "a8")), file_type="txt", generated_date="2024-02-01")
     return c.select(*_key(c), "original_filename", "file_size")
 
 
@@ -667,7 +678,7 @@ def q_st1(spark, sf):
     q = run_stream(stream, lambda: templates(spark), os.path.join(root, "out"), checkpoint=os.path.join(root, "ckpt"))
     q.awaitTermination()
     out = StreamOutputs(os.path.join(root, "out"))
-    read = lambda name: spark.read.parquet(out.path(name))
+    read = lambda name: out.read(spark, name)
     docs = read("documents").select("msg_id", F.md5("body").alias("body"))
     sent = read("responses").select(F.col("key").alias("msg_id"), F.lit(True).alias("responded"))
     dead = read("failures").select("msg_id", F.lit(True).alias("failed"))
@@ -677,6 +688,55 @@ def q_st1(spark, sf):
                       *[F.lit(total[c]).cast("bigint").alias(c) for c in ("processed", "success", "failure")])
 
 
+def q_st4(spark, sf):
+    """Four batches that each fail between two of their writes, come again, and
+    come once more after their commit: every row is there once."""
+    from ..sinks.ledger import Attempt
+    from ..streaming.stream import StreamOutputs, process_batch
+
+    class Broken(Attempt):
+        def stage(self, df, name, *args):
+            if name == "responses":
+                raise OSError("gone between two writes")
+            return super().stage(df, name, *args)
+
+    class Failing(StreamOutputs):
+        def attempt(self, spark, batch_id):
+            return Broken(spark, self.root, batch_id)
+
+    root = _scratch(spark, "st4")
+    recs = fixtures.kafka_records(spark, sf)
+    for i in range(4):
+        batch = recs.where(F.pmod("offset", F.lit(4)) == i).drop("batch_id", "topic_name")
+        try:
+            process_batch(batch, i, lambda: templates(spark), Failing(root))
+        except OSError:
+            pass
+        for _ in range(2):
+            process_batch(batch, i, lambda: templates(spark), StreamOutputs(root))
+    out = StreamOutputs(root)
+    rows = [out.read(spark, "results").select("batch_id", "msg_id", F.lit("result").alias("kind"))]
+    for name, kind, key in (("documents", "document", "msg_id"), ("catalog", "catalog", "msg_id"), ("responses", "response", "key"), ("failures", "failure", "msg_id")):
+        rows.append(out.read(spark, name).select("batch_id", F.col(key).alias("msg_id"), F.lit(kind).alias("kind")))
+    both = rows[0]
+    for r in rows[1:]:
+        both = both.unionByName(r)
+    return both.groupBy("batch_id", "msg_id", "kind").agg(F.count(F.lit(1)).alias("times"))
+
+
+def q_a1_batches(spark, sf):
+    """A row per Kafka batch of its error strings and counts, from the stream's own summary."""
+    from ..streaming.stream import StreamOutputs, process_batch
+    root = _scratch(spark, "a1")
+    recs = fixtures.kafka_records(spark, sf)
+    for i in range(3):
+        process_batch(recs.where(F.pmod("batch_id", F.lit(3)) == i).drop("batch_id", "topic_name"), i, lambda: templates(spark), StreamOutputs(root))
+    out = StreamOutputs(root)
+    s = out.read(spark, "summary").where((F.col("duration_ms") >= 0) & F.col("timestamp").isNotNull())
+    errors = out.read(spark, "errors").select("batch_id", "topic", F.col("partition").cast("bigint").alias("partition"), "offset", "error")
+    return s.select("batch_id", "processed", "success", "failure").join(errors, "batch_id", "left")
+
+
 def q_sk1(spark, sf):
     """Every rendered document goes to the store; what waits for a converter has only its local place."""
     from ..sinks.store import write_documents
@@ -783,6 +843,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j3_requested_templates": q_j3,
     "j5_fresh_cache_lookup": q_j5,
     "st1_run_stream": q_st1,
+    "st4_delivery": q_st4,
     "st2_template_fetch_state": q_st2,
     "st2_fetch_state_stream": q_st2_stream,
     "st3_evict_expired": q_st3,
@@ -791,6 +852,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sk3_write_responses": q_sk3,
     "sk4_write_responses_keyed": q_sk4,
     "a1_batch_summary": q_a1,
+    "a1_batch_errors": q_a1_batches,
     "a2_record_count": q_a2,
     "a3_outputs_per_message": q_a3,
     "a4_requests_per_message": q_a4,

@@ -47,3 +47,9 @@ def write_responses(messages: DataFrame, path: str | None = None, key: str | Non
 def failures(messages: DataFrame) -> DataFrame:
     """SK5: failed messages with their error (the dead-letter rows)."""
     return messages.where(~F.col("ok")).select("msg_id", "error_code", "error_message")
+
+
+def batch_errors(messages: DataFrame) -> DataFrame:
+    """A1's ``errors``: a row per failed record with its place in the batch and the
+    error string. Rows, not one list, so that a batch may be of any size."""
+    return messages.where(~F.col("ok")).select("topic", "partition", "offset", F.col("error_message").alias("error"))

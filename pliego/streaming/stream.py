@@ -1,26 +1,29 @@
 """ST1 run the pipeline per micro-batch; ST4 delivery; ST5 ordering.
 
 Each micro-batch of Kafka records is decoded (SO3), run through the batch
-pipeline (RN11) and written with ``foreachBatch``: documents, responses,
-failures and a batch summary, each overwritten by batch id, so a replayed
-batch (after a lost executor or a restart from the checkpoint) rewrites the
-same rows instead of duplicating them. Record positions (``offset``) are
+pipeline (RN11) and written with ``foreachBatch``: results, documents, their
+catalog, responses, failures, error strings and a summary. All are staged and
+become visible with one commit (``sinks.ledger``): a batch that fails between two
+writes leaves nothing to be seen, and one that comes again after its commit (a
+restart from the checkpoint) is left alone. Record positions (``offset``) are
 kept as columns: order is data, not an accident of execution.
 """
 
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.pipeline import generate_documents
 from ..session import configure, ensure_checkpoint_dir
-from ..sinks.responses import failures, responses
-from ..sinks.store import with_object_keys
+from ..sinks.ledger import Attempt, committed, is_committed
+from ..sinks.responses import batch_errors, failures, responses
+from ..sinks.store import document_catalog, stage_catalog, with_object_keys
 from ..sources.kafka import decode_record
 
 
@@ -33,17 +36,28 @@ class StreamOutputs:
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
 
+    def attempt(self, spark: SparkSession, batch_id: int) -> Attempt:
+        return Attempt(spark, self.root, batch_id)
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        """An output of all committed batches."""
+        return committed(spark, self.root, name)
+
 
 def process_batch(batch: DataFrame, batch_id: int, templates: Callable[[], DataFrame], out: StreamOutputs) -> None:
     """ST1 body: one micro-batch end to end (failures isolated per record).
 
     The batch's clock is its latest record time, so a replay names the same
     files; templates are listed anew for each batch. Results are written once;
-    responses (SK4), failures (SK5) and the summary (A1) come from the written
-    rows, documents (SK1) from a second pass over the decoded records.
+    responses (SK4), failures (SK5) and errors (A1) come from the written rows,
+    documents (SK1) and catalog (SK6) from a second pass over the decoded records.
+    The summary (A1) is counted within the job that writes the results.
     """
     spark = batch.sparkSession
     configure(spark)
+    if is_committed(spark, out.root, batch_id):
+        return
+    begin = time.monotonic()
     rec = decode_record(batch).withColumn("msg_id", F.concat_ws(":", "topic", F.col("partition").cast("string"), F.col("offset").cast("string")))
     rec = rec.persist()
     try:
@@ -53,24 +67,28 @@ def process_batch(batch: DataFrame, batch_id: int, templates: Callable[[], DataF
         as_of = F.timestamp_millis(F.lit(clock))
         g = generate_documents(rec.where("decode_ok").select("msg_id", "raw"), templates(), as_of)
 
-        def write(df: DataFrame, name: str) -> DataFrame:
-            path = out.path(name)
-            df = df.withColumn("batch_id", F.lit(batch_id))
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-            return spark.read.schema(df.schema).parquet(path).where(F.col("batch_id") == batch_id)
-
+        attempt = out.attempt(spark, batch_id)
         status = g.messages.select("msg_id", "ok", "error_code", "error_message", "documents", "pending", "response")
         bad = rec.where(~F.col("decode_ok")).select(
             "msg_id", F.lit(False).alias("ok"), F.lit("E11").alias("error_code"), F.col("decode_error").alias("error_message"),
             F.lit(0).cast("bigint").alias("documents"), F.lit(0).cast("bigint").alias("pending"), F.lit(None).cast("string").alias("response"),
         )
         keys = rec.select("msg_id", "topic", "partition", "offset")
-        done = write(status.unionByName(bad).join(keys, "msg_id"), "results")
+        seen = Observation(f"batch-{attempt.id}")
+        counts = [F.count(F.lit(1)).alias("processed"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("failure")]
+        done = attempt.stage(status.unionByName(bad).join(keys, "msg_id").observe(seen, *counts), "results")
         docs = with_object_keys(g.documents.where(F.col("status") == "rendered"), as_of, out.prefix, out.bucket)
-        write(docs.select("msg_id", "output_pos", "comp_pos", "format", "location", "object_key", "repository_path", "body"), "documents")
-        write(responses(done, key="msg_id"), "responses")
-        write(failures(done), "failures")
-        write(done.agg(F.count(F.lit(1)).alias("processed"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("failure")).withColumn("as_of", as_of), "summary")
+        attempt.stage(docs.select("msg_id", "output_pos", "comp_pos", "format", "location", "object_key", "repository_path", "body"), "documents")
+        stage_catalog(attempt, document_catalog(docs, as_of))
+        attempt.stage(responses(done, key="msg_id"), "responses")
+        attempt.stage(failures(done), "failures")
+        attempt.stage(batch_errors(done), "errors")
+        n = seen.get
+        ms = int((time.monotonic() - begin) * 1000)
+        one = spark.range(1).select(*[F.lit(n[c]).cast("bigint").alias(c) for c in ("processed", "success", "failure")],
+                                    F.lit(ms).cast("bigint").alias("duration_ms"), F.current_timestamp().alias("timestamp"), as_of.alias("as_of"))
+        attempt.stage(one, "summary")
+        attempt.commit()
     finally:
         rec.unpersist()
 
