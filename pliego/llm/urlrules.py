@@ -2,7 +2,7 @@
 
 A rule is an action and a pattern. ``host/path`` fits a host, its subdomains and
 paths that start alike. A pattern in slashes, ``/.../``, is a regular expression
-over the lower-cased url; its literal tokens are given with it. A corpus-wide
+over the lower-cased url, whose literal tokens are read off it. A corpus-wide
 count of tokens picks each rule's rarest one, and a url runs only the regular
 expressions of the rules that its own tokens fetch.
 """
@@ -21,29 +21,34 @@ from pyspark.sql import functions as F
 from pliego.llm.common import arrow_batches, whole_row, with_fields
 
 TOKEN = re.compile(r"[a-z0-9]+")
+TOKEN_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+_sre = re._constants
+
+
+_LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``host`` and ``path`` of a site rule, or ``regex`` with the literal tokens
-    that each url it fits holds."""
+    """``host`` and ``path`` of a site rule, or ``regex``, whose literal tokens are
+    read off it where they aren't given."""
 
     action: str
     host: str = ""
     path: str = ""
     regex: str = ""
-    literals: tuple[str, ...] = ()
+    literals: tuple[str, ...] | None = None
 
     @property
     def name(self) -> str:
         return self.host + self.path if self.host else self.regex
 
     def tokens(self) -> list[str]:
-        # Whole tokens of the url: a host rule's labels stand between dots; the
-        # last token of its path may go on in the url.
+        """Tokens that every lower-cased url holds which the rule fits. Whole ones: a
+        host rule's labels stand between dots, the last token of its path may go on."""
         if not self.host:
-            return list(self.literals)
-        return TOKEN.findall(self.host) + TOKEN.findall(self.path.rpartition("/")[0])
+            return literal_tokens(self.regex) if self.literals is None else list(self.literals)
+        return TOKEN.findall(self.host) + TOKEN.findall(self.path.rpartition("/")[0].translate(_LOWER))
 
     def pattern(self) -> re.Pattern:
         if not self.host:
@@ -51,9 +56,57 @@ class Rule:
         return re.compile(rf"(?:[^/]*\.)?{re.escape(self.host)}{re.escape(self.path)}", re.S)
 
 
+def literal_tokens(regex: str) -> list[str]:
+    """The [a-z0-9]+ tokens that stand whole in every text the expression is found
+    in: literals of its outermost sequence with an edge on either side, which is an
+    anchor, another literal sign, or a group that can only go on with such an edge."""
+
+    def edge(item) -> bool:
+        op, arg = item
+        if op is _sre.AT:  # the start or end of a text, or the boundary of a word
+            return arg is not _sre.AT_NON_BOUNDARY
+        if op is _sre.LITERAL:
+            return chr(arg).lower() not in TOKEN_SIGNS
+        if op is _sre.IN:
+            return all(o is _sre.LITERAL and chr(a).lower() not in TOKEN_SIGNS for o, a in arg)
+        if op is _sre.SUBPATTERN:
+            return bool(arg[3]) and edge(arg[3][0])
+        if op is _sre.BRANCH:
+            return all(len(b) and edge(b[0]) for b in arg[1])
+        return False
+
+    out, run, whole = [], "", False  # whole: an edge comes before the run
+    for item in [*re._parser.parse(regex), None]:
+        op, arg = item or (None, None)
+        if op is _sre.LITERAL and chr(arg) in TOKEN_SIGNS:
+            run += chr(arg)
+            continue
+        ends = item is not None and edge(item)
+        if run and whole and ends:
+            out.append(run)
+        # A group may end in anything; a sign or an anchor is an edge for what follows.
+        run, whole = "", ends and op in (_sre.AT, _sre.LITERAL, _sre.IN)
+    return out
+
+
 def site(action: str, rule: str) -> Rule:
     host, _, path = rule.partition("/")
-    return Rule(action, host, "/" + path)
+    return Rule(action, host.translate(_LOWER), "/" + path)
+
+
+def rules_of(lines: list[str]) -> tuple[Rule, ...]:
+    """Rules as text, one a line: ``allow host/path`` or ``block /regex/``; empty
+    lines and those from ``#`` on are no rules."""
+    out = []
+    for line in lines:
+        action, _, rule = line.strip().partition(" ")
+        rule = rule.strip()
+        if not action or action.startswith("#"):
+            continue
+        if action not in ("allow", "block") or not rule:
+            raise ValueError(f"Not a rule: {line!r}")
+        out.append(Rule(action, regex=rule[1:-1]) if rule.startswith("/") and rule.endswith("/") and len(rule) > 2 else site(action, rule))
+    return tuple(out)
 
 
 # The rules that the query's contract fixes.
@@ -69,17 +122,17 @@ SITE_RULES = (
 # and advert servers, downloads that are no pages. Whole tokens only, so that
 # "essex" or "therapist" fits nothing.
 PATTERN_RULES = tuple(
-    Rule("block", regex=rf"^[^/?#]*\b{a}-{b}\b", literals=(a, b))
+    Rule("block", regex=rf"^[^/?#]*\b{a}-{b}\b")
     for a, b in (
         ("cheap", "pills"), ("online", "casino"), ("casino", "bonus"), ("free", "slots"), ("sports", "betting"), ("payday", "loans"),
         ("quick", "loans"), ("replica", "watches"), ("diet", "pills"), ("weight", "loss"), ("escort", "service"), ("live", "cams"),
         ("adult", "chat"), ("free", "porn"), ("essay", "writing"), ("buy", "followers"), ("crypto", "doubler"), ("win", "prizes"),
     )
 ) + (
-    *(Rule("block", regex=rf"^[^/?#]*\b{w}\b", literals=(w,)) for w in ("porn", "xxx", "casino", "viagra", "warez")),
-    *(Rule("block", regex=rf"^{w}\.", literals=(w,)) for w in ("ads", "adserver", "doubleclick", "tracker", "malware")),
-    Rule("block", regex=r"^[^/?#]*/(?:[^?#]*/)?wp-login\.php", literals=("wp", "login", "php")),
-    *(Rule("block", regex=rf"^[^/?#]*/[^?#]*\.{w}(?:[?#]|$)", literals=(w,)) for w in ("exe", "apk", "zip", "torrent", "mp4")),
+    *(Rule("block", regex=rf"^[^/?#]*\b{w}\b") for w in ("porn", "xxx", "casino", "viagra", "warez")),
+    *(Rule("block", regex=rf"^{w}\.") for w in ("ads", "adserver", "doubleclick", "tracker", "malware")),
+    Rule("block", regex=r"^[^/?#]*/(?:[^?#]*/)?wp-login\.php"),
+    *(Rule("block", regex=rf"^[^/?#]*/[^?#]*\.{w}(?:[?#]|$)") for w in ("exe", "apk", "zip", "torrent", "mp4")),
 )
 
 
@@ -94,9 +147,6 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), path
 
 
-_LOWER = {i: i + 32 for i in range(65, 91)}
-
-
 def token_counts(urls: DataFrame, url: str, rules: tuple[Rule, ...]) -> dict[str, int]:
     """How many urls hold each literal token of the rules: as many rows as the
     rules have tokens, counted by Spark over all urls."""
