@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pliego.llm.common import KEY, cut, gapless, row_key, whole_row
 
 BITS = 12  # of the sort key, seen by one pass over the rows
+ROW = "_row_number_of_sharding"
 COORDINATE, TIE = 31, 32  # bits of a coordinate, and of the hashes that order equal ones
 
 
@@ -86,35 +87,38 @@ def _values(spark, ddl: str, rows: list[tuple]) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
 
 
-def kd_shards(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "doc_id", dims: dict[str, Column] | None = None, slack: float = 0.002) -> DataFrame:
-    """Digest of the sharded documents: doc_id, size, text_crc32, shard, slot, _k1, _k2.
+def kd_shards(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "doc_id", dims: dict[str, Column] | None = None, slack: float = 0.002, row: Column | None = None) -> DataFrame:
+    """Digest of the sharded documents: doc_id, size, text_crc32, shard, slot, _u.
 
     Sizes are the text's UTF-8 bytes (null: none) plus 8. Shards differ by the
     documents at the cuts and by ``slack`` of a shard at most. Equal coordinates
-    are ordered by a hash of the text, then of the row, so ties and hot values
-    are split too, and a group of copies only where a cut falls on it; rows equal
-    in doc_id and text always stay together. Null names count as a value of
-    their own; an empty table gives an empty one; with fewer documents than
-    shards some shards are empty.
+    are ordered by a hash of the text, then of the row and its number ``_u``
+    (``row``, by default given as the rows are read), so ties, hot values and
+    repeated rows are split too, and a group of copies only where a cut falls on
+    it. Null names count as a value of their own; an empty table gives an empty
+    one; with fewer documents than shards some shards are empty.
     """
     dims = dims or metadata(docs, text)
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(8)
     crc = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
     values = [F.coalesce(c, F.lit(0.0)).cast("double") for c in dims.values()]
-    raw = cut(docs.select(F.col(doc_id).alias("_id"), size.alias("size"), crc.alias("text_crc32"), F.array(*values).alias("_v"), F.xxhash64(text).alias("_same"), *row_key(doc_id, text)), "metadata")
+    number = (F.monotonically_increasing_id() if row is None else row).alias("_u")
+    raw = cut(docs.select(F.col(doc_id).alias("_id"), size.alias("size"), crc.alias("text_crc32"), F.array(*values).alias("_v"), F.xxhash64(text).alias("_same"), *row_key(doc_id, text), number), "metadata")
     n = len(dims)
     ends = raw.agg(*[f(F.col("_v")[d]) for d in range(n) for f in (F.min, F.max)]).first()
     top = float((1 << COORDINATE) - 1)
     scaled = [F.lit(0).cast("long") if ends[2 * d] is None or ends[2 * d] == ends[2 * d + 1] else ((F.col("_v")[d] - F.lit(ends[2 * d])) / F.lit(ends[2 * d + 1] - ends[2 * d]) * F.lit(top)).cast("long") for d in range(n)]
     half = (1 << TIE // 2) - 1
-    tie = F.shiftleft(F.col("_same").bitwiseAND(F.lit(half).cast("long")), TIE // 2).bitwiseOR(F.col("_k1").bitwiseAND(F.lit(half).cast("long")))
-    parts = raw.select("_id", "size", "text_crc32", F.array(*scaled).alias("_q"), tie.alias("_tie"), *KEY)
-    done = cut(_split(parts, shards, n, slack).select("_id", "size", "text_crc32", "shard", *KEY), "sharded")
-    return gapless(done, "shard", KEY, "slot").withColumnRenamed("_id", doc_id)
+    tie = F.shiftleft(F.col("_same").bitwiseAND(F.lit(half).cast("long")), TIE // 2).bitwiseOR(F.xxhash64("_k1", "_u").bitwiseAND(F.lit(half).cast("long")))
+    parts = raw.select("_id", "size", "text_crc32", F.array(*scaled).alias("_q"), tie.alias("_tie"), *KEY, "_u")
+    done = cut(_split(parts, shards, n, slack).select("_id", "size", "text_crc32", "shard", *KEY, "_u"), "sharded")
+    return gapless(done, "shard", [*KEY, "_u"], "slot").drop(*KEY).withColumnRenamed("_id", doc_id)
 
 
 def shard_documents(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with ``shard``; write it with partitionBy("shard")."""
-    keys = row_key(doc_id, text)
-    found = cut(kd_shards(docs, shards, text, doc_id).groupBy(*KEY).agg(F.min("shard").alias("shard")), "shards")
-    return docs.drop("shard").select(whole_row(), *keys).join(found, KEY).select("_row.*", "shard")
+    """``docs`` with ``shard``; write it with partitionBy("shard"). Rows are written
+    with a number of their own, by which each finds its shard."""
+    boxed = cut(docs.drop("shard").select(whole_row(), F.monotonically_increasing_id().alias("_n")), "rows")
+    dims = metadata(boxed.select("_row.*"), text)
+    found = kd_shards(boxed.select("_row.*", F.col("_n").alias(ROW)), shards, text, doc_id, dims, row=F.col(ROW)).select(F.col("_u").alias("_n"), "shard")
+    return boxed.join(found, "_n").select("_row.*", "shard")
