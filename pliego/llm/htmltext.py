@@ -1,13 +1,16 @@
 """HTML extraction: parser events, text-to-tag ratio, smoothing and clustering.
 
 The standard library's parser streams a page's events into lines (blocks of
-text with the tags spent on them). The text-to-tag ratio of the lines is
-smoothed by a Gaussian and a two-means threshold separates content lines from
-the rest. Lines inside elements that by their name or class are no article text
-are left out, and so are lines of links below the threshold: menus without a
-name. All else is main text, unless article or main elements hold nearly all
-of it: then these go as a whole, and of what stands outside them the content
-lines and their neighbours.
+text with the tags spent on them). A line's text-to-tag ratio is its unlinked
+text by its tags, smoothed by a Gaussian along the lines of its container; a
+two-means threshold parts content from the rest, a line of no text being there
+always. A container whose ratios together reach the threshold is a content
+region and goes as a whole, save its menus, lines of links below the threshold.
+An article element is one container, and where one is content its fellows are. On
+a page without, what stands before the last region and is no menu belongs to the
+text too: leads, captions, notes.
+Names are a prior: elements that by tag or class are menus, adverts, notices,
+forms or comments are left out, but not where one holds most of a page's text.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pliego.llm.common import arrow_batches, with_fields
 
 SIGMA = 1.0  # of the Gaussian, in lines
-SHARE = 0.9  # of a page's characters without menus: what article elements hold where they decide
+PROSE = 80.0  # characters a tag beyond which a line is no more prose than prose
 LINKED = 0.6  # of a line's characters inside links: more is a menu
 
 # Elements whose text is never shown as text, or is a control.
@@ -40,15 +43,18 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 # A block start tag closes an open paragraph; list items, cells and rows close their like.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
-# Words of a class, id or role that mark menus, notices, adverts and comments.
+# Words of a class, id or role that mark menus, notices, adverts and comments: where
+# they are what the name is of ("site-footer"), or are followed by parts of a layout
+# only ("comment-list", but not "comment-quote").
 NOISE = set(
     "ad ads adv advert adverts advertisement advertisements banner banners sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side rail footer masthead pagination pager toolbar skip "
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side rail header footer masthead pagination pager toolbar skip "
     "comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe signup login widget widgets "
     "contentinfo complementary search alert alertdialog tablist".split()
 )
-NOISE |= set("header commentlist adsbygoogle advertising cookiebar topbar subnav sidenav siteheader sitefooter".split())
-UNLESS = {"has", "with", "no", "without", "not"}  # class="content has-sidebar"
+NOISE |= set("commentlist adsbygoogle advertising cookiebar topbar subnav sidenav siteheader sitefooter".split())
+PARTS = set("list lists wrapper wrap area box block section thread container inner outer unit slot bar form item items panel top bottom left right".split())
+UNLESS = {"has", "with", "no", "without", "not", "by", "and"}  # class="content has-sidebar"
 TITLED = {"article", "post", "entry", "story", "content", "main"}  # class="entry-header" holds the title
 IN_HEAD = set("title meta link style script base noscript template".split())
 GENERIC = {"div", "section", "article", "main", "body", "html", ""}
@@ -57,14 +63,17 @@ NARTICLE = {"article", "main"}
 
 
 class _Node:
-    """An element: whether it is left out, is in an article, and the nearest container."""
+    """An element: the elements around it that are left out, its article, its container."""
 
-    __slots__ = ("name", "parent", "out", "article", "box")
+    __slots__ = ("name", "parent", "out", "article", "box", "sure")
 
-    def __init__(self, name: str, parent: _Node | None, out: bool):
-        self.name, self.parent, self.out = name, parent, out
-        self.article: bool = name in NARTICLE or bool(parent and parent.article)
-        self.box: _Node = self if name in GENERIC or not parent else parent.box
+    def __init__(self, name: str, parent: _Node | None, noise: bool = False, sure: bool = False):
+        self.name, self.parent, self.sure = name, parent, sure
+        above = parent.out if parent else ()
+        self.out: tuple[_Node, ...] = (*above, self) if noise else above
+        article = parent.article if parent else None
+        self.article: _Node | None = article or (self if name in NARTICLE else None)
+        self.box: _Node = self.article or (self if name in GENERIC or not parent else parent.box)
 
 
 class _Lines(HTMLParser):
@@ -72,7 +81,7 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.top = self.node = _Node("", None, False)
+        self.top = self.node = _Node("", None)
         self.lines: list[tuple[str, int, _Node, int]] = []
         self.parts: list[str] = []
         self.tags = self.silent = self.linked = 0
@@ -118,28 +127,31 @@ class _Lines(HTMLParser):
             self.close_to(like.parent)
         if tag in VOID:
             return
-        self.node = _Node(tag, self.node, self.node.out or self.outside(tag, attrs))
+        self.node = _Node(tag, self.node, *self.outside(tag, attrs))
         self.open[tag] += 1
         if tag in SILENT:
             self.silent += 1
 
-    def outside(self, tag: str, attrs: list) -> bool:
+    def outside(self, tag: str, attrs: list) -> tuple[bool, bool]:
+        """(is no part of an article, surely so: by its tag or hidden, not by its name)"""
+        if tag not in ("html", "body") and any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
+            return True, True
         if tag in AROUND:
-            return True
+            return True, tag != "form"  # some pages are one form from end to end
         if tag == "header":  # a page's header; an article's own one holds its title
-            return self.find(NARTICLE, set()) is None
+            return self.find(NARTICLE, set()) is None, True
         if tag in ("html", "body", "main", "article") or tag not in BLOCKS and tag not in ("span", "ins"):
-            return any(k == "hidden" for k, _ in attrs) and tag not in ("html", "body")
-        words: set[str] = set()
-        for k, v in attrs:
-            if k == "hidden" or k == "aria-hidden" and v == "true":
-                return True
-            if v and k in ("class", "id", "role"):
-                found = [w.lower() for w in WORD.findall(v)]
-                words.update(w for w, before in zip(found, ["", *found], strict=False) if before not in UNLESS)
-        if "header" in words and (not TITLED.isdisjoint(words) or self.find(NARTICLE, set())):
-            words.discard("header")
-        return not NOISE.isdisjoint(words)
+            return False, False
+        names = [v for k, v in attrs if v and k in ("class", "id", "role")]
+        return any(self.noisy(token) for v in names for token in v.split()), False
+
+    def noisy(self, token: str) -> bool:
+        words = [w.lower() for w in WORD.findall(token)]
+        if not words or not UNLESS.isdisjoint(words):
+            return False
+        if words[-1] == "header" and (not TITLED.isdisjoint(words) or self.find(NARTICLE, set())):
+            return False
+        return words[-1] in NOISE or words[0] in NOISE and PARTS.issuperset(words[1:])
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # as browsers do, "/>" closes void elements only
@@ -174,8 +186,10 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
 
 
 def threshold(values: list[float]) -> float:
-    """Boundary of the two clusters (two-means on the line) of ``values``."""
-    low, high = min(values), max(values)
+    """Boundary of the two clusters (two-means on the line) of ``values`` and a 0,
+    the line without text: never above the greatest value."""
+    values = [0.0, *values]
+    low, high = 0.0, max(values)
     for _ in range(30):
         mid = (low + high) / 2
         below, above = [v for v in values if v <= mid], [v for v in values if v > mid]
@@ -188,24 +202,53 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def _shown(lines: list[tuple]) -> list[tuple]:
+    """The lines outside menus, notices, adverts and the like. An element that holds
+    most of the unlinked text is none of these, whatever its name, unless an
+    article stands beside it."""
+    seen = [x for x in lines if not any(n.sure for n in x[2].out)]
+    total = sum(len(x[0]) - x[3] for x in seen)
+    inside: Counter[_Node] = Counter()
+    for text, _, node, linked in seen:
+        for n in node.out:
+            inside[n] += len(text) - linked
+    page = {n for n, size in inside.items() if 2 * size > total}
+    if page:
+        articles = {x[2].article for x in seen if x[2].article and page.isdisjoint(x[2].out)}
+        if articles:
+            page = set()
+    return [x for x in seen if page.issuperset(x[2].out)]
+
+
 def main_text(html: str | None) -> str:
     """The main text of a whole page, its blocks in page order joined by a space."""
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    lines = [x for x in parser.lines if not x[2].out]
+    lines = _shown(parser.lines)
     if not lines:
         return ""
-    ratio = smooth([len(text) / (tags + 1) for text, tags, _, _ in lines])
+    boxes: dict[_Node, list[int]] = {}
+    for i, (_, _, node, _) in enumerate(lines):
+        boxes.setdefault(node.box, []).append(i)
+    ratio = [0.0] * len(lines)
+    for own in boxes.values():
+        raw = [min(PROSE, max(0, len(lines[i][0]) - lines[i][3]) / (lines[i][1] + 1)) for i in own]
+        for i, v in zip(own, smooth(raw), strict=True):
+            ratio[i] = v
     least = threshold(ratio)
-    content = [r >= least for r in ratio]
-    menu = [not c and not node.article and linked > LINKED * len(text) for (text, _, node, linked), c in zip(lines, content, strict=True)]
-    total = sum(len(x[0]) for x, m in zip(lines, menu, strict=True) if not m)
-    if sum(len(x[0]) for x in lines if x[2].article) >= SHARE * total:
-        near = {x[2].box for x, c in zip(lines, content, strict=True) if c}
-        return " ".join(x[0] for x, m in zip(lines, menu, strict=True) if x[2].article or x[2].box in near and not m)
-    return " ".join(x[0] for x, m in zip(lines, menu, strict=True) if not m)
+    regions = {box for box, own in boxes.items() if sum(ratio[i] for i in own) >= least}
+    if not regions:
+        return ""
+    last = max(max(boxes[box]) for box in regions)
+    whole = any(box.article for box in regions)
+    kept = []
+    for i, (text, _, node, linked) in enumerate(lines):
+        menu = ratio[i] < least and not node.article and linked > LINKED * len(text)
+        if not menu and (node.box in regions or (node.article if whole else i < last)):
+            kept.append(text)
+    return " ".join(kept)
 
 
 def extract_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
