@@ -10,6 +10,7 @@ converter; without a registered one a request stays ``status =
 
 from __future__ import annotations
 
+import time
 from functools import lru_cache
 from typing import Callable
 
@@ -83,11 +84,12 @@ def _parsed(source: str) -> list | str:
         return str(e)
 
 
-@F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("error", T.StringType())]))
+@F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("error", T.StringType()), T.StructField("micros", T.LongType())]))
 def _render_udf(fmt: pd.Series, shown: pd.Series, content: pd.Series, data: pd.Series, images: pd.Series) -> pd.DataFrame:
-    bodies, errors = [], []
+    bodies, errors, micros = [], [], []
     for f, path, source, text, uris in zip(fmt, shown, content, data, images):
         body = error = None
+        begin = time.perf_counter_ns()
         if f == "txt":
             body = _text_body(path, load(text))
         elif f == "html" and source is not None:
@@ -101,7 +103,8 @@ def _render_udf(fmt: pd.Series, shown: pd.Series, content: pd.Series, data: pd.S
                 body = mustache.bind(nodes, context)
         bodies.append(body)
         errors.append(error)
-    return pd.DataFrame({"body": bodies, "error": errors})
+        micros.append(None if body is None else (time.perf_counter_ns() - begin) // 1000)
+    return pd.DataFrame({"body": bodies, "error": errors, "micros": pd.array(micros, dtype="Int64")})
 
 
 @F.pandas_udf(T.StringType())
@@ -118,7 +121,8 @@ def image_uris(images: Column) -> Column:
 
 
 def rendered(fmt, path, content, data, images, cache_dir: str = CACHE_DIR) -> Column:
-    """RN6 / RN8: struct<body, error> of a request. HTML binds ``content``, the
+    """RN6 / RN8: struct<body, error, micros> of a request; ``micros`` is the time that
+    its own body took (A7). HTML binds ``content``, the
     plain-text document prints the data and never reads a template; any other
     format, and HTML without content, has neither body nor error."""
     c = lambda x: F.col(x) if isinstance(x, str) else x
@@ -147,3 +151,28 @@ def render_report(documents: DataFrame, by: str = "template_path") -> DataFrame:
         F.count(F.lit(1)).alias("documents"),
         F.sum(rendered_size("body")).alias("bytes"),
     )
+
+
+# Upper bounds of A7's buckets, in microseconds.
+DURATION_BOUNDS = (50, 100, 250, 500, 1000, 5000, 25000, 100000)
+
+
+def duration_histogram(documents: DataFrame, micros: str = "render_us", bounds: tuple[int, ...] = DURATION_BOUNDS) -> DataFrame:
+    """A7: cumulative ``le`` buckets of render times, a row a bound and one for
+    +Inf. One pass, a counter per bound."""
+    row = documents.agg(*[F.count_if(F.col(micros) <= le).alias(f"le_{le}") for le in bounds], F.count(micros).alias("le_inf"))
+    pairs = [F.struct(F.lit(str(le)).alias("le"), F.col(f"le_{le}").alias("documents")) for le in bounds]
+    return row.select(F.inline(F.array(*pairs, F.struct(F.lit("+Inf").alias("le"), F.col("le_inf").alias("documents")))))
+
+
+def duration_sketch(documents: DataFrame, by: list[str] | None = None, micros: str = "render_us") -> DataFrame:
+    """A7: a KLL sketch of render times per ``by``, as bytes that can be kept and
+    merged over batches (``duration_quantiles``); rank error about 1.3 % at its size of 200."""
+    return documents.groupBy(*(by or [])).agg(F.kll_sketch_agg_bigint(micros).alias("sketch"))
+
+
+def duration_quantiles(sketches: DataFrame, at: tuple[float, ...] = (0.5, 0.95, 0.99), by: list[str] | None = None) -> DataFrame:
+    """Quantiles of merged sketches, in microseconds: ``by``, quantile, micros."""
+    merged = sketches.groupBy(*(by or [])).agg(F.kll_merge_agg_bigint("sketch").alias("s"))
+    each = [F.struct(F.lit(q).alias("quantile"), F.kll_sketch_get_quantile_bigint("s", F.lit(q)).alias("micros")) for q in at]
+    return merged.select(*(by or []), F.inline(F.array(*each)))

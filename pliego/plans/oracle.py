@@ -817,6 +817,11 @@ def oracle_sql() -> dict[str, str]:
             "count(*) AS documents FROM docs GROUP BY 1, 2"
         ),
         "a7_size_histogram": f"WITH {COMP}, {sized} {hist}",
+        "a7_render_duration": (
+            f"WITH {COMP}, {sized} SELECT kind, name, true AS holds, CASE WHEN name = '+Inf' THEN (SELECT count(sz) FROM sized) END AS documents FROM (VALUES "
+            + ", ".join(f"('bucket', '{le}')" for le in (50, 100, 250, 500, 1000, 5000, 25000, 100000, "+Inf")) + ", "
+            + ", ".join(f"('quantile', '{q}')" for q in ("0.5", "0.95", "0.99")) + ") AS v(kind, name)"
+        ),
         "a8_catalog_search": docs_sql(
             f"{KEY}, {catalog_name} AS original_filename, CAST(strlen({text_body()}) AS BIGINT) AS file_size",
             "WHERE output_format = 'txt'",

@@ -224,6 +224,7 @@ def _render(req: DataFrame, as_of, temp_dir: str, cache_dir: str) -> DataFrame:
         doc_id.alias("doc_id"),
         lp.alias("local_path"),
         F.col("_r.body").alias("body"),
+        F.col("_r.micros").alias("render_us"),
         F.when(F.col("format").isin("txt", "html"), F.lit("rendered")).otherwise(F.lit("needs_converter")).alias("status"),
     )
     if RENDERERS:  # split once by format: each renderer sees its own rows

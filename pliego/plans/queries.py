@@ -383,6 +383,23 @@ def q_a7(spark, sf):
     ], F.struct(F.lit("+Inf").alias("le"), F.col("le_inf").alias("documents")))).alias("h")).select("h.*")
 
 
+def q_a7_duration(spark, sf):
+    """A7 over measured render times, kept once: cumulative buckets, and quantiles
+    from sketches per format, merged, against exact ranks. The clock differs from
+    run to run, so what is returned is what holds for any clock."""
+    from ..operators.render import duration_histogram, duration_quantiles, duration_sketch
+    path = os.path.join(_scratch(spark, "a7"), "times")
+    _docs(spark, sf).select("format", "render_us").write.parquet(path)
+    times = spark.read.parquet(path)
+    h = duration_histogram(times).collect()  # a row a bound
+    n = h[-1].documents
+    rows = [("bucket", r.le, before <= r.documents <= n, n if r.le == "+Inf" else None) for r, before in zip(h, [0, *[r.documents for r in h]])]
+    for r in duration_quantiles(duration_sketch(times, ["format"])).collect():  # a row a quantile
+        below, upto = times.agg(F.count_if(F.col("render_us") < r.micros), F.count_if(F.col("render_us") <= r.micros)).first()
+        rows.append(("quantile", str(r["quantile"]), below / max(n, 1) <= r["quantile"] + 0.02 and upto / max(n, 1) >= r["quantile"] - 0.02, None))
+    return spark.createDataFrame(rows, "kind string, name string, holds boolean, documents long")
+
+
 ECHO_VIEW = (
     "metadata struct<id:string, fecha:string>, data struct<cliente:struct<id:bigint>, item_canonico:struct<output_producto:string, "
     "output_subproducto:string, output_metadata:struct<orden:bigint>, callback:string, outputs:array<struct<type:string, composicion:array<struct<"
@@ -859,6 +876,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a5_distinct_protocols": q_a5,
     "a6_documents_by_format": q_a6,
     "a7_size_histogram": q_a7,
+    "a7_render_duration": q_a7_duration,
     "a8_catalog_search": q_a8,
     "rn1_html_context": q_rn1,
     "rn2_image_mime": q_rn2,
