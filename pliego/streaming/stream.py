@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..plans.pipeline import generate_documents
 from ..session import configure, ensure_checkpoint_dir
 from ..sinks.ledger import Attempt, committed, is_committed
+from ..sinks.ports import save
 from ..sinks.responses import batch_errors, failures, responses
 from ..sinks.store import document_catalog, stage_catalog, with_object_keys
 from ..sources.kafka import decode_record
@@ -78,7 +79,8 @@ def process_batch(batch: DataFrame, batch_id: int, templates: Callable[[], DataF
         counts = [F.count(F.lit(1)).alias("processed"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("failure")]
         done = attempt.stage(status.unionByName(bad).join(keys, "msg_id").observe(seen, *counts), "results")
         docs = with_object_keys(g.documents.where(F.col("status") == "rendered"), as_of, out.prefix, out.bucket)
-        attempt.stage(docs.select("msg_id", "output_pos", "comp_pos", "format", "location", "object_key", "repository_path", "body"), "documents")
+        stored = attempt.stage(docs.select("msg_id", "output_pos", "comp_pos", "format", "location", "object_key", "repository_path", "body"), "documents")
+        save(stored, batch_id, attempt.id)
         stage_catalog(attempt, document_catalog(docs, as_of))
         attempt.stage(responses(done, key="msg_id"), "responses")
         attempt.stage(failures(done), "failures")
