@@ -39,8 +39,7 @@ TOP = ["td", "t1", "t2"]
 
 def n_words(text: Column) -> Column:
     """Runs of characters other than \\x20 and \\x09-\\x0D."""
-    flat = F.trim(F.regexp_replace(text, "[ \\t\\n\\x0B\\f\\r]+", " "))
-    return F.when(flat == "", 0).otherwise(F.length(flat) - F.length(F.translate(flat, " ", "")) + 1).cast("long")
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
