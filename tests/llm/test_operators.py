@@ -146,6 +146,52 @@ def test_dual_traversal_loses_no_pair():
             assert (min(leaf[i], leaf[j]), max(leaf[i], leaf[j])) in pairs
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.9, 1 - 1e-12])
+def test_embedding_links_at_other_thresholds(spark, threshold):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c + rng.normal(0, s, (40, 8)) for c, s in zip(rng.normal(0, 1, (6, 8)), [0.01, 0.1, 0.3, 0.5, 0.02, 0.2], strict=True)])
+    x = np.concatenate([x, 2 * x[:20]])  # the same directions
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= threshold
+    np.fill_diagonal(link, False)
+    root = union_find(len(x), [(i, int(j)) for i in range(len(x)) for j in np.flatnonzero(link[i])])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_links(df, threshold=threshold, block=64).collect()}
+    assert got == {i: (int(link[i].sum()), root[i]) for i in range(len(x))}
+
+
+def test_clustered_vectors_are_pruned_at_any_size(spark):
+    """A tenth of all pairs is not looked at, below one block and beyond it; links of a
+    tight cluster need no comparison of its vectors."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 1, (30, 16))
+    for each in (20, 100):
+        x = np.concatenate([c + rng.normal(0, 0.03, (each, 16)) for c in centres])
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        report = {}
+        got = embedding_links(df, block=512, report=report).collect()
+        assert all((r.n_links, r.component_id) == (each - 1, r.vec_id // each * each) for r in got)
+        assert report["knots"] < len(x) / 5 and report["knot_pairs"] + report["vector_pairs"] < len(x) ** 2 / 20
+
+
+def test_an_id_with_several_vectors_is_one_node(spark):
+    east, north = [1.0, 0.0], [0.0, 1.0]
+    rows = [(5, east), (5, north), (7, [1.0, 0.01]), (9, [0.01, 1.0]), (3, [-1.0, 0.0])]
+    got = {r.vec_id: r.component_id for r in embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {5: 5, 7: 5, 9: 5, 3: 3}
+
+
+def test_registered_links_by_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.95
+    np.fill_diagonal(link, False)
+    root = union_find(len(x), [(i, int(j)) for i in range(len(x)) for j in np.flatnonzero(link[i])])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in entry.queries()["op6_cover_tree_links"](spark, SF).collect()}
+    assert got == {int(ids[i]): (int(link[i].sum()), min(int(ids[j]) for j in range(len(x)) if root[j] == root[i])) for i in range(len(x))}
+
+
 # ------------------------------------------------------------------ packing
 
 
