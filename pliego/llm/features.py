@@ -5,7 +5,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ RUN = re.compile(r"(.)\1{2,}")
 LETTERS = re.compile(r"[^\W\d_]")
 INSIDE = re.compile(r"[^\W\d_][@$!*+0-9][^\W\d_]")
 STEMS = (4, 5, 6)  # letters
+FRONT = min(STEMS)
 CACHE = 500_000  # words whose analysis a task remembers
 SURE = 3.0  # z-score from which a learned word counts as a hit
 
@@ -61,36 +63,46 @@ def vocabulary(text: str | None) -> set[str]:
     return out
 
 
-class Seen(dict):
-    """Token -> its flags, None for a plain word; filled on first sight."""
-
-    def __init__(self, word):
-        super().__init__()
-        self.word = word
-
-    def __missing__(self, token: str) -> tuple | None:
-        if len(self) > CACHE:
-            self.clear()
-        flags = self.word(token)
-        self[token] = flags = flags if any(flags) else None
-        return flags
-
-
 class Analyser:
     """Features of texts under one lexicon (word or stem -> z-score of its log-odds);
     remembers the words it has seen."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
-        self.seen = Seen(self.word)
-
-    def word(self, token: str) -> tuple:
-        """(z of the word, z of its best stem, insult, second person, all capitals, disguised)"""
+        self.stems = {s[:-1]: z for s, z in lexicon.items() if s.endswith("-")}
+        # Most words are rare and plain: one look at their first letters rules all stems out.
+        self.fronts = {s[:FRONT] for s in self.stems}
+        self.known = {w: (lexicon.get(w, 0.0), w in INSULTS, w in SECOND) for w in {*lexicon, *INSULTS, *SECOND}}
+        self.plain: set[str] = set()  # tokens all of whose flags are nought
+        self.flags: dict[str, tuple] = {}  # the others
+
+    def telling(self, tokens: Iterable[str]) -> list[str]:
+        """Those of ``tokens`` that have flags; others are remembered as plain."""
+        if len(self.plain) + len(self.flags) > CACHE:
+            self.plain.clear()
+            self.flags.clear()
+        out = []
+        for token in filterfalse(self.plain.__contains__, tokens):
+            if token not in self.flags:
+                flags = self.word(token)
+                if flags is None:
+                    self.plain.add(token)
+                    continue
+                self.flags[token] = flags
+            out.append(token)
+        return out
+
+    def word(self, token: str) -> tuple | None:
+        """(z of the word, z of its best stem, insult, second person, all capitals,
+        disguised), None where all are nought."""
         w, hidden = normal_word(token)
-        get = self.lexicon.get
-        stem = max((get(w[:k] + "-", 0.0) for k in STEMS if len(w) > k), default=0.0)
-        caps = len(token) > 1 and token.isupper()
-        return get(w, 0.0), stem, w in INSULTS, w in SECOND, caps, hidden
+        caps = token.isupper() and len(token) > 1
+        stem = 0.0
+        if w[:FRONT] in self.fronts:
+            stem = max((self.stems.get(w[:k], 0.0) for k in STEMS if len(w) > k), default=0.0)
+        known = self.known.get(w)
+        if known is None:
+            return (0.0, stem, False, False, caps, hidden) if stem or caps or hidden else None
+        return known[0], stem, known[1], known[2], caps, hidden
 
     def features(self, text: str | None) -> list[float]:
         text = text or ""
@@ -100,8 +112,9 @@ class Analyser:
         hits: set[str] = set()
         top = total = 0.0
         counts = Counter(tokens)
-        seen = self.seen
-        for token, k, flags in [(t, k, f) for t, k in counts.items() if (f := seen[t])]:
+        second = set()
+        for token in self.telling(counts):
+            k, flags = counts[token], self.flags[token]
             z = max(flags[0], flags[1])
             top, total = max(top, z), total + z
             sums[0] += k * (flags[0] >= SURE)
@@ -111,10 +124,12 @@ class Analyser:
                     sums[i] += k
             if z >= SURE or flags[2]:
                 hits.add(token)
+            if flags[3]:
+                second.add(token)
         near = 0.0
-        if hits and sums[3]:
+        if hits and second:
             at = np.array([i for i, t in enumerate(tokens) if t in hits])
-            you = np.array([i for i, t in enumerate(tokens) if (f := seen[t]) and f[3]])
+            you = np.array([i for i, t in enumerate(tokens) if t in second])
             j = np.searchsorted(you, at)
             gap = np.minimum(np.abs(at - you[np.minimum(j, len(you) - 1)]), np.abs(at - you[np.maximum(j - 1, 0)]))
             near = float(np.mean(1 / (1 + gap)))
