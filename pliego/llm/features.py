@@ -33,7 +33,7 @@ RUN = re.compile(r"(.)\1{2,}")
 LETTERS = re.compile(r"[^\W\d_]")
 INSIDE = re.compile(r"[^\W\d_][@$!*+0-9][^\W\d_]")
 STEMS = (4, 5, 6)  # letters
-FRONT = min(STEMS)
+PLAIN = (0.0, False, False)  # what is known of a word that no list holds
 CACHE = 500_000  # words whose analysis a task remembers
 SURE = 3.0  # z-score from which a learned word counts as a hit
 
@@ -70,7 +70,7 @@ class Analyser:
     def __init__(self, lexicon: dict[str, float]):
         self.stems = {s[:-1]: z for s, z in lexicon.items() if s.endswith("-")}
         # Most words are rare and plain: one look at their first letters rules all stems out.
-        self.fronts = {s[:FRONT] for s in self.stems}
+        self.fronts = {s[:4] for s in self.stems}
         self.known = {w: (lexicon.get(w, 0.0), w in INSULTS, w in SECOND) for w in {*lexicon, *INSULTS, *SECOND}}
         self.plain: set[str] = set()  # tokens all of whose flags are nought
         self.flags: dict[str, tuple] = {}  # the others
@@ -92,17 +92,24 @@ class Analyser:
         return out
 
     def word(self, token: str) -> tuple | None:
-        """(z of the word, z of its best stem, insult, second person, all capitals,
-        disguised), None where all are nought."""
+        """(z of the word or its best stem, and None or the flags: learned word, learned
+        stem, insult, second person, all capitals, disguised), None for a plain word."""
         w, hidden = normal_word(token)
         caps = token.isupper() and len(token) > 1
-        stem = 0.0
-        if w[:FRONT] in self.fronts:
-            stem = max((self.stems.get(w[:k], 0.0) for k in STEMS if len(w) > k), default=0.0)
-        known = self.known.get(w)
-        if known is None:
-            return (0.0, stem, False, False, caps, hidden) if stem or caps or hidden else None
-        return known[0], stem, known[1], known[2], caps, hidden
+        z, insult, second = self.known.get(w, PLAIN)
+        stem, n = 0.0, len(w)
+        if n > 4 and w[:4] in self.fronts:
+            get = self.stems.get
+            stem = get(w[:4], 0.0)
+            if n > 5 and (more := get(w[:5], 0.0)) > stem:
+                stem = more
+            if n > 6 and (more := get(w[:6], 0.0)) > stem:
+                stem = more
+        if not (z or stem or caps or hidden or insult or second):
+            return None
+        best = z if z > stem else stem
+        flags = (z >= SURE, stem >= SURE, insult, second, caps, hidden)
+        return best, flags if any(flags) else None
 
     def features(self, text: str | None) -> list[float]:
         text = text or ""
@@ -112,14 +119,17 @@ class Analyser:
         hits: set[str] = set()
         top = total = 0.0
         counts = Counter(tokens)
-        second = set()
+        second: set[str] = set()
         for token in self.telling(counts):
-            k, flags = counts[token], self.flags[token]
-            z = max(flags[0], flags[1])
-            top, total = max(top, z), total + z
-            sums[0] += k * (flags[0] >= SURE)
-            sums[1] += k * (flags[1] >= SURE)
-            for i in range(2, 6):
+            z, flags = self.flags[token]
+            if z:
+                total += z
+                if z > top:
+                    top = z
+            if flags is None:
+                continue
+            k = counts[token]
+            for i in range(6):
                 if flags[i]:
                     sums[i] += k
             if z >= SURE or flags[2]:
