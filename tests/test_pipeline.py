@@ -292,3 +292,48 @@ def test_stream_replay_rewrites_the_same_rows(spark, tmp_path):
         rows.append({n: sorted(map(str, spark.read.parquet(out.path(n)).collect())) for n in ("results", "documents", "responses", "failures", "summary")})
     assert rows[0] == rows[1] and len(rows[0]["results"]) == 200
     assert len(rows[0]["responses"]) + len(rows[0]["failures"]) == 200
+
+
+def test_each_message_is_parsed_once(spark):
+    """Filters that Spark infers from the explodes must not repeat the parse of a message,
+    nor may the texts be built again for each mention."""
+    from pliego.operators.reshape import flatten_outputs
+    from pliego.plans import fixtures
+    from pliego.sources.messages import parse_messages
+
+    rows = flatten_outputs(parse_messages(fixtures.messages(spark, "/root/testdata/sf0.001")))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter " in line]
+    assert not any("from_json" in line or "to_json" in line or "StructsToJson" in line for line in filters)
+    assert plan.count("StructField(_corrupt,StringType,true), (mode") == 2  # one for each of the two paths
+
+
+def test_echo_is_parsed_once(spark):
+    """The response names the echoed message many times and parses it once a path."""
+    from pliego.operators.collate import collated_response
+
+    one = spark.createDataFrame([('{"data":{"item_canonico":{"outputs":[]}}}',)], "raw string")
+    out = one.select(collated_response(F.col("raw"), lambda i, k, c: F.lit("x")).alias("r"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(metadata,VariantType") == 2
+    assert out.first().r is not None
+
+
+def test_lines_without_a_number_are_one_message(spark, tmp_path):
+    """Lines are gathered by their order's key; those without a number have no message
+    id and stay one message, over all orders."""
+    import datetime as dt
+
+    from pliego.plans import fixtures
+
+    d = str(tmp_path)
+    day = dt.datetime(2024, 1, 1)
+    lines = [(o, 1, 1, n, 1.0, 2.0, 0.1, "O", day) for o, n in [(1, 1), (1, 65), (1, 2), (2, 1), (2, None), (1, None)]]
+    ddl = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_tax double, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame(lines, ddl).write.parquet(f"{d}/lineitem.parquet")
+    orders = [(o, 1, "O", day, "5-LOW") for o in (1, 2)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(1, "Ana", "X", 1)], "c_custkey long, c_name string, c_mktsegment string, c_nationkey int").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(1, "PERU")], "n_nationkey int, n_name string").write.parquet(f"{d}/nation.parquet")
+    got = {r.msg_id: r.raw.count('"template":"plantilla"') for r in fixtures.messages(spark, d).collect()}
+    assert got == {"m1-0": 2, "m1-1": 1, "m2-0": 1, None: 2}
