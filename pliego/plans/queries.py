@@ -774,7 +774,10 @@ def q_sk1(spark, sf):
 def q_sk2(spark, sf):
     """Every location of a document names a written copy."""
     from ..sinks.store import write_local_copy
-    g = generation(spark, sf)
+    # Texts written once: the documents and the responses then read the same messages.
+    texts = _scratch(spark, "sk2_messages")
+    fixtures.messages(spark, sf).write.parquet(texts)
+    g = generate_documents(spark.read.parquet(texts), templates(spark), AS_OF)
     back = write_local_copy(g.documents.where(F.col("status") == "rendered"), _scratch(spark, "sk2"))
     given = reshape.locations_of(g.messages.where(F.col("ok"))).where(F.col("result_location").isNotNull())
     out = given.join(back.select(F.col("location").alias("result_location"), F.md5("body").alias("body")), "result_location", "left")

@@ -337,3 +337,36 @@ def test_lines_without_a_number_are_one_message(spark, tmp_path):
     spark.createDataFrame([(1, "PERU")], "n_nationkey int, n_name string").write.parquet(f"{d}/nation.parquet")
     got = {r.msg_id: r.raw.count('"template":"plantilla"') for r in fixtures.messages(spark, d).collect()}
     assert got == {"m1-0": 2, "m1-1": 1, "m2-0": 1, None: 2}
+
+
+def test_a_fence_is_no_projection_of_its_own(spark):
+    """The parse copies a message's columns once a step: the path, the parse, the view."""
+    from pliego.sources.messages import parse_messages
+
+    rows = parse_messages(spark.range(2).select(F.col("id").cast("string").alias("msg_id"), F.concat(F.lit("{"), F.col("id")).alias("raw")))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Project [") <= 4  # the fourth makes the test's rows
+
+
+@pytest.mark.parametrize("name", ["sk2_write_local_copy", "v8_check_result_counts"])
+def test_what_is_read_again_was_written_once(spark, tmp_path, name):
+    """Messages, or documents, that a query takes more than once aren't made again each time."""
+    import datetime as dt
+
+    import __spark_entry__ as entry
+
+    d, day = str(tmp_path), dt.datetime(2024, 1, 1)
+    lines = [(o, 7, 1, n, 1.0, 2.0, 0.1, "O", day) for o in (7, 8, 11) for n in (1, 2, 3)]
+    ddl = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_tax double, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame(lines, ddl).write.parquet(f"{d}/lineitem.parquet")
+    orders = [(o, 1, "O", day, "5-LOW") for o in (7, 8, 11)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(1, "Ana", "X", 1)], "c_custkey long, c_name string, c_mktsegment string, c_nationkey int").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(1, "PERU")], "n_nationkey int, n_name string").write.parquet(f"{d}/nation.parquet")
+    out = entry.queries()[name](spark, d)
+    assert "lineitem.parquet" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.msg_id: r for r in out.collect()}
+    if name.startswith("v8"):
+        assert {k: (r.templates, r.results) for k, r in got.items()} == {"m7-0": (3, 2), "m11-0": (3, 4)}
+    else:
+        assert set(got) == {"m7-0", "m8-0", "m11-0"} and all(r.body for r in got.values())
