@@ -443,7 +443,9 @@ def q_rs13(spark, sf):
 def q_v8(spark, sf):
     """The requests of successful messages against a batch of results with some
     missing and some twice."""
-    d = _docs(spark, sf).select(*REQUEST_KEY, "doc_id")
+    made = _scratch(spark, "v8")
+    _docs(spark, sf).select(*REQUEST_KEY, "doc_id").write.parquet(made)  # written once, read three times
+    d = spark.read.parquet(made)
     order = F.regexp_extract("msg_id", "^m([0-9]+)-", 1).cast("bigint")
     some = d.where(~((order % 7 == 0) & (F.col("comp_pos") == 1)))
     twice = some.where((order % 11 == 0) & (F.col("comp_pos") == 0))
