@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions._util import fenced
+from ..functions._util import fenced, let
 from ..operators.lookup import measured_broadcast
 from ..schema import JSON_READ_OPTIONS
 from ..session import configure
@@ -78,6 +78,8 @@ KIND_DDL = "array<struct<metadata:struct<resource:struct<data:map<string,string>
 # text could start like an object), or an escaped character that could hide
 # either key: the cases that need the layered parse. A false positive (the text
 # inside a string value) only costs the slower path, never a different result.
+# The patterns search the whole text, which costs as much as parsing it, so they
+# run on those messages alone whose direct parse leaves the question open.
 # One pattern per key: a pattern that begins with a whole key is searched many times
 # faster than alternatives, which are tried at every character.
 LONE_OBJECT = [r'"outputs"\s*:\s*\{', r'"composicion"\s*:\s*\{']
@@ -93,6 +95,19 @@ def needs_layers(raw: Column) -> Column:
     return needs_wrap(raw) | F.coalesce(raw.rlike(TEXT_DATA) | raw.contains(ESCAPED), F.lit(False))
 
 
+def unsure(raw: Column, direct: Column) -> Column:
+    """Whether the layered parse could give something else than ``direct``: a lone object
+    is a type that ``direct`` reports as corrupt, and a JSON string that passes for an
+    object starts with ``{"``, so its quote is escaped, or else unlike a written object."""
+    def odd(c: Column) -> Column:
+        data = c["metadata"]["resource"]["data"]
+        return F.coalesce(F.ltrim(data).startswith("{") & ~data.startswith('{"'), F.lit(False))
+
+    outs = direct["data"]["item_canonico"]["outputs"]
+    some = F.exists(outs, lambda o: F.coalesce(F.exists(o["composicion"], odd), F.lit(False)))
+    return direct[CORRUPT].isNotNull() | F.coalesce(raw.contains("\\") | some, F.lit(False))
+
+
 def parse_messages(messages: DataFrame, raw: str = "raw") -> DataFrame:
     """SO1: typed binding view of each message, next to the raw text.
 
@@ -130,18 +145,18 @@ def parse_messages(messages: DataFrame, raw: str = "raw") -> DataFrame:
             lambda c, k: comp_view(c, k["metadata"]["resource"]["data"].isNotNull()),
         )
 
-    # Each text is parsed once, by the path that it needs, before its fields are read.
-    df = messages.withColumn("_wrap", needs_layers(F.col(raw)))
-    # fast path: one typed parse
-    direct = F.when(~F.col("_wrap"), F.from_json(F.col(raw), DIRECT_DDL, opts))
-    # layered path: arrays read as text, wrapped when a lone object, parsed
-    top = F.when(F.col("_wrap"), F.from_json(F.col(raw), TOP_DDL, opts))
-    df = df.withColumns({"_direct": fenced(direct), "_top": fenced(top)})
-    direct, top = F.col("_direct"), F.col("_top")
+    # fast path: one typed parse; layered path, where that one won't do: arrays read as
+    # text, wrapped when a lone object, parsed. Each is read once, before its fields are.
+    def paths(direct: Column) -> Column:
+        layered = F.when(unsure(F.col(raw), direct) & needs_layers(F.col(raw)), F.from_json(F.col(raw), TOP_DDL, opts))
+        return F.struct(direct.alias("direct"), layered.alias("top"))
+
+    df = messages.withColumn("_parsed", fenced(let(F.from_json(F.col(raw), DIRECT_DDL, opts), paths)))
+    direct, top = F.col("_parsed.direct"), F.col("_parsed.top")
     outs = F.from_json(wrap_single(top["data"]["item_canonico"]["outputs"]), OUTPUT_DDL, JSON_READ_OPTIONS)
 
     def pick(layered: Column, direct: Column) -> Column:
-        return F.when(F.col("_wrap"), layered).otherwise(direct)
+        return F.when(top.isNotNull(), layered).otherwise(direct)
 
     return df.select(
         *[c for c in messages.columns],
