@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import is_local, sanitize_template_path
 from ..functions._util import let
 from ..schema import REQUEST_KEY
-from .jsontext import as_map
+from .jsontext import keys
 from .validate import is_template
 
 
@@ -78,7 +78,7 @@ def request_profile(requests: DataFrame) -> DataFrame:
         *REQUEST_KEY,
         sanitize_template_path("template_path").alias("template_name"),
         F.col("file_type"),
-        F.coalesce(F.size(F.map_keys(as_map(F.col("data")))), F.lit(0)).cast("bigint").alias("data_fields"),
+        F.coalesce(F.size(keys(F.col("data"))), F.lit(0)).cast("bigint").alias("data_fields"),
         (F.size("images") > 0).alias("has_images"),
         F.col("persist"),
     )

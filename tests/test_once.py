@@ -37,3 +37,16 @@ def test_text_data_is_told_from_objects(spark):
             want.append(is_object)
     got = {r.msg_id: r.x for r in parse_messages(_rows(spark, *raws)).select("msg_id", F.col("outputs")[0]["composicion"][0]["data_is_object"].alias("x")).collect()}
     assert [got[f"m{i}"] for i in range(len(raws))] == want
+
+
+def test_fields_are_counted_without_their_values(spark):
+    from pliego.operators.jsontext import as_map, keys
+    from pliego.operators.reshape import project_request, request_profile
+
+    texts = [None, "", "null", "7", '"x"', "[]", '[{"a":1}]', "{}", '{"a":1,"b":null}', '{"a":1,"a":{"c":2}}', '{"":1}', '{"a":1', "{} x"]
+    df = spark.createDataFrame([(t,) for t in texts], "data string")
+    for r in df.select("data", F.size(keys(F.col("data"))).alias("n"), F.size(F.map_keys(as_map(F.col("data")))).alias("m")).collect():
+        assert r.n == r.m, r.data
+    ask = df.select(F.lit("m").alias("msg_id"), F.lit(0).alias("output_pos"), F.lit(0).alias("comp_pos"), F.lit("a").alias("location"), "data", F.lit("txt").alias("output_format"))
+    plan = request_profile(project_request(ask))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1  # the images
