@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._util import col
+from ._util import col, let
 
 # Leading bytes (hex) -> MIME, tested in this order; webp also
 # needs at least 4 decoded bytes. Anything else, or a head that does not
@@ -23,14 +23,16 @@ def strict_base64(value) -> Column:
 
 def sniff_image_mime(b64) -> Column:
     """RN2: MIME type from the first 20 base64 chars."""
-    v = col(b64)
-    head = strict_base64(F.substr(v, F.lit(1), F.lit(20)))
-    h = F.hex(head)
-    expr = None
-    for magic, mime, min_len in MAGIC:
-        cond = (F.octet_length(head) >= min_len) & h.startswith(magic)
-        expr = F.when(cond, mime) if expr is None else expr.when(cond, mime)
-    return F.coalesce(expr, F.lit(DEFAULT_MIME))
+    def mime(head: Column) -> Column:
+        h = F.hex(head)
+        expr = None
+        for magic, mime, min_len in MAGIC:
+            cond = (F.octet_length(head) >= min_len) & h.startswith(magic)
+            expr = F.when(cond, mime) if expr is None else expr.when(cond, mime)
+        return F.coalesce(expr, F.lit(DEFAULT_MIME))
+
+    # Decoded once, though each magic number looks at it.
+    return let(strict_base64(F.substr(col(b64), F.lit(1), F.lit(20))), mime)
 
 
 def image_data_uri(b64) -> Column:

@@ -126,7 +126,8 @@ def rendered(fmt, path, content, data, images, cache_dir: str = CACHE_DIR) -> Co
     plain-text document prints the data and never reads a template; any other
     format, and HTML without content, has neither body nor error."""
     c = lambda x: F.col(x) if isinstance(x, str) else x
-    return _render_udf(c(fmt), text_template_path(path, cache_dir), c(content), c(data), F.to_json(image_uris(c(images))))
+    uris = F.when(c(fmt) == "html", F.to_json(image_uris(c(images))))  # no other format reads them
+    return _render_udf(c(fmt), text_template_path(path, cache_dir), c(content), c(data), uris)
 
 
 def pdf_images_error(images) -> Column:

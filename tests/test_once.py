@@ -50,3 +50,17 @@ def test_fields_are_counted_without_their_values(spark):
     ask = df.select(F.lit("m").alias("msg_id"), F.lit(0).alias("output_pos"), F.lit(0).alias("comp_pos"), F.lit("a").alias("location"), "data", F.lit("txt").alias("output_format"))
     plan = request_profile(project_request(ask))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1  # the images
+
+
+def test_images_are_decoded_once_and_for_html_alone(spark):
+    from pliego.functions import sniff_image_mime
+    from pliego.operators.render import rendered
+
+    df = spark.createDataFrame([(f, {"logo": "iVBORw0KGgoAAAANSUhEUgAAAAEAAAAB"}) for f in ("html", "txt", "pdf")], "f string, i map<string,string>")
+    plan = df.select(sniff_image_mime(F.col("i")["logo"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unbase64(") == 1
+    made = df.select("f", rendered("f", F.lit("a.html"), F.lit("{{imagen_logo}}"), F.lit('{"a":1}'), "i")["body"].alias("b"))
+    texts = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "= html) THEN" in texts
+    got = {r.f: r.b for r in made.collect()}
+    assert got["html"].startswith("data:image/png;base64,iVBOR") and "a                    : 1" in got["txt"] and got["pdf"] is None
