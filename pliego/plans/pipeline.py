@@ -128,6 +128,7 @@ def generate_documents(
     cache_dir: str = CACHE_DIR,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
     key_limit: int | None = None,
+    kept: str | None = None,
 ) -> Generation:
     """Run the pipeline over ``messages(msg_id, raw)`` and ``templates``.
 
@@ -135,6 +136,10 @@ def generate_documents(
     runs inside the message row: the status of the messages is one narrow pass.
     Otherwise template resolution is a join and the failures are folded per
     message. Bodies are rendered by the same step either way.
+
+    ``kept`` names a new folder for the status of the messages: it is computed and
+    written there once, with the responses and the parsed outputs of successful
+    messages, and both frames read it. Without it each frame computes its own.
     """
     configure(messages.sparkSession)
     templates = templates.select("source", "key", "content", "fetched_at")
@@ -158,8 +163,8 @@ def generate_documents(
 
     ok = F.col("error").isNull()
     waits = lambda c: route_format(c["output_format"]).isin(pending_formats())
-    out = status.select(
-        "msg_id",
+    columns = [
+        F.col("msg_id"),
         ok.alias("ok"),
         F.col("error.code").alias("error_code"),
         F.col("error.message").alias("error_message"),
@@ -167,13 +172,19 @@ def generate_documents(
         # documents of a successful message: those with a body, and those that wait for a converter
         F.when(ok, count(lambda c: ~waits(c))).otherwise(F.lit(0)).cast("bigint").alias("documents"),
         F.when(ok, count(waits)).otherwise(F.lit(0)).cast("bigint").alias("pending"),
-    )
+    ]
+    out = status.select(*columns)
 
     def requests_of(frame: DataFrame) -> DataFrame:
         return project_request(only_templates(flatten_outputs(frame))).withColumn("format", route_format("file_type"))
 
     requests = requests_of(validated.where(F.col("map_error").isNull()).select("msg_id", "outputs"))
-    documents = requests_of(status.where(F.col("error").isNull()).select("msg_id", "outputs"))
+    passed = status.where(F.col("error").isNull()).select("msg_id", "outputs")
+    if kept is not None:
+        status.select(*columns, F.when(ok, F.col("outputs")).alias("outputs")).write.parquet(kept)
+        rows = messages.sparkSession.read.parquet(kept)
+        out, passed = rows.drop("outputs"), rows.where("ok").select("msg_id", "outputs")
+    documents = requests_of(passed)
     documents = _render(resolve_templates(documents, templates, limit_bytes=broadcast_limit), as_of, temp_dir, cache_dir)
     return Generation(messages=out, documents=documents, requests=requests)
 

@@ -59,6 +59,13 @@ def generation(spark: SparkSession, sf: str) -> Generation:
     return _GEN[key]
 
 
+def _generated_once(spark: SparkSession, sf: str, name: str) -> Generation:
+    """The generation of a query that reads both its messages and its documents: the
+    messages are built, parsed, checked and answered once for the two."""
+    configure(spark)
+    return generate_documents(fixtures.messages(spark, sf), templates(spark), AS_OF, kept=_scratch(spark, name))
+
+
 def parsed(spark: SparkSession, sf: str) -> DataFrame:
     configure(spark)
     return parse_messages(fixtures.messages(spark, sf))
@@ -456,7 +463,7 @@ def q_v8(spark, sf):
 def q_rn11(spark, sf):
     """Status of every message with a digest of its documents' names and bodies
     and of its response: the whole pipeline is computed."""
-    g = generation(spark, sf)
+    g = _generated_once(spark, sf, "rn11")
     one = F.struct("output_pos", "comp_pos", F.concat_ws(" ", "location", F.md5("body")).alias("d"))
     docs = g.documents.groupBy("msg_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["d"]), "|")).alias("bodies"))
     locations = F.size(F.regexp_extract_all("response", F.lit('"result":\\{"location":"fs@'), F.lit(0))).cast("bigint")
@@ -776,10 +783,7 @@ def q_sk1(spark, sf):
 def q_sk2(spark, sf):
     """Every location of a document names a written copy."""
     from ..sinks.store import write_local_copy
-    # Texts written once: the documents and the responses then read the same messages.
-    texts = _scratch(spark, "sk2_messages")
-    fixtures.messages(spark, sf).write.parquet(texts)
-    g = generate_documents(spark.read.parquet(texts), templates(spark), AS_OF)
+    g = _generated_once(spark, sf, "sk2_messages")
     back = write_local_copy(g.documents.where(F.col("status") == "rendered"), _scratch(spark, "sk2"))
     given = reshape.locations_of(g.messages.where(F.col("ok"))).where(F.col("result_location").isNotNull())
     out = given.join(back.select(F.col("location").alias("result_location"), F.md5("body").alias("body")), "result_location", "left")

@@ -64,3 +64,62 @@ def test_images_are_decoded_once_and_for_html_alone(spark):
     assert "= html) THEN" in texts
     got = {r.f: r.b for r in made.collect()}
     assert got["html"].startswith("data:image/png;base64,iVBOR") and "a                    : 1" in got["txt"] and got["pdf"] is None
+
+
+def _small(spark):
+    ok = MESSAGE % ",".join(COMP % d for d in ('{"a":1.50,"images":{"logo":"iVBORw0KGgo="}}', '{"b":"x"}')).replace("a.html", "orden.html")
+    bad = [MESSAGE % (COMP % "[1]"), MESSAGE % (COMP % '"x"'), "{", None]
+    return _rows(spark, ok, ok.replace('"txt"', '"pdf"'), ok.replace('"txt"', '"html"'), *bad)
+
+
+def test_kept_status_gives_the_same_rows(spark, tmp_path):
+    """Messages and documents read from one kept status are those computed without it, on either path."""
+    from pliego.plans.pipeline import generate_documents
+    from pliego.plans.queries import AS_OF, templates
+
+    for path, limit in (("listed", None), ("joined", 0)):
+        plain = generate_documents(_small(spark), templates(spark), AS_OF, key_limit=limit)
+        once = generate_documents(_small(spark), templates(spark), AS_OF, key_limit=limit, kept=str(tmp_path / path))
+        for a, b in ((plain.messages, once.messages), (plain.documents.drop("render_us"), once.documents.drop("render_us"))):
+            assert a.columns == b.columns
+            assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        assert once.documents.count() == 6
+
+
+def test_whole_pipeline_builds_each_message_once(spark, monkeypatch):
+    """rn11: a message's text is computed once for its status and its documents."""
+    from pliego.plans import fixtures
+    from pliego.plans.queries import q_rn11
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(raw):
+        made.add(1)
+        return raw
+
+    texts = _small(spark).withColumn("raw", counted.asNondeterministic()("raw"))
+    monkeypatch.setattr(fixtures, "messages", lambda spark, sf: texts)
+    rows = {r.msg_id: r for r in q_rn11(spark, "small").collect()}
+    assert made.value == len(rows) == 7
+    assert [rows[f"m{i}"].bodies is not None for i in range(7)] == [True] * 3 + [False] * 4
+
+
+def test_local_copies_and_locations_parse_each_message_once(spark, monkeypatch):
+    """sk2: the documents are made from the status that the responses are read from."""
+    from pliego.plans import fixtures
+    from pliego.plans.queries import q_sk2
+    from pliego.sinks import store
+
+    plans = []
+    write = store.write_local_copy
+
+    def seen(documents, *args):
+        plans.append(documents._jdf.queryExecution().optimizedPlan().toString())
+        return write(documents, *args)
+
+    monkeypatch.setattr(store, "write_local_copy", seen)
+    monkeypatch.setattr(fixtures, "messages", lambda spark, sf: _small(spark))
+    rows = q_sk2(spark, "small").collect()
+    assert len(rows) == 4 and all(r.body for r in rows)
+    assert plans and CORRUPT not in plans[0]
