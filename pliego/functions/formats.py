@@ -25,8 +25,8 @@ OCTET_STREAM = "application/octet-stream"
 
 def resolve_format(file_type) -> Column:
     """FN1 / RN9: null, blank or unknown -> 'pdf'; trims and ignores case."""
-    t = F.lower(java_trim(col(file_type)))
-    return F.when(t.isin(*FORMATS), t).otherwise(F.lit("pdf"))
+    known = F.create_map(*[F.lit(x) for f in FORMATS for x in (f, f)])  # looked up, so that the text is trimmed once
+    return F.coalesce(F.try_element_at(known, F.lower(java_trim(col(file_type)))), F.lit("pdf"))
 
 
 def format_mime(fmt) -> Column:

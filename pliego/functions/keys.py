@@ -17,17 +17,17 @@ BASE32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
 
-def _b32(value: Column, width: int) -> Column:
-    return F.translate(F.lpad(F.conv(value.cast("string"), 10, 32), width, "0"), BASE32_DIGITS, CROCKFORD)
+def _b32(value: Column, base: int, width: int) -> Column:
+    """A number's text in ``base`` as ``width`` of Crockford's digits."""
+    return F.translate(F.lpad(F.conv(value, base, 32), width, "0"), BASE32_DIGITS, CROCKFORD)
 
 
 def sortable_id(ts, key) -> Column:
     """FN10: 26-char ULID-shaped id: 10 chars of epoch millis, 16 of md5(key)."""
     ms = F.unix_millis(col(ts).cast("timestamp"))
     h = F.md5(col(key).cast("string"))
-    hi = F.conv(F.substr(h, F.lit(1), F.lit(10)), 16, 10)
-    lo = F.conv(F.substr(h, F.lit(11), F.lit(10)), 16, 10)
-    return F.concat(_b32(ms, 10), _b32(hi, 8), _b32(lo, 8))
+    hi, lo = F.substr(h, F.lit(1), F.lit(10)), F.substr(h, F.lit(11), F.lit(10))
+    return F.concat(_b32(ms.cast("string"), 10, 10), _b32(hi, 16, 8), _b32(lo, 16, 8))
 
 
 def document_filename(doc_id, file_type) -> Column:

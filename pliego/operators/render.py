@@ -126,8 +126,10 @@ def rendered(fmt, path, content, data, images, cache_dir: str = CACHE_DIR) -> Co
     plain-text document prints the data and never reads a template; any other
     format, and HTML without content, has neither body nor error."""
     c = lambda x: F.col(x) if isinstance(x, str) else x
-    uris = F.when(c(fmt) == "html", F.to_json(image_uris(c(images))))  # no other format reads them
-    return _render_udf(c(fmt), text_template_path(path, cache_dir), c(content), c(data), uris)
+    html, text = c(fmt) == "html", c(fmt) == "txt"  # a task gets what its format reads
+    uris = F.when(html, F.to_json(image_uris(c(images))))
+    shown = F.when(text, text_template_path(path, cache_dir))
+    return _render_udf(c(fmt), shown, F.when(html, c(content)), F.when(html | text, c(data)), uris)
 
 
 def pdf_images_error(images) -> Column:

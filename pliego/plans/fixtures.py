@@ -16,6 +16,8 @@ tables; the same rules are written as SQL in ``plans/oracle.py``.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,52 +59,58 @@ LOCATION_CYCLE = [BAD_LOCATIONS[k] if k < 4 else GOOD_LOCATIONS[k % 6] for k in
 
 
 def location_rule(suppkey: Column, linenumber: Column) -> Column:
-    return _pick(LOCATION_CYCLE, F.pmod(suppkey * 7 + linenumber, F.lit(40)))
+    """The JSON text of a line's template location."""
+    return _pick_json(LOCATION_CYCLE, F.pmod(suppkey * 7 + linenumber, F.lit(40)))
+
+
+def _escaped(text: Column) -> Column:
+    """A text as it stands between the quotes of a JSON string."""
+    js = F.to_json(F.struct(text.alias("v")))
+    return F.when(text.isNotNull(), F.substr(js, F.lit(len('{"v":"') + 1), F.length(js) - len('{"v":""}')))
+
+
+def _quoted(escaped: Column) -> Column:
+    return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))
+
+
+def _pick_json(values: list, index: Column) -> Column:
+    """``_pick`` as JSON text, null for no value."""
+    return F.coalesce(_pick([json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in values], index), F.lit("null"))
 
 
 def composition(line: Column) -> Column:
-    """The JSON text of a line's composition."""
-    return let(line["l_extendedprice"].cast("decimal(12,2)").cast("string"), lambda price: _composition(line, price))
+    """The JSON text of a line's composition; the names of ``line`` are escaped already."""
+    return let(_quoted(line["l_extendedprice"].cast("decimal(12,2)").cast("string")), lambda price: _composition(line, price))
 
 
 def _composition(line: Column, price: Column) -> Column:
+    """Spliced from its parts: only the customer's names need escaping, and they are
+    escaped once a customer, so no line goes through a JSON writer."""
     part, number = line["l_partkey"], line["l_linenumber"]
-    image = _pick(IMAGE_CYCLE, F.pmod(part, F.lit(len(IMAGE_CYCLE))))
-    data = F.struct(
-        line["c_name"].alias("nombre"),
-        line["c_mktsegment"].alias("empresa"),
-        price.alias("monto"),
-        F.date_format(line["l_shipdate"], "yyyy-MM-dd").alias("fecha"),
-        F.concat(F.lit("L"), line["l_orderkey"].cast("string"), F.lit("-"), number.cast("string")).alias("codigo"),
-        line["l_quantity"].cast("int").alias("cantidad"),
-        F.array(
-            F.struct(F.lit("base").alias("item"), price.alias("precio")),
-            F.struct(
-                F.lit("impuesto").alias("item"),
-                F.concat(F.round(line["l_tax"] * 100).cast("int").cast("string"), F.lit("%")).alias("precio"),
-            ),
-        ).alias("items"),
-        F.struct(
-            F.concat_ws(" / ", line["c_name"], line["n_name"]).alias("nombre"),
-            line["n_name"].alias("nacion"),
-        ).alias("cliente"),
-        let(image, lambda i: F.when(i.isNotNull(), F.create_map(F.lit("logo"), i))).alias("images"),
+    tax = F.concat(F.round(line["l_tax"] * 100).cast("int").cast("string"), F.lit("%"))
+    image = [None if v is None else {"logo": v} for v in IMAGE_CYCLE]
+    data = F.concat(
+        F.lit('{"nombre":'), _quoted(line["c_name"]),
+        F.lit(',"empresa":'), _quoted(line["c_mktsegment"]),
+        F.lit(',"monto":'), price,
+        F.lit(',"fecha":'), _quoted(F.date_format(line["l_shipdate"], "yyyy-MM-dd")),
+        F.lit(',"codigo":'), _quoted(F.concat(F.lit("L"), line["l_orderkey"].cast("string"), F.lit("-"), number.cast("string"))),
+        F.lit(',"cantidad":'), line["l_quantity"].cast("int").cast("string"),
+        F.lit(',"items":[{"item":"base","precio":'), price,
+        F.lit('},{"item":"impuesto","precio":'), _quoted(tax),
+        F.lit('}],"cliente":{"nombre":'), _quoted(F.concat_ws(" / ", line["c_name"], line["n_name"])),
+        F.lit(',"nacion":'), _quoted(line["n_name"]),
+        F.lit('},"images":'), _pick_json(image, F.pmod(part, F.lit(len(IMAGE_CYCLE)))),
+        F.lit("}"),
     )
-    comp = F.struct(
-        F.lit("plantilla").alias("template"),
-        F.when(number % 5 == 0, F.lit("static")).otherwise(F.lit("template")).alias("type"),
-        F.lit("documento").alias("resource"),
-        F.struct(
-            F.struct(
-                F.lit("json").alias("input_format"),
-                _pick(FORMAT_CYCLE, F.pmod(part, F.lit(len(FORMAT_CYCLE)))).alias("output_format"),
-                location_rule(line["l_suppkey"], number).alias("location"),
-                F.when(line["l_quantity"] != 50, data).alias("data"),
-            ).alias("resource"),
-            F.struct(F.lit(None).cast("string").alias("location")).alias("result"),
-        ).alias("metadata"),
+    return F.concat(
+        F.when(number % 5 == 0, F.lit('{"template":"plantilla","type":"static"')).otherwise(F.lit('{"template":"plantilla","type":"template"')),
+        F.lit(',"resource":"documento","metadata":{"resource":{"input_format":"json","output_format":'),
+        _pick_json(FORMAT_CYCLE, F.pmod(part, F.lit(len(FORMAT_CYCLE)))),
+        F.lit(',"location":'), location_rule(line["l_suppkey"], number),
+        F.lit(',"data":'), F.when(line["l_quantity"] != 50, data).otherwise(F.lit("null")),
+        F.lit('},"result":{"location":null}}}'),
     )
-    return F.to_json(comp, JSON_WRITE_OPTIONS)
 
 
 # total order of lines inside an output (line numbers repeat in the data)
@@ -111,14 +119,15 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 
 def message_lines(spark: SparkSession, sf_dir: str, numbered: bool) -> DataFrame:
     """One row per composition-to-be with a line number (or without one), before
-    nesting. The customer is joined to the order, so that lines are only shuffled
-    by their order's key."""
+    nesting. The customer, names escaped for JSON, is joined to the order, so that
+    lines are only shuffled by their order's key."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linestatus", *LINE_ORDER)
     li = li.where(F.col("l_linenumber").isNotNull() if numbered else F.col("l_linenumber").isNull())
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     cust = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     nation = table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     cust = cust.join(nation, cust.c_nationkey == nation.n_nationkey, "left")
+    cust = cust.select("c_custkey", *[_escaped(F.col(c)).alias(c) for c in ("c_name", "c_mktsegment", "n_name")])
     orders = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
     return li.join(orders, li.l_orderkey == orders.o_orderkey)
 
@@ -128,7 +137,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     One group-by per message (at most 64 line numbers each) gathers the lines'
     plain columns where the join by order key has put them; only then is each
-    composition serialised, put in order, and the message text spliced together.
+    composition written, put in order, and the message text spliced together.
     Lines without a number are one message without an id.
     """
     def gathered(numbered: bool, *keys) -> DataFrame:

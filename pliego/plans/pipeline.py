@@ -102,8 +102,7 @@ def render_check(comp: Column, known: list[str], malformed: dict[str, str]) -> C
 
 def _render_check(comp: Column, fmt: Column, known: list[str], malformed: dict[str, str]) -> Column:
     path = comp["location"]
-    keys, failure = lookup_keys(path, fmt)
-    tids = [_template_id(k["source"], k["key"]) for k in keys]
+    tids, failure = lookup_keys(path, fmt, _template_id)
     there = [F.coalesce(t.isin(known), F.lit(False)) for t in tids]
     found = there[0] | there[1] | there[2]
     errors = [not_found_error(path, fmt, found, failure)]
@@ -158,22 +157,29 @@ def generate_documents(
         return F.when(~route_format(ft).isin(pending_formats()), where) if pending_formats() else where
 
     def count(test) -> Column:
-        each = F.transform("outputs", lambda o: F.size(F.filter(o["composicion"], lambda c: is_template(c) & test(c))))
+        each = F.transform("outputs", lambda o: F.size(F.filter(o["composicion"], test)))
         return F.coalesce(F.aggregate(each, F.lit(0), lambda a, x: a + x), F.lit(0))
 
     ok = F.col("error").isNull()
-    waits = lambda c: route_format(c["output_format"]).isin(pending_formats())
+    pending = F.lit(0)
+    if pending_formats():
+        pending = count(lambda c: is_template(c) & route_format(c["output_format"]).isin(pending_formats()))
     columns = [
         F.col("msg_id"),
         ok.alias("ok"),
         F.col("error.code").alias("error_code"),
         F.col("error.message").alias("error_message"),
         F.when(ok, collated_response(F.col("raw"), location_of)).alias("response"),
-        # documents of a successful message: those with a body, and those that wait for a converter
-        F.when(ok, count(lambda c: ~waits(c))).otherwise(F.lit(0)).cast("bigint").alias("documents"),
-        F.when(ok, count(waits)).otherwise(F.lit(0)).cast("bigint").alias("pending"),
+        # documents of a successful message: all of them, and those that wait for a converter
+        F.when(ok, count(is_template)).otherwise(F.lit(0)).cast("bigint").alias("documents"),
+        F.when(ok, pending).otherwise(F.lit(0)).cast("bigint").alias("pending"),
     ]
-    out = status.select(*columns)
+
+    def answered(*more: Column) -> DataFrame:
+        # documents with a body are those that don't wait
+        return status.select(*columns, *more).withColumn("documents", F.col("documents") - F.col("pending"))
+
+    out = answered()
 
     def requests_of(frame: DataFrame) -> DataFrame:
         return project_request(only_templates(flatten_outputs(frame))).withColumn("format", route_format("file_type"))
@@ -181,7 +187,7 @@ def generate_documents(
     requests = requests_of(validated.where(F.col("map_error").isNull()).select("msg_id", "outputs"))
     passed = status.where(F.col("error").isNull()).select("msg_id", "outputs")
     if kept is not None:
-        status.select(*columns, F.when(ok, F.col("outputs")).alias("outputs")).write.parquet(kept)
+        answered(F.when(ok, F.col("outputs")).alias("outputs")).write.parquet(kept)
         rows = messages.sparkSession.read.parquet(kept)
         out, passed = rows.drop("outputs"), rows.where("ok").select("msg_id", "outputs")
     documents = requests_of(passed)

@@ -101,7 +101,7 @@ def unsure(raw: Column, direct: Column) -> Column:
     object starts with ``{"``, so its quote is escaped, or else unlike a written object."""
     def odd(c: Column) -> Column:
         data = c["metadata"]["resource"]["data"]
-        return F.coalesce(F.ltrim(data).startswith("{") & ~data.startswith('{"'), F.lit(False))
+        return F.coalesce(~data.startswith('{"') & F.ltrim(data).startswith("{"), F.lit(False))
 
     outs = direct["data"]["item_canonico"]["outputs"]
     some = F.exists(outs, lambda o: F.coalesce(F.exists(o["composicion"], odd), F.lit(False)))

@@ -101,10 +101,14 @@ def missing_cause(uri: Column) -> Column:
     )
 
 
-def lookup_keys(uri: Column, fmt: Column | None = None) -> tuple[list[Column], Column]:
+def _key(source: Column, key: Column) -> Column:
+    return F.struct(source.alias("source"), key.alias("key"))
+
+
+def lookup_keys(uri: Column, fmt: Column | None = None, key: Callable[[Column, Column], Column] = _key) -> tuple[list[Column], Column]:
     """(keys in the order they are tried, failure text) of a template URI.
 
-    Keys are struct<source, key>, NULL where there is none. A local path tries
+    Keys are struct<source, key>, or what ``key`` makes of the two, NULL where there is none. A local path tries
     the package folder, then the package root (not for PDF, ``fmt``), then the
     filesystem. A protocol URI has a single key; an unknown protocol or a
     malformed S3 URI has none and carries the failure text the reference's
@@ -116,9 +120,6 @@ def lookup_keys(uri: Column, fmt: Column | None = None) -> tuple[list[Column], C
     http_key = F.regexp_replace(stripped, r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     local = ~uri.contains("@")
 
-    def key(source, k):
-        return F.struct(source.alias("source"), k.alias("key"))
-
     primary = (
         F.when(local, key(F.lit(PACKAGED), F.concat(F.lit(PACKAGE_PREFIX), uri)))
         .when((proto == "s3@") & s3["ok"], key(F.lit("s3@"), s3["key"]))

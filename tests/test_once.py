@@ -123,3 +123,50 @@ def test_local_copies_and_locations_parse_each_message_once(spark, monkeypatch):
     rows = q_sk2(spark, "small").collect()
     assert len(rows) == 4 and all(r.body for r in rows)
     assert plans and CORRUPT not in plans[0]
+
+
+def test_a_line_is_written_without_a_json_writer(spark, tmp_path):
+    """Names are escaped once a customer; the spliced text is still the JSON of its values, nulls written out."""
+    import datetime
+    import json
+
+    from pliego.plans import fixtures
+
+    odd = ['a"b', "c\\d", "e\nf", "", "ñ 漢😀", "\x01", None]
+    when = datetime.datetime(1995, 3, 1)
+    tables = {
+        "nation": ([(i, n) for i, n in enumerate(odd)], "n_nationkey long, n_name string"),
+        "customer": ([(i, n, odd[-i], i) for i, n in enumerate(odd)], "c_custkey long, c_name string, c_mktsegment string, c_nationkey long"),
+        "orders": ([(i, i, "O", when, "5-LOW") for i in range(len(odd))], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp, o_orderpriority string"),
+        "lineitem": ([(i, "O", 1, i if i else None, i, 50.0 if i == 2 else 7.0, 1.5 if i else None, 0.05, when) for i in range(len(odd))],
+                     "l_orderkey long, l_linestatus string, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_tax double, l_shipdate timestamp"),
+    }
+    for name, (rows, ddl) in tables.items():
+        spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / f"{name}.parquet"))
+    texts = fixtures.messages(spark, str(tmp_path))
+    assert texts._jdf.queryExecution().optimizedPlan().toString().count("input_format,StringType") == 0
+    got = {json.loads(r.raw)["data"]["cliente"]["id"]: json.loads(r.raw)["data"]["item_canonico"]["outputs"][0]["composicion"][0] for r in texts.collect()}
+    assert len(got) == len(odd)
+    for i, name in enumerate(odd):
+        resource = got[i]["metadata"]["resource"]
+        if i == 2:
+            assert resource["data"] is None
+            continue
+        data = resource["data"]
+        assert data["nombre"] == data["cliente"]["nacion"] == name and data["empresa"] == odd[-i]
+        assert data["cliente"]["nombre"] == ("" if name is None else f"{name} / {name}")
+        assert data["monto"] == data["items"][0]["precio"] == ("1.50" if i else None) and data["items"][1]["precio"] == "5%"
+        assert (data["images"] is None) == (i in (0, 3)) and (resource["output_format"] is None) == (i in (0, 5))
+        assert data["cantidad"] == 7 and data["fecha"] == "1995-03-01" and data["codigo"] == f"L{i}-1"
+
+
+def test_formats_are_trimmed_once(spark):
+    from pliego.functions import resolve_format
+    from pliego.functions._util import is_blank
+
+    texts = [None, "", " ", "\x00\t\n", "html", " HTML\n", "\x01txt ", "pdf", "xml", "ht ml", "txt \u0085", " txt", "  "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    made = df.select("t", resolve_format(F.col("t")).alias("f"), is_blank(F.col("t")).alias("b"))
+    assert made.select("f")._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [r.f for r in made.collect()] == ["pdf"] * 4 + ["html", "html", "txt"] + ["pdf"] * 6
+    assert [r.b for r in made.collect()] == [True] * 4 + [False] * 9
